@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import syncmers
+from tessera.llm import decontaminate, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_syncmers": syncmers.query,
+    "op3_decontaminate": decontaminate.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_decontaminate": decontaminate.SQL}
