@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, syncmers
+from tessera.llm import decontaminate, syncmers, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_syncmers": syncmers.query,
     "op3_decontaminate": decontaminate.query,
+    "op4_toxicity": toxicity.query,
 }
 
 SQL: dict[str, str] = {"op3_decontaminate": decontaminate.SQL}
