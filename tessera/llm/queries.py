@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, pii, syncmers, toxicity
+from tessera.llm import bagminhash, decontaminate, pii, syncmers, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_syncmers": syncmers.query,
     "op3_decontaminate": decontaminate.query,
     "op4_toxicity": toxicity.query,
     "op5_pii": pii.query,
+    "op8_bagminhash": bagminhash.query,
 }
 
 SQL: dict[str, str] = {"op3_decontaminate": decontaminate.SQL}
