@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bagminhash, decontaminate, pii, syncmers, toxicity
+from tessera.llm import bagminhash, decontaminate, pii, piece_sampling, syncmers, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_syncmers": syncmers.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": toxicity.query,
     "op5_pii": pii.query,
     "op8_bagminhash": bagminhash.query,
+    "op10_piece_sampling": piece_sampling.query,
 }
 
 SQL: dict[str, str] = {"op3_decontaminate": decontaminate.SQL}
