@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bagminhash, decontaminate, pii, piece_sampling, syncmers, toxicity
+from tessera.llm import bagminhash, bwt_dedup, decontaminate, pii, piece_sampling, syncmers, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_syncmers": syncmers.query,
     "op3_decontaminate": decontaminate.query,
     "op4_toxicity": toxicity.query,
     "op5_pii": pii.query,
+    "op6_bwt_dedup": bwt_dedup.query,
     "op8_bagminhash": bagminhash.query,
     "op10_piece_sampling": piece_sampling.query,
 }
