@@ -70,16 +70,16 @@ ALNUM = word_table(bytes([*range(48, 58), *range(97, 123)]))
 #: Words of all but white space.
 NONSPACE = word_table(bytes(b for b in range(128) if b not in (32, *range(9, 14)) and not 65 <= b <= 90))
 
-_POW = np.cumprod(np.concatenate([[1], np.full(255, 0x9E3779B97F4A7C15, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64)
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
-
-
 def powers(n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     out = np.full(max(n, 1), base, dtype=np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+_POW = powers(256)
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
+
+
 class Words:
     """Words of a run of texts: byte ranges, the row of each, and 64-bit hashes."""
 
