@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bagminhash, bwt_dedup, decontaminate, pii, piece_sampling, syncmers, toxicity
+from tessera.llm import bagminhash, bwt_dedup, context_mixing, decontaminate, pii, piece_sampling, syncmers, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_syncmers": syncmers.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": pii.query,
     "op6_bwt_dedup": bwt_dedup.query,
     "op8_bagminhash": bagminhash.query,
+    "op9_context_mixing": context_mixing.query,
     "op10_piece_sampling": piece_sampling.query,
 }
 
