@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bagminhash, bwt_dedup, context_mixing, decontaminate, pii, piece_sampling, syncmers, toxicity
+from tessera.llm import bagminhash, bwt_dedup, chat_repair, context_mixing, decontaminate, pii, piece_sampling, syncmers, toxicity, warc_derive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_repair": chat_repair.query,
     "op2_syncmers": syncmers.query,
     "op3_decontaminate": decontaminate.query,
     "op4_toxicity": toxicity.query,
     "op5_pii": pii.query,
     "op6_bwt_dedup": bwt_dedup.query,
+    "op7_warc_derive": warc_derive.query,
     "op8_bagminhash": bagminhash.query,
     "op9_context_mixing": context_mixing.query,
     "op10_piece_sampling": piece_sampling.query,
 }
 
-SQL: dict[str, str] = {"op3_decontaminate": decontaminate.SQL}
+SQL: dict[str, str] = {"op3_decontaminate": decontaminate.SQL, "op7_warc_derive": warc_derive.SQL}
