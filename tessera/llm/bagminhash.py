@@ -7,9 +7,10 @@ signatures agree in a register with the probability of the multisets' weighted J
 horizon by which all registers are filled (doubled for the few texts for which it was too near), so most shingles draw few.
 
 Texts of equal words are one node (equal texts, where there are no words). Signatures fall into bands; in each bucket the members
-are linked to its least node, links are verified on the whole multisets, and connected components are formed. Then every pair of nodes that
-shares a bucket but is in different components is verified too, so no link between candidates is lost and no
-pairs within a component are formed. Bands of 4 of 96 registers miss a pair of similarity 0.8 with probability 3e-6.
+are paired with its least node, pairs are verified on the whole multisets, and connected components are formed. In a family (nodes
+connected by such pairs) every node outside the largest component is then compared with the whole family, in
+blocks, so no link between candidates is lost and no pairs within a component are formed. Bands of 4 of 96 registers miss a
+pair of similarity 0.8 with probability 3e-6.
 
 Defined cases: a text of fewer than five words, but not none, is one shingle; texts without words are near only if equal (null is
 empty). Repeated rows and rows with equal doc_id each get a row; null ids come out as they are, class_id is the least non-null id of the class. Other
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.bwt_dedup import FILTER_BITS, bitmap
 from tessera.llm.common import ALNUM, U64, Words, documents, mix, pieces, utf8, written
 from tessera.llm.components import components
 
@@ -33,6 +35,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, ROWS = 96, 4
 #: Of a bucket's members, so many are compared with its least node in one group of a join.
 SALT = 256
+#: Queries and members that are compared in one group.
+QUERIES, MEMBERS = 512, 2048
 
 
 def shingles(w: Words, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,14 +128,22 @@ def keys(w: Words, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return out
 
 
+def distinct_items(sorted_values: np.ndarray) -> np.ndarray:
+    """A sorted multiset as a sorted set: the second and later occurrences of a value get values of their own."""
+    new = np.ones(len(sorted_values), bool)
+    new[1:] = sorted_values[1:] != sorted_values[:-1]
+    if new.all():
+        return sorted_values
+    place = np.arange(len(new))
+    nth = (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64)
+    return np.sort(np.where(nth > 0, mix(sorted_values + nth * U64(0x9E3779B97F4A7C15)), sorted_values))
+
+
 def multiset_jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted arrays."""
+    """Of two multisets as distinct_items gives them."""
     if not len(a) or not len(b):
         return 0.0
-    va, na = np.unique(a, return_counts=True)
-    vb, nb = np.unique(b, return_counts=True)
-    _, ia, ib = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
-    both = int(np.minimum(na[ia], nb[ib]).sum())
+    both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 
 
@@ -149,19 +161,6 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(keys(w, own, at), pa.binary()), lists], ["doc_id", "key", "bands"])
 
 
-def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sorted shingles of texts whose words have the wanted key."""
-    for batch in batches:
-        data, offsets = utf8(batch.column("text"))
-        want = batch.column("key").to_pylist()
-        for a, b in pieces(offsets, 4 << 20):
-            own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            w = Words(own, at, ALNUM)
-            values, bounds = shingles(w, b - a)
-            keep = [i for i, k in enumerate(keys(w, own, at)) if k == want[a + i]]
-            yield pa.RecordBatch.from_arrays([pa.array([want[a + i] for i in keep], pa.binary()), pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in keep], pa.binary())], ["key", "shingles"])
-
-
 def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("sa"), batch.column("sb")
@@ -169,20 +168,88 @@ def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose multisets are at least SIMILARITY alike."""
-    spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    named = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(wanted, "key", "left_semi")
-    text = docs.select(F.col("doc_id").alias("id"), "text").join(named, F.col("id").eqNullSafe(F.col("doc_id"))).select("key", "text")
-    full = written(spark, text.mapInArrow(whole, "key binary, shingles binary").dropDuplicates(["key"]))
+def multisets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key and items of the texts with the wanted keys. A bitmap of fixed size spares most of the other texts the work."""
+    bits = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long")
+    slots = bitmap(wanted.select(F.shiftleft(bits, 32).alias("akey")))
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(slots))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(shared.value).view(bool)
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            out: dict[bytes, bytes] = {}
+            for a, b in pieces(offsets, 4 << 20):
+                own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                w = Words(own, at, ALNUM)
+                for i, k in enumerate(keys(w, own, at)):
+                    if known[int.from_bytes(k[:4], "big") >> (32 - FILTER_BITS)] and k not in out:
+                        text = own[at[i] : at[i + 1]]
+                        out[k] = distinct_items(shingles(Words(text, np.array([0, len(text)]), ALNUM), 1)[0]).tobytes()
+            names = list(out)
+            for x in range(0, len(names), 500):
+                yield pa.RecordBatch.from_arrays([pa.array(names[x : x + 500], pa.binary()), pa.array([out[k] for k in names[x : x + 500]], pa.binary())], ["key", "items"])
+
+    return docs.select("text").mapInArrow(run, "key binary, items binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+
+
+def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are at least SIMILARITY alike; the many partners of one a are dealt out by a salt."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
-    left = salts.join(full.withColumnRenamed("key", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("shingles").alias("sa"))
+    left = salts.join(full.withColumnRenamed("key", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("items").alias("sa"))
     right = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    right = right.join(full.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+    right = right.join(full.select(F.col("key").alias("b"), F.col("items").alias("sb")), "b")
     return right.join(left, ["a", "salt"]).select("a", "b", "sa", "sb").mapInArrow(similar, "a binary, b binary")
 
 
+def compare(table: pa.Table) -> pa.Table:
+    """Links between the queries and the members of one block, found by an inverted index of the queries' items."""
+    query = np.array(table["query"].to_pylist(), bool)
+    names, items = table["key"].to_pylist(), [np.frombuffer(x, np.uint64) for x in table["items"].to_pylist()]
+    q = np.flatnonzero(query)
+    if not len(q) or query.all():
+        return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+    flat = np.concatenate([items[i] for i in q])
+    owner = np.repeat(np.arange(len(q)), [len(items[i]) for i in q])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    value, first, count = np.unique(flat, return_index=True, return_counts=True)
+    size = np.array([len(items[i]) for i in q])
+    a, b = [], []
+    for j in np.flatnonzero(~query):
+        own = items[j]
+        at = np.minimum(np.searchsorted(value, own), len(value) - 1)
+        at = at[value[at] == own]
+        if not len(at):
+            continue
+        n = count[at]
+        ends = np.cumsum(n)
+        hits = owner[np.repeat(first[at] - (ends - n), n) + np.arange(int(ends[-1]))]
+        both = np.bincount(hits, minlength=len(q))
+        for k in np.flatnonzero(both >= SIMILARITY * (size + len(own) - both)):
+            if names[q[k]] != names[j]:
+                a.append(names[q[k]])
+                b.append(names[j])
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def rest(pairs: DataFrame, roots: DataFrame, full: DataFrame) -> DataFrame:
+    """Links that the stars missed. Nodes joined by candidate pairs are a family; those outside the largest component of
+    theirs are queries against the whole family, in blocks of bounded numbers of queries and members."""
+    spark = pairs.sparkSession
+    families = components(spark, pairs).withColumnRenamed("root", "family")
+    placed = written(spark, families.join(roots, "node", "left").select(F.col("node").alias("key"), "family", F.coalesce("root", "node").alias("root")))
+    parts = placed.groupBy("family", "root").agg(F.count("*").alias("n"))
+    main = parts.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+    grid = main.select("family", "main", F.ceil((F.col("n") - F.col("most")) / QUERIES).cast("int").alias("rows"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("cols"))
+    nodes = placed.join(grid, "family").join(full, "key")
+    row = F.pmod(F.xxhash64("key"), F.col("rows")).cast("int")
+    col = F.pmod(F.xxhash64("key", F.lit(1)), F.col("cols")).cast("int")
+    asked = nodes.where("root <> main").select("family", row.alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), F.lit(True).alias("query"), "key", "items")
+    members = nodes.select("family", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), col.alias("col"), F.lit(False).alias("query"), "key", "items")
+    return asked.union(members).groupBy("family", "row", "col").applyInArrow(compare, "a binary, b binary")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_class for every document."""
     spark = docs.sparkSession
@@ -190,20 +257,13 @@ def classes(docs: DataFrame) -> DataFrame:
     signed = written(spark, docs.mapInArrow(sign, "doc_id long, key binary, bands array<long>"))
     members = signed.select("key", "bands").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    grouped = written(spark, members.join(shared, "band").select("band", "a", F.col("key").alias("b")))
-    pairs = written(spark, grouped.where("a <> b").select("a", "b").distinct())
-    links = written(spark, verified(docs, signed, pairs))
+    pairs = written(spark, members.join(shared, "band").where("key <> a").select("a", F.col("key").alias("b")).distinct())
+    full = written(spark, multisets(docs, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
+    links = written(spark, verified(pairs, full))
     roots = components(spark, links)
-    placed = grouped.join(roots.withColumnRenamed("node", "b"), "b", "left").select("band", "b", F.coalesce("root", "b").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    apart = written(spark, placed.join(mixed, "band"))
-    other = apart.select("band", F.col("b").alias("a"), F.col("root").alias("other"))
-    rest = apart.join(other, "band").where("other < root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = written(spark, rest.join(pairs, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        more = written(spark, verified(docs, signed, rest))
-        if more.limit(1).count():
-            roots = components(spark, links.union(more))
+    more = written(spark, rest(pairs, roots, full))
+    if more.limit(1).count():
+        roots = components(spark, links.union(more))
     own = signed.select("doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", F.coalesce("root", "key").alias("root"))
     size = own.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_class"))
     return own.join(size, "root").select("doc_id", "class_id", "n_class")
