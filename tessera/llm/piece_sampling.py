@@ -30,6 +30,8 @@ from tessera.llm.common import U64, documents, mix, pieces, powers, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 64
+#: Bytes of text whose lattices are built at once; a longer text stands alone.
+BLOCK = 1 << 20
 #: Lattice weights get this factor for each byte, which all paths share, so that products stay in range.
 PER_BYTE = 30.0
 BITS = 22
@@ -302,7 +304,7 @@ def _mapped(docs: DataFrame, key: str, model: str, sharpness: float, digest: boo
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             seeds = np.array([-1 if k is None else k for k in batch.column("seed").to_pylist()], np.int64).view(np.uint64)
-            for x, y in pieces(offsets, 8 << 20):
+            for x, y in pieces(offsets, BLOCK):
                 ids, ends, text, bounds = encode(v, data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], seeds[x:y])
                 if not digest:
                     yield pa.RecordBatch.from_arrays([batch.column("id").slice(x, y - x), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], names)
