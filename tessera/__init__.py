@@ -1 +1,8 @@
 """tessera: document evidence, labelling, layout and review operators on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so a cluster needs no copy of the repository.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

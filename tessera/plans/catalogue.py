@@ -1,10 +1,678 @@
-"""All queries over the driver's tables, with the SQL each is held against."""
+"""All queries over the driver's tables, with the SQL each is held against.
+
+The driver's documents stand in for problems: their language gives the label that a model would have given, rules run over their whole texts.
+Counts are BIGINT and doubles rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera import streaming
+from tessera.functions import jsonfix, scalars
+from tessera.functions import rules as R
+from tessera.functions import text as T
+from tessera.operators import confidence, evaluate, evidence, labels, layout, ranges, review, web
+from tessera.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def big(*names: str):
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+# --- text -----------------------------------------------------------------------------------------------------------
+
+TN = "regexp_replace(lower(replace(coalesce(text, ''), ' ', '')), '[·・･‧•]', '', 'g')"
+
+
+@query(f"SELECT doc_id, CAST(len({TN}) AS BIGINT) AS n_norm, sha256({TN}) AS norm_sha256, CAST(len(regexp_replace(text, '\\s+', '', 'g')) AS BIGINT) AS n_solid FROM documents")
+def norm_text_profile(spark, sf):
+    tn = T.norm(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.length(tn).cast("long").alias("n_norm"), F.sha2(tn, 256).alias("norm_sha256"), F.length(F.regexp_replace("text", r"\s+", "")).cast("long").alias("n_solid"))
+
+
+RULES = R.rules_sql()
+EV = f"d AS (SELECT *, {TN} AS tn FROM documents), ev AS (SELECT doc_id, r.* FROM d JOIN {RULES} ON contains(tn, keyword))"
+
+
+@query(f"WITH {EV} SELECT doc_id, scan, keyword, polarity, confidence FROM ev")
+def evidence_scan(spark, sf):
+    rows = evidence.scan(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode("evidence").alias("e"))
+    return rows.select("doc_id", "e.scan", "e.keyword", "e.polarity", "e.confidence")
+
+
+@query(
+    f"""WITH {EV}, t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, rank) AS n FROM ev)
+    SELECT doc_id, string_agg(concat('- ', keyword, ' [', source, '/', CASE polarity WHEN 'pro' THEN '+' ELSE '-' END, '] -> ', array_to_string(targets[1:3], '/')), chr(10) ORDER BY n) AS lines FROM t WHERE n <= 5 GROUP BY doc_id"""
+)
+def evidence_topk(spark, sf):
+    rows = evidence.scan(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", evidence.top(F.col("evidence"), 5).alias("t")).where(F.size("t") > 0)
+    return rows.select("doc_id", F.array_join(F.transform("t", evidence.line), "\n").alias("lines"))
+
+
+_WORDS = "|".join(R.FUNCTION_WORDS)
+
+
+@query(
+    f"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z]')) AS BIGINT) AS latin,
+    coalesce(len(regexp_extract_all(text, '[A-Za-z]')) >= 60 AND len(regexp_extract_all(text, '[A-Za-z]')) >= 5 * len(regexp_extract_all(text, '[가-힣]')) AND len(regexp_extract_all(translate(text, 'éèêçñóíäöüßÉÈÊÇÑÓÍÄÖÜáúàùâîôûëïÀÂÔÚÁ', 'xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx'), '(?i)\\b(?:{_WORDS})\\b')) >= 3, false) AS english FROM documents"""
+)
+def english_evidence(spark, sf):
+    d = table(spark, sf, "documents")
+    plain = F.translate("text", "éèêçñóíäöüßÉÈÊÇÑÓÍÄÖÜáúàùâîôûëïÀÂÔÚÁ", "x" * 39)
+    return d.select("doc_id", F.regexp_count("text", F.lit("[A-Za-z]")).cast("long").alias("latin"), evidence.english(plain).alias("english"))
+
+
+@query(
+    """WITH m AS (SELECT doc_id, text, len(text) AS n, len(regexp_extract_all(text, '[=+*/^<>%$#&]')) AS hits, len(array_to_string(regexp_extract_all(text, '[a-z]{5,}'), '')) AS w FROM documents),
+    s AS (
+      SELECT doc_id, 'dense' AS signal, hits / greatest(n, 1) * 1000.0 AS value, least(0.5 + hits / greatest(n, 1) * 1000.0 * 0.05, 0.9) AS c FROM m WHERE n >= 20 AND hits >= 3
+      UNION ALL SELECT doc_id, 'absent', 0, 0.5 FROM m WHERE n > 200 AND hits = 0
+      UNION ALL SELECT doc_id, 'high', 1, 0.65 FROM m WHERE n >= 20 AND regexp_matches(text, '(?i)prove|derive|show that')
+      UNION ALL SELECT doc_id, 'low', 1, 0.4 FROM m WHERE n >= 20 AND NOT regexp_matches(text, '(?i)prove|derive|show that') AND regexp_matches(text, '(?i)choose|select|find')
+      UNION ALL SELECT doc_id, 'terms', w / n, 0.5 FROM m WHERE n > 100 AND w / n > 0.55)
+    SELECT doc_id, signal, round(CAST(value AS DOUBLE), 6) AS value, round(CAST(c AS DOUBLE), 6) AS confidence FROM s"""
+)
+def depth_signals(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.explode(evidence.depth(F.col("text"))).alias("s")).select("doc_id", "s.*")
+
+
+@query(
+    """SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(text, '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))) AS prompt_sha256,
+    sha256(substr(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '\\A\\s+|\\s+\\z', '', 'g'), 1, 6000)) AS passage_sha256 FROM documents"""
+)
+def clean_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(F.trim(T.clean_prompt(F.col("text"))), 256).alias("prompt_sha256"), F.sha2(T.clean_passage(F.col("text")), 256).alias("passage_sha256"))
+
+
+@query("SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS BIGINT) AS n_sentences FROM documents")
+def sentence_split(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+
+
+@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS BIGINT) AS n_paragraphs FROM documents")
+def paragraphs(spark, sf):
+    lines = F.split("text", "\n")
+    return table(spark, sf, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(T.structured(F.filter(lines, lambda x: F.trim(x) != "")), lambda x: x != "")).cast("long").alias("n_paragraphs"))
+
+
+# --- names, links, covers -------------------------------------------------------------------------------------------
+
+NAME_RULES = [("blog", "Language", 0.9), ("/de/", "German", 0.85), ("/fr/", "French", 0.85), ("tion", "English", 0.8), ("example", "General", 0.75)]
+
+
+@query("SELECT page_id, target, CAST(c AS DOUBLE) AS confidence FROM (SELECT page_id, unnest([" + ", ".join(f"{{'k': '{k}', 'target': '{t}', 'c': {c}, 'n': {i}}}" for i, (k, t, c) in enumerate(NAME_RULES)) + "], recursive := true), url FROM pages) WHERE contains(url, k) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n) = 1")
+def url_meta_first_match(spark, sf):
+    return table(spark, sf, "pages").withColumn("m", evidence.first_rule(F.col("url"), NAME_RULES)).where("m IS NOT NULL").select("page_id", "m.target", "m.confidence")
+
+
+NAMES, ALIASES = ["thenand", "ionof", "eau", "ción"], [("ion", "ionof"), ("und", "Grammar"), ("au", "eau")]
+
+
+@query(
+    f"""WITH t AS (SELECT page_id, regexp_replace(lower(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), ' ', '')), '[·・･‧•]', '', 'g') AS t FROM pages),
+    n AS (SELECT page_id, t, list_filter({R.sql_array(NAMES)}, lambda n: contains(t, n)) AS named FROM t),
+    f AS (SELECT page_id, named, list_filter([{", ".join(f"{{'a': '{a}', 'n': '{n}'}}" for a, n in ALIASES)}], lambda x: contains(t, x.a) AND len(list_filter(named, lambda n: contains(n, x.a))) = 0) AS other FROM n)
+    SELECT page_id, CAST(len(named) AS BIGINT) AS n_named, CAST(len(other) AS BIGINT) AS n_alias,
+      CASE WHEN len(list_distinct(list_concat(named, list_transform(other, lambda x: x.n)))) = 1 THEN list_concat(named, list_transform(other, lambda x: x.n))[1] END AS single FROM f"""
+)
+def cover_rules(spark, sf):
+    title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
+    found = evidence.cover(table(spark, sf, "pages").select("page_id", title.alias("title")), "title", NAMES, ALIASES)
+    by = lambda c: F.size(F.filter("found", lambda f: f.confidence == c)).cast("long")
+    return found.select("page_id", by(0.92).alias("n_named"), by(0.9).alias("n_alias"), "single")
+
+
+@query("SELECT page_id, CAST(len(l) AS BIGINT) AS n_links, CAST(len(list_filter(l, lambda u: regexp_matches(u, '^https?://'))) AS BIGINT) AS n_absolute, array_to_string(list_transform(l, lambda u: string_split(regexp_replace(u, '[?#].*$', ''), '/')[-1]), '|') AS names FROM (SELECT page_id, list_reverse(list_sort(list_distinct(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1)))) AS l FROM pages)")
+def link_extract(spark, sf):
+    l = F.reverse(F.array_sort(web.links(F.col("html"))))
+    return table(spark, sf, "pages").withColumn("l", l).select("page_id", F.size("l").cast("long").alias("n_links"), F.size(F.filter("l", web.absolute)).cast("long").alias("n_absolute"), F.array_join(F.transform("l", web.last_segment), "|").alias("names"))
+
+
+@query("WITH x AS (SELECT page_id, unnest(l) AS u, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1) AS l FROM pages)), y AS (SELECT page_id, u, min(i) AS i FROM x GROUP BY ALL) SELECT page_id, string_agg(u, ' ' ORDER BY i) AS urls FROM y GROUP BY page_id")
+def ordered_dedupe(spark, sf):
+    return table(spark, sf, "pages").withColumn("l", web.links(F.col("html"))).where(F.size("l") > 0).select("page_id", F.array_join("l", " ").alias("urls"))
+
+
+_MARKS = " OR ".join(f"contains(lower(url), '{m}')" for m in R.SOLUTION_MARKS)
+
+
+@query(f"SELECT page_id, {_MARKS} AS solution FROM pages")
+def solution_names(spark, sf):
+    return table(spark, sf, "pages").select("page_id", evidence.is_solution(F.col("url")).alias("solution"))
+
+
+# --- labels and confidence ------------------------------------------------------------------------------------------
+
+LABEL_SQL = """CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'Unclassified' ELSE 'Science' END AS subject,
+  CASE WHEN lang = 'en' AND doc_id % 3 = 0 THEN 'Other' WHEN lang = 'en' THEN 'Reading' WHEN lang = 'de' THEN 'Grammar' WHEN lang = 'fr' THEN 'Other' ELSE 'Physics 2' END AS sub_subject,
+  CAST((doc_id * 37) % 100 AS DOUBLE) / 100 AS raw_confidence"""
+
+
+def labelled(spark, sf) -> DataFrame:
+    """Documents with the label and confidence that a model would have given."""
+    lang = F.col("lang")
+    return table(spark, sf, "documents").withColumns(
+        {
+            "subject": F.when(lang == "en", "English").when(lang == "de", "German").when(lang == "fr", "Unclassified").otherwise("Science"),
+            "sub_subject": F.when((lang == "en") & (F.col("doc_id") % 3 == 0), "Other").when(lang == "en", "Reading").when(lang == "de", "Grammar").when(lang == "fr", "Other").otherwise("Physics 2"),
+            "raw_confidence": ((F.col("doc_id") * 37) % 100).cast("double") / 100,
+        }
+    )
+
+
+FOLD = f"""WITH d AS (SELECT *, {TN} AS tn, {LABEL_SQL} FROM documents),
+e AS (SELECT d.doc_id, subject, sub_subject, r.*, list_contains(targets, 'Unclassified') AS isglob, list_contains(targets, subject) OR list_contains(targets, sub_subject) AS hit,
+  CASE WHEN r.source = 'filename' THEN 1.5 ELSE 1.0 END * confidence AS s FROM d JOIN {RULES} ON contains(tn, keyword)),
+a AS (SELECT doc_id,
+  count(*) FILTER (isglob AND polarity = 'anti') AS everywhere,
+  count(*) FILTER (NOT isglob AND hit AND polarity = 'pro') AS pro, coalesce(sum(s) FILTER (NOT isglob AND hit AND polarity = 'pro'), 0) AS pro_s,
+  count(*) FILTER (NOT isglob AND hit AND polarity = 'anti') AS con, coalesce(sum(s) FILTER (NOT isglob AND hit AND polarity = 'anti'), 0) AS anti_s,
+  count(*) FILTER (NOT isglob AND NOT hit AND polarity = 'pro' AND confidence >= 0.7) AS rival, coalesce(sum(s) FILTER (NOT isglob AND NOT hit AND polarity = 'pro' AND confidence >= 0.7), 0) AS rival_s,
+  coalesce(flatten(list(targets) FILTER (NOT isglob AND hit AND polarity = 'pro')), []) AS pt, coalesce(flatten(list(targets) FILTER (NOT isglob AND polarity = 'anti')), []) AS atg,
+  coalesce(list_sort(list_distinct(flatten(list(targets) FILTER (NOT isglob AND NOT hit AND polarity = 'pro' AND confidence >= 0.7)))), []) AS alternatives FROM e GROUP BY doc_id),
+m AS (SELECT d.doc_id, source AS src, lang, subject, sub_subject, raw_confidence AS raw, subject = 'Unclassified' AS unk,
+  coalesce(pro, 0) + CASE WHEN subject = 'Unclassified' THEN coalesce(everywhere, 0) ELSE 0 END AS pro_match, coalesce(con, 0) + CASE WHEN subject = 'Unclassified' THEN 0 ELSE coalesce(everywhere, 0) END AS anti_match,
+  coalesce(rival, 0) AS competing, coalesce(pro_s, 0) AS pro_s, coalesce(anti_s, 0) + CASE WHEN subject = 'Unclassified' THEN 0 ELSE coalesce(everywhere, 0) END AS anti_s, coalesce(rival_s, 0) AS rival_s,
+  coalesce(alternatives, []) AS alternatives, coalesce(len(list_intersect(pt, atg)), 0) > 0 AS overlap FROM d LEFT JOIN a USING (doc_id)),
+n AS (SELECT *, overlap OR (pro_match > 0 AND anti_match > 0) AS rule_conflict FROM m),
+c AS (SELECT *, greatest(0, least(0.99, CASE WHEN unk THEN least(raw, 0.25) ELSE raw + 0.05 * least(pro_s, 3) - 0.12 * least(anti_s, 3) - 0.08 * least(rival_s, 3)
+  - CASE WHEN rule_conflict THEN 0.08 ELSE 0 END - CASE WHEN sub_subject = 'Other' AND pro_s < 1 THEN 0.12 ELSE 0 END END)) AS conf FROM n)"""
+
+
+def folded(spark, sf, weights: dict | None = None) -> DataFrame:
+    return confidence.fold(evidence.scan(labelled(spark, sf)), weights)
+
+
+@query(FOLD + " SELECT doc_id, subject, sub_subject, CAST(pro_match AS BIGINT) AS pro_match, CAST(anti_match AS BIGINT) AS anti_match, CAST(competing AS BIGINT) AS competing, rule_conflict, array_to_string(alternatives, ',') AS alternatives, round(CAST(conf AS DOUBLE), 6) AS confidence FROM c")
+def calibrated_confidence(spark, sf):
+    return folded(spark, sf).select("doc_id", "subject", "sub_subject", *big("pro_match", "anti_match", "competing"), "rule_conflict", F.array_join("alternatives", ",").alias("alternatives"), r6(F.col("confidence"), "confidence"))
+
+
+WEIGHTS = {"source": "gold", "intercept": -0.5, "coefficients": {"pro_match": 0.6, "anti_match": -0.7, "competing": -0.3, "rule_conflict": -0.4, "confidence": 1.5}}
+
+
+@query(FOLD + " SELECT doc_id, round(CASE WHEN unk THEN least(raw, 0.25) ELSE least(0.99, 1 / (1 + exp(-(-0.5 + 0.6 * pro_match - 0.7 * anti_match - 0.3 * competing - 0.4 * CASE WHEN rule_conflict THEN 1 ELSE 0 END + 1.5 * raw)))) END, 6) AS confidence FROM c")
+def learned_confidence(spark, sf):
+    return folded(spark, sf, WEIGHTS).select("doc_id", r6(F.col("confidence"), "confidence"))
+
+
+@query(
+    FOLD
+    + """ SELECT doc_id, concat_ws(' · ', 'raw ' || CAST(CAST(round(raw * 100) AS BIGINT) AS VARCHAR), CASE WHEN unk THEN 'unclassified' END, CASE WHEN pro_match > 0 THEN 'for ' || pro_match END, CASE WHEN anti_match > 0 THEN 'against ' || anti_match END,
+    CASE WHEN competing > 0 AND len(alternatives) > 0 THEN 'rivals: ' || array_to_string(alternatives[1:3], ', ') WHEN competing > 0 THEN 'rivals ' || competing END, CASE WHEN rule_conflict THEN 'conflict' END, CASE WHEN pro_match = 0 AND anti_match = 0 AND competing = 0 THEN 'no evidence' END) AS why FROM c"""
+)
+def rationale_text(spark, sf):
+    full = labels.rationale(*[F.col(c) for c in ("subject", "confidence", "pro_match", "anti_match", "competing", "alternatives", "rule_conflict")])
+    tail = F.regexp_replace(full, r"^confidence \d+\.\d+", "")
+    return folded(spark, sf).select("doc_id", F.concat(F.lit("raw "), F.round(F.col("raw_confidence") * 100).cast("long"), tail).alias("why"))
+
+
+FLAG = "CASE WHEN rule_conflict THEN 'conflict' WHEN unk THEN 'unclassified' WHEN conf < 0.5 THEN 'low_confidence' END"
+
+
+def flagged(spark, sf) -> DataFrame:
+    why = labels.flag(F.col("rule_conflict"), F.lit("conflict"), F.col("subject"), F.col("confidence"))
+    return folded(spark, sf).withColumn("reason", why)
+
+
+@query(FOLD + f" SELECT doc_id, {FLAG} AS reason FROM c")
+def review_flag(spark, sf):
+    return flagged(spark, sf).select("doc_id", "reason")
+
+
+@query(FOLD + f" SELECT src AS source, count(*) AS total, count(*) FILTER ({FLAG} IS NOT NULL) AS flagged FROM c GROUP BY src")
+def needs_review(spark, sf):
+    return flagged(spark, sf).groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.col("reason").isNotNull()).alias("flagged"))
+
+
+@query(FOLD + f" SELECT doc_id, {FLAG} AS reason, round(CAST(conf AS DOUBLE), 6) AS confidence FROM c WHERE {FLAG} IS NOT NULL AND doc_id % 5 <> 0 ORDER BY round(CAST(conf AS DOUBLE), 6), doc_id % 97 DESC, doc_id LIMIT 50")
+def review_queue(spark, sf):
+    log = flagged(spark, sf).where("reason IS NOT NULL").select("doc_id", "reason", r6(F.col("confidence"), "confidence"), (F.col("doc_id") % 97).alias("created_at"), (F.col("doc_id") % 5 == 0).alias("resolved"))
+    return review.queue(log, 50, tie="doc_id").select("doc_id", "reason", "confidence")
+
+
+@query(
+    """WITH l AS (SELECT doc_id, coalesce(lang, '') AS sub, CASE WHEN doc_id % 7 = 0 THEN 'Physics 2 ' WHEN doc_id % 7 = 1 THEN 'basic physics' WHEN doc_id % 7 = 2 THEN '' WHEN doc_id % 7 = 3 THEN 'Fran' ELSE 'xyz' END AS sub2,
+      CASE WHEN doc_id % 4 = 0 THEN 'Science' WHEN doc_id % 4 = 1 THEN 'deutschland' WHEN doc_id % 4 = 2 THEN 'GRAMMAR' ELSE 'none' END AS subj FROM documents),
+    k AS (SELECT doc_id, trim(sub2) AS b, trim(subj) AS a FROM l)
+    SELECT doc_id, CASE WHEN lower(replace(b, ' ', '')) = 'physics2' THEN 'Science' WHEN lower(a) = 'grammar' THEN 'German' WHEN contains(b, 'physics') THEN 'Science' WHEN contains(lower(a), 'deutsch') THEN 'German' WHEN contains(lower(a), 'scien') THEN 'Science' ELSE 'Unclassified' END AS subject,
+      CASE WHEN lower(replace(b, ' ', '')) = 'physics2' THEN 'Physics 2' WHEN lower(a) = 'grammar' THEN 'Grammar' WHEN contains(b, 'physics') THEN 'Physics 1' ELSE 'Other' END AS sub_subject,
+      CASE WHEN doc_id % 3 = 0 THEN (doc_id % 100) / 100.0 WHEN doc_id % 3 = 1 AND doc_id % 100 > 10 THEN (doc_id % 100) / 100.0 WHEN doc_id % 3 = 1 AND doc_id % 100 > 1 THEN (doc_id % 100) / 10.0 WHEN doc_id % 3 = 1 THEN doc_id % 100 ELSE 0 END AS confidence,
+      CAST(CASE WHEN doc_id % 3 = 2 THEN 5 ELSE greatest(1, least(10, round_even((doc_id % 30) / 2.0, 0))) END AS BIGINT) AS score FROM k"""
+)
+def reconcile_labels(spark, sf):
+    d = F.col("doc_id")
+    sub = F.when(d % 7 == 0, "Physics 2 ").when(d % 7 == 1, "basic physics").when(d % 7 == 2, "").when(d % 7 == 3, "Fran").otherwise("xyz")
+    subject = F.when(d % 4 == 0, "Science").when(d % 4 == 1, "deutschland").when(d % 4 == 2, "GRAMMAR").otherwise("none")
+    said = F.when(d % 3 == 0, ((d % 100) / 100).cast("string")).when(d % 3 == 1, (d % 100).cast("string")).otherwise("sure")
+    points = F.when(d % 3 == 2, "many").otherwise(((d % 30) / 2).cast("string"))
+    return table(spark, sf, "documents").select("doc_id", labels.reconcile(subject, sub).alias("l"), scalars.norm_confidence(said).alias("confidence"), scalars.clamp_score(points).cast("long").alias("score")).select("doc_id", "l.*", "confidence", "score")
+
+
+@query(
+    FOLD
+    + """, f AS (SELECT doc_id, max(source = 'filename') AS named, max(keyword = 'the' OR keyword = 'with' OR keyword = 'that') AS eng FROM e GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN unk AND coalesce(eng, false) THEN 'English' WHEN unk THEN subject WHEN coalesce(named, false) THEN 'English' WHEN doc_id % 11 = 0 THEN 'Mathematics' ELSE subject END AS subject,
+      CASE WHEN unk AND coalesce(eng, false) THEN 'Other' WHEN unk THEN sub_subject WHEN coalesce(named, false) THEN 'Reading' WHEN doc_id % 11 = 0 THEN 'Calculus' ELSE sub_subject END AS sub_subject FROM c LEFT JOIN f USING (doc_id)"""
+)
+def classify_priors(spark, sf):
+    rows = evidence.scan(labelled(spark, sf)).withColumn("label", F.struct("subject", "sub_subject")).withColumn("cover", F.when(F.col("doc_id") % 11 == 0, "Calculus"))
+    return rows.select("doc_id", labels.priors(F.col("label"), F.col("evidence"), F.col("cover")).alias("l")).select("doc_id", "l.*")
+
+
+# --- review log -----------------------------------------------------------------------------------------------------
+
+
+def snapshot(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """A log of the labelled documents, some resolved, and a batch of the flagged ones."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    known = table(spark, sf, "labels").select("doc_id", "quality")
+    key = [F.col("source"), (F.col("doc_id") % 10).alias("page"), F.col("doc_id").alias("num")]
+    log = d.join(known, "doc_id").select(*key, F.lit("old").alias("reason"), F.lit(0.5).alias("confidence"), (F.col("quality") == 1).alias("resolved"), F.when(F.col("quality") == 1, "Reading").otherwise("").alias("gold_subject"))
+    batch = d.where("doc_id % 2 = 0").select(*key, F.lit("new").alias("reason"), (F.col("n_chars") % 50 / 100).alias("confidence"))
+    return log, batch
+
+
+SNAP = """WITH log AS (SELECT source, doc_id % 10 AS page, doc_id AS num, 'old' AS reason, 0.5 AS confidence, quality = 1 AS resolved, CASE WHEN quality = 1 THEN 'Reading' ELSE '' END AS gold_subject FROM documents JOIN labels USING (doc_id)),
+batch AS (SELECT source, doc_id % 10 AS page, doc_id AS num, 'new' AS reason, n_chars % 50 / 100 AS confidence FROM documents WHERE doc_id % 2 = 0)"""
+UPSERT = """u AS (SELECT coalesce(b.source, l.source) AS source, coalesce(b.page, l.page) AS page, coalesce(b.num, l.num) AS num, coalesce(b.reason, l.reason) AS reason, CAST(coalesce(b.confidence, l.confidence) AS DOUBLE) AS confidence, coalesce(resolved, false) AS resolved, coalesce(gold_subject, '') AS gold_subject FROM log l FULL JOIN batch b USING (source, page, num))"""
+
+
+@query(f"{SNAP}, {UPSERT} SELECT * FROM u")
+def review_upsert(spark, sf):
+    return review.upsert(*snapshot(spark, sf))
+
+
+@query(f"{SNAP}, {UPSERT} SELECT source, page, num, reason, confidence, resolved OR num % 3 = 0 AS resolved, CASE WHEN num % 3 = 0 THEN 'Grammar' ELSE gold_subject END AS gold_subject FROM u")
+def review_resolve(spark, sf):
+    log = review.upsert(*snapshot(spark, sf))
+    answers = table(spark, sf, "documents").where("doc_id % 3 = 0").select("source", (F.col("doc_id") % 10).alias("page"), F.col("doc_id").alias("num"), F.lit("Grammar").alias("gold"))
+    return review.resolve(log, answers)
+
+
+@query(f"{SNAP}, {UPSERT} SELECT reason, count(*) AS total, count(*) FILTER (NOT resolved) AS pending FROM u GROUP BY reason")
+def review_stats(spark, sf):
+    return review.stats(review.upsert(*snapshot(spark, sf)))
+
+
+@query(f"{SNAP}, {UPSERT} SELECT num, reason FROM u WHERE NOT resolved")
+def clear_resolved(spark, sf):
+    return review.clear_resolved(review.upsert(*snapshot(spark, sf))).select("num", "reason")
+
+
+ITEMS = "i AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'good' ELSE '' END AS gold, CASE WHEN toxic = 1 THEN 'toxic' WHEN doc_id % 2 = 0 THEN 'fine' ELSE '' END AS pred FROM labels)"
+AUTO = f"{ITEMS}, a AS (SELECT *, coalesce(nullif(gold, ''), nullif(pred, '')) AS final FROM i)"
+
+
+def review_items(spark, sf) -> DataFrame:
+    rows = table(spark, sf, "labels")
+    return rows.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "good").otherwise("").alias("gold"), F.when(F.col("toxic") == 1, "toxic").when(F.col("doc_id") % 2 == 0, "fine").otherwise("").alias("pred"))
+
+
+@query(f"WITH {AUTO} SELECT id, gold, pred, final, CASE WHEN final IS NULL THEN 'pending' ELSE 'confirmed' END AS status, CASE WHEN gold <> '' THEN 'hint' WHEN pred <> '' THEN 'auto' ELSE '' END AS note FROM a")
+def auto_review(spark, sf):
+    return review.auto_review(review_items(spark, sf))
+
+
+@query(f"WITH {AUTO} SELECT CASE WHEN final IS NULL THEN 'pending' ELSE 'confirmed' END AS status, count(*) AS n, count(*) FILTER (gold <> '' AND gold = pred) AS agree, round(avg(CASE WHEN gold <> '' THEN CASE WHEN pred = gold THEN 100.0 ELSE 0 END END), 6) AS accuracy FROM a GROUP BY 1")
+def review_db_stats(spark, sf):
+    given = F.col("gold") != ""
+    same = given & (F.col("gold") == F.col("pred"))
+    return review.auto_review(review_items(spark, sf)).groupBy("status").agg(F.count("*").alias("n"), F.count_if(same).alias("agree"), r6(F.avg(F.when(given, F.when(same, 100.0).otherwise(0.0))), "accuracy"))
+
+
+@query("WITH n AS (SELECT page_id, concat(split_part(url, '/', 3), CASE WHEN page_id % 4 = 0 THEN '' ELSE concat('_p', page_id % 10, '_q', page_id) END, '.png') AS name FROM pages), k AS (SELECT page_id, regexp_extract(name, '^(.*)_p(\\d+)_q(\\d+)', 1) AS stem, CAST(nullif(regexp_extract(name, '^(.*)_p(\\d+)_q(\\d+)', 3), '') AS INT) AS q FROM n) SELECT page_id, stem, CAST(q AS BIGINT) AS q, lang FROM k JOIN documents d ON d.doc_id = k.q WHERE stem <> ''")
+def link_pred(spark, sf):
+    name = F.concat(F.split("url", "/")[2], F.when(F.col("page_id") % 4 == 0, "").otherwise(F.concat(F.lit("_p"), F.col("page_id") % 10, F.lit("_q"), "page_id")), F.lit(".png"))
+    stem, _, q = review.file_parts(F.col("name"))
+    named = table(spark, sf, "pages").select("page_id", name.alias("name")).select("page_id", stem.alias("stem"), q.cast("long").alias("q")).where("stem IS NOT NULL")
+    return named.join(table(spark, sf, "documents").select(F.col("doc_id").alias("q"), "lang"), "q").select("page_id", "stem", "q", "lang")
+
+
+FEATURES = "pro_match, anti_match, competing, rule_conflict"
+
+
+@query(FOLD + ", t AS (SELECT c.*, quality FROM c JOIN labels USING (doc_id) WHERE NOT unk) SELECT doc_id, CAST(pro_match AS BIGINT) AS pro_match, CAST(anti_match AS BIGINT) AS anti_match, CAST(competing AS BIGINT) AS competing, CAST(rule_conflict AS BIGINT) AS rule_conflict, raw AS confidence, CAST(quality AS BIGINT) AS label FROM t")
+def train_features(spark, sf):
+    rows = folded(spark, sf).where("subject <> 'Unclassified'").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    return rows.select("doc_id", *big("pro_match", "anti_match", "competing", "rule_conflict"), F.col("raw_confidence").alias("confidence"), F.col("quality").cast("long").alias("label"))
+
+
+@query()
+def train_calibration(spark, sf):
+    """Coefficients of the fitted calibration, one row each."""
+    names = ["pro_match", "anti_match", "competing", "rule_conflict", "confidence"]
+    w = evaluate.fit_calibration(train_features(spark, sf), names) or {"coefficients": {}, "intercept": 0.0}
+    return spark.createDataFrame([*w["coefficients"].items(), ("intercept", w["intercept"])], "name string, value double")
+
+
+# --- evaluation -----------------------------------------------------------------------------------------------------
+
+EVAL = f"e AS (SELECT source AS file, raw_confidence AS confidence, subject AS pred_subject, sub_subject AS pred_sub, CASE WHEN quality = 1 THEN subject ELSE 'German' END AS gold_subject, CASE WHEN toxic = 1 THEN 'Reading' WHEN doc_id % 2 = 0 THEN sub_subject END AS gold_sub FROM (SELECT *, {LABEL_SQL} FROM documents) JOIN labels USING (doc_id))"
+SCORE = """count(*) AS n, round(avg(CASE WHEN gold_subject = pred_subject THEN 1.0 ELSE 0 END), 6) AS subject_acc, count(*) FILTER (coalesce(gold_sub, '') <> '') AS sub_n,
+ round(avg(CASE WHEN coalesce(gold_sub, '') <> '' THEN CASE WHEN gold_subject = pred_subject AND gold_sub = pred_sub THEN 1.0 ELSE 0 END END), 6) AS sub_acc,
+ round(avg(confidence) FILTER (gold_subject = pred_subject), 6) AS conf_right, round(avg(confidence) FILTER (gold_subject <> pred_subject), 6) AS conf_wrong"""
+
+
+def eval_rows(spark, sf) -> DataFrame:
+    rows = labelled(spark, sf).join(table(spark, sf, "labels"), "doc_id")
+    gold = F.when(F.col("quality") == 1, F.col("subject")).otherwise("German")
+    gold_sub = F.when(F.col("toxic") == 1, "Reading").when(F.col("doc_id") % 2 == 0, F.col("sub_subject"))
+    return rows.select(F.col("source").alias("file"), F.col("raw_confidence").alias("confidence"), F.col("subject").alias("pred_subject"), F.col("sub_subject").alias("pred_sub"), gold.alias("gold_subject"), gold_sub.alias("gold_sub"))
+
+
+@query(f"WITH {EVAL} SELECT {SCORE} FROM e")
+def eval_score(spark, sf):
+    return evaluate.score(eval_rows(spark, sf))
+
+
+@query(f"WITH {EVAL} SELECT file, {SCORE} FROM e GROUP BY file")
+def eval_per_file(spark, sf):
+    return evaluate.score(eval_rows(spark, sf), ["file"])
+
+
+@query(f"WITH {EVAL} SELECT file, {SCORE} FROM e GROUP BY ROLLUP (file)")
+def eval_rollup(spark, sf):
+    return evaluate.score(eval_rows(spark, sf), ["file"], rollup=True)
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE turn BETWEEN 1 AND 4 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2")
+def page_filter_cap(spark, sf):
+    rows = table(spark, sf, "conversations").where(F.col("turn").between(1, 4))
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("r <= 2").select("conv_id", "turn", "role")
+
+
+@query(f"{SNAP}, {UPSERT} SELECT num, reason, true AS resolved, lang AS gold_subject FROM u JOIN (SELECT doc_id AS num, lang FROM documents) USING (num) WHERE num % 4 = 0")
+def seed_gold(spark, sf):
+    answers = table(spark, sf, "documents").where("doc_id % 4 = 0").select("source", (F.col("doc_id") % 10).alias("page"), F.col("doc_id").alias("num"), F.col("lang").alias("gold"))
+    return review.resolve(review.upsert(*snapshot(spark, sf)), answers).where("num % 4 = 0").select("num", "reason", "resolved", "gold_subject")
+
+
+_BAG = """regexp_replace(coalesce({0}, ''), '\\s+', '', 'g')"""
+
+
+@query(
+    f"""WITH p AS (SELECT item_id, b.text AS a, d.text AS t FROM benchmark b JOIN documents d ON d.doc_id = b.item_id), x AS (SELECT item_id, unnest(string_split({_BAG.format("a")}, '')) AS ch FROM p), y AS (SELECT item_id, unnest(string_split({_BAG.format("t")}, '')) AS ch FROM p),
+    n AS (SELECT item_id, ch, count(*) AS n FROM x WHERE ch <> '' GROUP BY ALL), m AS (SELECT item_id, ch, count(*) AS m FROM y WHERE ch <> '' GROUP BY ALL),
+    s AS (SELECT item_id, CAST(sum(least(coalesce(n, 0), coalesce(m, 0))) AS BIGINT) AS common, sum(coalesce(n, 0)) AS a, sum(coalesce(m, 0)) AS b FROM n FULL JOIN m USING (item_id, ch) GROUP BY item_id)
+    SELECT item_id, common, round(common / nullif(a, 0), 6) AS recall, round(common / nullif(b, 0), 6) AS precision, round(2 * common / nullif(a + b, 0), 6) AS f1 FROM s"""
+)
+def bag_recall(spark, sf):
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("a"))
+    return evaluate.bag(items.join(table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("b")), "item_id"), "item_id", "a", "b")
+
+
+@query()
+def matching_ratio(spark, sf):
+    pairs = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("a"), F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("b"))
+    return pairs.select("conv_id", "turn", r6(evaluate.matching_ratio("a", "b"), "ratio"))
+
+
+# --- ranges and layout ----------------------------------------------------------------------------------------------
+
+RANGES = "rg AS (SELECT DISTINCT l_orderkey AS doc, 1 + l_partkey % 3 AS s, 3 + l_partkey % 3 AS e, l_suppkey % 3 AS rpage FROM lineitem WHERE l_linenumber = 1), it AS (SELECT l_orderkey AS doc, CAST(l_linenumber AS BIGINT) AS num, l_partkey % 5 AS page FROM lineitem)"
+
+
+def range_inputs(spark, sf) -> tuple[DataFrame, DataFrame]:
+    li = table(spark, sf, "lineitem")
+    rg = li.where("l_linenumber = 1").select(F.col("l_orderkey").alias("doc"), (1 + F.col("l_partkey") % 3).alias("s"), (3 + F.col("l_partkey") % 3).alias("e"), (F.col("l_suppkey") % 3).alias("rpage")).distinct()
+    return rg, li.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("num"), (F.col("l_partkey") % 5).alias("page"))
+
+
+@query(f"WITH {RANGES}, h AS (SELECT it.*, s, e, rpage, count(*) OVER (PARTITION BY doc, s, e, rpage) AS n FROM it JOIN rg USING (doc) WHERE num BETWEEN s AND e AND page BETWEEN rpage AND rpage + 2) SELECT doc, num, page, s, e, rpage FROM h WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY doc, page, num ORDER BY rpage DESC, s DESC, e DESC) = 1")
+def set_compose(spark, sf):
+    return ranges.members(*range_inputs(spark, sf)).select("doc", "num", "page", "s", "e", "rpage")
+
+
+@query(f"WITH {RANGES}, w AS (SELECT doc, s, e, rpage, unnest(range(s, e + 1)) AS num FROM rg) SELECT doc, s, e, rpage, num FROM w WHERE NOT EXISTS (SELECT 1 FROM it WHERE it.doc = w.doc AND it.num = w.num AND it.page BETWEEN rpage AND rpage + 2)")
+def set_recover(spark, sf):
+    return ranges.missing(*range_inputs(spark, sf)).select("doc", "s", "e", "rpage", "num")
+
+
+ISL = "x AS (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY value) AS p FROM events), g AS (SELECT *, sum(CASE WHEN value - p > {0} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY value ROWS UNBOUNDED PRECEDING) AS island FROM x), c AS (SELECT user_id, CAST(island AS BIGINT) AS island, min(value) AS low, max(value) AS high, count(*) AS n FROM g GROUP BY ALL)"
+
+
+@query(f"WITH {ISL.format(15)} SELECT user_id, island, n, low, CAST(CASE WHEN island = 0 THEN 0 ELSE low - 10 END AS DOUBLE) AS \"left\", CAST(coalesce((high + lead(low) OVER w) / 2, 100) AS DOUBLE) AS \"right\" FROM c WINDOW w AS (PARTITION BY user_id ORDER BY island)")
+def column_islands(spark, sf):
+    return layout.columns(table(spark, sf, "events").select("user_id", "value"), ["user_id"], "value", F.lit(100.0))
+
+
+@query(f"WITH {ISL.format(15)}, t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, low) <= 2) SELECT user_id, n, low, row_number() OVER (PARTITION BY user_id ORDER BY low) - 1 AS col FROM t")
+def column_top2(spark, sf):
+    cols = layout.columns(table(spark, sf, "events").select("user_id", "value"), ["user_id"], "value", F.lit(100.0))
+    return layout.top_two(cols, ["user_id"]).select("user_id", "n", "low", F.col("col").cast("long").alias("col"))
+
+
+def sequences(spark, sf) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    return li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 20).alias("v")))), lambda x: x.v).alias("seq"))
+
+
+SEQ = "s AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 20) AS i, l_partkey % 20 AS v FROM lineitem)"
+
+
+@query(
+    f"""WITH RECURSIVE {SEQ}, r AS (SELECT l_orderkey, i, v, 1 AS n FROM s UNION SELECT s.l_orderkey, s.i, s.v, r.n + 1 FROM r JOIN s ON s.l_orderkey = r.l_orderkey AND s.i > r.i AND s.v > r.v)
+    SELECT l_orderkey, CAST(max(n) AS BIGINT) AS lis FROM r GROUP BY l_orderkey"""
+)
+def lis_len(spark, sf):
+    return sequences(spark, sf).select("l_orderkey", F.size(layout.lis(F.col("seq"))).cast("long").alias("lis"))
+
+
+@query(
+    f"""WITH RECURSIVE {SEQ}, r AS (SELECT l_orderkey, i, v, 1 AS n FROM s UNION SELECT s.l_orderkey, s.i, s.v, r.n + 1 FROM r JOIN s ON s.l_orderkey = r.l_orderkey AND s.i > r.i AND s.v = r.v + 1)
+    SELECT l_orderkey, CAST(max(n) AS BIGINT) AS chain FROM r GROUP BY l_orderkey"""
+)
+def succ_chain(spark, sf):
+    return sequences(spark, sf).select("l_orderkey", layout.chain(F.col("seq")).cast("long").alias("chain"))
+
+
+@query()
+def column_scored(spark, sf):
+    """Places kept by the longest increasing run of each group, and its chain."""
+    return sequences(spark, sf).select("l_orderkey", F.array_join(layout.lis(F.col("seq")), ",").alias("kept"), layout.chain(F.col("seq")).cast("long").alias("chain"))
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey AS page, l_quantity AS x, l_extendedprice AS y, l_linenumber AS num FROM lineitem), x AS (SELECT *, lag(x) OVER (PARTITION BY page ORDER BY x, num) AS p FROM b),
+    g AS (SELECT *, sum(CASE WHEN x - p > 8 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY x, num ROWS UNBOUNDED PRECEDING) AS island FROM x),
+    v AS (SELECT *, num - lag(num) OVER (PARTITION BY page, island ORDER BY y) AS d FROM g), z AS (SELECT *, bool_and(d IS NULL OR d BETWEEN 1 AND 3) OVER w AS ok, count(*) OVER w AS n FROM v WINDOW w AS (PARTITION BY page, island))
+    SELECT page, num, x, y FROM z WHERE ok AND n >= 2"""
+)
+def bare_number_validate(spark, sf):
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_quantity") + F.col("l_linenumber") * 1e-9).alias("x"), F.col("l_extendedprice").alias("y"), F.col("l_linenumber").alias("num"))
+    return layout.valid_islands(li, ["page"], "x", "y", "num", F.lit(8.0000001)).select("page", "num", F.round("x").alias("x"), "y")
+
+
+TWO = "t AS (SELECT l_orderkey AS page, l_partkey % 2 AS col, l_extendedprice AS y, CAST(l_linenumber AS BIGINT) AS num FROM lineitem)"
+
+
+def two_columns(spark, sf) -> DataFrame:
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") % 2).alias("col"), F.col("l_extendedprice").alias("y"), F.col("l_linenumber").cast("long").alias("num"))
+
+
+@query(f"WITH {TWO}, l AS (SELECT *, coalesce(col = 1 AND num <= max(num) FILTER (col = 0) OVER w, false) AS late, count(*) FILTER (col = 1) OVER w AS r FROM t WINDOW w AS (PARTITION BY page)), k AS (SELECT *, count(*) FILTER (late) OVER (PARTITION BY page) AS n FROM l) SELECT page, col, y, num FROM k WHERE NOT late OR n = r")
+def straggler_drop(spark, sf):
+    return layout.drop_stragglers(two_columns(spark, sf), ["page"], "col", "num").select("page", "col", "y", "num")
+
+
+@query(f"WITH {TWO}, f AS (SELECT *, first_value(num) OVER (PARTITION BY page, col ORDER BY y) AS f, row_number() OVER (PARTITION BY page ORDER BY col, y) AS q FROM t), z AS (SELECT *, max(f) FILTER (col = 0) OVER w AS f0, max(f) FILTER (col = 1) OVER w AS f1, count(*) FILTER (col = 0) OVER w AS n0 FROM f WINDOW w AS (PARTITION BY page)) SELECT page, col, y, num, CAST(CASE WHEN f0 + n0 = f1 THEN f0 + q - 1 ELSE num END AS BIGINT) AS repaired FROM z")
+def seq_repair(spark, sf):
+    return layout.repair_sequence(two_columns(spark, sf), ["page"], "col", "y", "num").select("page", "col", "y", "num", F.col("repaired").cast("long").alias("repaired"))
+
+
+@query(f"WITH {TWO} SELECT page, col, num, y AS y0, coalesce(lead(y) OVER (PARTITION BY page, col ORDER BY y), 1e6) AS y1 FROM t")
+def box_extents(spark, sf):
+    return layout.extents(two_columns(spark, sf), ["page", "col"], "y", F.lit(1e6)).select("page", "col", "num", F.col("y").alias("y0"), "y1")
+
+
+@query("WITH x AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), g AS (SELECT *, sum(CASE WHEN event_type IS NOT DISTINCT FROM p THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM x) SELECT user_id, CAST(run AS BIGINT) AS run, event_type, count(*) AS n FROM g GROUP BY ALL")
+def runs(spark, sf):
+    return layout.runs(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "event_type").groupBy("user_id", "run", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events")
+def dup_ordinal(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")).cast("long").alias("k"))
+
+
+@query("WITH n AS (SELECT doc_id, source AS page, CASE WHEN doc_id % 7 = 0 THEN 'p' ELSE CAST(doc_id % 100 AS VARCHAR) END AS num FROM documents) SELECT doc_id, row_number() OVER (PARTITION BY page ORDER BY coalesce(try_cast(num AS INT), 9999), num, doc_id) AS place FROM n")
+def sort_key(spark, sf):
+    num = F.when(F.col("doc_id") % 7 == 0, "p").otherwise((F.col("doc_id") % 100).cast("string"))
+    w = Window.partitionBy("source").orderBy(F.coalesce(F.col("num").try_cast("int"), F.lit(9999)), "num", "doc_id")
+    return table(spark, sf, "documents").select("doc_id", "source", num.alias("num")).select("doc_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query()
+def spacing_fold(spark, sf):
+    seq = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("seq"))
+    return seq.select("user_id", F.size(layout.spaced(F.col("seq"), 18.0)).cast("long").alias("kept"))
+
+
+@query("WITH t AS (SELECT l_orderkey AS page, l_suppkey % 4 AS num, l_extendedprice / 100 AS y, l_returnflag = 'A' AS body FROM lineitem), p AS (SELECT *, max(body) OVER (PARTITION BY page) AS bodied FROM t) SELECT page, num, CAST(round_even(y / 20, 0) AS BIGINT) AS band, min(y) AS y FROM p WHERE body OR NOT bodied GROUP BY ALL")
+def dedup_starts(spark, sf):
+    t = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_suppkey") % 4).alias("num"), (F.col("l_extendedprice") / 100).alias("y"), (F.col("l_returnflag") == "A").alias("body"))
+    return layout.dedup_starts(t, ["page"], "num", "y", "body")
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CAST(event_type = 'view' AS INT), round_even(value / 12, 0), event_id) AS ord FROM events")
+def reading_order(spark, sf):
+    rows = table(spark, sf, "events").withColumn("col", (F.col("event_type") == "view").cast("int"))
+    return layout.reading_order(rows, ["user_id"], "col", "value", "event_id").select("event_id", F.col("ord").cast("long").alias("ord"))
+
+
+@query("WITH b AS (SELECT o_custkey % 50 AS page, o_totalprice % 100 AS x1, o_totalprice % 100 + 5 AS x2, o_orderkey % 100 AS y1, o_orderkey % 100 + 5 AS y2 FROM orders WHERE o_orderkey % 40 = 0) SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.page = e.user_id % 50 AND e.value BETWEEN x1 AND x2 AND e.event_id % 100 BETWEEN y1 AND y2)")
+def point_in_rect_anti(spark, sf):
+    o = table(spark, sf, "orders").where("o_orderkey % 40 = 0")
+    boxes = o.select((F.col("o_custkey") % 50).alias("page"), (F.col("o_totalprice") % 100).alias("x1"), (F.col("o_totalprice") % 100 + 5).alias("x2"), (F.col("o_orderkey") % 100).alias("y1"), (F.col("o_orderkey") % 100 + 5).alias("y2"))
+    points = table(spark, sf, "events").select("event_id", (F.col("user_id") % 50).alias("page"), F.col("value").alias("x"), (F.col("event_id") % 100).alias("y"))
+    return ranges.outside(points, boxes, ["page"]).select("event_id")
+
+
+@query("SELECT event_id, (SELECT min(m.ts) FROM events m WHERE m.user_id = e.user_id AND m.event_type = 'purchase' AND m.ts > e.ts) AS next FROM events e WHERE event_type = 'view'")
+def asof_next(spark, sf):
+    e = table(spark, sf, "events")
+    views, bought = e.where("event_type = 'view'").select("user_id", "event_id", "ts"), e.where("event_type = 'purchase'").select("user_id", "ts")
+    return ranges.asof_next(views, bought, "user_id", "ts", "ts").select("event_id", "next")
+
+
+@query("SELECT event_id, CASE WHEN value < 20 THEN 0 WHEN value < 45 THEN 1 WHEN value < 70 THEN -1 ELSE 3 END AS col FROM events")
+def interval_assign(spark, sf):
+    bounds = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k).alias("k")) for a, b, k in ((-1e9, 20.0, 0), (20.0, 45.0, 1), (70.0, 1e9, 3))])
+    hit = F.get(F.filter(bounds, lambda x: (F.col("value") >= x.a) & (F.col("value") < x.b)), F.lit(0))
+    return table(spark, sf, "events").select("event_id", F.coalesce(hit.k, F.lit(-1)).alias("col"))
+
+
+# --- cache, retrieval, language model, JSON -------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256('\\x6D\\x00'::BLOB || unhex(sha256(text)) || '\\x00'::BLOB || encode(lang)) AS key, substr(sha256(text), 1, 16) AS image_id FROM documents")
+def cache_key(spark, sf):
+    image = F.col("text").cast("binary")
+    return table(spark, sf, "documents").select("doc_id", scalars.cache_key(F.lit("m"), image, F.col("lang")).alias("key"), scalars.image_id(image).alias("image_id"))
+
+
+@query("SELECT lang, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM (SELECT lang, sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) AS hit FROM documents) GROUP BY lang")
+def cache_split(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("key"))
+    cache = d.where("doc_id % 3 = 0").select("key").distinct()
+    found = d.join(cache.withColumn("hit", F.lit(True)), "key", "left")
+    return found.groupBy("lang").agg(F.count_if(F.col("hit").isNotNull()).alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"))
+
+
+@query("WITH c AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER w AS s, row_number() OVER w AS n FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id % 1000 DESC, doc_id DESC ROWS UNBOUNDED PRECEDING)) SELECT source, doc_id FROM c WHERE s <= 20000 OR n = 1")
+def cache_evict(spark, sf):
+    d = table(spark, sf, "documents").select("source", F.col("doc_id").alias("key"), F.col("n_chars").alias("nbytes"), (F.col("doc_id") % 1000).alias("ts"))
+    return review.evict_by(d, ["source"], 20_000).select("source", F.col("key").alias("doc_id"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0 AND lang = 'en' AND contains(lower(source), 'src1') ORDER BY doc_id LIMIT 20")
+def retrieval(spark, sf):
+    items = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, "confirmed").otherwise("pending").alias("status"), F.col("lang").alias("subject"), F.col("source").alias("unit"))
+    return web.similar(items, "en", "SRC1").select(F.col("id").alias("doc_id"), F.col("unit").alias("source"))
+
+
+@query("WITH t AS (SELECT lang, unnest([concat('idea:', source), concat('way:', doc_id % 7), source]) AS t FROM documents) SELECT lang, array_to_string(list_sort(list(DISTINCT substr(t, 6)) FILTER (starts_with(t, 'idea:')))[1:5], ',') AS idea, array_to_string(list_sort(list(DISTINCT substr(t, 5)) FILTER (starts_with(t, 'way:')))[1:3], ',') AS way FROM t GROUP BY lang")
+def tag_sets(spark, sf):
+    note = F.concat(F.lit("idea:"), "source", F.lit(", way:"), F.col("doc_id") % 7, F.lit(","), "source")
+    out = web.tags(table(spark, sf, "documents").select("lang", note.alias("note")), ["lang"], "note", {"idea:": 5, "way:": 3})
+    return out.select("lang", F.array_join("idea", ",").alias("idea"), F.array_join("way", ",").alias("way"))
+
+
+@query("WITH b AS (SELECT item_id, text, encode(text) AS e FROM benchmark), h AS (SELECT item_id, hex(e) AS h, octet_length(e) AS n FROM b), p AS (SELECT item_id, h, unnest(range(4, n)) AS pos FROM h WHERE n > 4) SELECT item_id, pos, lower(substr(h, CAST(pos * 2 - 7 AS BIGINT), 8)) AS ctx, lower(substr(h, CAST(pos * 2 + 1 AS BIGINT), 2)) AS y FROM p")
+def byte_windows(spark, sf):
+    w = evaluate.byte_windows(table(spark, sf, "benchmark"), "item_id", "text", 4)
+    two = lambda x: F.lpad(F.lower(F.hex(x)), 2, "0")
+    return w.select("item_id", F.col("pos").cast("long").alias("pos"), F.array_join(F.transform("ctx", two), "").alias("ctx"), two(F.col("y")).alias("y"))
+
+
+@query(
+    """WITH b AS (SELECT item_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM benchmark), p AS (SELECT item_id, h, unnest(range(1, n)) AS pos FROM b WHERE n > 1),
+    w AS (SELECT substr(h, CAST(pos * 2 - 1 AS BIGINT), 2) AS c, substr(h, CAST(pos * 2 + 1 AS BIGINT), 2) AS y, item_id % 2 AS held FROM p), n2 AS (SELECT c, y, count(*) AS n2 FROM w WHERE held = 0 GROUP BY ALL), n1 AS (SELECT c, count(*) AS n1 FROM w WHERE held = 0 GROUP BY ALL)
+    SELECT round(avg(-ln((coalesce(n2, 0) + 1) / (coalesce(n1, 0) + 256))) / ln(2), 6) AS bits_per_byte, count(*) AS n FROM w LEFT JOIN n2 USING (c, y) LEFT JOIN n1 USING (c) WHERE held = 1"""
+)
+def bits_per_byte(spark, sf):
+    w = evaluate.byte_windows(table(spark, sf, "benchmark"), "item_id", "text", 1).select(F.get("ctx", F.lit(0)).alias("c"), "y", (F.col("item_id") % 2).alias("held"))
+    seen = w.where("held = 0")
+    n2, n1 = seen.groupBy("c", "y").agg(F.count("*").alias("n2")), seen.groupBy("c").agg(F.count("*").alias("n1"))
+    p = (F.coalesce("n2", F.lit(0)) + 1) / (F.coalesce("n1", F.lit(0)) + 256)
+    return w.where("held = 1").join(n2, ["c", "y"], "left").join(n1, "c", "left").agg(r6(F.avg(-F.log(p)) / F.log(F.lit(2.0)), "bits_per_byte"), F.count("*").alias("n"))
+
+
+@query("SELECT event_id, best, best IS NULL OR value < best AS kept FROM (SELECT event_id, value, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events)")
+def best_so_far(spark, sf):
+    return evaluate.best_so_far(table(spark, sf, "events"), ["user_id"], "event_id", "value").select("event_id", "best", "kept")
+
+
+@query("SELECT event_id, 'ok' AS status, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_repair(spark, sf):
+    broken = F.concat(F.lit("reply:\n```json\n"), F.regexp_replace("props", r"\}$", ", /* end */ }"), F.lit("\n```"))
+    return table(spark, sf, "events").select("event_id", jsonfix.lenient(broken).alias("j")).select("event_id", "j.status", F.get_json_object("j.value", "$.k").cast("long").alias("k"))
+
+
+# --- streams --------------------------------------------------------------------------------------------------------
+
+
+def _streamed(spark, sf, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The result of a streaming query over the events file, read to its end; state and output in the shared folder."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    root = f"{base}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    out = make(stream)
+    out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE value >= 50")
+def stream_watch(spark, sf):
+    return _streamed(spark, sf, lambda s: s.where("value >= 50").select("event_id", "user_id", "event_type"))
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf):
+    """An extension: tumbling windows of a day, the same plan as for a stream."""
+    return streaming.windowed(table(spark, sf, "events"), "ts", ["event_type"], "1 day", "1 hour").select("event_type", F.col("window.start").alias("day"), "n", F.round("total", 4).alias("total"))
