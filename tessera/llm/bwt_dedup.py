@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, documents, mix, pieces, powers, utf8, window_min, written
 
-WINDOW, STEP, ANCHOR = 200, 8, 16
-HOT = 2000
+WINDOW, STEP, ANCHOR = 200, 8, 32
+HOT = 8192
 #: Bytes of contexts merged at once, and of text handled at once.
-BLOCK, CHUNK = 2 << 20, 1 << 20
+BLOCK, CHUNK = 1 << 20, 1 << 20
 FILTER_BITS = 25
 _PLACE = 31
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -44,7 +44,9 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     if n < WINDOW:
         return {k: np.zeros(0, np.int64) for k in names}
     words = np.ndarray((n - 7,), "<u8", np.ascontiguousarray(data), 0, (1,))
-    h = mix(words[: n - ANCHOR + 1] * U64(0x9E3779B97F4A7C15) ^ mix(words[ANCHOR - 8 :] + U64(1)))
+    h = np.zeros(n - ANCHOR + 1, np.uint64)
+    for k in range(0, ANCHOR, 8):
+        h = mix(h + words[k : k + len(h)] * U64(0x9E3779B97F4A7C15) + U64(k))
     order = (h >> U64(_PLACE)) << U64(_PLACE) | np.arange(len(h), dtype=np.uint64)
     low = np.concatenate([window_min(order[a : a + (1 << 16) + WINDOW - ANCHOR], WINDOW - ANCHOR + 1) for a in range(0, n - WINDOW + 1, 1 << 16)])[: n - WINDOW + 1]
     place = (low & U64((1 << _PLACE) - 1)).astype(np.int64)
