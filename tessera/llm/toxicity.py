@@ -18,7 +18,7 @@ counts as held in. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from tessera.llm.common import ALNUM, U64, documents, mix, pieces, powers, utf8
 
 #: Bytes of a gram, symbols of a window, 8-byte words of a symbol: one shared gram must save more than the gain zstd asks of a block.
 GRAM, WINDOW, WIDE = 5, 32, 3
-MAX_TOXIC, MAX_ORDINARY, MAX_TRAIN_BYTES = 3000, 6000, 100_000
+MAX_TOXIC, MAX_ORDINARY, MAX_TRAIN_BYTES = 2000, 4000, 50_000
 #: Of the toxic documents, the share that a passage must stand in; how much rarer it must be among ordinary ones.
 SUPPORT, RARER = 0.025, 0.05
 DICTIONARY_GRAMS = 2048
@@ -82,18 +82,18 @@ def features(m: np.ndarray) -> list[float]:
     return [max(0.0, float(top[-1])), max(0.0, float(top[0])) if len(m) > 1 else 0.0, float(np.log1p(m[m >= 3].sum()))]
 
 
-def document_frequency(docs: list[np.ndarray]) -> np.ndarray:
+def document_frequency(docs: Iterable[np.ndarray]) -> np.ndarray:
     out = np.zeros(1 << SLOTS, np.int32)
     for h in docs:
         out[np.unique(h >> U64(64 - SLOTS)).astype(np.int64)] += 1
     return out
 
 
-def toxic_passages(docs: list[np.ndarray], ordinary: list[np.ndarray]) -> bytes:
+def toxic_passages(docs: list[np.ndarray], ordinary: Iterable[np.ndarray], n_ordinary: int) -> bytes:
     """Symbol runs typical of toxic documents. The passage in most documents is taken first; what overlaps it counts no more."""
     ct, co = document_frequency(docs), document_frequency(ordinary)
     least = max(4.0, SUPPORT * len(docs))
-    good = (ct >= least) & (co / max(1, len(ordinary)) <= RARER * ct / len(docs))
+    good = (ct >= least) & (co / max(1, n_ordinary) <= RARER * ct / len(docs))
     sym = np.concatenate(docs)
     doc = np.repeat(np.arange(len(docs)), [len(x) for x in docs])
     at = np.flatnonzero(good[(sym >> U64(64 - SLOTS)).astype(np.int64)])
@@ -135,7 +135,7 @@ def toxic_passages(docs: list[np.ndarray], ordinary: list[np.ndarray]) -> bytes:
 
 def ordinary_passages(docs: list[np.ndarray], size: int) -> bytes:
     """A dictionary of zstandard's own trainer over ordinary text, as long as the toxic one."""
-    samples = [wide(s).tobytes() for d in docs[:1500] for s in np.array_split(d, max(1, len(d) // 128)) if len(s)][:20_000]
+    samples = [wide(s).tobytes() for d in docs for s in np.array_split(d, max(1, len(d) // 128)) if len(s)][:20_000]
     try:
         made = zstandard.train_dictionary(max(1024, size), samples).as_bytes()
     except zstandard.ZstdError:  # too little text
@@ -146,7 +146,7 @@ def ordinary_passages(docs: list[np.ndarray], size: int) -> bytes:
 def fit(rows: list[tuple[str, int]]) -> dict:
     """rows: text and label. The dictionaries come from two thirds of them, the weights from the rest."""
     rows = list(dict.fromkeys(rows))
-    sym = [symbols(np.frombuffer(t.encode(), np.uint8)) for t, _ in rows]
+    of = lambda i: symbols(np.frombuffer(rows[i][0].encode(), np.uint8))
     y = np.array([v for _, v in rows], float)
     if not len(rows) or y.min() == y.max():
         return {"constant": float(y.mean()) if len(rows) else 0.0}
@@ -154,11 +154,12 @@ def fit(rows: list[tuple[str, int]]) -> dict:
     for v in (0.0, 1.0):
         rank[y == v] = np.arange(int((y == v).sum()))
     learn = rank % 3 != 2
-    toxic = toxic_passages([s for s, a, b in zip(sym, y, learn, strict=True) if a and b], [s for s, a, b in zip(sym, y, learn, strict=True) if not a and b])
-    ordinary = ordinary_passages([s for s, a, b in zip(sym, y, learn, strict=True) if not a and b], len(toxic))
+    plain = np.flatnonzero(learn & (y == 0)).tolist()
+    toxic = toxic_passages([of(i) for i in np.flatnonzero(learn & (y == 1)).tolist()], map(of, plain), len(plain))
+    ordinary = ordinary_passages([of(i) for i in plain[:1000]], len(toxic))
     model = {"toxic": toxic, "ordinary": ordinary}
     held = ~learn if len({*y[~learn]}) == 2 else learn | True
-    x = np.array([[1.0, *features(margins(s, model))] for s, h in zip(sym, held, strict=True) if h])
+    x = np.array([[1.0, *features(margins(of(i), model))] for i in np.flatnonzero(held).tolist()])
     y = y[held]
     w, ridge = np.zeros(x.shape[1]), 1e-2 * np.eye(x.shape[1])
     for _ in range(50):
