@@ -1,11 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained from labelled text: one from passages that toxic documents share and ordinary
-ones lack, one from ordinary text. Each text is lower-cased, white space and punctuation become blanks, and every
+Two zstandard dictionaries come from labelled text. The ordinary one is made by zstandard's own trainer. The toxic one is a raw
+list of the gram runs that cover most toxic documents, built from grams chosen by likelihood ratio: how often a gram occurs among all grams of toxic
+text against ordinary text (a document counts at most ``REPEATS`` times), so words that ordinary text also has, but more seldom, count too. Each text is lower-cased, white space and punctuation become blanks, and every
 ``GRAM``-byte gram becomes one symbol of ``WIDE`` 8-byte words (hashes), so a match in a dictionary is a whole shared gram and literals do not compress. Windows of ``WINDOW``
 symbols are compressed under both dictionaries; the margin of a window is how many bytes the toxic one saves over the
-ordinary one. A logistic model over a document's largest margin, its second largest and the log of the sum of margins over a
-threshold, calibrated on labelled rows that gave nothing to the dictionaries, gives the score.
+ordinary one. A logistic model over a document's largest margin, its second largest, and the sum of its margins over a
+threshold (its log, for each window, and the log of that), calibrated on labelled rows that gave nothing to the dictionaries, gives the score.
 
 Fitting takes at most ``MAX_TOXIC`` and ``MAX_ORDINARY`` labelled rows (those of least hash of doc_id, texts over ``MAX_TRAIN_BYTES``
 left out); scoring takes every whole text, a window at a time.
@@ -33,8 +34,8 @@ from tessera.llm.common import ALNUM, U64, documents, mix, pieces, powers, utf8
 #: Bytes of a gram, symbols of a window, 8-byte words of a symbol: one shared gram must save more than the gain zstd asks of a block.
 GRAM, WINDOW, WIDE = 5, 32, 3
 MAX_TOXIC, MAX_ORDINARY, MAX_TRAIN_BYTES = 2000, 4000, 50_000
-#: Of the toxic documents, the share that a passage must stand in; how much rarer it must be among ordinary ones.
-SUPPORT, RARER = 0.025, 0.05
+#: Of a gram: least number of toxic documents, least ratio of its rates in toxic and ordinary text, least log-likelihood statistic; most occurrences counted in one document.
+LEAST, RATIO, SURE, REPEATS = 4, 6.0, 40.0, 4
 DICTIONARY_GRAMS = 2048
 SLOTS = 22
 
@@ -79,21 +80,37 @@ def margins(sym: np.ndarray, model: dict) -> np.ndarray:
 
 def features(m: np.ndarray) -> list[float]:
     top = np.sort(m)[-2:]
-    return [max(0.0, float(top[-1])), max(0.0, float(top[0])) if len(m) > 1 else 0.0, float(np.log1p(m[m >= 3].sum()))]
+    total = float(m[m >= 3].sum())
+    return [max(0.0, float(top[-1])), max(0.0, float(top[0])) if len(m) > 1 else 0.0, float(np.log1p(total)), total / len(m), float(np.log1p(1000 * total / (len(m) + 20)))]
 
 
-def document_frequency(docs: Iterable[np.ndarray]) -> np.ndarray:
-    out = np.zeros(1 << SLOTS, np.int32)
+def occurrences(docs: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of each slot the number of documents and of occurrences (REPEATS of a document at most), and the number of all grams."""
+    df, out, total = np.zeros(1 << SLOTS, np.int32), np.zeros(1 << SLOTS, np.int32), 0
     for h in docs:
-        out[np.unique(h >> U64(64 - SLOTS)).astype(np.int64)] += 1
-    return out
-
-
-def toxic_passages(docs: list[np.ndarray], ordinary: Iterable[np.ndarray], n_ordinary: int) -> bytes:
+        slot, n = np.unique((h >> U64(64 - SLOTS)).astype(np.int64), return_counts=True)
+        df[slot] += 1
+        out[slot] += np.minimum(n, REPEATS).astype(np.int32)
+        total += len(h)
+    return df, out, total
+
+
+def typical(docs: Iterable[np.ndarray], ordinary: Iterable[np.ndarray]) -> np.ndarray:
+    """The slots whose grams are more frequent in toxic text, by likelihood ratio."""
+    df, toxic, n = occurrences(docs)
+    _, plain, m = occurrences(ordinary)
+    at = np.flatnonzero(df >= LEAST)
+    a, b = toxic[at].astype(float), plain[at].astype(float)
+    share = n / max(1, n + m)
+    g = 2 * (a * np.log(a / ((a + b) * share)) + b * np.log(np.maximum(b, 1e-9) / np.maximum((a + b) * (1 - share), 1e-9)))
+    good = np.zeros(1 << SLOTS, bool)
+    good[at[((a + 0.5) * max(1, m) > RATIO * (b + 0.5) * n) & (g > SURE)]] = True
+    return good
+
+
+def toxic_passages(docs: list[np.ndarray], ordinary: Iterable[np.ndarray]) -> bytes:
     """Symbol runs typical of toxic documents. The passage in most documents is taken first; what overlaps it counts no more."""
-    ct, co = document_frequency(docs), document_frequency(ordinary)
-    least = max(4.0, SUPPORT * len(docs))
-    good = (ct >= least) & (co / max(1, n_ordinary) <= RARER * ct / len(docs))
+    good = typical(docs, ordinary)
     sym = np.concatenate(docs)
     doc = np.repeat(np.arange(len(docs)), [len(x) for x in docs])
     at = np.flatnonzero(good[(sym >> U64(64 - SLOTS)).astype(np.int64)])
@@ -106,7 +123,7 @@ def toxic_passages(docs: list[np.ndarray], ordinary: Iterable[np.ndarray], n_ord
         pairs = np.unique(value[live] * np.int64(len(docs)) + owner[live])
         count = np.bincount(pairs // len(docs), minlength=len(names))
         best = int(count.argmax())
-        if count[best] < least:
+        if count[best] < LEAST:
             break
         where = at[live & (value == best)]
         left = right = 0
@@ -155,12 +172,14 @@ def fit(rows: list[tuple[str, int]]) -> dict:
         rank[y == v] = np.arange(int((y == v).sum()))
     learn = rank % 3 != 2
     plain = np.flatnonzero(learn & (y == 0)).tolist()
-    toxic = toxic_passages([of(i) for i in np.flatnonzero(learn & (y == 1)).tolist()], map(of, plain), len(plain))
+    toxic = toxic_passages([of(i) for i in np.flatnonzero(learn & (y == 1)).tolist()], map(of, plain))
     ordinary = ordinary_passages([of(i) for i in plain[:1000]], len(toxic))
     model = {"toxic": toxic, "ordinary": ordinary}
     held = ~learn if len({*y[~learn]}) == 2 else learn | True
     x = np.array([[1.0, *features(margins(of(i), model))] for i in np.flatnonzero(held).tolist()])
     y = y[held]
+    mean, spread = x[:, 1:].mean(0), x[:, 1:].std(0) + 1e-9
+    x[:, 1:] = (x[:, 1:] - mean) / spread
     w, ridge = np.zeros(x.shape[1]), 1e-2 * np.eye(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -168,6 +187,8 @@ def fit(rows: list[tuple[str, int]]) -> dict:
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
+    w[1:] /= spread
+    w[0] -= w[1:] @ mean
     return model | {"weights": w}
 
 

@@ -152,6 +152,20 @@ def test_toxicity_finds_held_out_documents(spark):
     assert kept.columns == docs.columns
 
 
+def test_toxicity_counts_words_that_ordinary_text_also_has():
+    rng = random.Random(6)
+    plain = ["".join(rng.choice(["tion", "er", "an", "the", "ou", "ble", "in"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    rows = []
+    for i in range(800):
+        w = [rng.choice(plain) for _ in range(300)]
+        for _ in range(5 if i % 5 == 0 else int(i % 3 == 1)):
+            w[rng.randrange(300)] = "achlund"
+        rows.append((" ".join(w), int(i % 5 == 0)))
+    model = toxicity.fit(rows[:600])
+    got = [toxicity.score(toxicity.symbols(np.frombuffer(t.encode(), np.uint8)), model) >= 0.5 for t, _ in rows[600:]]
+    assert np.mean([g == bool(y) for g, (_, y) in zip(got, rows[600:], strict=True)]) > 0.95
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.classify(odd(spark), none).collect()} == {0.0}
