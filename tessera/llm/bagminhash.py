@@ -148,7 +148,9 @@ def multiset_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The key and bands of each text, after the columns other than the text."""
     for batch in batches:
+        names = [c for c in batch.schema.names if c != "text"]
         data, offsets = utf8(batch.column("text"))
         for a, b in pieces(offsets, 4 << 20):
             own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -158,7 +160,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = np.diff(bounds) > 0
             ends = np.concatenate([[0], np.cumsum(full * made.shape[1])])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(made[full].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(keys(w, own, at), pa.binary()), lists], ["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in names), pa.array(keys(w, own, at), pa.binary()), lists], [*names, "key", "bands"])
 
 
 def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,11 +252,10 @@ def rest(pairs: DataFrame, roots: DataFrame, full: DataFrame) -> DataFrame:
     return asked.union(members).groupBy("family", "row", "col").applyInArrow(compare, "a binary, b binary")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_class for every document."""
+def rooted(docs: DataFrame, kept: str) -> DataFrame:
+    """The columns of ``kept`` (a schema) and the root of its class for every document."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(spark, docs.mapInArrow(sign, "doc_id long, key binary, bands array<long>"))
+    signed = written(spark, docs.mapInArrow(sign, f"{kept}, key binary, bands array<long>"))
     members = signed.select("key", "bands").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
     pairs = written(spark, members.join(shared, "band").where("key <> a").select("a", F.col("key").alias("b")).distinct())
@@ -264,19 +265,28 @@ def classes(docs: DataFrame) -> DataFrame:
     more = written(spark, rest(pairs, roots, full))
     if more.limit(1).count():
         roots = components(spark, links.union(more))
-    own = signed.select("doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", F.coalesce("root", "key").alias("root"))
+    own = signed.drop("bands").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    return own.withColumn("root", F.coalesce("root", "key")).drop("key")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_class for every document."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = rooted(docs, "doc_id long")
     size = own.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_class"))
     return own.join(size, "root").select("doc_id", "class_id", "n_class")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents of least doc_id of each class, columns unchanged; of several rows with that doc_id, one."""
-    found = written(docs.sparkSession, classes(docs))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id")
-    out = docs.join(kept.distinct().withColumnRenamed("doc_id", "kept_"), F.col("doc_id").cast("long").eqNullSafe(F.col("kept_")), "left_semi")
-    if kept.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out
+    """One document of each class, columns unchanged: that of least doc_id (nulls last), then of least digest of its text."""
+    id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    digest = F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+    own = written(docs.sparkSession, rooted(docs.select(id_.alias("id_"), digest.alias("digest_"), text.alias("text")), "id_ long, digest_ binary"))
+    kept = own.groupBy("root").agg(F.min(F.struct(F.col("id_").isNull(), "id_", "digest_")).alias("k")).select(F.col("k.id_").alias("kept_id_"), F.col("k.digest_").alias("kept_"))
+    out = docs.withColumns({"id_": id_, "digest_": digest}).join(kept, F.col("id_").eqNullSafe(F.col("kept_id_")) & (F.col("digest_") == F.col("kept_")), "left_semi")
+    if own.groupBy("id_", "digest_").count().where("count > 1").limit(1).count():  # rows of equal id and text
+        out = out.dropDuplicates(["id_", "digest_"])
+    return out.drop("id_", "digest_")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,6 +275,15 @@ def test_keep_one(spark):
     assert bagminhash.classes(df.limit(0)).count() == 0
 
 
+def test_keep_one_tells_rows_of_equal_or_no_id_apart(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(30))
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (None, text(2)), (None, text(3) + " more"), (5, text(3)), (7, text(4)), (7, text(5)), (7, text(5)), (8, text(4)), (9, None), (9, "")]
+    kept = bagminhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, text(0)), (None, text(1)), (None, text(2)), (5, text(3)), (7, text(4)), (7, text(5)), (9, "")]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(map(key, kept)) == sorted(map(key, want))
+
+
 # --- language model -------------------------------------------------------------------------------------------------
 
 
