@@ -16,6 +16,7 @@ other than doc_id and text are ignored by ``report`` and kept by ``clean``. An e
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import ALNUM, U64, Words, documents, mix, pieces, utf8
+from tessera.llm.common import ALNUM, U64, Words, documents, mix, pieces, utf8, written
 
 WINDOW = 10
 SHARD_BYTES = 2 << 20
@@ -268,15 +269,100 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_span: int = 1, max_coverage: float = 0.5) -> DataFrame:
     """The same columns; hit spans of min_span words or more are cut out (a line end takes their place) until none is left,
     documents with more than max_coverage of their words hit are dropped. n_chars, where there is one, follows the text."""
+    shared = automata(items, window)
+    if len(shared) < 2:
+        return edited(docs, shared, min_span, max_coverage)
+    # An automaton sees its own shard alone, so spans are gathered from all before any cut; the rows that were cut go round again.
+    names, done, first = docs.columns, [], True
+    while True:
+        docs = written(docs.sparkSession, trimmed(marked(docs, shared), names, min_span, max_coverage if first else None))
+        done.append(docs.where("not again_").select(*[F.col(f"`{c}`") for c in names]))
+        docs, first = docs.where("again_").select(*[F.col(f"`{c}`") for c in names]), False
+        if not docs.limit(1).count():
+            return functools.reduce(DataFrame.union, done)
+
+
+def marked(docs: DataFrame, shared: list) -> DataFrame:
+    """The rows with words_, their number of words, and spans_, the hit spans over all shards (four numbers each)."""
+    docs = docs.withColumns({"words_": F.lit(0).cast("long"), "spans_": F.array().cast("array<long>")})
+    schema = T.StructType(docs.schema.fields)
+    for b in shared:
+
+        def step(batches: Iterator[pa.RecordBatch], b=b) -> Iterator[pa.RecordBatch]:
+            auto: Automaton = pickle.loads(b.value)
+            for batch in batches:
+                data, offsets = utf8(batch.column("text"))
+                spans, words = batch.column("spans_").to_pylist(), np.zeros(len(batch), np.int64)
+                for x, y in pieces(offsets, 4 << 20):
+                    words[x:y], found = auto.find(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
+                    for r, (own, _) in found.items():
+                        spans[x + r] = [v for s in join([*quads(spans[x + r]), *own]) for v in s]
+                made = {"words_": pa.array(words), "spans_": pa.array(spans, batch.column("spans_").type)}
+                yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
+
+        docs = docs.mapInArrow(step, schema)
+    return docs
+
+
+def quads(flat: list[int]) -> list[tuple[int, int, int, int]]:
+    return list(zip(*[iter(flat)] * 4, strict=True))
+
+
+def trimmed(docs: DataFrame, names: list[str], min_span: int, max_coverage: float | None) -> DataFrame:
+    """One round over marked rows: those over max_coverage (None: not asked) dropped, spans cut out; again_ tells which rows were cut."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("text")
+            words, drop, changed = batch.column("words_").to_pylist(), [], {}
+            for r, flat in enumerate(batch.column("spans_").to_pylist()):
+                spans = [s for s in quads(flat) if s[1] - s[0] >= min_span]
+                if max_coverage is not None and sum(s[1] - s[0] for s in spans) > max_coverage * words[r]:
+                    drop.append(r)
+                elif spans:
+                    changed[r] = cut(raw[r].as_py().encode(), spans).decode()
+            again = np.zeros(len(batch), bool)
+            again[list(changed)] = True
+            out = replaced(batch.select(names), names, drop, changed)
+            kept = np.delete(again, drop)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(kept)], [*names, "again_"])
+
+    return docs.mapInArrow(step, T.StructType([*(docs.schema[c] for c in names), T.StructField("again_", T.BooleanType())]))
+
+
+def replaced(batch: pa.RecordBatch, names: list[str], drop: list[int], changed: dict[int, str]) -> pa.RecordBatch:
+    """The batch with changed texts (n_chars, where there is one, follows) and without the dropped rows."""
+    if changed:
+        cols = list(batch.columns)
+        k = names.index("text")
+        text = cols[k].to_pylist()
+        for r, s in changed.items():
+            text[r] = s
+        cols[k] = pa.array(text, cols[k].type)
+        if "n_chars" in names:
+            k = names.index("n_chars")
+            n = cols[k].to_pylist()
+            for r, s in changed.items():
+                n[r] = len(s)
+            cols[k] = pa.array(n, cols[k].type)
+        batch = pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+    if drop:
+        keep = np.ones(len(batch), bool)
+        keep[drop] = False
+        batch = batch.filter(pa.array(keep))
+    return batch
+
+
+def edited(docs: DataFrame, shared: list, min_span: int, max_coverage: float) -> DataFrame:
+    """``clean`` with one automaton, in one stage."""
     schema = docs.schema
     names = docs.columns
-    for b in automata(items, window):
+    for b in shared:
 
         def step(batches: Iterator[pa.RecordBatch], b=b) -> Iterator[pa.RecordBatch]:
             auto: Automaton = pickle.loads(b.value)
             for batch in batches:
-                column = batch.column(names.index("text"))
-                data, offsets = utf8(column)
+                data, offsets = utf8(batch.column("text"))
                 drop, changed = [], {}
                 for x, y in pieces(offsets, 4 << 20):
                     count, found = auto.find(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
@@ -291,24 +377,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_span: int
                                 _, again = auto.find(raw, np.array([0, len(raw)]))
                                 spans = [s for s in again[0][0] if s[1] - s[0] >= min_span] if again else []
                             changed[x + r] = raw.tobytes().decode()
-                if changed:
-                    text = column.to_pylist()
-                    for r, s in changed.items():
-                        text[r] = s
-                    cols = list(batch.columns)
-                    cols[names.index("text")] = pa.array(text, column.type)
-                    if "n_chars" in names:
-                        k = names.index("n_chars")
-                        n = cols[k].to_pylist()
-                        for r, s in changed.items():
-                            n[r] = len(s)
-                        cols[k] = pa.array(n, cols[k].type)
-                    batch = pa.RecordBatch.from_arrays(cols, schema=batch.schema)
-                if drop:
-                    keep = np.ones(len(batch), bool)
-                    keep[drop] = False
-                    batch = batch.filter(pa.array(keep))
-                yield batch
+                yield replaced(batch, names, drop, changed)
 
         docs = docs.mapInArrow(step, T.StructType(schema.fields))
     return docs

@@ -126,6 +126,27 @@ def test_shards_agree_with_one_automaton(spark, monkeypatch):
     assert len(decontaminate.automata(items)) > 2 and key(decontaminate.report(docs, items)) == want
 
 
+def test_clean_over_shards_equals_one_automaton(spark, monkeypatch):
+    rng = random.Random(12)
+    some = [" ".join(f"s{k}w{i}" for i in range(24)) for k in range(12)]
+    items = spark.createDataFrame(list(enumerate(some)), "item_id long, text string")
+    docs = []
+    for i in range(60):
+        a, b = rng.sample(some, 2)
+        x, y = a.split(), b.split()
+        tail = [f"tail{j}" for j in range(rng.choice([20, 40, 100]))]
+        docs.append((i, " ".join([["pre", *x[:12], *y, *x[12:], *tail], ["pre", *x, "mid", *y, *tail]][i % 2]), 1))
+    docs = spark.createDataFrame([*docs, (100, None, 0), (101, "", 0)], "doc_id long, text string, n_chars long")
+    key = lambda df: sorted((r.doc_id, r.text or "", r.n_chars) for r in df.collect())
+    want = key(decontaminate.clean(docs, items))
+    assert 2 < len(want) < 62
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 400)
+    assert len(decontaminate.automata(items)) > 2
+    out = decontaminate.clean(docs, items)
+    assert out.columns == docs.columns and key(out) == want
+    assert not [r for r in decontaminate.report(out, items).collect() if r.contaminated]
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------------
 
 
