@@ -5,7 +5,7 @@ Huffman code of the training bytes. Predictors are keyed by hashed contexts, the
 the bytes that followed a context in all training texts, each node of the code gets the log odds of its bit. A bit's log odds are the dot product of the
 predictors' with a weight vector chosen by a gate (depth in the code, and how often the word so far was met). Gate weights
 start from a pass over a sample of ``FIT_TEXTS`` training texts (each left out of its own counts) and are refined by gradient steps
-within each document, block after block, so a text's score depends on the text and the counts alone.
+within each document after every ``BLOCK`` bytes, so a text's score depends on the text and the counts alone.
 
 The base score is an add-0.1 unigram model of the tokens. All counts come from all training rows. Counts of tokens that
 make up more than one in ``FREQUENT`` of all (so at most that many tokens) are sent to every task; those of the rest are joined.
@@ -37,7 +37,7 @@ FIT_TEXTS, FIT_BYTES = 400, 10_000
 DEPTHS, SURE = 6, 8
 GATES, LIMIT, STEPS = DEPTHS * SURE, 8.0, 16
 #: Bytes of a document between two updates of its weights; step size of an update.
-BLOCK, RATE, FIT_RATE = 512, 0.008, 0.02
+BLOCK, RATE, FIT_RATE = 64, 0.008, 0.02
 CHUNK = 1 << 18
 END = np.uint64(0x0E4D)
 _BYTE32 = (mix(np.arange(1, 257, dtype=np.uint64)) >> U64(32)).astype(np.uint32)

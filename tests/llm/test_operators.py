@@ -340,6 +340,18 @@ def test_bits_are_a_code():
     assert total == pytest.approx(1.0, abs=1e-4)
 
 
+def test_weights_are_refined_within_short_texts(monkeypatch):
+    cells = [np.zeros(256 << bits, np.int32) for _, bits in context_mixing.ORDERS]
+    rng = np.random.default_rng(0)
+    for c in cells:
+        c[rng.integers(0, len(c), 5000)] = rng.integers(1, 50, 5000)
+    model = context_mixing.Model(cells, [b"some text to fit the gates on"])
+    text = np.frombuffer(b"some text to fit the gates on, and more " * 5, np.uint8)
+    online = model.bits(text, np.array([0, len(text)]))
+    monkeypatch.setattr(context_mixing, "RATE", 0.0)
+    assert online[0] != model.bits(text, np.array([0, len(text)]))[0]
+
+
 def test_no_training_rows(spark):
     got = context_mixing.report(spark.createDataFrame([(i, "a") for i in range(30) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")).first()
     assert got.train_tokens == 0 and got.n_known == 0 and math.isfinite(got.score)
