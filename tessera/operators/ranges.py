@@ -1,4 +1,4 @@
-"""Range and point joins, and sets of numbered items."""
+"""Range and point joins, and sets of numbered items."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Structured Streaming counterparts of the watcher and the audit log, and windows over events as an extension."""
+"""Structured Streaming counterpart of the watcher, and windows over events as an extension."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def watch(spark: SparkSession, path: str, schema, sink: Callable[[DataFrame, int], None], checkpoint: str, per_trigger: int = 50):
-    """Each file once, in batches of at most `per_trigger` files; the checkpoint is the ledger. Ends when all is read."""
+    """Each file once, in batches of at most `per_trigger` files; the checkpoint is the ledger. Ends when all is read."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
