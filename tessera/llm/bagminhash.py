@@ -6,15 +6,19 @@ and a level within the piece, and counts if the level is not above w. A register
 signatures agree in a register with the probability of the multisets' weighted Jaccard similarity. Points are drawn in order of time and only up to the
 horizon by which all registers are filled (doubled for the few texts for which it was too near), so most shingles draw few.
 
-Texts of equal words are one node (equal texts, where there are no words). Signatures fall into bands; in each bucket the members
-are paired with its least node, pairs are verified on the whole multisets, and connected components are formed. In a family (nodes
-connected by such pairs) every node outside the largest component is then compared with the whole family, in
-blocks, so no link between candidates is lost and no pairs within a component are formed. Bands of 4 of 96 registers miss a
-pair of similarity 0.8 with probability 3e-6.
+Texts of equal words are one node (equal texts, where there are no words). Signatures fall into bands; the nodes of one bucket are candidates. Bands of
+6 of 144 registers miss a pair of similarity 0.8 with probability 7e-4 and take one of 0.4 with 0.09. Candidates whose registers agree less than ``LIKELY``
+(five standard deviations under 0.8) are not looked at again; the others are verified on the whole multisets, in two rounds:
+
+1. Each node with the least node it shares a bucket with. Connected components are formed.
+2. Of every bucket that still holds several components, all pairs across components, in tiles of at most twice ``TILE`` nodes.
+
+So no link between candidates is lost. Pairs within a component, of which a large group of copies has many, are not formed, and a tile tells no more
+links than join its components.
 
 Defined cases: a text of fewer than five words, but not none, is one shingle; texts without words are near only if equal (null is
-empty). Repeated rows and rows with equal doc_id each get a row; null ids come out as they are, class_id is the least non-null id of the class. Other
-columns are ignored. An empty table gives no rows.
+empty). Repeated rows and rows with equal doc_id each get a row; null ids come out as they are, class_id is the least non-null id of the class. Very long
+texts are one multiset each. Other columns are ignored by ``classes`` and kept by ``keep_one``, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,15 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bwt_dedup import FILTER_BITS, bitmap
-from tessera.llm.common import ALNUM, U64, Words, documents, mix, pieces, utf8, written
+from tessera.llm.common import ALNUM, U64, Words, discard, documents, mix, pieces, utf8, written
 from tessera.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-REGISTERS, ROWS = 96, 4
-#: Of a bucket's members, so many are compared with its least node in one group of a join.
-SALT = 256
-#: Queries and members that are compared in one group.
-QUERIES, MEMBERS = 512, 2048
+REGISTERS, ROWS = 144, 6
+#: Share of agreeing registers under which a candidate pair is not verified.
+LIKELY = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
+#: Nodes of a bucket are compared in tiles of two blocks of about so many nodes and shingles.
+TILE, TILE_ITEMS = 512, 1 << 20
 
 
 def shingles(w: Words, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,11 +160,25 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             w = Words(own, at, ALNUM)
             values, bounds = shingles(w, b - a)
-            made = bands(signatures(values, bounds))
+            registers = signatures(values, bounds)
+            made = bands(registers)
             full = np.diff(bounds) > 0
             ends = np.concatenate([[0], np.cumsum(full * made.shape[1])])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(made[full].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in names), pa.array(keys(w, own, at), pa.binary()), lists], [*names, "key", "bands"])
+            sig = pa.array([x.tobytes() for x in (registers & U64(255)).astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in names), pa.array(keys(w, own, at), pa.binary()), lists, pa.array(np.diff(bounds), pa.int32()), sig], [*names, "key", "bands", "size", "sig"])
+
+
+def rows_of(sig: pa.Array) -> np.ndarray:
+    """Signatures, a byte of each register, as a matrix."""
+    return np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(-1, REGISTERS)
+
+
+def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose signatures are near enough to be verified."""
+    for batch in batches:
+        near = (rows_of(batch.column("sa")) == rows_of(batch.column("sb"))).mean(1) >= LIKELY
+        yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
 def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,97 +214,159 @@ def multisets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are at least SIMILARITY alike; the many partners of one a are dealt out by a salt."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
-    left = salts.join(full.withColumnRenamed("key", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("items").alias("sa"))
-    right = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    right = right.join(full.select(F.col("key").alias("b"), F.col("items").alias("sb")), "b")
-    return right.join(left, ["a", "salt"]).select("a", "b", "sa", "sb").mapInArrow(similar, "a binary, b binary")
-
-
-def compare(table: pa.Table) -> pa.Table:
-    """Links between the queries and the members of one block, found by an inverted index of the queries' items."""
-    query = np.array(table["query"].to_pylist(), bool)
-    names, items = table["key"].to_pylist(), [np.frombuffer(x, np.uint64) for x in table["items"].to_pylist()]
-    q = np.flatnonzero(query)
-    if not len(q) or query.all():
-        return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
-    flat = np.concatenate([items[i] for i in q])
-    owner = np.repeat(np.arange(len(q)), [len(items[i]) for i in q])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    value, first, count = np.unique(flat, return_index=True, return_counts=True)
-    size = np.array([len(items[i]) for i in q])
-    a, b = [], []
-    for j in np.flatnonzero(~query):
-        own = items[j]
-        at = np.minimum(np.searchsorted(value, own), len(value) - 1)
-        at = at[value[at] == own]
-        if not len(at):
+    """The pairs (a, b) that are at least SIMILARITY alike. A node with very many partners is split by the engine's skew join."""
+    items = lambda name: full.select(F.col("key").alias(name), F.col("items").alias(f"s{name}"))
+    return pairs.join(items("b"), "b").join(items("a"), "a").select("a", "b", "sa", "sb").mapInArrow(similar, "a binary, b binary")
+
+
+TILED = "band long, x int, y int, block int, key binary, root binary"
+
+
+def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole tiles, from rows sorted by (band, x, y)."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        last = table.slice(table.num_rows - 1)
+        other = np.zeros(table.num_rows, bool)
+        for c in ("band", "x", "y"):
+            other |= table[c].to_numpy() != last[c][0].as_py()
+        cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        held = table.slice(cut)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def tile_rows(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each tile its rows (from, to), their components, those outside the most common component, and which rows each of these may meet."""
+    tile = np.stack([table[c].to_numpy() for c in ("band", "x", "y")], 1)
+    cuts = np.concatenate([[0], np.flatnonzero((tile[1:] != tile[:-1]).any(1)) + 1, [len(tile)]])
+    block = table["block"].to_numpy()
+    root = np.unique(np.array(table["root"].to_pylist(), dtype="S16"), return_inverse=True)[1]
+    for s, e in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        own, local = np.unique(root[s:e], return_inverse=True)
+        if len(own) < 2:
             continue
-        n = count[at]
-        ends = np.cumsum(n)
-        hits = owner[np.repeat(first[at] - (ends - n), n) + np.arange(int(ends[-1]))]
-        both = np.bincount(hits, minlength=len(q))
-        for k in np.flatnonzero(both >= SIMILARITY * (size + len(own) - both)):
-            if names[q[k]] != names[j]:
-                a.append(names[q[k]])
-                b.append(names[j])
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-
-def rest(pairs: DataFrame, roots: DataFrame, full: DataFrame) -> DataFrame:
-    """Links that the stars missed. Nodes joined by candidate pairs are a family; those outside the largest component of
-    theirs are queries against the whole family, in blocks of bounded numbers of queries and members."""
-    spark = pairs.sparkSession
-    families = components(spark, pairs).withColumnRenamed("root", "family")
-    placed = written(spark, families.join(roots, "node", "left").select(F.col("node").alias("key"), "family", F.coalesce("root", "node").alias("root")))
-    parts = placed.groupBy("family", "root").agg(F.count("*").alias("n"))
-    main = parts.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
-    grid = main.select("family", "main", F.ceil((F.col("n") - F.col("most")) / QUERIES).cast("int").alias("rows"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("cols"))
-    nodes = placed.join(grid, "family").join(full, "key")
-    row = F.pmod(F.xxhash64("key"), F.col("rows")).cast("int")
-    col = F.pmod(F.xxhash64("key", F.lit(1)), F.col("cols")).cast("int")
-    asked = nodes.where("root <> main").select("family", row.alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), F.lit(True).alias("query"), "key", "items")
-    members = nodes.select("family", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), col.alias("col"), F.lit(False).alias("query"), "key", "items")
-    return asked.union(members).groupBy("family", "row", "col").applyInArrow(compare, "a binary, b binary")
+        out = np.flatnonzero(local != np.bincount(local).argmax())
+        meets = local[out][:, None] != local
+        if tile[s, 1] != tile[s, 2]:
+            meets &= block[s:e][out][:, None] != block[s:e]
+        yield s, e, local, out, meets
+
+
+def likely_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of tiles whose signatures are near one of another component in the tile."""
+    for table in tiles(batches):
+        sig = rows_of(table["sig"])
+        keep = np.zeros(len(sig), bool)
+        for s, e, _, out, meets in tile_rows(table):
+            for i, row in zip(out.tolist(), meets, strict=True):
+                j = np.flatnonzero(row) + s
+                j = j[(sig[j] == sig[s + i]).mean(1) >= LIKELY]
+                keep[j] = True
+                keep[s + i] |= len(j) > 0
+        yield from table.select([c.split()[0] for c in TILED.split(", ")]).filter(pa.array(keep)).to_batches()
+
+
+def link_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links across the components of each tile, as many as join them (a pair that the tile has joined already is not told again). Common items are
+    counted by an inverted index of the tile."""
+    for table in tiles(batches):
+        keys = table["key"].to_pylist()
+        items = [np.frombuffer(x, np.uint64) for x in table["items"].to_pylist()]
+        a: list[bytes] = []
+        b: list[bytes] = []
+        for s, e, local, out, meets in tile_rows(table):
+            own = items[s:e]
+            size = np.array([len(x) for x in own])
+            flat = np.concatenate(own)
+            order = np.argsort(flat, kind="stable")
+            owner = np.repeat(np.arange(e - s), size)[order]
+            value, first, count = np.unique(flat[order], return_index=True, return_counts=True)
+            joined = local.copy()
+            for i, row in zip(out.tolist(), meets, strict=True):
+                at = np.searchsorted(value, own[i])
+                n = count[at]
+                ends = np.cumsum(n)
+                both = np.bincount(owner[np.repeat(first[at] - (ends - n), n) + np.arange(int(ends[-1]))], minlength=e - s)
+                near = row & (both >= SIMILARITY * (size + size[i] - both))
+                for j in np.flatnonzero(near).tolist():
+                    if joined[i] != joined[j]:
+                        joined[joined == joined[j]] = joined[i]
+                        a.append(keys[s + i])
+                        b.append(keys[s + j])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def across(members: DataFrame, nodes: DataFrame, roots: DataFrame, full: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of nodes that share a bucket of three or more."""
+    spark = nodes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = nodes.select("key", "size").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "size", F.coalesce("root", "key").alias("root"))
+    met = written(spark, members.join(placed, "key"))
+    mixed = met.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 2 AND lo <> hi")
+    mixed = written(spark, mixed.select("band", F.ceil(F.greatest(F.col("n") / TILE, F.col("size") / TILE_ITEMS)).cast("int").alias("blocks")))
+    rows = met.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "key", "root")
+    sorted_ = lambda df: df.repartition(parts, "band", "x", "y").sortWithinPartitions("band", "x", "y")
+    near = written(spark, sorted_(rows.join(nodes.select("key", "sig"), "key")).mapInArrow(likely_rows, TILED))
+    out = written(spark, sorted_(near.join(full, "key")).mapInArrow(link_tiles, "a binary, b binary"))
+    discard(met, mixed, near)
+    return out
 
 
 def rooted(docs: DataFrame, kept: str) -> DataFrame:
     """The columns of ``kept`` (a schema) and the root of its class for every document."""
     spark = docs.sparkSession
-    signed = written(spark, docs.mapInArrow(sign, f"{kept}, key binary, bands array<long>"))
-    members = signed.select("key", "bands").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    pairs = written(spark, members.join(shared, "band").where("key <> a").select("a", F.col("key").alias("b")).distinct())
-    full = written(spark, multisets(docs, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
-    links = written(spark, verified(pairs, full))
-    roots = components(spark, links)
-    more = written(spark, rest(pairs, roots, full))
-    if more.limit(1).count():
-        roots = components(spark, links.union(more))
-    own = signed.drop("bands").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    return own.withColumn("root", F.coalesce("root", "key")).drop("key")
+    signed = written(spark, docs.mapInArrow(sign, f"{kept}, key binary, bands array<long>, size int, sig binary"))
+    nodes = written(spark, signed.select("key", "bands", "size", "sig").where("size(bands) > 0").dropDuplicates(["key"]))
+    banded = nodes.select("key", F.explode("bands").alias("band"))
+    shared = written(spark, banded.groupBy("band").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least"))
+    members = written(spark, banded.join(shared, "band").select("band", "least", "key"))
+    sig = lambda name: nodes.select(F.col("key").alias(name), F.col("sig").alias(f"s{name}"))
+    star = members.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
+    star = written(spark, star.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "sa", "sb").mapInArrow(likely, "a binary, b binary"))
+    full = written(spark, multisets(docs, members.select("key").distinct()))
+    links = written(spark, verified(star.groupBy("b").agg(F.min("a").alias("a")), full))
+    roots = written(spark, components(spark, links))
+    root_of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"r{name}"))
+    again = star.join(root_of("b"), "b", "left").join(root_of("a"), "a", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+    more = written(spark, verified(again, full))
+    tiled = across(members.select("band", "key"), nodes, roots, full)
+    if not (more.isEmpty() and tiled.isEmpty()):
+        roots = written(spark, components(spark, links.union(more).union(tiled)))
+    out = written(spark, signed.drop("bands", "size", "sig").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).drop("key"))
+    discard(signed, nodes, shared, members, star, full, links, more, tiled, roots)
+    return out
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_class for every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = rooted(docs, "doc_id long")
-    size = own.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_class"))
-    return own.join(size, "root").select("doc_id", "class_id", "n_class")
+    # The few classes of several rows are a table of their own, so the join can split the rows of a large class.
+    size = written(docs.sparkSession, own.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_class")).where("n_class > 1"))
+    alone = F.col("n_class").isNull()
+    return own.join(size, "root", "left").select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, columns unchanged: that of least doc_id (nulls last), then of least digest of its text."""
-    id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    """One document of each class, columns unchanged: that of least doc_id (nulls last), then of least digest of its text. Of rows
+    of equal id and text one stays. Nulls, empty texts and repeats are as the module says; columns may have any name."""
+    spark = docs.sparkSession
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    id_, text = F.col("row.doc_id").cast("long"), F.col("row.text").cast("string")
     digest = F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
-    own = written(docs.sparkSession, rooted(docs.select(id_.alias("id_"), digest.alias("digest_"), text.alias("text")), "id_ long, digest_ binary"))
-    kept = own.groupBy("root").agg(F.min(F.struct(F.col("id_").isNull(), "id_", "digest_")).alias("k")).select(F.col("k.id_").alias("kept_id_"), F.col("k.digest_").alias("kept_"))
-    out = docs.withColumns({"id_": id_, "digest_": digest}).join(kept, F.col("id_").eqNullSafe(F.col("kept_id_")) & (F.col("digest_") == F.col("kept_")), "left_semi")
-    if own.groupBy("id_", "digest_").count().where("count > 1").limit(1).count():  # rows of equal id and text
-        out = out.dropDuplicates(["id_", "digest_"])
-    return out.drop("id_", "digest_")
+    own = rooted(row.select(id_.alias("id"), digest.alias("digest"), text.alias("text")), "id long, digest binary")
+    marked = own.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "digest")).alias("k"), F.count("*").alias("n"))
+    kept = written(spark, marked.select(F.col("k.id").alias("kept_id"), F.col("k.digest").alias("kept")))
+    out = row.withColumns({"id": id_, "digest": digest}).join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept")), "left_semi")
+    if own.groupBy("id", "digest").count().where("count > 1").limit(1).count():  # rows of equal id and text
+        out = out.dropDuplicates(["id", "digest"])
+    return out.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,28 +115,21 @@ class Words:
         return mix(np.add.reduceat(terms, at) + length.astype(np.uint64))
 
 
-def strings(spark: SparkSession, df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns alone, whatever else the table holds."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
-
-
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all executors share; local runs without that setting get their own."""
+    """A fresh folder under spark.checkpoint.dir, which all executors share. Only a local master may do without that setting."""
     import tempfile
     import uuid
 
-    jsc = spark.sparkContext._jsc.sc()
-    base = jsc.getCheckpointDir()
-    if base.isDefined():
-        root = base.get()
-    else:
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(root)
-        root = jsc.getCheckpointDir().get()
+    base = spark.sparkContext._jsc.sc().getCheckpointDir()
+    root = base.get() if base.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tessera-")
     return f"{root}/tessera-{uuid.uuid4().hex}"
 
 
@@ -144,4 +137,14 @@ def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     """The frame, computed once and read again from the shared folder, which cuts its lineage."""
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the folders of written frames that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_folder", None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)

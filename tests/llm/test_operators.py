@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import bagminhash, bwt_dedup, context_mixing, decontaminate, syncmers, toxicity, warc_derive
 
@@ -271,7 +272,9 @@ def brute_classes(docs):
     return {frozenset(k for k in range(len(docs)) if find(k) == r) for r in {find(i) for i in range(len(docs))}}
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("tile", [512, 4])
+def test_near_duplicates_equal_brute_force(spark, tile, monkeypatch):
+    monkeypatch.setattr(bagminhash, "TILE", tile)
     rng = random.Random(4)
     text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     docs, base = [], text(120)
@@ -288,10 +291,45 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {frozenset(v) for v in got.values()} == brute_classes(docs)
 
 
+def test_near_duplicates_lose_few_links():
+    """Of random pairs at a similarity of 0.8, hardly any share no band."""
+    rng = np.random.default_rng(2)
+    lost = 0
+    for _ in range(400):
+        both, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (240, 30, 30))
+        x, y = np.sort(np.concatenate([both, a])), np.sort(np.concatenate([both, b]))
+        s = bagminhash.bands(bagminhash.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])))
+        lost += not (s[0] == s[1]).any()
+    assert lost <= 4
+
+
+def test_components_equal_a_plain_union(spark):
+    from tessera.llm.components import components
+
+    rng = random.Random(15)
+    edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(0, 60)] + [("n500", f"n{i}") for i in range(510, 600)] + [(f"n{rng.randrange(100, 300)}", f"n{rng.randrange(100, 300)}") for _ in range(120)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {r.node: r.root for r in components(spark, spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {x: find(x) for x in root}
+    assert components(spark, spark.createDataFrame([], "a string, b string")).count() == 0
+
+
 def test_keep_one(spark):
     df = odd(spark)
     kept = bagminhash.keep_one(df)
     assert kept.columns == df.columns
+    named = bagminhash.keep_one(df.withColumnsRenamed({"akey": "kept_", "key": "digest"}).withColumn("id", F.lit(1)).withColumn("row", F.lit(2)))
+    assert sorted(named.columns) == ["digest", "doc_id", "id", "kept_", "n_chars", "row", "text"] and named.count() == kept.count()
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 5]
     assert bagminhash.classes(df.limit(0)).count() == 0
 
