@@ -163,15 +163,17 @@ def test_toxicity_finds_held_out_documents(spark):
                 w[rng.randrange(60)] = rng.choice(["qwixzard", "vrodnik", "zzkuhm"])
         rows.append((i, " ".join(w)))
         marks.append((i, int(bad), None))
-    docs = spark.createDataFrame([*rows, *[(i, t) for i, t in ODD if i != 5]], "doc_id long, text string")
+    docs = spark.createDataFrame([*rows, *ODD], "doc_id long, text string")
     labels = spark.createDataFrame([*marks, (700, None, None)], "doc_id long, toxic int, quality int")
     got = toxicity.classify(docs, labels).collect()
-    assert len(got) == len(rows) + len(ODD) - 1 and all(0 <= r.score <= 1 for r in got)
+    assert len(got) == len(rows) + len(ODD) and all(0 <= r.score <= 1 for r in got)
     held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id > 5]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
     assert np.mean([r.predicted == (r.doc_id % 5 == 0) for r in held]) > 0.95
-    kept = toxicity.keep_clean(docs.withColumnRenamed("doc_id", "doc_id"), labels)
-    assert kept.columns == docs.columns
+    wide = docs.withColumns({c: F.lit(1) for c in ("score", "row", "text_", "toxic")})
+    kept = toxicity.keep_clean(wide, labels)
+    assert kept.columns == wide.columns and kept.count() == sum(r.predicted == 0 for r in got)
+    assert toxicity.keep_clean(wide.limit(0), labels).count() == toxicity.classify(docs.limit(0), labels).count() == 0
 
 
 def test_toxicity_counts_words_that_ordinary_text_also_has():
@@ -184,10 +186,40 @@ def test_toxicity_counts_words_that_ordinary_text_also_has():
             w[rng.randrange(300)] = "achlund"
         rows.append((" ".join(w), int(i % 5 == 0)))
     model = toxicity.fit(rows[:600])
-    got = [toxicity.score(toxicity.symbols(np.frombuffer(t.encode(), np.uint8)), model) >= 0.5 for t, _ in rows[600:]]
+    judge = toxicity.Judge(model)
+    got = [judge.score(np.frombuffer(t.encode(), np.uint8)) >= 0.5 for t, _ in rows[600:]]
     assert np.mean([g == bool(y) for g, (_, y) in zip(got, rows[600:], strict=True)]) > 0.95
 
 
+def test_margins_are_differences_of_compressed_lengths(monkeypatch):
+    """Held against direct calls of the library, window by window, and over blocks."""
+    import zstandard
+
+    rng = random.Random(7)
+    rows = [(" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(rng.randrange(90)) for _ in range(80)) + (" nastiword" * 3 if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
+    model = toxicity.fit(rows)
+    text = np.frombuffer((rows[0][0] + " tail é").encode() * 9, np.uint8)
+    low = bytes(toxicity.lowered(text))
+    grams = [low[i : i + toxicity.GRAM] for i in range(len(low) - toxicity.GRAM + 1)]
+    mask = 2**64 - 1
+
+    def mixed(x):
+        for a, b in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = ((x ^ (x >> a)) * b) & mask
+        return x
+
+    raw = [b"".join(mixed((mixed(int.from_bytes(g, "big") * 0x9E3779B97F4A7C15 & mask) + k) & mask).to_bytes(8, "little") for k in range(toxicity.WIDE)) for g in grams]
+    sizes = []
+    for content in (model["ordinary"], model["ordinary"] + model["toxic"]):
+        own = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_FAST, min_match=7, hash_log=17, chain_log=16, search_log=1, window_log=18, target_length=1, write_content_size=False, write_checksum=False, write_dict_id=False))
+        sizes.append([len(own.compress(b"".join(raw[i : i + toxicity.WINDOW]))) for i in range(0, len(raw), toxicity.WINDOW)])
+    want = [a - b for a, b in zip(*sizes, strict=True)]
+    judge = toxicity.Judge(model)
+    assert judge.margins(toxicity.lowered(text)).tolist() == want and max(want) > 10
+    monkeypatch.setattr(toxicity, "BLOCK", 4 * toxicity.WINDOW)
+    assert judge.margins(toxicity.lowered(text)).tolist() == want
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.classify(odd(spark), none).collect()} == {0.0}

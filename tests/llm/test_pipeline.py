@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import corpus_pipeline
+import numpy as np
 from tessera.llm import pii, toxicity
 from tests.llm.test_operators import brute_classes, brute_hits
 
@@ -40,9 +41,8 @@ def tables(spark, folder):
 def test_pipeline_equals_the_plain_stages(spark, tmp_path):
     docs, items = tables(spark, str(tmp_path))
     model = toxicity.train(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
-    import numpy as np
-
-    kept = [(i, t) for i, t in docs if toxicity.score(toxicity.symbols(np.frombuffer((t or "").encode(), np.uint8)), model) < 0.5]
+    judge = toxicity.Judge(model)
+    kept = [(i, t) for i, t in docs if judge.score(np.frombuffer((t or "").encode(), np.uint8)) < 0.5]
     assert len([i for i, _ in kept if i % 5 == 0 and i < 300]) <= 3 and len(kept) > 200
     kept = [kept[min(c)] for c in brute_classes(kept)]
     out = {}
