@@ -7,6 +7,7 @@ import json
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -43,13 +44,25 @@ def parse(text: str, strict: bool = False) -> dict:
     raise ValueError(f"no JSON object: {piece[:60]}")
 
 
-@F.pandas_udf(StructType([StructField("status", StringType()), StructField("value", StringType())]))
-def lenient(reply: pd.Series) -> pd.DataFrame:
-    """ok and the object as canonical JSON, or error and its reason."""
-    out = []
-    for r in reply:
-        try:
-            out.append(("ok", json.dumps(parse(r or ""), sort_keys=True, ensure_ascii=False, separators=(",", ":"), default=str)))
-        except ValueError as e:
-            out.append(("error", str(e)))
-    return pd.DataFrame(out, columns=["status", "value"])
+def _parsed(strict: bool):
+    @F.pandas_udf(StructType([StructField("status", StringType()), StructField("value", StringType())]))
+    def run(reply: pd.Series) -> pd.DataFrame:
+        out = []
+        for r in reply:
+            try:
+                out.append(("ok", json.dumps(parse(r or "", strict), sort_keys=True, ensure_ascii=False, separators=(",", ":"), default=str)))
+            except ValueError as e:
+                out.append(("error", str(e)))
+        return pd.DataFrame(out, columns=["status", "value"])
+
+    return run
+
+
+def lenient(reply: Column) -> Column:
+    """Ok and the object as canonical JSON, or error and its reason."""
+    return _parsed(False)(reply)
+
+
+def strict(reply: Column) -> Column:
+    """The same without repairs: the object must be JSON as it stands."""
+    return _parsed(True)(reply)

@@ -1,4 +1,4 @@
-"""Rule and label vocabularies: data, not code. Small, our own, for Latin-script text."""
+"""Rule and label vocabularies: data, not code. Small and our own, for Latin-script text, but for the function words, which are given."""
 
 from __future__ import annotations
 
@@ -23,8 +23,19 @@ COURSE_ALIASES = (("physics", "Physics 1"), ("reading", "Reading"), ("calc", "Ca
 SUBJECT_ALIASES = (("engl", "English"), ("deutsch", "German"), ("fran", "French"), ("scien", "Science"), ("math", "Mathematics"))
 # English function words.
 FUNCTION_WORDS = ("the", "and", "of", "to", "that", "with", "for", "which", "this", "from", "what", "when", "because", "would", "could", "should", "their", "there", "about", "into", "your", "you", "have", "been", "will")
-# Marks of answer books in names.
+# Marks of answer books in names, and on covers.
 SOLUTION_MARKS = ("solution", "answer", "key-", "erreur", "lyst")
+SOLUTION_COVERS = ("answers and notes", "solutions manual", "answer key")
+# Of covers, the phrase that a subject's name in is not meant, the notice of a listening test, marks of other books.
+BOILERPLATE, LISTENING = "science ability test", "listen and answer"
+OUTSIDE = ("workbook", "licensed under", "fan edition")
+# In file names, words and the course or subject they stand for, in order; names of teachers with subject and course; names that are also words.
+NAME_COURSES = (("reading", "Reading"), ("calc", "Calculus"), ("mech", "Physics 1"))
+NAME_TEACHERS = (("drmueller", "German", "Grammar"), ("li", "Mathematics", "Calculus"), ("okafor", "Science", None), ("image", "Mathematics", None))
+NAME_AMBIGUOUS = ("image",)
+NAME_SUBJECTS = (("blog", "English"), ("/de/", "German"), ("science", "Science"))
+# Courses that a long text without formulas speaks against.
+FORMULA_COURSES = ("Calculus", "Physics 2")
 
 
 def rule_rows() -> list[tuple]:

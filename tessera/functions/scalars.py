@@ -43,6 +43,18 @@ def cache_key(model: Column, image: Column, prompt: Column) -> Column:
     return F.sha2(F.concat(model.cast("binary"), zero, F.unhex(F.sha2(image, 256)), zero, prompt.cast("binary")), 256)
 
 
+def extract_key(content: Column, *settings: Column) -> Column:
+    """Digest of the settings, a zero byte after each, and of the content's digest."""
+    zero = F.unhex(F.lit("00"))
+    parts = [x for s in settings for x in (s.cast("string").cast("binary"), zero)]
+    return F.sha2(F.concat(*parts, F.unhex(F.sha2(content, 256))), 256)
+
+
+def iso(at: Column) -> Column:
+    """A moment as ISO 8601 in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def image_id(image: Column) -> Column:
     """M07."""
     return F.substring(F.sha2(image, 256), 1, 16)

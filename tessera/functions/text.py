@@ -9,31 +9,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Roman numeral signs and their digits; the five middle dots that are dropped.
-ROMAN = (("Ⅲ", "3"), ("Ⅱ", "2"), ("Ⅰ", "1"), ("ⅲ", "3"), ("ⅱ", "2"), ("ⅰ", "1"))
-DOTS = "·・･‧•"
+# Roman numeral signs and their digits; the blank and the five middle dots that are dropped.
+ROMAN, DIGITS = "ⅢⅡⅠⅲⅱⅰ", "321321"
+DROPPED = " ·・･‧•"
+#: Ranges of characters that canonical composition leaves as they are, and that combine with none of their like.
+STABLE = r"\x00-\u02ff\u0400-\u0482\u048a-\u052f\u1e00-\u1e99\u2002-\u20cf\u2100-\u2102\u2190-\u2328\u2460-\u27ff\u3003-\u3029\u3041-\u3096\u30a1-\u30ff\u4e00-\u9fff\uac00-\ud7a3\ue000-\uf8ff\uff01-\uffef"
 
 
 @F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
-    """Canonical composition, for ingest of text that may be decomposed; Spark has no function for it."""
+    """Canonical composition; Spark has no function for it."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+def composed(s: Column) -> Column:
+    """Canonical composition. Only texts with a character that it might change go to the Arrow function; the others pass as null."""
+    return F.coalesce(nfc(F.when(F.rlike(s, F.lit(f"[^{STABLE}]")), s)), s)
+
+
 def norm_base(s: Column) -> Column:
-    """F01 without composition: null is empty, numerals to digits before lower-casing, ASCII blanks and middle dots dropped."""
-    s = F.coalesce(s, F.lit(""))
-    for sign, digit in ROMAN:
-        s = F.replace(s, F.lit(sign), F.lit(digit))
-    return F.translate(F.lower(s), " " + DOTS, "")
+    """F01 of composed text: null is empty, numerals to digits before lower-casing, ASCII blanks and middle dots dropped."""
+    return F.lower(F.translate(F.coalesce(s, F.lit("")), ROMAN + DROPPED, DIGITS))
 
 
 def norm(s: Column) -> Column:
     """also i, ii, iii to digits between a Hangul syllable and anything but a Latin letter."""
     s = norm_base(s)
+    out = s
     for form, digit in (("iii", "3"), ("ii", "2"), ("i", "1")):
-        s = F.regexp_replace(s, f"(?<=[가-힣]){form}(?![a-z])", digit)
-    return s
+        out = F.regexp_replace(out, f"(?<=[가-힣]){form}(?![a-z])", digit)
+    return F.when(F.rlike(s, F.lit("[가-힣]i")), out).otherwise(s)
 
 
 def course_key(s: Column) -> Column:
@@ -69,10 +74,10 @@ def clean_prompt(s: Column) -> Column:
 
 
 def clean_transcription(s: Column) -> Column:
-    """private-use characters to □, invisible ones out, blanks collapsed; nothing but □ is empty."""
-    s = F.regexp_replace(s, "[\ue000-\uf8ff]", "□")
+    """a run of private-use characters to one □, invisible ones out, runs of blanks to one; nothing but □ is empty."""
+    s = F.regexp_replace(s, "[\ue000-\uf8ff]+", "□")
     s = F.regexp_replace(s, "[\ufffd\u200b\u200c\u200d\ufeff\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")
-    s = strip(F.regexp_replace(s, "[ \t]+", " "))
+    s = strip(F.regexp_replace(s, "[ \t]{2,}", " "))
     return F.when(F.rlike(s, F.lit(r"\A[□ ]*\z")), F.lit("")).otherwise(s)
 
 
@@ -84,7 +89,7 @@ def clean_passage(s: Column, limit: int = 6000) -> Column:
 
 def sentences(s: Column) -> Column:
     """cut after . ! ? before white space; empty parts dropped."""
-    return F.filter(F.split(s, r"(?<=[.!?])\s+"), lambda x: x != "")
+    return F.filter(F.split(s, r"(?U)(?<=[.!?])\s+"), lambda x: x != "")
 
 
 def structured(paragraphs: Column) -> Column:
@@ -93,11 +98,27 @@ def structured(paragraphs: Column) -> Column:
 
 
 def problem_number(line: Column) -> Column:
-    """number at the head of a line, in any of four forms; null without one."""
+    """number at the head of a line, as 1. or 1), [1], 1번; null without one."""
     found = F.regexp_extract(line, r"^(?:(\d{1,2})[.)]|\[(\d{1,2})\]|(\d{1,2})번)", 0)
     return F.regexp_replace(F.nullif(found, F.lit("")), r"\D", "").cast("int")
 
 
+def number_rest(line: Column) -> Column:
+    """What follows the number at the head of a line."""
+    return strip(F.regexp_replace(line, r"^(?:\d{1,2}[.)]|\[\d{1,2}\]|\d{1,2}번)", ""))
+
+
+def read_number(word: Column) -> Column:
+    """a word that is a number of one or two digits and a full stop, bracket or comma, as recognition gives it."""
+    return F.nullif(F.regexp_extract(word, r"^(\d{1,2})[.),]$", 1), F.lit("")).cast("int")
+
+
+def bare_number(word: Column) -> Column:
+    """a word that is a number of two or three digits alone, 1 to 999."""
+    n = F.nullif(F.regexp_extract(word, r"^(\d{2,3})$", 1), F.lit("")).cast("int")
+    return F.when(n >= 1, n)
+
+
 def set_range(line: Column) -> Column:
     """(s, e) of a heading like [3~5] at the head of a line; null if out of bounds."""
     p = r"^\s*\[\s*(\d{1,3})\s*[~～∼]\s*(\d{1,3})\s*\]"
@@ -115,3 +136,30 @@ def xml_escape(s: Column) -> Column:
 def without_space(s: Column) -> Column:
     """F29."""
     return F.regexp_replace(s, r"(?U)\s+", "")
+
+
+# Roles of a phrase and their tags.
+ROLES = (("S", "subject"), ("V", "verb"), ("O", "object"), ("C", "complement"), ("M", "modifier"), ("CONN", "conjunction"), ("PREP", "prepositional phrase"), ("", ""))
+
+
+def role_tag(role: Column) -> Column:
+    """[name] of a role, whatever its case; an unknown role stands for itself, no role for nothing."""
+    names = F.create_map(*[F.lit(x) for pair in ROLES for x in pair])
+    name = F.coalesce(F.element_at(names, F.upper(role)), role)
+    return F.when(name != "", F.concat(F.lit("["), name, F.lit("]"))).otherwise("")
+
+
+def repaired_name(name: Column, given: str = "cp437", meant: str = "euc-kr") -> Column:
+    """A name whose bytes were read in one code page and meant in another; what cannot be so stays."""
+
+    @F.pandas_udf(StringType())
+    def run(s: pd.Series) -> pd.Series:
+        def one(x: str | None) -> str | None:
+            try:
+                return x.encode(given).decode(meant) if x else x
+            except UnicodeError:
+                return x
+
+        return s.map(one)
+
+    return F.coalesce(run(F.when(F.rlike(name, F.lit(r"[^\x00-\x7f]")), name)), name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -47,11 +47,70 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def byte_windows(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Each byte with the `size` before it."""
-    raw = F.hex(F.encode(F.col(text), "utf-8"))
-    values = F.transform(F.sequence(F.lit(0), F.octet_length(text) - 1), lambda i: F.conv(F.substring(raw, i * 2 + 1, 2), 16, 10).cast("int"))
-    flat = df.where(F.octet_length(text) > size).select(key, values.alias("v"))
-    return flat.select(key, "v", F.explode(F.sequence(F.lit(size), F.size("v") - 1)).alias("pos")).select(key, "pos", F.slice("v", F.col("pos") - size + 1, size).alias("ctx"), F.get("v", F.col("pos")).alias("y"))
+    """Each byte (y, two hex digits) with the ``size`` before it (ctx, hex). A row carries its window alone, not the text."""
+    raw = F.regexp_extract_all(F.hex(F.encode(F.col(text), "utf-8")), F.lit("(..)"))
+    one = lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("raw_", i - size + 1, size), "").alias("ctx"), F.get(F.col("raw_"), i).alias("y"))
+    flat = df.where(F.octet_length(text) > size).select(key, raw.alias("raw_"))
+    return flat.select(key, F.explode(F.transform(F.sequence(F.lit(size), F.size("raw_") - 1), one)).alias("w")).select(key, "w.*")
+
+
+def bits_per_byte(windows: DataFrame, held: Column) -> DataFrame:
+    """Mean bits of the held windows' bytes under add-one counts of the others. Windows are counted before anything is joined."""
+    pairs = windows.groupBy("ctx", "y").agg(F.count_if(~held).alias("n2"), F.count_if(held).alias("held"))
+    met = pairs.groupBy("ctx").agg(F.sum("n2").alias("n1"))
+    p = (F.col("n2") + 1) / (F.col("n1") + 256)
+    out = pairs.where("held > 0").join(met, "ctx").agg(F.sum("held").alias("n"), F.sum(-F.log(p) * F.col("held")).alias("nats"))
+    return out.select(F.round(F.col("nats") / F.col("n") / F.log(F.lit(2.0)), 6).alias("bits_per_byte"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def some(windows: DataFrame, n: int, seed: int, key: str, pos: str = "pos") -> DataFrame:
+    """A batch of ``n`` windows, those of least hash under a seed; the same whenever it is drawn."""
+    return windows.orderBy(F.xxhash64(F.lit(seed), key, pos), key, pos).limit(n)
+
+
+#: Knobs of an experiment: how a step changes one, and its bounds.
+KNOBS = {
+    "context_len": ("add", (-1, 1), 1, 8), "hidden": ("times", (0.5, 2.0), 8, 256), "emb_dim": ("times", (0.5, 2.0), 4, 64), "lr": ("times", (0.5, 2.0), 0.001, 4.0),
+    "batch_size": ("times", (0.5, 2.0), 8, 256), "momentum": ("add", (-0.2, 0.05), 0.0, 0.98), "warmup_frac": ("add", (-0.05, 0.05), 0.0, 0.5), "n_layers": ("add", (-1, 1), 1, 3),
+}
+
+
+def neighbours(configs: DataFrame, knobs: dict = KNOBS) -> DataFrame:
+    """Every configuration one step away from each given one, within bounds, as knob and configuration; steps that change nothing are none."""
+    rows = []
+    for name, (how, by, low, high) in knobs.items():
+        for step in by:
+            new = F.greatest(F.lit(low), F.least(F.lit(high), F.col(name) + step if how == "add" else F.col(name) * step)).cast(configs.schema[name].dataType)
+            rows.append(F.struct(F.lit(name).alias("knob"), *[(new if c == name else F.col(c)).alias(c) for c in configs.columns]))
+    flat = configs.withColumn("n_", F.explode(F.array(*rows)))
+    changed = [(F.col("n_.knob") == name) & (F.col(f"n_.{name}") != F.col(name)) for name in knobs]
+    test = changed[0]
+    for c in changed[1:]:
+        test = test | c
+    return flat.where(test).select("n_.*").distinct()
+
+
+def ledger(rounds: DataFrame, by: list[str], order: str = "round", value: str = "bpb") -> DataFrame:
+    """One row for each experiment with what was best before it and whether it was kept."""
+    return best_so_far(rounds, by, order, value).select(*by, order, value, "best", F.when(F.col("kept"), "KEEP").otherwise("DROP").alias("verdict"))
+
+
+def cross_validated(rows: DataFrame, features: list[str], label: str = "label", folds: int = 5, key: str = "doc_id") -> DataFrame:
+    """Accuracy of the calibration on each fold (by a hash of the key), fitted on the others; folds that cannot be fitted are left out."""
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds))).cache()
+    out = []
+    for k in range(folds):
+        model = fit_calibration(rows.where(F.col("fold") != k), features, label)
+        if model is None:
+            continue
+        z = F.lit(model["intercept"])
+        for name, c in model["coefficients"].items():
+            z = z + F.lit(c) * F.col(name)
+        n, right = rows.where(F.col("fold") == k).agg(F.count("*"), F.count_if((z > 0) == (F.col(label) == 1))).first()
+        if n:
+            out.append((k, n, right / n))
+    rows.unpersist()
+    return rows.sparkSession.createDataFrame(out, "fold int, n long, accuracy double")
 
 
 def best_so_far(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:

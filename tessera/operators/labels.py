@@ -16,11 +16,12 @@ def pair(subject: str, sub: str) -> Column:
 
 
 def course(raw: Column) -> Column:
-    """Subject and course by the course's key, null if it is none."""
+    """Subject and course by the course's key, an alias's key before it; null if it is none."""
     key = T.course_key(raw)
+    parent = {c: s for s, c in R.COURSES}
     out = F.lit(None).cast(PAIR)
-    for subject, name in reversed(R.COURSES):
-        out = F.when(key == T.course_key(F.lit(name)), pair(subject, name)).otherwise(out)
+    for name, of in [*((c, c) for _, c in R.COURSES), *R.COURSE_ALIASES]:
+        out = F.when(key == T.course_key(F.lit(name)), pair(parent[of], of)).otherwise(out)
     return out
 
 
@@ -45,21 +46,38 @@ def reconcile(subject: Column, sub: Column) -> Column:
     return F.coalesce(course(sub), course(subject), course_of_alias(sub), course_of_alias(subject), subject_of(subject), pair(R.UNCLASSIFIED, R.OTHER))
 
 
+def cover_single(evidence: Column) -> Column:
+    """The one course that evidence of the cover (.9 or more) names; if authoritative items name courses, theirs alone count. Null for none or several."""
+    strong = F.filter(evidence, lambda e: (e.source == "cover") & (e.polarity == "pro") & (e.confidence >= 0.9))
+    pairs = lambda items: F.array_distinct(F.filter(F.transform(F.flatten(F.transform(items, lambda e: e.targets)), course), lambda p: p.isNotNull()))
+    titled, named = pairs(F.filter(strong, lambda e: e.authoritative)), pairs(strong)
+    only = lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+    return F.when(F.size(titled) > 0, only(titled)).otherwise(only(named))
+
+
+def name_prior(evidence: Column) -> Column:
+    """The first course that evidence of the file name names; null without one."""
+    named = F.filter(F.transform(F.flatten(F.transform(F.filter(evidence, lambda e: e.source == "filename"), lambda e: e.targets)), course), lambda p: p.isNotNull())
+    return F.get(named, F.lit(0))
+
+
+def is_english(evidence: Column) -> Column:
+    """Evidence for English alone, at .9 or more."""
+    return F.exists(evidence, lambda e: (e.polarity == "pro") & (e.targets == F.array(F.lit("English"))) & (e.confidence >= 0.9))
+
+
 def priors(label: Column, evidence: Column, cover: Column) -> Column:
-    """Name, then cover, then language: evidence that overrides a label. Only the last touches unclassified ones."""
+    """Name, then cover (a pair, null for none), then language. Only the last touches unclassified labels."""
     unknown = label.subject == R.UNCLASSIFIED
-    named = F.filter(F.flatten(F.transform(F.filter(evidence, lambda e: e.source == "filename"), lambda e: e.targets)), lambda t: course(t).isNotNull())
-    by_name = course(F.get(named, F.lit(0)))
-    known = F.coalesce(by_name, course(cover), label)
-    english = F.exists(evidence, lambda e: (e.polarity == "pro") & (e.targets == F.array(F.lit("English"))) & (e.confidence >= 0.8))
-    return F.when(unknown & english, pair("English", R.OTHER)).when(unknown, label).otherwise(known)
+    known = F.coalesce(name_prior(evidence), cover, label)
+    return F.when(unknown & is_english(evidence), pair("English", R.OTHER)).when(unknown, label).otherwise(known)
 
 
 def rationale(subject: Column, confidence: Column, pro: Column, anti: Column, competing: Column, alternatives: Column, conflict: Column) -> Column:
     """One line; absent parts are skipped."""
     return F.concat_ws(
         " · ",
-        F.concat(F.lit("confidence "), F.format_string("%.2f", confidence)),
+        F.concat(F.lit("confidence "), F.round(F.round(confidence, 6).cast("decimal(10,6)"), 2).cast("string")),
         F.when(subject == R.UNCLASSIFIED, "unclassified"),
         F.when(pro > 0, F.concat(F.lit("for "), pro.cast("string"))),
         F.when(anti > 0, F.concat(F.lit("against "), anti.cast("string"))),

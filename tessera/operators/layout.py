@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources import written
+
 
 def islands(df: DataFrame, by: list[str], x: str, gap: Column, name: str = "island") -> DataFrame:
     """Sorted by x within a group, a new island where the step to the next is more than gap."""
@@ -77,24 +79,30 @@ def valid_islands(df: DataFrame, by: list[str], x: str, y: str, num: str, gap: C
     return df.withColumn("ok_", ok).withColumn("all_", F.min("ok_").over(per)).withColumn("n_", F.count("*").over(per)).where("all_ AND n_ >= 2").drop("ok_", "all_", "n_")
 
 
+def two_columns(by: list[str], col: str) -> Column:
+    """Whether a row's page has exactly the columns 0 and 1."""
+    w = Window.partitionBy(*by)
+    return (F.min(col).over(w) == 0) & (F.max(col).over(w) == 1)
+
+
 def drop_stragglers(df: DataFrame, by: list[str], col: str, num: str) -> DataFrame:
-    """On two-column pages, right numbers not above the left column's largest go, unless all would."""
+    """On pages with exactly the columns 0 and 1, right numbers not above the left column's largest go, unless all would."""
     w = Window.partitionBy(*by)
     left = F.max(F.when(F.col(col) == 0, F.col(num))).over(w)
-    late = (F.col(col) == 1) & (F.col(num) <= F.col("left_"))
-    df = df.withColumn("left_", left).withColumn("late_", F.coalesce(late, F.lit(False)))
+    late = F.col("two_") & (F.col(col) == 1) & (F.col(num) <= F.col("left_"))
+    df = df.withColumn("two_", two_columns(by, col)).withColumn("left_", left).withColumn("late_", F.coalesce(late, F.lit(False)))
     rights = F.sum(F.when(F.col(col) == 1, 1).otherwise(0)).over(w)
     lates = F.sum(F.when(F.col("late_"), 1).otherwise(0)).over(w)
-    return df.withColumn("r_", rights).withColumn("l_", lates).where("NOT late_ OR l_ = r_").drop("left_", "late_", "r_", "l_")
+    return df.withColumn("r_", rights).withColumn("l_", lates).where("NOT late_ OR l_ = r_").drop("two_", "left_", "late_", "r_", "l_")
 
 
 def repair_sequence(df: DataFrame, by: list[str], col: str, y: str, num: str) -> DataFrame:
-    """Where the left column's first number and its length give the right column's first, both are numbered through."""
+    """On pages with exactly the columns 0 and 1, where the left column's first number and its length give the right column's first, both are numbered through."""
     w = Window.partitionBy(*by)
     seq = F.row_number().over(Window.partitionBy(*by).orderBy(col, y))
     first = lambda k: F.min_by(F.when(F.col(col) == k, F.col(num)), F.when(F.col(col) == k, F.col(y))).over(w)
     n0 = F.sum(F.when(F.col(col) == 0, 1).otherwise(0)).over(w)
-    return df.withColumn("f0_", first(0)).withColumn("f1_", first(1)).withColumn("n0_", n0).withColumn("repaired", F.when(F.col("f0_") + F.col("n0_") == F.col("f1_"), F.col("f0_") + seq - 1).otherwise(F.col(num))).drop("f0_", "f1_", "n0_")
+    return df.withColumn("f0_", first(0)).withColumn("f1_", first(1)).withColumn("n0_", n0).withColumn("repaired", F.when(two_columns(by, col) & (F.col("f0_") + F.col("n0_") == F.col("f1_")), F.col("f0_") + seq - 1).otherwise(F.col(num))).drop("f0_", "f1_", "n0_")
 
 
 def extents(df: DataFrame, by: list[str], y: str, bottom: Column) -> DataFrame:
@@ -115,8 +123,32 @@ def reading_order(df: DataFrame, by: list[str], col: str, y: str, x: str, band:
     return df.withColumn("ord", F.row_number().over(w))
 
 
-def dedup_starts(df: DataFrame, page: list[str], num: str, y: str, body: str) -> DataFrame:
-    """Bodied rows before bare ones, then the highest of each number and band of 20."""
+def dedup_starts(df: DataFrame, page: list[str], num: str, y: str, body: str, *rest: str) -> DataFrame:
+    """Bodied rows before bare ones, then the highest of each number and band of 20, with the rest of its columns."""
     any_page = F.max(F.col(body).cast("int")).over(Window.partitionBy(*page))
     kept = df.withColumn("p_", any_page).where((F.col("p_") == 0) | F.col(body)).withColumn("band", F.bround(F.col(y) / 20).cast("long"))
-    return kept.groupBy(*page, num, "band").agg(F.min(y).alias(y))
+    return kept.groupBy(*page, num, "band").agg(F.min(F.struct(y, *rest)).alias("k_")).select(*page, num, "band", "k_.*")
+
+
+def edges(df: DataFrame, by: list[str], order: str, node: str) -> DataFrame:
+    """An edge from each node to the next, in order."""
+    w = Window.partitionBy(*by).orderBy(order)
+    return df.withColumn("before", F.lag(node).over(w)).where("before IS NOT NULL").select(*by, F.col("before").alias("src"), F.col(node).alias("dst"))
+
+
+def place(df: DataFrame, by: list[str], order: list[Column], name: str = "place") -> DataFrame:
+    """Row numbers within groups of any size: rows are dealt out in ranges of (by, order) and written, numbered within a range, and raised by the counts of the
+    ranges before (one row a range and group). No task gets a whole group."""
+    spark = df.sparkSession
+    keys = [F.col(c) for c in by]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(n, *keys, *order).withColumn("part_", F.spark_partition_id()))
+    own = F.row_number().over(Window.partitionBy(*by, "part_").orderBy(*order))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy(*by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = dealt.groupBy(*by, "part_").agg(F.count("*").alias("n_")).withColumn("before_", before).drop("n_")
+    return dealt.withColumn("own_", own).join(sizes, [*by, "part_"]).withColumn(name, F.col("own_") + F.col("before_")).drop("part_", "own_", "before_")
+
+
+def sort_number(num: Column) -> Column:
+    """Numbers as numbers, all else after them."""
+    return F.coalesce(num.cast("string").try_cast("int"), F.lit(9999))

@@ -23,13 +23,15 @@ def missing(ranges: DataFrame, items: DataFrame, doc: str = "doc") -> DataFrame:
     return flat.join(near.distinct(), [doc, "num", "rpage"], "left_anti")
 
 
-def outside(points: DataFrame, boxes: DataFrame, by: list[str]) -> DataFrame:
-    """Points of a page that lie in none of its boxes."""
-    inside = F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2"))
-    on = inside
-    for c in by:
+def outside(points: DataFrame, boxes: DataFrame, by: list[str], cell: float = 64.0) -> DataFrame:
+    """Points of a page that lie in none of its boxes. Boxes are told to every cell of a grid they touch, so points meet the boxes of their own cell alone; cells should be about as
+    wide as boxes."""
+    at = lambda c: F.floor(F.col(c) / cell)
+    cells = boxes.withColumns({"cx_": F.explode(F.sequence(at("x1"), at("x2")))}).withColumn("cy_", F.explode(F.sequence(at("y1"), at("y2"))))
+    on = F.col("p.x").between(F.col("b.x1"), F.col("b.x2")) & F.col("p.y").between(F.col("b.y1"), F.col("b.y2"))
+    for c in [*by, "cx_", "cy_"]:
         on = on & (F.col(f"p.{c}") == F.col(f"b.{c}"))
-    return points.alias("p").join(boxes.alias("b"), on, "left_anti")
+    return points.withColumns({"cx_": at("x"), "cy_": at("y")}).alias("p").join(cells.alias("b"), on, "left_anti").drop("cx_", "cy_")
 
 
 def asof_next(events: DataFrame, marks: DataFrame, by: str, at: str, mark: str) -> DataFrame:

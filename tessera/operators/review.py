@@ -11,9 +11,13 @@ KEY = ["source", "page", "num"]
 HUMAN = {"resolved": "boolean", "gold_subject": "string"}
 
 
-def evolve(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
-    """Q02: columns that an older snapshot lacks, as nulls of their type."""
-    return df.withColumns({c: F.lit(None).cast(t) for c, t in defaults.items() if c not in df.columns})
+#: Columns that were added to the log over time: type and default.
+ADDED = {"set_id": ("string", ""), "image_id": ("string", ""), "telemetry": ("string", "{}"), "resolved": ("boolean", False)}
+
+
+def evolve(df: DataFrame, added: dict[str, tuple] = ADDED) -> DataFrame:
+    """Q02: columns that an older snapshot lacks, filled with their defaults; those it has stay as they are."""
+    return df.withColumns({c: F.lit(v).cast(t) for c, (t, v) in added.items() if c not in df.columns})
 
 
 def upsert(log: DataFrame, batch: DataFrame, key: list[str] = KEY, human: tuple[str, ...] = tuple(HUMAN)) -> DataFrame:
@@ -50,16 +54,47 @@ def auto_review(items: DataFrame) -> DataFrame:
     return items.withColumn("final", F.coalesce(gold, pred)).withColumn("status", F.when(F.col("final").isNull(), "pending").otherwise("confirmed")).withColumn("note", F.when(gold.isNotNull(), "hint").when(pred.isNotNull(), "auto").otherwise(""))
 
 
-def evict(cache: DataFrame, cap: int) -> DataFrame:
-    """Newest entries up to a number of bytes; the newest always."""
-    w = Window.orderBy(F.desc("ts"), F.desc("key"))
-    return cache.withColumn("sum_", F.sum("nbytes").over(w)).withColumn("rn_", F.row_number().over(w)).where((F.col("sum_") <= cap) | (F.col("rn_") == 1)).drop("sum_", "rn_")
+def evict(cache: DataFrame, cap: int, buckets: int = 1024) -> DataFrame:
+    """The newest entries up to a number of bytes in all, and the newest always. Bytes are summed by ranges of ts (at most ``buckets``); only the
+    range in which the cap is reached is put in order."""
+    ends = cache.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.max(F.struct("ts", "key")).alias("newest"))
+    lo, hi, newest = (ends.select(c).scalar() for c in ("lo", "hi", "newest"))
+    of = F.least(F.floor((hi - F.col("ts")) / F.greatest((hi - lo) / buckets, F.lit(1e-9))), F.lit(buckets - 1)).cast("int")
+    rows = cache.withColumn("b_", of)
+    sums = rows.groupBy("b_").agg(F.sum("nbytes").alias("n_"))
+    sums = sums.withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before_") <= cap)
+    near = rows.join(F.broadcast(sums), "b_")  # at most ``buckets`` rows
+    w = Window.partitionBy("b_").orderBy(F.desc("ts"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = near.where(F.col("before_") + F.col("n_") <= cap).select(*cache.columns)
+    cut = near.where(F.col("before_") + F.col("n_") > cap).withColumn("sum_", F.col("before_") + F.sum("nbytes").over(w))
+    return whole.union(cut.where((F.col("sum_") <= cap) | (F.struct("ts", "key") == newest)).select(*cache.columns))
+
+
+def evict_tasks(tasks: DataFrame, most: int = 50, cap: int = 200 << 20) -> DataFrame:
+    """A registry (task, started, status, nbytes of captures): beyond ``most`` tasks the oldest finished ones go, then, beyond ``cap`` bytes in all, the captures of the oldest
+    finished ones (nbytes 0). A registry is as small as its first bound, so its windows have one partition."""
+    done = F.col("status").isin("completed", "failed")
+    w = Window.orderBy("started", "task")
+    rows = tasks.withColumns({"nth_": F.sum(done.cast("int")).over(w), "n_": F.count("*").over(Window.partitionBy())}).where(~(done & (F.col("nth_") <= F.col("n_") - most)))
+    heavy = F.when(done, F.col("nbytes")).otherwise(0)
+    gone = F.coalesce(F.sum(heavy).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumns({"all_": F.sum("nbytes").over(Window.partitionBy()), "gone_": gone})
+    return rows.withColumn("nbytes", F.when(done & (F.col("all_") - F.col("gone_") > cap), 0).otherwise(F.col("nbytes"))).drop("nth_", "n_", "all_", "gone_")
+
+
+def total_bytes(cache: DataFrame, column: str = "nbytes") -> DataFrame:
+    """The bytes of a cache, 0 for an empty one."""
+    return cache.agg(F.coalesce(F.sum(column), F.lit(0)).cast("long").alias("nbytes"))
+
 
+def capture_bytes(captures: DataFrame, by: list[str]) -> DataFrame:
+    """Characters of the encoded captures of each task."""
+    return captures.groupBy(*by).agg(F.coalesce(F.sum(F.length("image_b64")), F.lit(0)).cast("long").alias("n"))
 
-def evict_by(cache: DataFrame, by: list[str], cap: int) -> DataFrame:
-    """K03 in shares: the same within each group, so that no task holds the whole cache."""
-    w = Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc("key"))
-    return cache.withColumn("sum_", F.sum("nbytes").over(w)).withColumn("rn_", F.row_number().over(w)).where((F.col("sum_") <= cap) | (F.col("rn_") == 1)).drop("sum_", "rn_")
+
+def captures_of(captures: DataFrame, task: str) -> DataFrame:
+    """The captures of a task in order; none is an empty frame."""
+    return captures.where(F.col("task") == task).orderBy("index")
 
 
 def latest(puts: DataFrame, key: str = "key", at: str = "ts") -> DataFrame:
@@ -75,5 +110,73 @@ def file_parts(name: Column) -> tuple[Column, Column, Column]:
     return part(1), part(2).cast("int"), part(3).cast("int")
 
 
-def unclassified(c: Column) -> Column:
-    return c == R.UNCLASSIFIED
+def link_predictions(items: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Items (id, name) of file names like stem_p3_q7 with the prediction of the same stem, page and number; of several the first by file. Items without one have nulls, items
+    whose name has no marks are ``skipped``."""
+    stem, page, num = file_parts(F.col("name"))
+    rows = items.withColumns({"stem": stem, "page": page, "num": num.cast("string")})
+    own = F.regexp_replace(F.regexp_replace("file", r"^.*/", ""), r"\.[^.]*$", "")
+    given = predictions.withColumn("stem", own).groupBy("stem", "page", "num").agg(F.min(F.struct("file", "subject", "sub_subject", "confidence")).alias("p"))
+    return rows.join(given, ["stem", "page", "num"], "left").select("id", "stem", "page", "num", F.col("p.subject").alias("subject"), F.col("p.sub_subject").alias("sub_subject"), F.col("p.confidence").alias("confidence"), F.col("stem").isNull().alias("skipped"))
+
+
+def link_counts(linked: DataFrame) -> DataFrame:
+    """Updated, unmatched and skipped items, one row."""
+    return linked.agg(F.count_if(F.col("subject").isNotNull()).alias("updated"), F.count_if(F.col("subject").isNull() & ~F.col("skipped")).alias("unmatched"), F.count_if("skipped").alias("skipped"))
+
+
+def correct(items: DataFrame, answers: DataFrame) -> DataFrame:
+    """Q16: items whose id has an answer (subject, unit) become confirmed by hand."""
+    found = items.join(answers.select("id", F.col("subject").alias("s_"), F.coalesce("unit", F.lit("")).alias("u_")), "id", "left")
+    hit = F.col("s_").isNotNull()
+    return found.withColumns({"status": F.when(hit, "confirmed").otherwise(F.col("status")), "gold_subject": F.coalesce("s_", "gold_subject"), "gold_unit": F.when(hit, F.col("u_")).otherwise(F.col("gold_unit")), "note": F.when(hit, "manual").otherwise(F.col("note"))}).drop("s_", "u_")
+
+
+def reject(items: DataFrame, ids: DataFrame) -> DataFrame:
+    """Q16: items of these ids become rejected by hand."""
+    found = items.join(ids.select("id").distinct().withColumn("hit_", F.lit(True)), "id", "left")
+    return found.withColumns({"status": F.when(F.col("hit_"), "rejected").otherwise(F.col("status")), "note": F.when(F.col("hit_"), "manual").otherwise(F.col("note"))}).drop("hit_")
+
+
+def item_stats(items: DataFrame) -> DataFrame:
+    """Items by status; of confirmed ones not by hand how many agree with their prediction; of those by hand the accuracy in percent."""
+    gold, pred = F.col("gold_subject"), F.col("pred_subject")
+    auto = (F.col("status") == "confirmed") & (gold != "") & (F.col("note") != "manual")
+    hand = (F.col("note") == "manual") & (gold != "") & (pred != "")
+    return items.groupBy("status").agg(F.count("*").alias("n"), F.count_if(auto).alias("auto"), F.count_if(auto & (gold == pred)).alias("agree"), F.count_if(hand).alias("hand"), F.round(F.avg(F.when(hand, F.when(gold == pred, 100.0).otherwise(0.0))), 6).alias("accuracy"))
+
+
+TELEMETRY = "pro_match double, anti_match double, competing double, rule_conflict string, raw_confidence string"
+
+
+def training_rows(log: DataFrame) -> DataFrame:
+    """Rows to learn from: resolved, with a label, classified. Telemetry is JSON: what is no object counts as empty, rows whose JSON is broken or whose confidence is no number
+    are left out. The confidence before calibration counts, else the stored one; label 1 where the answer is the prediction."""
+    text = F.nullif(F.trim(F.coalesce("telemetry", F.lit(""))), F.lit(""))
+    kind = F.schema_of_variant(F.try_parse_json(text))
+    kept = log.where("resolved AND trim(coalesce(gold_subject, '')) <> ''").where(F.coalesce("subject", F.lit("")) != R.UNCLASSIFIED).withColumns({"kind_": kind, "broken_": text.isNotNull() & F.try_parse_json(text).isNull(), "t_": F.from_json(text, TELEMETRY)})
+    raw = F.coalesce(F.col("t_.raw_confidence"), F.col("confidence").cast("string"), F.lit("0"))
+    number = lambda c: F.coalesce(F.when(F.startswith("kind_", F.lit("OBJECT")), F.col(f"t_.{c}")), F.lit(0.0))
+    conflict = F.coalesce(F.when(F.startswith("kind_", F.lit("OBJECT")), ~F.col("t_.rule_conflict").isin("false", "0", "")), F.lit(False))
+    own = F.when(F.startswith("kind_", F.lit("OBJECT")), raw).otherwise(F.coalesce(F.col("confidence").cast("string"), F.lit("0"))).try_cast("double")
+    keep = [c for c in log.columns if c in (*KEY, "id", "doc_id")]
+    return kept.where("NOT broken_").select(*keep, number("pro_match").alias("pro_match"), number("anti_match").alias("anti_match"), number("competing").alias("competing"), conflict.cast("int").alias("rule_conflict"), own.alias("confidence"), (F.col("gold_subject") == F.coalesce("subject", F.lit(""))).cast("int").alias("label")).where("confidence IS NOT NULL")
+
+
+def seed(manifest: DataFrame, results: DataFrame, cap: int = 10_000) -> DataFrame:
+    """Results (source, page, num, ...) of the files of a manifest (source, gold_subject, first, last pages or null): the first ``cap`` of each file within its pages, resolved with its label."""
+    rows = results.join(manifest.select("source", F.col("gold_subject").alias("gold_"), "first", "last"), "source").where("page BETWEEN coalesce(first, page) AND coalesce(last, page)")
+    w = Window.partitionBy("source").orderBy("page", "num")
+    return rows.withColumn("r_", F.row_number().over(w)).where(F.col("r_") <= cap).withColumns({"resolved": F.lit(True), "gold_subject": F.col("gold_")}).drop("r_", "gold_", "first", "last")
+
+
+def first_of_each(rows: DataFrame, by: str, order: str, low: int, high: int, most: int) -> DataFrame:
+    """Rows between two bounds of ``order``, inclusive, the first few of each."""
+    kept = rows.where(F.col(order).between(low, high))
+    return kept.withColumn("r_", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("r_") <= most).drop("r_")
+
+
+def split_by_cache(requests: DataFrame, cache: DataFrame, by: str, key: str = "key") -> DataFrame:
+    """How many requests of each group the cache answers, and how many not."""
+    found = requests.join(cache.select(key).distinct().withColumn("hit", F.lit(True)), key, "left")
+    return found.groupBy(by).agg(F.count_if(F.col("hit").isNotNull()).alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"))

@@ -6,7 +6,6 @@ Counts are BIGINT and doubles rounded to six places on both sides.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +16,7 @@ from tessera.functions import jsonfix, scalars
 from tessera.functions import rules as R
 from tessera.functions import text as T
 from tessera.operators import confidence, evaluate, evidence, labels, layout, ranges, review, web
-from tessera.sources import table
+from tessera.sources import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,13 +42,19 @@ def r6(c, name: str):
 
 # --- text -----------------------------------------------------------------------------------------------------------
 
-TN = "regexp_replace(lower(replace(coalesce(text, ''), ' ', '')), '[·・･‧•]', '', 'g')"
+def sql_norm(text: str) -> str:
+    return f"lower(translate(nfc_normalize(coalesce({text}, '')), 'ⅢⅡⅠⅲⅱⅰ ·・･‧•', '321321'))"
 
 
-@query(f"SELECT doc_id, CAST(len({TN}) AS BIGINT) AS n_norm, sha256({TN}) AS norm_sha256, CAST(len(regexp_replace(text, '\\s+', '', 'g')) AS BIGINT) AS n_solid FROM documents")
+TN = sql_norm("text")
+#: White space in the sense of Unicode.
+SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@query(f"SELECT doc_id, CAST(len({TN}) AS BIGINT) AS n_norm, sha256({TN}) AS norm_sha256, CAST(len(regexp_replace(text, '{SPACE}+', '', 'g')) AS BIGINT) AS n_solid FROM documents")
 def norm_text_profile(spark, sf):
-    tn = T.norm(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.length(tn).cast("long").alias("n_norm"), F.sha2(tn, 256).alias("norm_sha256"), F.length(F.regexp_replace("text", r"\s+", "")).cast("long").alias("n_solid"))
+    d = table(spark, sf, "documents").select("doc_id", "text", T.norm(T.composed(F.col("text"))).alias("tn"))
+    return d.select("doc_id", F.length("tn").cast("long").alias("n_norm"), F.sha2("tn", 256).alias("norm_sha256"), F.length(T.without_space(F.col("text"))).cast("long").alias("n_solid"))
 
 
 RULES = R.rules_sql()
@@ -58,30 +63,28 @@ EV = f"d AS (SELECT *, {TN} AS tn FROM documents), ev AS (SELECT doc_id, r.* FRO
 
 @query(f"WITH {EV} SELECT doc_id, scan, keyword, polarity, confidence FROM ev")
 def evidence_scan(spark, sf):
-    rows = evidence.scan(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode("evidence").alias("e"))
+    # An outer explode: the optimizer would repeat the scan in the filter it infers for an inner one.
+    rows = evidence.scan(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode_outer("evidence").alias("e")).where("e IS NOT NULL")
     return rows.select("doc_id", "e.scan", "e.keyword", "e.polarity", "e.confidence")
 
 
 @query(
     f"""WITH {EV}, t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, rank) AS n FROM ev)
-    SELECT doc_id, string_agg(concat('- ', keyword, ' [', source, '/', CASE polarity WHEN 'pro' THEN '+' ELSE '-' END, '] -> ', array_to_string(targets[1:3], '/')), chr(10) ORDER BY n) AS lines FROM t WHERE n <= 5 GROUP BY doc_id"""
+    SELECT doc_id, string_agg(concat('- ', keyword, ' (weight:', printf('%.2f', confidence), ') [', source, '/', CASE polarity WHEN 'pro' THEN '+' ELSE '-' END, '] -> ', array_to_string(targets[1:3], '/')), chr(10) ORDER BY n) AS lines FROM t WHERE n <= 12 GROUP BY doc_id"""
 )
 def evidence_topk(spark, sf):
-    rows = evidence.scan(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", evidence.top(F.col("evidence"), 5).alias("t")).where(F.size("t") > 0)
-    return rows.select("doc_id", F.array_join(F.transform("t", evidence.line), "\n").alias("lines"))
+    rows = evidence.scan(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode_outer(F.array(evidence.lines(F.col("evidence")))).alias("lines"))
+    return rows.where("lines <> ''")
 
 
-_WORDS = "|".join(R.FUNCTION_WORDS)
+#: English as F10 tells it: whole words in the sense of Unicode.
+ENGLISH = f"""coalesce(len(regexp_extract_all(text, '[A-Za-z]')) >= 60 AND len(regexp_extract_all(text, '[A-Za-z]')) >= 5 * len(regexp_extract_all(text, '[가-힣]'))
+  AND len(list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pM\\p{{Nd}}\\p{{Pc}}]+'), lambda w: list_contains({R.sql_array(R.FUNCTION_WORDS)}, w))) >= 3, false)"""
 
 
-@query(
-    f"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z]')) AS BIGINT) AS latin,
-    coalesce(len(regexp_extract_all(text, '[A-Za-z]')) >= 60 AND len(regexp_extract_all(text, '[A-Za-z]')) >= 5 * len(regexp_extract_all(text, '[가-힣]')) AND len(regexp_extract_all(translate(text, 'éèêçñóíäöüßÉÈÊÇÑÓÍÄÖÜáúàùâîôûëïÀÂÔÚÁ', 'xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx'), '(?i)\\b(?:{_WORDS})\\b')) >= 3, false) AS english FROM documents"""
-)
+@query(f"SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z]')) AS BIGINT) AS latin, {ENGLISH} AS english FROM documents")
 def english_evidence(spark, sf):
-    d = table(spark, sf, "documents")
-    plain = F.translate("text", "éèêçñóíäöüßÉÈÊÇÑÓÍÄÖÜáúàùâîôûëïÀÂÔÚÁ", "x" * 39)
-    return d.select("doc_id", F.regexp_count("text", F.lit("[A-Za-z]")).cast("long").alias("latin"), evidence.english(plain).alias("english"))
+    return table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit("[A-Za-z]")).cast("long").alias("latin"), evidence.english(F.col("text")).alias("english"))
 
 
 @query(
@@ -91,11 +94,12 @@ def english_evidence(spark, sf):
       UNION ALL SELECT doc_id, 'absent', 0, 0.5 FROM m WHERE n > 200 AND hits = 0
       UNION ALL SELECT doc_id, 'high', 1, 0.65 FROM m WHERE n >= 20 AND regexp_matches(text, '(?i)prove|derive|show that')
       UNION ALL SELECT doc_id, 'low', 1, 0.4 FROM m WHERE n >= 20 AND NOT regexp_matches(text, '(?i)prove|derive|show that') AND regexp_matches(text, '(?i)choose|select|find')
+      UNION ALL SELECT doc_id, 'marked', 1, 0.6 FROM m WHERE n >= 20 AND regexp_matches(text, '(?i)\\[[34] points\\]|<\\s*notes\\s*>')
       UNION ALL SELECT doc_id, 'terms', w / n, 0.5 FROM m WHERE n > 100 AND w / n > 0.55)
     SELECT doc_id, signal, round(CAST(value AS DOUBLE), 6) AS value, round(CAST(c AS DOUBLE), 6) AS confidence FROM s"""
 )
 def depth_signals(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(evidence.depth(F.col("text"))).alias("s")).select("doc_id", "s.*")
+    return table(spark, sf, "documents").select("doc_id", F.explode_outer(evidence.depth(F.col("text"))).alias("s")).where("s IS NOT NULL").select("doc_id", "s.*")
 
 
 @query(
@@ -106,7 +110,7 @@ def clean_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.trim(T.clean_prompt(F.col("text"))), 256).alias("prompt_sha256"), F.sha2(T.clean_passage(F.col("text")), 256).alias("passage_sha256"))
 
 
-@query("SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS BIGINT) AS n_sentences FROM documents")
+@query(f"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?]){SPACE}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS BIGINT) AS n_sentences FROM documents")
 def sentence_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
 
@@ -131,14 +135,14 @@ NAMES, ALIASES = ["thenand", "ionof", "eau", "ción"], [("ion", "ionof"), ("und"
 
 
 @query(
-    f"""WITH t AS (SELECT page_id, regexp_replace(lower(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), ' ', '')), '[·・･‧•]', '', 'g') AS t FROM pages),
+    f"""WITH t AS (SELECT page_id, {sql_norm("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")} AS t FROM pages),
     n AS (SELECT page_id, t, list_filter({R.sql_array(NAMES)}, lambda n: contains(t, n)) AS named FROM t),
     f AS (SELECT page_id, named, list_filter([{", ".join(f"{{'a': '{a}', 'n': '{n}'}}" for a, n in ALIASES)}], lambda x: contains(t, x.a) AND len(list_filter(named, lambda n: contains(n, x.a))) = 0) AS other FROM n)
     SELECT page_id, CAST(len(named) AS BIGINT) AS n_named, CAST(len(other) AS BIGINT) AS n_alias,
       CASE WHEN len(list_distinct(list_concat(named, list_transform(other, lambda x: x.n)))) = 1 THEN list_concat(named, list_transform(other, lambda x: x.n))[1] END AS single FROM f"""
 )
 def cover_rules(spark, sf):
-    title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
+    title = T.composed(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1))
     found = evidence.cover(table(spark, sf, "pages").select("page_id", title.alias("title")), "title", NAMES, ALIASES)
     by = lambda c: F.size(F.filter("found", lambda f: f.confidence == c)).cast("long")
     return found.select("page_id", by(0.92).alias("n_named"), by(0.9).alias("n_alias"), "single")
@@ -182,9 +186,11 @@ def labelled(spark, sf) -> DataFrame:
     )
 
 
-FOLD = f"""WITH d AS (SELECT *, {TN} AS tn, {LABEL_SQL} FROM documents),
-e AS (SELECT d.doc_id, subject, sub_subject, r.*, list_contains(targets, 'Unclassified') AS isglob, list_contains(targets, subject) OR list_contains(targets, sub_subject) AS hit,
-  CASE WHEN r.source = 'filename' THEN 1.5 ELSE 1.0 END * confidence AS s FROM d JOIN {RULES} ON contains(tn, keyword)),
+def fold_sql(rows: str, items: str) -> str:
+    """The fold A01 and M04 over rows (doc_id, source, lang, subject, sub_subject, raw_confidence) and their items (doc_id, keyword, polarity, targets, confidence, source)."""
+    return f"""WITH d AS ({rows}), i AS ({items}),
+e AS (SELECT d.doc_id, subject, sub_subject, i.* EXCLUDE (doc_id), list_contains(targets, 'Unclassified') OR list_contains(targets, 'All') AS isglob, list_contains(targets, subject) OR list_contains(targets, sub_subject) AS hit,
+  CASE WHEN i.source = 'filename' THEN 1.5 ELSE 1.0 END * confidence AS s FROM d JOIN i USING (doc_id)),
 a AS (SELECT doc_id,
   count(*) FILTER (isglob AND polarity = 'anti') AS everywhere,
   count(*) FILTER (NOT isglob AND hit AND polarity = 'pro') AS pro, coalesce(sum(s) FILTER (NOT isglob AND hit AND polarity = 'pro'), 0) AS pro_s,
@@ -201,6 +207,14 @@ c AS (SELECT *, greatest(0, least(0.99, CASE WHEN unk THEN least(raw, 0.25) ELSE
   - CASE WHEN rule_conflict THEN 0.08 ELSE 0 END - CASE WHEN sub_subject = 'Other' AND pro_s < 1 THEN 0.12 ELSE 0 END END)) AS conf FROM n)"""
 
 
+RULE_ITEMS = f"SELECT doc_id, keyword, polarity, targets, confidence, r.source FROM (SELECT doc_id, {TN} AS tn FROM documents) JOIN {RULES} ON contains(tn, keyword)"
+#: Documents with evidence of a rule that stands for the file name.
+NAMED = f"doc_id IN (SELECT doc_id FROM ({RULE_ITEMS}) WHERE source = 'filename')"
+FOLD = fold_sql(f"SELECT *, {LABEL_SQL} FROM documents", RULE_ITEMS)
+RATIONALE = """concat_ws(' · ', 'confidence ' || CAST(round(CAST(round(CAST(conf AS DOUBLE), 6) AS DECIMAL(10, 6)), 2) AS VARCHAR), CASE WHEN unk THEN 'unclassified' END, CASE WHEN pro_match > 0 THEN 'for ' || pro_match END, CASE WHEN anti_match > 0 THEN 'against ' || anti_match END,
+    CASE WHEN competing > 0 AND len(alternatives) > 0 THEN 'rivals: ' || array_to_string(alternatives[1:3], ', ') WHEN competing > 0 THEN 'rivals ' || competing END, CASE WHEN rule_conflict THEN 'conflict' END, CASE WHEN pro_match = 0 AND anti_match = 0 AND competing = 0 THEN 'no evidence' END)"""
+
+
 def folded(spark, sf, weights: dict | None = None) -> DataFrame:
     return confidence.fold(evidence.scan(labelled(spark, sf)), weights)
 
@@ -218,15 +232,10 @@ def learned_confidence(spark, sf):
     return folded(spark, sf, WEIGHTS).select("doc_id", r6(F.col("confidence"), "confidence"))
 
 
-@query(
-    FOLD
-    + """ SELECT doc_id, concat_ws(' · ', 'raw ' || CAST(CAST(round(raw * 100) AS BIGINT) AS VARCHAR), CASE WHEN unk THEN 'unclassified' END, CASE WHEN pro_match > 0 THEN 'for ' || pro_match END, CASE WHEN anti_match > 0 THEN 'against ' || anti_match END,
-    CASE WHEN competing > 0 AND len(alternatives) > 0 THEN 'rivals: ' || array_to_string(alternatives[1:3], ', ') WHEN competing > 0 THEN 'rivals ' || competing END, CASE WHEN rule_conflict THEN 'conflict' END, CASE WHEN pro_match = 0 AND anti_match = 0 AND competing = 0 THEN 'no evidence' END) AS why FROM c"""
-)
+@query(FOLD + f" SELECT doc_id, {RATIONALE} AS why FROM c")
 def rationale_text(spark, sf):
     full = labels.rationale(*[F.col(c) for c in ("subject", "confidence", "pro_match", "anti_match", "competing", "alternatives", "rule_conflict")])
-    tail = F.regexp_replace(full, r"^confidence \d+\.\d+", "")
-    return folded(spark, sf).select("doc_id", F.concat(F.lit("raw "), F.round(F.col("raw_confidence") * 100).cast("long"), tail).alias("why"))
+    return folded(spark, sf).select("doc_id", full.alias("why"))
 
 
 FLAG = "CASE WHEN rule_conflict THEN 'conflict' WHEN unk THEN 'unclassified' WHEN conf < 0.5 THEN 'low_confidence' END"
@@ -271,15 +280,19 @@ def reconcile_labels(spark, sf):
     return table(spark, sf, "documents").select("doc_id", labels.reconcile(subject, sub).alias("l"), scalars.norm_confidence(said).alias("confidence"), scalars.clamp_score(points).cast("long").alias("score")).select("doc_id", "l.*", "confidence", "score")
 
 
+PRIOR_NAMES = "CASE doc_id % 17 WHEN 0 THEN 'calc-' WHEN 2 THEN 'okafor-' ELSE '' END"
+
+
 @query(
-    FOLD
-    + """, f AS (SELECT doc_id, max(source = 'filename') AS named, max(keyword = 'the' OR keyword = 'with' OR keyword = 'that') AS eng FROM e GROUP BY doc_id)
-    SELECT doc_id, CASE WHEN unk AND coalesce(eng, false) THEN 'English' WHEN unk THEN subject WHEN coalesce(named, false) THEN 'English' WHEN doc_id % 11 = 0 THEN 'Mathematics' ELSE subject END AS subject,
-      CASE WHEN unk AND coalesce(eng, false) THEN 'Other' WHEN unk THEN sub_subject WHEN coalesce(named, false) THEN 'Reading' WHEN doc_id % 11 = 0 THEN 'Calculus' ELSE sub_subject END AS sub_subject FROM c LEFT JOIN f USING (doc_id)"""
+    f"""WITH x AS (SELECT doc_id, {LABEL_SQL}, {ENGLISH} AS eng, {NAMED} AS named FROM documents)
+    SELECT doc_id, CASE WHEN subject = 'Unclassified' THEN CASE WHEN eng THEN 'English' ELSE subject END WHEN named THEN 'English' WHEN doc_id % 17 = 0 OR doc_id % 11 = 0 THEN 'Mathematics' ELSE subject END AS subject,
+      CASE WHEN subject = 'Unclassified' THEN 'Other' WHEN named THEN 'Reading' WHEN doc_id % 17 = 0 OR doc_id % 11 = 0 THEN 'Calculus' ELSE sub_subject END AS sub_subject FROM x"""
 )
 def classify_priors(spark, sf):
-    rows = evidence.scan(labelled(spark, sf)).withColumn("label", F.struct("subject", "sub_subject")).withColumn("cover", F.when(F.col("doc_id") % 11 == 0, "Calculus"))
-    return rows.select("doc_id", labels.priors(F.col("label"), F.col("evidence"), F.col("cover")).alias("l")).select("doc_id", "l.*")
+    name = F.concat(F.when(F.col("doc_id") % 17 == 0, "calc-").when(F.col("doc_id") % 17 == 2, "okafor-").otherwise(""), "source", F.lit(".pdf"))
+    rows = labelled(spark, sf).withColumns({"name": name, "cover": F.when(F.col("doc_id") % 11 == 0, "Science area (Calculus), reading").otherwise(""), "label": F.struct("subject", "sub_subject")})
+    rows = evidence.pre_classify(rows, "text", "name", "cover")
+    return rows.select("doc_id", labels.priors(F.col("label"), F.col("evidence"), labels.cover_single(F.col("evidence"))).alias("l")).select("doc_id", "l.*")
 
 
 # --- review log -----------------------------------------------------------------------------------------------------
@@ -336,19 +349,32 @@ def auto_review(spark, sf):
     return review.auto_review(review_items(spark, sf))
 
 
-@query(f"WITH {AUTO} SELECT CASE WHEN final IS NULL THEN 'pending' ELSE 'confirmed' END AS status, count(*) AS n, count(*) FILTER (gold <> '' AND gold = pred) AS agree, round(avg(CASE WHEN gold <> '' THEN CASE WHEN pred = gold THEN 100.0 ELSE 0 END END), 6) AS accuracy FROM a GROUP BY 1")
+@query(
+    """WITH i AS (SELECT doc_id % 3 AS k, CASE doc_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'rejected' ELSE 'confirmed' END AS status, CASE WHEN quality = 1 THEN 'good' ELSE '' END AS gold, CASE WHEN toxic = 1 THEN 'toxic' WHEN doc_id % 2 = 0 THEN 'good' ELSE '' END AS pred, CASE WHEN doc_id % 5 = 0 THEN 'manual' ELSE '' END AS note FROM labels)
+    SELECT status, count(*) AS n, count(*) FILTER (status = 'confirmed' AND gold <> '' AND note <> 'manual') AS auto, count(*) FILTER (status = 'confirmed' AND gold <> '' AND note <> 'manual' AND gold = pred) AS agree,
+      count(*) FILTER (note = 'manual' AND gold <> '' AND pred <> '') AS hand, round(avg(CASE WHEN gold = pred THEN 100.0 ELSE 0 END) FILTER (note = 'manual' AND gold <> '' AND pred <> ''), 6) AS accuracy FROM i GROUP BY status"""
+)
 def review_db_stats(spark, sf):
-    given = F.col("gold") != ""
-    same = given & (F.col("gold") == F.col("pred"))
-    return review.auto_review(review_items(spark, sf)).groupBy("status").agg(F.count("*").alias("n"), F.count_if(same).alias("agree"), r6(F.avg(F.when(given, F.when(same, 100.0).otherwise(0.0))), "accuracy"))
+    d = F.col("doc_id")
+    rows = table(spark, sf, "labels").select(
+        F.when(d % 4 == 0, "pending").when(d % 4 == 1, "rejected").otherwise("confirmed").alias("status"), F.when(F.col("quality") == 1, "good").otherwise("").alias("gold_subject"),
+        F.when(F.col("toxic") == 1, "toxic").when(d % 2 == 0, "good").otherwise("").alias("pred_subject"), F.when(d % 5 == 0, "manual").otherwise("").alias("note"),
+    )
+    return review.item_stats(rows)
 
 
-@query("WITH n AS (SELECT page_id, concat(split_part(url, '/', 3), CASE WHEN page_id % 4 = 0 THEN '' ELSE concat('_p', page_id % 10, '_q', page_id) END, '.png') AS name FROM pages), k AS (SELECT page_id, regexp_extract(name, '^(.*)_p(\\d+)_q(\\d+)', 1) AS stem, CAST(nullif(regexp_extract(name, '^(.*)_p(\\d+)_q(\\d+)', 3), '') AS INT) AS q FROM n) SELECT page_id, stem, CAST(q AS BIGINT) AS q, lang FROM k JOIN documents d ON d.doc_id = k.q WHERE stem <> ''")
+@query(
+    """WITH n AS (SELECT page_id AS id, split_part(url, '/', 3) AS stem, page_id % 10 AS page, CASE WHEN page_id % 4 <> 0 THEN CAST(page_id AS VARCHAR) END AS num FROM pages),
+    p AS (SELECT concat(split_part(url, '/', 3)) AS stem, page_id % 10 AS page, CAST(page_id AS VARCHAR) AS num, lang FROM pages JOIN documents ON doc_id = page_id WHERE page_id % 3 <> 0)
+    SELECT id, CASE WHEN n.num IS NOT NULL THEN n.stem END AS stem, n.num AS q, lang AS subject, n.num IS NULL AS skipped FROM n LEFT JOIN p USING (stem, page, num)"""
+)
 def link_pred(spark, sf):
-    name = F.concat(F.split("url", "/")[2], F.when(F.col("page_id") % 4 == 0, "").otherwise(F.concat(F.lit("_p"), F.col("page_id") % 10, F.lit("_q"), "page_id")), F.lit(".png"))
-    stem, _, q = review.file_parts(F.col("name"))
-    named = table(spark, sf, "pages").select("page_id", name.alias("name")).select("page_id", stem.alias("stem"), q.cast("long").alias("q")).where("stem IS NOT NULL")
-    return named.join(table(spark, sf, "documents").select(F.col("doc_id").alias("q"), "lang"), "q").select("page_id", "stem", "q", "lang")
+    stem = F.split("url", "/")[2]
+    p = table(spark, sf, "pages")
+    name = F.concat(stem, F.when(F.col("page_id") % 4 == 0, "").otherwise(F.concat(F.lit("_p"), F.col("page_id") % 10, F.lit("_q"), "page_id")), F.lit(".png"))
+    given = p.where("page_id % 3 <> 0").join(table(spark, sf, "documents"), F.col("doc_id") == F.col("page_id"))
+    given = given.select(F.concat(F.lit("in/"), stem, F.lit(".pdf")).alias("file"), (F.col("page_id") % 10).alias("page"), F.col("page_id").cast("string").alias("num"), F.col("lang").alias("subject"), F.lit("").alias("sub_subject"), F.lit(0.5).alias("confidence"))
+    return review.link_predictions(p.select(F.col("page_id").alias("id"), name.alias("name")), given).select("id", "stem", F.col("num").alias("q"), "subject", "skipped")
 
 
 FEATURES = "pro_match, anti_match, competing, rule_conflict"
@@ -400,21 +426,21 @@ def eval_rollup(spark, sf):
 
 @query("SELECT conv_id, turn, role FROM conversations WHERE turn BETWEEN 1 AND 4 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2")
 def page_filter_cap(spark, sf):
-    rows = table(spark, sf, "conversations").where(F.col("turn").between(1, 4))
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("r <= 2").select("conv_id", "turn", "role")
+    return review.first_of_each(table(spark, sf, "conversations"), "conv_id", "turn", 1, 4, 2).select("conv_id", "turn", "role")
 
 
-@query(f"{SNAP}, {UPSERT} SELECT num, reason, true AS resolved, lang AS gold_subject FROM u JOIN (SELECT doc_id AS num, lang FROM documents) USING (num) WHERE num % 4 = 0")
+@query("WITH m AS (SELECT DISTINCT source, concat('gold-', source) AS gold_subject, 2 AS lo, CASE WHEN source LIKE '%1' THEN NULL ELSE 7 END AS hi FROM documents WHERE length(source) % 2 = 0) SELECT doc_id AS num, gold_subject, true AS resolved FROM documents JOIN m USING (source) WHERE doc_id % 10 BETWEEN lo AND coalesce(hi, doc_id % 10) QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id % 10, doc_id) <= 40")
 def seed_gold(spark, sf):
-    answers = table(spark, sf, "documents").where("doc_id % 4 = 0").select("source", (F.col("doc_id") % 10).alias("page"), F.col("doc_id").alias("num"), F.col("lang").alias("gold"))
-    return review.resolve(review.upsert(*snapshot(spark, sf)), answers).where("num % 4 = 0").select("num", "reason", "resolved", "gold_subject")
+    d = table(spark, sf, "documents")
+    manifest = d.where(F.length("source") % 2 == 0).select("source", F.concat(F.lit("gold-"), "source").alias("gold_subject"), F.lit(2).alias("first"), F.when(~F.endswith("source", F.lit("1")), 7).alias("last")).distinct()
+    return review.seed(manifest, d.select("source", (F.col("doc_id") % 10).alias("page"), F.col("doc_id").alias("num")), 40).select("num", "gold_subject", "resolved")
 
 
-_BAG = """regexp_replace(coalesce({0}, ''), '\\s+', '', 'g')"""
+_BAG = "regexp_replace(coalesce(@, ''), '" + SPACE + "+', '', 'g')"
 
 
 @query(
-    f"""WITH p AS (SELECT item_id, b.text AS a, d.text AS t FROM benchmark b JOIN documents d ON d.doc_id = b.item_id), x AS (SELECT item_id, unnest(string_split({_BAG.format("a")}, '')) AS ch FROM p), y AS (SELECT item_id, unnest(string_split({_BAG.format("t")}, '')) AS ch FROM p),
+    f"""WITH p AS (SELECT item_id, b.text AS a, d.text AS t FROM benchmark b JOIN documents d ON d.doc_id = b.item_id), x AS (SELECT item_id, unnest(string_split({_BAG.replace("@", "a")}, '')) AS ch FROM p), y AS (SELECT item_id, unnest(string_split({_BAG.replace("@", "t")}, '')) AS ch FROM p),
     n AS (SELECT item_id, ch, count(*) AS n FROM x WHERE ch <> '' GROUP BY ALL), m AS (SELECT item_id, ch, count(*) AS m FROM y WHERE ch <> '' GROUP BY ALL),
     s AS (SELECT item_id, CAST(sum(least(coalesce(n, 0), coalesce(m, 0))) AS BIGINT) AS common, sum(coalesce(n, 0)) AS a, sum(coalesce(m, 0)) AS b FROM n FULL JOIN m USING (item_id, ch) GROUP BY item_id)
     SELECT item_id, common, round(common / nullif(a, 0), 6) AS recall, round(common / nullif(b, 0), 6) AS precision, round(2 * common / nullif(a + b, 0), 6) AS f1 FROM s"""
@@ -489,10 +515,42 @@ def succ_chain(spark, sf):
     return sequences(spark, sf).select("l_orderkey", layout.chain(F.col("seq")).cast("long").alias("chain"))
 
 
-@query()
+CANDS = "c AS (SELECT l_orderkey AS page, l_quantity AS x, l_extendedprice AS y, CAST(l_linenumber AS BIGINT) AS num FROM lineitem)"
+
+
+def candidates(spark, sf) -> DataFrame:
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), F.col("l_linenumber").cast("long").alias("num"), F.lit(400.0).alias("width"))
+
+
+@query(
+    f"""WITH RECURSIVE {CANDS}, g AS (SELECT *, sum(CASE WHEN x - p > 4.8 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY x, y, num ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, lag(x) OVER (PARTITION BY page ORDER BY x, y, num) AS p FROM c)),
+    s AS (SELECT page, island, x, num AS v, row_number() OVER (PARTITION BY page, island ORDER BY y, x, num) AS i FROM g),
+    l AS (SELECT page, island, i, v, 1 AS n FROM s UNION SELECT s.page, s.island, s.i, s.v, l.n + 1 FROM l JOIN s ON s.page = l.page AND s.island = l.island AND s.i > l.i AND s.v > l.v),
+    k AS (SELECT page, island, i, v, 1 AS n FROM s UNION SELECT s.page, s.island, s.i, s.v, k.n + 1 FROM k JOIN s ON s.page = k.page AND s.island = k.island AND s.i > k.i AND s.v = k.v + 1),
+    m AS (SELECT page, island, min(x) AS lo, max(x) AS hi, count(*) AS n FROM s GROUP BY ALL),
+    q AS (SELECT m.*, (SELECT max(n) FROM k WHERE k.page = m.page AND k.island = m.island) AS chain, (SELECT max(n) FROM l WHERE l.page = m.page AND l.island = m.island) AS rise FROM m),
+    t AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY page ORDER BY chain DESC, rise DESC, n DESC, lo) <= 2)
+    SELECT page, row_number() OVER (PARTITION BY page ORDER BY lo) - 1 AS col, lo AS baseline, CAST(greatest(0, lo - 8) AS DOUBLE) AS "left", CAST(least(400, hi + 8) AS DOUBLE) AS "right", CAST(chain AS BIGINT) AS chain, CAST(rise AS BIGINT) AS rise, n FROM t"""
+)
 def column_scored(spark, sf):
-    """Places kept by the longest increasing run of each group, and its chain."""
-    return sequences(spark, sf).select("l_orderkey", F.array_join(layout.lis(F.col("seq")), ",").alias("kept"), layout.chain(F.col("seq")).cast("long").alias("chain"))
+    from tessera.operators import pages
+
+    return pages.scored_columns(candidates(spark, sf), ["page"]).select("page", F.col("col").cast("long").alias("col"), "baseline", "left", "right", *big("chain", "rise", "n"))
+
+
+@query(
+    """WITH RECURSIVE s AS (SELECT l_orderkey AS page, l_partkey % 2 AS col, CAST(l_linenumber AS BIGINT) AS v, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 2 ORDER BY l_extendedprice, l_quantity, l_linenumber) AS i FROM lineitem),
+    l AS (SELECT page, col, i, v, 1 AS n FROM s UNION SELECT s.page, s.col, s.i, s.v, l.n + 1 FROM l JOIN s ON s.page = l.page AND s.col = l.col AND s.i > l.i AND s.v > l.v),
+    d AS (SELECT page, col, i, v, max(n) AS n FROM l GROUP BY ALL), b AS (SELECT d.*, (SELECT min(j.i) FROM d j WHERE j.page = d.page AND j.col = d.col AND j.i < d.i AND j.v < d.v AND j.n = d.n - 1) AS prev FROM d),
+    k AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY page, col ORDER BY n DESC, i) = 1),
+    r AS (SELECT page, col, i, v, prev FROM k UNION ALL SELECT b.page, b.col, b.i, b.v, b.prev FROM r JOIN b ON b.page = r.page AND b.col = r.col AND b.i = r.prev)
+    SELECT page, col, v AS num FROM r"""
+)
+def rising_runs(spark, sf):
+    from tessera.operators import pages
+
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") % 2).alias("col"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), F.col("l_linenumber").cast("long").alias("num"))
+    return pages.keep_rising(rows, ["page"]).select("page", "col", "num")
 
 
 @query(
@@ -506,19 +564,19 @@ def bare_number_validate(spark, sf):
     return layout.valid_islands(li, ["page"], "x", "y", "num", F.lit(8.0000001)).select("page", "num", F.round("x").alias("x"), "y")
 
 
-TWO = "t AS (SELECT l_orderkey AS page, l_partkey % 2 AS col, l_extendedprice AS y, CAST(l_linenumber AS BIGINT) AS num FROM lineitem)"
+TWO = "t AS (SELECT l_orderkey AS page, CASE WHEN l_orderkey % 9 = 0 AND l_linenumber = 3 THEN 2 ELSE l_partkey % 2 END AS col, l_extendedprice AS y, CAST(l_linenumber AS BIGINT) AS num FROM lineitem)"
 
 
 def two_columns(spark, sf) -> DataFrame:
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") % 2).alias("col"), F.col("l_extendedprice").alias("y"), F.col("l_linenumber").cast("long").alias("num"))
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.when((F.col("l_orderkey") % 9 == 0) & (F.col("l_linenumber") == 3), 2).otherwise(F.col("l_partkey") % 2).cast("long").alias("col"), F.col("l_extendedprice").alias("y"), F.col("l_linenumber").cast("long").alias("num"))
 
 
-@query(f"WITH {TWO}, l AS (SELECT *, coalesce(col = 1 AND num <= max(num) FILTER (col = 0) OVER w, false) AS late, count(*) FILTER (col = 1) OVER w AS r FROM t WINDOW w AS (PARTITION BY page)), k AS (SELECT *, count(*) FILTER (late) OVER (PARTITION BY page) AS n FROM l) SELECT page, col, y, num FROM k WHERE NOT late OR n = r")
+@query(f"WITH {TWO}, l AS (SELECT *, coalesce(min(col) OVER w = 0 AND max(col) OVER w = 1 AND col = 1 AND num <= max(num) FILTER (col = 0) OVER w, false) AS late, count(*) FILTER (col = 1) OVER w AS r FROM t WINDOW w AS (PARTITION BY page)), k AS (SELECT *, count(*) FILTER (late) OVER (PARTITION BY page) AS n FROM l) SELECT page, col, y, num FROM k WHERE NOT late OR n = r")
 def straggler_drop(spark, sf):
     return layout.drop_stragglers(two_columns(spark, sf), ["page"], "col", "num").select("page", "col", "y", "num")
 
 
-@query(f"WITH {TWO}, f AS (SELECT *, first_value(num) OVER (PARTITION BY page, col ORDER BY y) AS f, row_number() OVER (PARTITION BY page ORDER BY col, y) AS q FROM t), z AS (SELECT *, max(f) FILTER (col = 0) OVER w AS f0, max(f) FILTER (col = 1) OVER w AS f1, count(*) FILTER (col = 0) OVER w AS n0 FROM f WINDOW w AS (PARTITION BY page)) SELECT page, col, y, num, CAST(CASE WHEN f0 + n0 = f1 THEN f0 + q - 1 ELSE num END AS BIGINT) AS repaired FROM z")
+@query(f"WITH {TWO}, f AS (SELECT *, first_value(num) OVER (PARTITION BY page, col ORDER BY y) AS f, row_number() OVER (PARTITION BY page ORDER BY col, y) AS q FROM t), z AS (SELECT *, max(f) FILTER (col = 0) OVER w AS f0, max(f) FILTER (col = 1) OVER w AS f1, count(*) FILTER (col = 0) OVER w AS n0, min(col) OVER w = 0 AND max(col) OVER w = 1 AS two FROM f WINDOW w AS (PARTITION BY page)) SELECT page, col, y, num, CAST(CASE WHEN two AND f0 + n0 = f1 THEN f0 + q - 1 ELSE num END AS BIGINT) AS repaired FROM z")
 def seq_repair(spark, sf):
     return layout.repair_sequence(two_columns(spark, sf), ["page"], "col", "y", "num").select("page", "col", "y", "num", F.col("repaired").cast("long").alias("repaired"))
 
@@ -535,14 +593,14 @@ def runs(spark, sf):
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events")
 def dup_ordinal(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")).cast("long").alias("k"))
+    return layout.place(table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")], "k").select("event_id", F.col("k").cast("long").alias("k"))
 
 
 @query("WITH n AS (SELECT doc_id, source AS page, CASE WHEN doc_id % 7 = 0 THEN 'p' ELSE CAST(doc_id % 100 AS VARCHAR) END AS num FROM documents) SELECT doc_id, row_number() OVER (PARTITION BY page ORDER BY coalesce(try_cast(num AS INT), 9999), num, doc_id) AS place FROM n")
 def sort_key(spark, sf):
     num = F.when(F.col("doc_id") % 7 == 0, "p").otherwise((F.col("doc_id") % 100).cast("string"))
-    w = Window.partitionBy("source").orderBy(F.coalesce(F.col("num").try_cast("int"), F.lit(9999)), "num", "doc_id")
-    return table(spark, sf, "documents").select("doc_id", "source", num.alias("num")).select("doc_id", F.row_number().over(w).cast("long").alias("place"))
+    rows = table(spark, sf, "documents").select("doc_id", "source", num.alias("num"))
+    return layout.place(rows, ["source"], [layout.sort_number(F.col("num")), F.col("num"), F.col("doc_id")]).select("doc_id", F.col("place").cast("long").alias("place"))
 
 
 @query()
@@ -563,12 +621,12 @@ def reading_order(spark, sf):
     return layout.reading_order(rows, ["user_id"], "col", "value", "event_id").select("event_id", F.col("ord").cast("long").alias("ord"))
 
 
-@query("WITH b AS (SELECT o_custkey % 50 AS page, o_totalprice % 100 AS x1, o_totalprice % 100 + 5 AS x2, o_orderkey % 100 AS y1, o_orderkey % 100 + 5 AS y2 FROM orders WHERE o_orderkey % 40 = 0) SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.page = e.user_id % 50 AND e.value BETWEEN x1 AND x2 AND e.event_id % 100 BETWEEN y1 AND y2)")
+@query("WITH b AS (SELECT o_custkey % 50 AS page, o_totalprice % 1000 AS x1, o_totalprice % 1000 + 2 AS x2, o_orderkey % 100 AS y1, o_orderkey % 100 + 3 AS y2 FROM orders) SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.page = e.user_id % 50 AND e.value BETWEEN x1 AND x2 AND e.event_id % 100 BETWEEN y1 AND y2)")
 def point_in_rect_anti(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 40 = 0")
-    boxes = o.select((F.col("o_custkey") % 50).alias("page"), (F.col("o_totalprice") % 100).alias("x1"), (F.col("o_totalprice") % 100 + 5).alias("x2"), (F.col("o_orderkey") % 100).alias("y1"), (F.col("o_orderkey") % 100 + 5).alias("y2"))
+    o, width, height = table(spark, sf, "orders"), F.col("o_totalprice") % 1000, F.col("o_orderkey") % 100
+    boxes = o.select((F.col("o_custkey") % 50).alias("page"), width.alias("x1"), (width + 2).alias("x2"), height.alias("y1"), (height + 3).alias("y2"))
     points = table(spark, sf, "events").select("event_id", (F.col("user_id") % 50).alias("page"), F.col("value").alias("x"), (F.col("event_id") % 100).alias("y"))
-    return ranges.outside(points, boxes, ["page"]).select("event_id")
+    return ranges.outside(points, boxes, ["page"], cell=16.0).select("event_id")
 
 
 @query("SELECT event_id, (SELECT min(m.ts) FROM events m WHERE m.user_id = e.user_id AND m.event_type = 'purchase' AND m.ts > e.ts) AS next FROM events e WHERE event_type = 'view'")
@@ -578,11 +636,14 @@ def asof_next(spark, sf):
     return ranges.asof_next(views, bought, "user_id", "ts", "ts").select("event_id", "next")
 
 
-@query("SELECT event_id, CASE WHEN value < 20 THEN 0 WHEN value < 45 THEN 1 WHEN value < 70 THEN -1 ELSE 3 END AS col FROM events")
+@query(f"WITH {ISL.format(15)}, b AS (SELECT user_id, island, CASE WHEN island = 0 THEN 0 ELSE low - 10 END AS lo, coalesce((high + lead(low) OVER w) / 2, 100) AS hi FROM c WINDOW w AS (PARTITION BY user_id ORDER BY island)) SELECT event_id, CAST(coalesce(min(b.island) FILTER (value >= lo AND value < hi), -1) AS BIGINT) AS col, CAST(coalesce(max(b.island) FILTER (value >= lo), 0) AS BIGINT) AS last FROM events JOIN b USING (user_id) GROUP BY event_id")
 def interval_assign(spark, sf):
-    bounds = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k).alias("k")) for a, b, k in ((-1e9, 20.0, 0), (20.0, 45.0, 1), (70.0, 1e9, 3))])
-    hit = F.get(F.filter(bounds, lambda x: (F.col("value") >= x.a) & (F.col("value") < x.b)), F.lit(0))
-    return table(spark, sf, "events").select("event_id", F.coalesce(hit.k, F.lit(-1)).alias("col"))
+    from tessera.operators import pages
+
+    e = table(spark, sf, "events").select("event_id", "user_id", "value")
+    cols = layout.columns(e, ["user_id"], "value", F.lit(100.0))
+    placed = e.join(pages.bounds_of(cols, ["user_id"]), "user_id")
+    return placed.select("event_id", F.coalesce(pages.interval(F.col("value"), F.col("bounds")), F.lit(-1)).cast("long").alias("col"), pages.rightmost(F.col("value"), F.col("bounds")).cast("long").alias("last"))
 
 
 # --- cache, retrieval, language model, JSON -------------------------------------------------------------------------
@@ -597,15 +658,13 @@ def cache_key(spark, sf):
 @query("SELECT lang, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM (SELECT lang, sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) AS hit FROM documents) GROUP BY lang")
 def cache_split(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("key"))
-    cache = d.where("doc_id % 3 = 0").select("key").distinct()
-    found = d.join(cache.withColumn("hit", F.lit(True)), "key", "left")
-    return found.groupBy("lang").agg(F.count_if(F.col("hit").isNotNull()).alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"))
+    return review.split_by_cache(d, d.where("doc_id % 3 = 0"), "lang")
 
 
-@query("WITH c AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER w AS s, row_number() OVER w AS n FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id % 1000 DESC, doc_id DESC ROWS UNBOUNDED PRECEDING)) SELECT source, doc_id FROM c WHERE s <= 20000 OR n = 1")
+@query("WITH c AS (SELECT doc_id, n_chars, sum(n_chars) OVER w AS s, row_number() OVER w AS n FROM documents WINDOW w AS (ORDER BY doc_id % 1000 DESC, doc_id DESC ROWS UNBOUNDED PRECEDING)) SELECT doc_id, n_chars AS nbytes FROM c WHERE s <= 200000 OR n = 1")
 def cache_evict(spark, sf):
-    d = table(spark, sf, "documents").select("source", F.col("doc_id").alias("key"), F.col("n_chars").alias("nbytes"), (F.col("doc_id") % 1000).alias("ts"))
-    return review.evict_by(d, ["source"], 20_000).select("source", F.col("key").alias("doc_id"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("n_chars").alias("nbytes"), (F.col("doc_id") % 1000).alias("ts"))
+    return review.evict(d, 200_000).select(F.col("key").alias("doc_id"), "nbytes")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0 AND lang = 'en' AND contains(lower(source), 'src1') ORDER BY doc_id LIMIT 20")
@@ -621,24 +680,18 @@ def tag_sets(spark, sf):
     return out.select("lang", F.array_join("idea", ",").alias("idea"), F.array_join("way", ",").alias("way"))
 
 
-@query("WITH b AS (SELECT item_id, text, encode(text) AS e FROM benchmark), h AS (SELECT item_id, hex(e) AS h, octet_length(e) AS n FROM b), p AS (SELECT item_id, h, unnest(range(4, n)) AS pos FROM h WHERE n > 4) SELECT item_id, pos, lower(substr(h, CAST(pos * 2 - 7 AS BIGINT), 8)) AS ctx, lower(substr(h, CAST(pos * 2 + 1 AS BIGINT), 2)) AS y FROM p")
+@query("WITH b AS (SELECT regexp_extract_all(hex(encode(text)), '..') AS l FROM documents WHERE octet_length(encode(text)) > 2), p AS (SELECT unnest(l[:-3]) AS a, unnest(l[2:-2]) AS b, unnest(l[3:]) AS y FROM b) SELECT concat(a, b) AS ctx, y, count(*) AS n FROM p GROUP BY a, b, y")
 def byte_windows(spark, sf):
-    w = evaluate.byte_windows(table(spark, sf, "benchmark"), "item_id", "text", 4)
-    two = lambda x: F.lpad(F.lower(F.hex(x)), 2, "0")
-    return w.select("item_id", F.col("pos").cast("long").alias("pos"), F.array_join(F.transform("ctx", two), "").alias("ctx"), two(F.col("y")).alias("y"))
+    return evaluate.byte_windows(table(spark, sf, "documents"), "doc_id", "text", 2).groupBy("ctx", "y").agg(F.count("*").alias("n"))
 
 
 @query(
-    """WITH b AS (SELECT item_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM benchmark), p AS (SELECT item_id, h, unnest(range(1, n)) AS pos FROM b WHERE n > 1),
-    w AS (SELECT substr(h, CAST(pos * 2 - 1 AS BIGINT), 2) AS c, substr(h, CAST(pos * 2 + 1 AS BIGINT), 2) AS y, item_id % 2 AS held FROM p), n2 AS (SELECT c, y, count(*) AS n2 FROM w WHERE held = 0 GROUP BY ALL), n1 AS (SELECT c, count(*) AS n1 FROM w WHERE held = 0 GROUP BY ALL)
-    SELECT round(avg(-ln((coalesce(n2, 0) + 1) / (coalesce(n1, 0) + 256))) / ln(2), 6) AS bits_per_byte, count(*) AS n FROM w LEFT JOIN n2 USING (c, y) LEFT JOIN n1 USING (c) WHERE held = 1"""
+    """WITH b AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS l FROM documents WHERE octet_length(encode(text)) > 1), p AS (SELECT doc_id % 2 AS held, unnest(l[:-2]) AS c, unnest(l[2:]) AS y FROM b),
+    w AS (SELECT c, y, held, count(*) AS k FROM p GROUP BY ALL), n2 AS (SELECT c, y, sum(k) AS n2 FROM w WHERE held = 0 GROUP BY ALL), n1 AS (SELECT c, sum(k) AS n1 FROM w WHERE held = 0 GROUP BY ALL)
+    SELECT round(sum(-ln((coalesce(n2, 0) + 1) / (coalesce(n1, 0) + 256)) * k) / sum(k) / ln(2), 6) AS bits_per_byte, CAST(sum(k) AS BIGINT) AS n FROM w LEFT JOIN n2 USING (c, y) LEFT JOIN n1 USING (c) WHERE held = 1"""
 )
 def bits_per_byte(spark, sf):
-    w = evaluate.byte_windows(table(spark, sf, "benchmark"), "item_id", "text", 1).select(F.get("ctx", F.lit(0)).alias("c"), "y", (F.col("item_id") % 2).alias("held"))
-    seen = w.where("held = 0")
-    n2, n1 = seen.groupBy("c", "y").agg(F.count("*").alias("n2")), seen.groupBy("c").agg(F.count("*").alias("n1"))
-    p = (F.coalesce("n2", F.lit(0)) + 1) / (F.coalesce("n1", F.lit(0)) + 256)
-    return w.where("held = 1").join(n2, ["c", "y"], "left").join(n1, "c", "left").agg(r6(F.avg(-F.log(p)) / F.log(F.lit(2.0)), "bits_per_byte"), F.count("*").alias("n"))
+    return evaluate.bits_per_byte(evaluate.byte_windows(table(spark, sf, "documents"), "doc_id", "text", 1), F.col("doc_id") % 2 == 1)
 
 
 @query("SELECT event_id, best, best IS NULL OR value < best AS kept FROM (SELECT event_id, value, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events)")
@@ -646,33 +699,68 @@ def best_so_far(spark, sf):
     return evaluate.best_so_far(table(spark, sf, "events"), ["user_id"], "event_id", "value").select("event_id", "best", "kept")
 
 
-@query("SELECT event_id, 'ok' AS status, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query(
+    """SELECT event_id, CASE WHEN event_id % 7 IN (4, 5) THEN 'error' ELSE 'ok' END AS status, CASE WHEN event_id % 7 IN (4, 5) THEN -1 ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k,
+    CASE WHEN event_id % 7 IN (0, 6) THEN 'ok' ELSE 'error' END AS strict FROM events"""
+)
 def json_repair(spark, sf):
-    broken = F.concat(F.lit("reply:\n```json\n"), F.regexp_replace("props", r"\}$", ", /* end */ }"), F.lit("\n```"))
-    return table(spark, sf, "events").select("event_id", jsonfix.lenient(broken).alias("j")).select("event_id", "j.status", F.get_json_object("j.value", "$.k").cast("long").alias("k"))
+    """Replies in seven states: fenced; with a comma and a comment; single-quoted with True and None; with a line comment; no object; cut off; prose with braces in a string."""
+    e, k = F.col("event_id") % 7, F.get_json_object("props", "$.k")
+    with_end = lambda tail: F.regexp_replace("props", r"\}$", tail)
+    reply = (
+        F.when(e == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```")))
+        .when(e == 1, F.concat(F.lit("reply: "), with_end(", /* end */ }")))
+        .when(e == 2, F.concat(F.lit("{'k': "), k, F.lit(", 'good': True, 'bad': None}")))
+        .when(e == 3, F.concat(F.lit("{ // first \n \"u\": \"http://x\", \"k\": "), k, F.lit(",\n}")))
+        .when(e == 4, F.concat(F.lit("no object but "), k))
+        .when(e == 5, F.concat(F.lit("{\"k\": "), k))
+        .otherwise(F.concat(F.lit("so {\"t\": \"a } b { \\\" c\", \"k\": "), k, F.lit("} and {more}")))
+    )
+    rows = table(spark, sf, "events").select("event_id", jsonfix.lenient(reply).alias("j"), jsonfix.strict(reply).alias("s"))
+    return rows.select("event_id", "j.status", F.coalesce(F.get_json_object("j.value", "$.k").cast("long"), F.lit(-1)).alias("k"), F.col("s.status").alias("strict"))
 
 
 # --- streams --------------------------------------------------------------------------------------------------------
 
 
-def _streamed(spark, sf, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The result of a streaming query over the events file, read to its end; state and output in the shared folder."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    root = f"{base}/stream-{uuid.uuid4().hex}"
+def _streamed(spark, sf, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """The result of a streaming query over the events file, read to its end; state and output in the shared folder. The last batch of a complete query is its result."""
+    root = shared_folder(spark)
     stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
-    out = make(stream)
-    out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{root}/out")
+    out = make(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+    done = {}
+
+    def sink(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out={k:09d}")
+        done["last"] = k
+
+    out.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out={done['last']:09d}")
 
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE value >= 50")
 def stream_watch(spark, sf):
-    return _streamed(spark, sf, lambda s: s.where("value >= 50").select("event_id", "user_id", "event_type"))
+    """The watcher over the events' file; an audit event for each row that its sink appends."""
+    root = shared_folder(spark)
+    sink = streaming.logging(f"{root}/events", "seen")
+    streaming.watch(spark, f"{sf}/events.parquet*", table(spark, sf, "events").schema, lambda batch, k: sink(batch.where("value >= 50"), k), f"{root}/state").awaitTermination()
+    e = spark.read.schema("at timestamp, kind string, batch long, payload string").parquet(f"{root}/events").where("kind = 'seen'")
+    return e.select(F.from_json("payload", "event_id long, user_id long, event_type string").alias("e")).select("e.*")
+
+
+@query("SELECT event_type AS source, user_id AS page, event_id AS num, CASE WHEN value < 50 THEN 'low_confidence' ELSE 'conflict' END AS reason, value AS confidence, false AS resolved, '' AS gold_subject FROM events WHERE value < 80")
+def stream_upsert(spark, sf):
+    """Flagged rows of a stream laid over the log, batch by batch."""
+    root = shared_folder(spark)
+    empty = spark.createDataFrame([], "source string, page long, num long, reason string, confidence double, resolved boolean, gold_subject string")
+    sink, log = streaming.upserting(spark, f"{root}/log", empty)
+    rows = lambda b: b.where("value < 80").select(F.col("event_type").alias("source"), F.col("user_id").alias("page"), F.col("event_id").alias("num"), F.when(F.col("value") < 50, "low_confidence").otherwise("conflict").alias("reason"), F.col("value").alias("confidence"))
+    streaming.watch(spark, f"{sf}/events.parquet*", table(spark, sf, "events").schema, lambda batch, k: sink(rows(batch), k), f"{root}/state").awaitTermination()
+    return log()
 
 
 @query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf):
-    """An extension: tumbling windows of a day, the same plan as for a stream."""
-    return streaming.windowed(table(spark, sf, "events"), "ts", ["event_type"], "1 day", "1 hour").select("event_type", F.col("window.start").alias("day"), "n", F.round("total", 4).alias("total"))
+    """An extension: tumbling windows of a day, read as a stream to its end."""
+    made = lambda s: streaming.windowed(s, "ts", ["event_type"], "1 day", "1 hour").select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", F.round("total", 4).alias("total"))
+    return _streamed(spark, sf, made, "complete")

@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh name under spark.checkpoint.dir, which driver and executors share. Only a local master may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
+    return f"{base}/library-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame, computed once and read again from the shared folder."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """By suffix; an unknown one is an error."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
@@ -43,13 +65,50 @@ def last_per_key(spark: SparkSession, path: str, schema: str, key: list[str]) ->
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "n_").alias("v")).select(*key, "v.*")
 
 
-def ingest(spark: SparkSession, folder: str, known: DataFrame) -> DataFrame:
-    """Images of a tree that are not known yet, with hints from at least three folder levels."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(folder)
-    parts = F.split(F.regexp_replace("path", "^.*" + folder.rstrip("/").rsplit("/", 1)[-1] + "/", ""), "/")
+def resolve_names(wanted: DataFrame, files: DataFrame, name: str = "name") -> DataFrame:
+    """Files by name, composed and decomposed spellings alike; every wanted name once, path null where there is none."""
+    key = T.composed(F.col(name))
+    have = files.withColumn("key_", key).groupBy("key_").agg(F.min("path").alias("path"))
+    return wanted.withColumn("key_", key).join(have, "key_", "left").drop("key_")
+
+
+def hints(path: Column, root: str) -> Column:
+    """Subject and unit from the folders above a file, where there are at least two below the root; else empty."""
+    parts = F.split(F.regexp_replace(path, "^.*?" + root.rstrip("/").rsplit("/", 1)[-1] + "/", ""), "/")
     deep = F.size(parts) >= 3
-    rows = files.select(F.substring(F.sha2("content", 256), 1, 16).alias("id"), "path", F.when(deep, F.get(parts, F.lit(0))).alias("subject"), F.when(deep, F.get(parts, F.lit(1))).alias("unit"))
-    return rows.dropDuplicates(["id"]).join(known.select("id"), "id", "left_anti")
+    return F.struct(F.when(deep, F.get(parts, F.lit(0))).otherwise("").alias("subject"), F.when(deep, F.get(parts, F.lit(1))).otherwise("").alias("unit"))
+
+
+def files_of(spark: SparkSession, folder: str) -> DataFrame:
+    """PNG files of a tree with id, hints and whether they are whole; those under a folder _FAILED are passed over."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(folder).where(~F.contains("path", F.lit("/_FAILED/")))
+    whole = F.substring("content", 1, 4) == F.unhex(F.lit("89504E47"))
+    return files.select(F.substring(F.sha2("content", 256), 1, 16).alias("id"), "path", hints(F.col("path"), folder).alias("h"), whole.alias("whole")).select("id", "path", "h.*", "whole")
+
+
+def ingest(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Whole files whose id is not known yet, one row an id (the least path)."""
+    new = files.where("whole").groupBy("id").agg(F.min(F.struct("path", "subject", "unit")).alias("f")).select("id", "f.*")
+    return new.join(known.select("id"), "id", "left_anti")
+
+
+def ingest_counts(files: DataFrame, known: DataFrame) -> DataFrame:
+    """One row: added, skipped (known, or the same content again), failed (broken)."""
+    seen = known.select("id").distinct().withColumn("old", F.lit(True))
+    per = files.groupBy("id").agg(F.count_if("whole").alias("good"), F.count_if(~F.col("whole")).alias("bad")).join(seen, "id", "left")
+    added = ((F.col("good") > 0) & F.col("old").isNull()).cast("long")
+    return per.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(n) for x, n in ((added, "added"), (F.col("good") - added, "skipped"), (F.col("bad"), "failed"))])
+
+
+def split_prefix(df: DataFrame, text: str, share: float = 0.9) -> DataFrame:
+    """Each text as its first share of bytes and the rest, cut between characters."""
+    n = F.floor(F.length(text) * share).cast("int")
+    return df.withColumns({"train": F.substring(F.col(text), F.lit(1), n), "held": F.substring(F.col(text), n + 1, F.length(text))})
+
+
+def not_yet(wanted: DataFrame, have: DataFrame, key: str = "name") -> DataFrame:
+    """S16's resume: what is wanted and not there, or there with no bytes."""
+    return wanted.join(have.where("nbytes > 0").select(key), key, "left_anti")
 
 
 def with_cache(requests: DataFrame, cache: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
@@ -63,10 +122,54 @@ def coalesce_text(*sources):
 
 
 def save_json(df: DataFrame, path: str) -> None:
-    """K05, K09, K11."""
+    """K11."""
     df.write.mode("overwrite").json(path)
 
 
+def export(items: DataFrame, path: str, status: str = "confirmed") -> DataFrame:
+    """Items of a status as JSON lines, by subject, unit and id; returns the rows in that order."""
+    out = items.where(F.col("status") == status).orderBy("gold_subject", "gold_unit", "id")
+    out.write.mode("overwrite").json(path)
+    return out
+
+
+def save_weights(spark: SparkSession, weights: dict, folder: str) -> str:
+    """Weights as JSON in a folder of their own, which is there whole or not at all; the newest version counts."""
+    rows = [(k, float(v)) for k, v in weights["coefficients"].items()]
+    row = spark.createDataFrame([(weights["source"], dict(rows), float(weights["intercept"]), int(weights.get("n_samples", 0)))], "source string, coefficients map<string,double>, intercept double, n_samples long")
+    path = f"{folder}/version={len(versions(spark, folder)) + 1:06d}"
+    row.coalesce(1).write.json(path)
+    return path
+
+
+def versions(spark: SparkSession, folder: str) -> list[str]:
+    """Finished versions below a folder, oldest first."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(path):
+        return []
+    found = [s.getPath().toString() for s in fs.listStatus(path) if s.getPath().getName().startswith("version=")]
+    return sorted(p for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS")))
+
+
+def load_weights(spark: SparkSession, folder: str) -> dict | None:
+    """The newest weights, if they were learned from reviewed labels and are whole; else none."""
+    found = versions(spark, folder)
+    row = spark.read.schema("source string, coefficients map<string,double>, intercept double, n_samples long").json(found[-1]).first() if found else None
+    if row is None or row.source != "gold" or row.coefficients is None or row.intercept is None:
+        return None
+    return row.asDict()
+
+
+def capture_names(rows: DataFrame, stem: Column) -> DataFrame:
+    """One file name for each capture, stem_p<page>_q<number>, and _2, _3 for further ones of the same page and number (by ``seq``)."""
+    rows = rows.withColumns({"stem": F.coalesce(F.nullif(stem, F.lit("")), F.lit("answers")), "num": F.coalesce("num", F.lit("p"))})
+    k = F.row_number().over(Window.partitionBy("stem", "page", "num").orderBy("seq"))
+    more = F.when(F.col("k_") > 1, F.concat(F.lit("_"), F.col("k_").cast("string"))).otherwise("")
+    return rows.withColumn("k_", k).withColumn("file", F.concat("stem", F.lit("/"), "stem", F.lit("_p"), F.coalesce(F.col("page"), F.lit(0)).cast("string"), F.lit("_q"), "num", more, F.lit(".png"))).drop("k_", "stem")
+
+
 def append(df: DataFrame, path: str) -> None:
-    """K12/T04."""
+    """K12."""
     df.write.mode("append").parquet(path)
