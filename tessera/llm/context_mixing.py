@@ -1,19 +1,22 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is its lower-cased tokens, one blank between them and a line end after the last. Each byte is predicted bit by bit along a
-Huffman code of the training bytes. Predictors are keyed by hashed contexts, the last 3 and 5 bytes and the word so far: from the counts of
-the bytes that followed a context in all training texts, each node of the code gets the log odds of its bit. A bit's log odds are the dot product of the
-predictors' with a weight vector chosen by a gate (depth in the code, and how often the word so far was met). Gate weights
-start from a pass over a sample of ``FIT_TEXTS`` training texts (each left out of its own counts) and are refined by gradient steps
-within each document after every ``BLOCK`` bytes, so a text's score depends on the text and the counts alone.
-
-The base score is an add-0.1 unigram model of the tokens. All counts come from all training rows. Counts of tokens that
+A text is its lower-cased tokens, a blank after each, and a line end. Each byte is predicted bit by bit along a Huffman code of the training bytes. Predictors
+are keyed by hashed contexts, the last 3 and 5 bytes and the word so far: from the counts of the bytes that followed a context in training texts, each node
+of the code gets the log odds of its bit. A bit's log odds are the dot product of the predictors' with a weight vector chosen by a gate (depth in the code, and how
+often the word so far was met), refined by gradient steps within each document after every ``BLOCK`` bytes. So each token gets a probability from its bits. A second
+gate mixes it with the token's unigram probability, whose counts know every token of the corpus however large it grows: its log odds are the sum of the differences of
+the two, token by token, over the document so far. A text's score depends on the text and the counts alone, and total bits are over all events.
+
+Start weights of the first gate are fitted on one in ``FIT_SHARE`` of the training texts (by hash, whole, of any length), which the context counts leave out:
+each task takes gradient steps over its share, and the tasks' weights are averaged by events.
+
+The base score is an add-0.1 unigram model of the tokens, from all training rows. Counts of tokens that
 make up more than one in ``FREQUENT`` of all (so at most that many tokens) are sent to every task; those of the rest are joined.
-The context counts have a fixed number of cells.
+The context counts have a fixed number of cells; tables are made of them in tasks.
 
 Defined cases: null counts as empty; an empty text has one token, its end; a null doc_id counts as training; repeated rows count as often as they occur, and each gets a
 row. Without training rows N and V are 0: base_score is the log of an even choice among one token, all bits are even. Other columns are ignored.
-An empty table gives no rows.
+An empty table gives no rows. A very long text is scored whole, by itself.
 """
 
 from __future__ import annotations
@@ -27,12 +30,12 @@ from pyspark import cloudpickle as pickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NONSPACE, U64, Words, documents, mix, pieces, powers, utf8, written
+from tessera.llm.common import NONSPACE, U64, Words, discard, documents, mix, pieces, powers, utf8, written
 
 #: Context lengths (0: the word so far), and the bits of their hashed slots.
 ORDERS = ((3, 14), (5, 16), (0, 17))
 FREQUENT = 4_000_000
-FIT_TEXTS, FIT_BYTES = 400, 10_000
+FIT_SHARE = 32
 #: Gates: depths of the code, times levels of how often the last context was met (fourfold steps).
 DEPTHS, SURE = 6, 8
 GATES, LIMIT, STEPS = DEPTHS * SURE, 8.0, 16
@@ -42,18 +45,19 @@ CHUNK = 1 << 18
 END = np.uint64(0x0E4D)
 _BYTE32 = (mix(np.arange(1, 257, dtype=np.uint64)) >> U64(32)).astype(np.uint32)
 _POWER32 = (powers(256) & U64(0xFFFFFFFF)).astype(np.uint32)
-WHOLE = "uid long, doc_id long, n_tokens long, n_known long, common double, bits double, n_bytes long, rare array<struct<token:long,n:int>>"
+#: Log odds of the second gate at a text's start (for the unigram), and at most; how many bits of difference move it by one; a single token's at most.
+MIX_START, MIX_LIMIT, MIX_STEP, MIX_CLIP = 1.0, 4.0, 12.0, 6.0
+WHOLE = "uid long, doc_id long, n_tokens long, n_known long, common double, bits double, n_bytes long, rare array<struct<token:long,bits:float,odds:float>>"
 
 
 def stream(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' tokens with single blanks and ends, end to end, and the bounds of the rows."""
+    """The texts' tokens, a blank after each and an end after the last, end to end, and the bounds of the rows."""
     n = np.diff(w.first)
     length = w.end - w.start
     size = np.concatenate([[0], np.cumsum(length + 1)])
-    bounds = size[w.first] + np.concatenate([[0], np.cumsum(n == 0)])
+    bounds = size[w.first] + np.arange(len(n) + 1)
     out = np.full(int(bounds[-1]), 32, np.uint8)
-    row = np.repeat(np.arange(len(n)), n)
-    to = size[:-1] + (bounds[:-1] - size[w.first[:-1]])[row]
+    to = size[:-1] + np.repeat(np.arange(len(n)), n)
     ends = np.cumsum(length)
     out[np.repeat(to - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)] = w.text[w.inside]
     out[bounds[1:] - 1] = 10
@@ -94,8 +98,13 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
+def fits() -> Column:
+    """Training rows that fit the gates."""
+    return F.xxhash64("text") % FIT_SHARE == 0
+
+
 def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task's tokens (kind 0) and context cells (the order's number from 1)."""
+    """Counts of a task's tokens (kind 0) and context cells (the order's number from 1), these without the rows that fit the gates."""
     sums: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in range(len(ORDERS) + 1)}
     cells = [np.zeros(256 << bits, np.int32) for _, bits in ORDERS]
     ends = held = 0
@@ -119,8 +128,9 @@ def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums[0].append(np.unique(tokens(w), return_counts=True))
             held += len(sums[0][-1][0])
             text, bounds = stream(w)
+            counts_ = np.repeat(~batch.column("fits").to_numpy(zero_copy_only=False)[a:b], np.diff(bounds))
             for k, slot in enumerate(contexts(text, bounds)):
-                np.add.at(cells[k], slot.astype(np.int64) << 8 | text, np.int32(1))
+                np.add.at(cells[k], (slot.astype(np.int64) << 8 | text)[counts_], np.int32(1))
             if held > 3_000_000:
                 sums[0] = [merged()]
                 if len(sums[0][0][0]) > 1_500_000:
@@ -188,42 +198,29 @@ class Events:
 
 
 class Model:
-    def __init__(self, cells: list[np.ndarray], texts: list[bytes]):
-        cells = [c.reshape(-1, 256) for c in cells]
-        self.code = Code(cells[0].sum(0))
-        self.tables = []
-        for c in cells:
-            table = np.zeros((len(c), 256), np.int8)
-            for i in range(0, len(c), 4096):
-                table[i : i + 4096, :255] = np.clip(np.rint(log_odds(*self.code.node_counts(c[i : i + 4096])) * STEPS), -127, 127)
-            self.tables.append(table.reshape(-1))
-        self.sure = np.minimum(np.log2(cells[-1].sum(1) + 1) / 2, SURE - 1).astype(np.int32)
+    """Code, tables of log odds (one int8 for each slot and node) and start weights."""
+
+    def __init__(self, code: Code, tables: list[np.ndarray], met: np.ndarray):
+        self.code = code
+        self.tables = [t.reshape(-1) for t in tables]
+        self.sure = np.minimum(np.log2(met + 1) / 2, SURE - 1).astype(np.int32)
         self.weights = np.full((GATES, len(ORDERS)), 0.35, np.float32)
-        for raw in texts:
-            self._fit(cells, np.frombuffer(raw, np.uint8))
 
-    def _fit(self, cells: list[np.ndarray], data: np.ndarray) -> None:
-        """Gradient steps over one training text, whose bytes are taken out of the counts one at a time."""
-        text, bounds = stream(Words(data, np.array([0, len(data)]), NONSPACE))
+    def fit(self, text: np.ndarray, bounds: np.ndarray) -> int:
+        """Gradient steps over some texts; how many bits they had."""
         e = Events(self.code, text, contexts(text, bounds), self.sure)
-        x = np.empty((len(e.bit), len(ORDERS)), np.float32)
-        for k, c in enumerate(cells):
-            used, row = np.unique(e.cells[k] >> 8, return_inverse=True)
-            n0, n1 = self.code.node_counts(c[used])
-            node = e.cells[k] & 255
-            a, b = n0[row, node] - ~e.bit, n1[row, node] - e.bit
-            x[:, k] = np.clip(log_odds(np.maximum(a, 0), np.maximum(b, 0)), -LIMIT, LIMIT)
+        x = np.stack([np.take(t, c) for t, c in zip(self.tables, e.cells, strict=True)], 1).astype(np.float32) / STEPS
         for i in range(0, len(x), 512):
             s = slice(i, i + 512)
             z = np.clip((self.weights[e.gate[s]] * x[s]).sum(1), -30, 30)
             err = e.bit[s] - 1 / (1 + np.exp(-z))
             for k in range(len(ORDERS)):
                 self.weights[:, k] += FIT_RATE * np.bincount(e.gate[s], err * x[s, k], GATES).astype(np.float32) / 8
+        return len(x)
 
     def bits(self, text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Total bits of each text."""
+        """Bits of each byte."""
         rows = len(bounds) - 1
-        out = np.zeros(rows)
         size = np.diff(bounds)
         block = (np.arange(len(text)) - np.repeat(bounds[:-1], size)) // BLOCK
         order = np.argsort(block, kind="stable")
@@ -236,6 +233,7 @@ class Model:
         owner = row[e.byte]
         slots = owner * np.int32(GATES) + e.gate
         sign = np.where(e.bit, np.float32(-1), np.float32(1))
+        out = np.empty(len(e.bit), np.float32)
         for a, b in zip(steps.tolist(), steps[1:].tolist(), strict=False):
             slot, turn = slots[a:b], sign[a:b]
             x = [np.take(self.tables[k], e.cells[k][a:b]) * scale for k in range(len(ORDERS))]
@@ -246,19 +244,20 @@ class Model:
             # z is now the log odds against the bit that came; g / (1 + g) or 1 / (1 + g) is the chance given to the other.
             g = np.exp(-np.abs(z))
             away = z > 0
-            loss = np.log1p(g)
+            loss = np.log1p(g, out=out[a:b])
             loss[away] += z[away]
             miss = np.where(away, np.float32(1), g)
             miss /= 1 + g
             miss *= turn
             low = int(slot[0]) // GATES
             high = int(slot[-1]) // GATES + 1
-            out[low:high] += np.bincount(owner[a:b] - low, loss, high - low)
             at = slot - low * GATES
             for k in range(len(ORDERS)):
                 x[k] *= miss
                 weights[k][low * GATES : high * GATES] -= RATE * np.bincount(at, x[k], (high - low) * GATES).astype(np.float32)
-        return out / np.log(2)
+        back = np.empty(len(text))
+        back[order] = np.add.reduceat(out, e.bounds[:-1], dtype=np.float64) if len(out) else 0.0
+        return back / np.log(2)
 
 
 def start_of_word(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -268,66 +267,130 @@ def start_of_word(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def log2_mean(odds: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log2 of the mean of 2 ** a and 2 ** b, the first weighted by the logistic of ``odds``."""
+    first, second = a - np.logaddexp(0, -odds) / np.log(2), b - np.logaddexp(0, odds) / np.log(2)
+    return np.logaddexp2(first, second)
+
+
+def running(d: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each token the sum of d over the tokens of its row before it."""
+    total = np.concatenate([[0.0], np.cumsum(d)])[:-1]
+    n = np.diff(first)
+    return total - np.repeat(total[first[:-1]] if len(d) else total[:0], n)
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """(kind, key, n) over all training rows."""
-    rows = docs.where(~held_out()).select("text").mapInArrow(count, "kind byte, key long, n long")
+    rows = docs.where(~held_out()).select("text", F.coalesce(fits(), F.lit(False)).alias("fits")).mapInArrow(count, "kind byte, key long, n long")
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, counted: DataFrame) -> Model:
-    """The mixing model; collects the context cells, whose number is fixed, and a bounded sample of texts."""
-    cells = [np.zeros(256 << bits, np.int32) for _, bits in ORDERS]
+    """The mixing model. Tasks make a row of each slot's log odds; the driver gets those rows, a fixed number, and the tasks' weights."""
+    spark = docs.sparkSession
+    cells = counted.where("kind > 0").select((F.col("kind") - 1).cast("int").alias("k"), F.shiftright("key", 8).alias("slot"), F.col("key").bitwiseAND(255).cast("int").alias("byte"), "n")
+    weight = np.zeros(256)
+    for r in cells.where("k = 0").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        weight[r.byte] = r.n
+    code = Code(weight)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("cells")
+            which = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            n = np.zeros((len(batch), 256), np.float32)
+            n[which, flat.field("byte").to_numpy()] = flat.field("n").to_numpy()
+            for i in range(0, len(n), 1024):
+                part = n[i : i + 1024]
+                table = np.zeros((len(part), 256), np.int8)
+                table[:, :255] = np.clip(np.rint(log_odds(*code.node_counts(part)) * STEPS), -127, 127)
+                own = slice(i, i + len(part))
+                yield pa.RecordBatch.from_arrays([batch.column("k")[own], batch.column("slot")[own], pa.array(part.sum(1).astype(np.int64)), pa.array([t.tobytes() for t in table], pa.binary())], ["k", "slot", "met", "odds"])
+
+    grouped = cells.groupBy("k", "slot").agg(F.collect_list(F.struct("byte", "n")).alias("cells"))  # at most 256 cells a slot
+    made = written(spark, grouped.mapInArrow(rows, "k int, slot long, met long, odds binary"))
+    # A slot that was never met is even.
+    tables = [np.zeros((1 << bits, 256), np.int8) for _, bits in ORDERS]
+    met = np.zeros(1 << ORDERS[-1][1])
     for k in range(len(ORDERS)):
-        got = counted.where(F.col("kind") == k + 1).select(F.col("key").cast("int").alias("key"), "n").toArrow()
-        cells[k][got["key"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**31 - 1)
-    sample = docs.where(~held_out() & (F.octet_length("text") <= FIT_BYTES)).select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    first = sample.select("h", "doc_id").orderBy("h").limit(FIT_TEXTS)
-    texts = sample.join(F.broadcast(first.select("h").distinct()), "h").orderBy("h", "text").limit(FIT_TEXTS).select("text").collect()
-    return Model(cells, [r.text.encode() for r in texts])
+        got = made.where(F.col("k") == k).select("slot", "met", "odds").toArrow()
+        if got.num_rows:
+            slot = got["slot"].to_numpy()
+            tables[k][slot] = np.frombuffer(b"".join(got["odds"].to_pylist()), np.int8).reshape(-1, 256)
+            if k + 1 == len(ORDERS):
+                met[slot] = got["met"].to_numpy()
+    discard(made)
+    model = Model(code, tables, met)
+    shared = spark.sparkContext.broadcast(pickle.dumps(model))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Model | None = None
+        bits = 0
+        for batch in batches:
+            own = own or pickle.loads(shared.value)
+            data, offsets = utf8(batch.column("text"))
+            for a, b in pieces(offsets, CHUNK):
+                bits += own.fit(*stream(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], NONSPACE)))
+        if bits:
+            yield pa.RecordBatch.from_arrays([pa.array([bits]), pa.array([own.weights.reshape(-1).tolist()], pa.list_(pa.float64()))], ["bits", "weights"])
+
+    learned = docs.where(~held_out() & fits()).select("text").mapInArrow(fit, "bits long, weights array<double>")
+    learned = learned.select("bits", F.posexplode("weights").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w") * F.col("bits")) / F.sum("bits")).alias("w")).collect()
+    if learned:
+        model.weights = np.array([r.w for r in sorted(learned, key=lambda r: r.i)], np.float32).reshape(GATES, len(ORDERS))
+    return model
 
 
-def scored(docs: DataFrame, model: Model, counted: DataFrame, total: int) -> DataFrame:
-    """One row for each document: the mixing model's bits, the sum over its frequent tokens, and its other tokens."""
+def scored(docs: DataFrame, model: Model, counted: DataFrame, total: int, kinds: int) -> DataFrame:
+    """One row for each document: its mixed bits over frequent tokens, the base sum over them, and its other tokens, each with the bits of its bytes and the second gate's log odds."""
     spark = docs.sparkSession
     often = counted.where((F.col("kind") == 0) & (F.col("n") * FREQUENT > total)).select("key", "n").toArrow()
     key = often["key"].to_numpy().view(np.uint64)
     turn = np.argsort(key)
     shared = spark.sparkContext.broadcast(pickle.dumps((model, key[turn], often["n"].to_numpy()[turn])))
+    whole = np.log2(total + 0.1 * (kinds + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known, n_of = pickle.loads(shared.value)
-        value = np.log10(n_of + 0.1)
+        value = np.log2(n_of + 0.1) if len(known) else np.zeros(1)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for a, b in pieces(offsets, CHUNK):
                 w = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], NONSPACE)
                 rows = b - a
                 text, bounds = stream(w)
-                h = np.concatenate([tokens(w), np.full(rows, END)])
-                row = np.concatenate([np.repeat(np.arange(rows), np.diff(w.first)), np.arange(rows)])
+                # Tokens of all rows with their ends: h, and where their bytes begin.
+                first = w.first + np.arange(rows + 1)
+                h = np.full(int(first[-1]), END)
+                word = np.ones(len(h), bool)
+                word[first[1:] - 1] = False
+                h[word] = w.hashes()
+                size = np.ones(len(h), np.int64)
+                size[word] = w.end - w.start + 1
+                by_bytes = -np.add.reduceat(own.bits(text, bounds), np.cumsum(size) - size) if len(h) else np.zeros(0)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     hit = known[at] == h
                 else:
                     at, hit = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-                common = np.bincount(row[hit], value[at[hit]] if len(known) else None, rows).astype(float)
-                order = np.lexsort((h[~hit], row[~hit]))
-                r, t = row[~hit][order], h[~hit][order]
-                new = np.ones(len(r), bool)
-                new[1:] = (r[1:] != r[:-1]) | (t[1:] != t[:-1])
-                first = np.flatnonzero(new)
-                items = pa.StructArray.from_arrays([pa.array(t[first].view(np.int64)), pa.array(np.diff(np.append(first, len(r))).astype(np.int32))], ["token", "n"])
-                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(r[first], np.arange(rows + 1)), pa.int32()), items)
+                by_counts = value[at] - whole
+                odds = np.clip(running(np.where(hit, np.clip(by_counts - by_bytes, -MIX_CLIP, MIX_CLIP), 0.0), first) / MIX_STEP + MIX_START, -MIX_LIMIT, MIX_LIMIT)
+                row = np.repeat(np.arange(rows), np.diff(first))
+                bits = np.bincount(row[hit], -log2_mean(odds[hit], by_counts[hit], by_bytes[hit]), rows)
+                few = np.flatnonzero(~hit)
+                items = pa.StructArray.from_arrays([pa.array(h[few].view(np.int64)), pa.array(by_bytes[few].astype(np.float32)), pa.array(odds[few].astype(np.float32))], ["token", "bits", "odds"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("uid").slice(a, rows),
                         batch.column("doc_id").slice(a, rows),
-                        pa.array(np.diff(w.first) + 1),
+                        pa.array(np.diff(first)),
                         pa.array(np.bincount(row[hit], minlength=rows)),
-                        pa.array(common),
-                        pa.array(own.bits(text, bounds)),
+                        pa.array(np.bincount(row[hit], value[at[hit]], rows).astype(float)),
+                        pa.array(bits.astype(float)),
                         pa.array(np.diff(bounds)),
-                        rare,
+                        pa.ListArray.from_arrays(pa.array(np.searchsorted(row[few], np.arange(rows + 1)), pa.int32()), items),
                     ],
                     ["uid", "doc_id", "n_tokens", "n_known", "common", "bits", "n_bytes", "rare"],
                 )
@@ -340,15 +403,21 @@ def report(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counted = written(spark, counts(docs))
     n, v = counted.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = written(spark, scored(docs, train(docs, counted), counted, n))
-    rare = rows.select("uid", F.explode("rare").alias("x")).select("uid", F.col("x.token").alias("key"), F.col("x.n").alias("times"))
+    rows = written(spark, scored(docs, train(docs, counted), counted, n, v))
+    rare = rows.select("uid", F.explode("rare").alias("x")).select("uid", F.col("x.token").alias("key"), "x.bits", "x.odds")
     few = counted.where((F.col("kind") == 0) & (F.col("n") * FREQUENT <= n)).select("key", "n")
-    rare = rare.join(few, "key", "left").groupBy("uid").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("less"),
+    log2 = lambda x: F.log2(x)
+    count_bits = log2(F.coalesce("n", F.lit(0)) + 0.1) - log2(F.lit(n + 0.1 * (v + 1)))
+    gate = 1 / (1 + F.exp(-F.col("odds")))
+    # Weighed from the larger of the two, so that neither vanishes.
+    most = F.greatest(F.col("own"), F.col("bits"))
+    mixed = most + log2(gate * F.pow(F.lit(2.0), F.col("own") - most) + (1 - gate) * F.pow(F.lit(2.0), F.col("bits") - most))
+    rare = rare.join(few, "key", "left").withColumn("own", count_bits).groupBy("uid").agg(
+        F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("less"), F.sum(-mixed).alias("rare_bits")
     )
     rows = rows.drop("rare").join(rare, "uid", "left")
-    base = F.col("common") + F.coalesce("less", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(n + 0.1 * (v + 1)))
+    bits = F.col("bits") + F.coalesce("rare_bits", F.lit(0.0))
+    base = F.col("common") * F.lit(float(np.log10(2))) + F.coalesce("less", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(n + 0.1 * (v + 1)))
     return rows.select(
         "doc_id",
         held_out().alias("held_out"),
@@ -356,8 +425,8 @@ def report(docs: DataFrame) -> DataFrame:
         (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (-F.col("bits") * F.lit(float(np.log10(2)))).alias("score"),
-        (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"),
+        (-bits * F.lit(float(np.log10(2)))).alias("score"),
+        (bits / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 

@@ -396,30 +396,93 @@ def test_base_score_and_probabilities(spark, monkeypatch):
     assert len({r.score for r in got if r.doc_id == 9002}) == 1
 
 
-def test_bits_are_a_code():
-    """Over all one-byte continuations of a fresh model the probabilities add up to one."""
-    cells = [np.zeros(256 << bits, np.int32) for _, bits in context_mixing.ORDERS]
+def random_model():
     rng = np.random.default_rng(0)
+    cells = [np.zeros((1 << bits, 256), np.int32) for _, bits in context_mixing.ORDERS]
+    for c in cells:
+        c.reshape(-1)[rng.integers(0, c.size, 5000)] = rng.integers(1, 50, 5000)
+    code = context_mixing.Code(cells[0].sum(0))
+    tables = []
     for c in cells:
-        c[rng.integers(0, len(c), 5000)] = rng.integers(1, 50, 5000)
-    model = context_mixing.Model(cells, [b"some text to fit the gates on"])
-    total = 0.0
-    for b in range(256):
-        text = np.array([b], np.uint8)
-        total += 2.0 ** -model.bits(text, np.array([0, 1]))[0]
+        table = np.zeros(c.shape, np.int8)
+        for i in range(0, len(c), 4096):
+            table[i : i + 4096, :255] = np.clip(np.rint(context_mixing.log_odds(*code.node_counts(c[i : i + 4096])) * context_mixing.STEPS), -127, 127)
+        tables.append(table)
+    model = context_mixing.Model(code, tables, cells[-1].sum(1))
+    text = np.frombuffer(b"some text to fit the gates on \n", np.uint8)
+    assert model.fit(text, np.array([0, len(text)])) > 50
+    return model
+
+
+def test_bits_are_a_code():
+    """Over all one-byte continuations of a fresh model the probabilities add up to one."""
+    model = random_model()
+    total = sum(2.0 ** -model.bits(np.array([b], np.uint8), np.array([0, 1]))[0] for b in range(256))
     assert total == pytest.approx(1.0, abs=1e-4)
 
 
-def test_weights_are_refined_within_short_texts(monkeypatch):
-    cells = [np.zeros(256 << bits, np.int32) for _, bits in context_mixing.ORDERS]
-    rng = np.random.default_rng(0)
-    for c in cells:
-        c[rng.integers(0, len(c), 5000)] = rng.integers(1, 50, 5000)
-    model = context_mixing.Model(cells, [b"some text to fit the gates on"])
-    text = np.frombuffer(b"some text to fit the gates on, and more " * 5, np.uint8)
-    online = model.bits(text, np.array([0, len(text)]))
-    monkeypatch.setattr(context_mixing, "RATE", 0.0)
-    assert online[0] != model.bits(text, np.array([0, len(text)]))[0]
+def plain_bits(model, text):
+    """Bits of each byte of one text, a bit at a time."""
+    m, out = context_mixing, []
+    slots = m.contexts(text, np.array([0, len(text)]))
+    weights = model.weights.astype(float)
+    for start in range(0, len(text), m.BLOCK):
+        step = np.zeros_like(weights)
+        for i in range(start, min(start + m.BLOCK, len(text))):
+            a = model.code.start[text[i]]
+            bits = 0.0
+            for j in range(a, a + model.code.length[text[i]]):
+                node, bit = int(model.code.node[j]), int(model.code.bit[j])
+                x = [int(t.reshape(-1, 256)[s[i], node]) / m.STEPS for t, s in zip(model.tables, slots, strict=True)]
+                gate = min(int(model.code.depth[j]), m.DEPTHS - 1) * m.SURE + int(model.sure[slots[-1][i]])
+                p = 1 / (1 + math.exp(-sum(w * v for w, v in zip(weights[gate], x, strict=True))))
+                bits -= math.log2(p if bit else 1 - p)
+                for k, v in enumerate(x):
+                    step[gate, k] += m.RATE * (bit - p) * v
+            out.append(bits)
+        weights += step
+    return out
+
+
+def test_bits_equal_a_plain_mixer():
+    model = random_model()
+    texts = [np.frombuffer(t, np.uint8) for t in (b"some text to fit the gates on, and more " * 9, b"\n", "é few wörds \n".encode(), b"x" * 64, b"y" * 65)]
+    got = model.bits(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    assert got.tolist() == pytest.approx([v for t in texts for v in plain_bits(model, t)], rel=1e-3, abs=1e-3)
+
+
+def test_scores_equal_a_plain_mixture(spark, monkeypatch):
+    monkeypatch.setattr(context_mixing, "FREQUENT", 50)
+    monkeypatch.setattr(context_mixing, "FIT_SHARE", 4)
+    rng = random.Random(21)
+    word = lambda: rng.choice(["the", "of", "Énd", "ab" * rng.randint(1, 3), f"w{rng.randrange(200)}"])
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(70, None), (71, "long " * 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counted = context_mixing.written(spark, context_mixing.counts(docs))
+    model = context_mixing.train(docs, counted)
+    out = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    toks = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
+    c = collections.Counter(w for i, t in rows if not out(i) for w in toks(t))
+    n, v = sum(c.values()), len(c)
+    got = {r.doc_id: r for r in context_mixing.report(docs).collect()}
+    for i, t in rows:
+        parts = [b"\n" if w is None else (w + " ").encode() for w in toks(t)]
+        each = iter(plain_bits(model, np.frombuffer(b"".join(parts), np.uint8)))
+        total, odds = 0.0, 0.0
+        for w, part in zip(toks(t), parts, strict=True):
+            own, by = math.log2((c[w] + 0.1) / (n + 0.1 * (v + 1))), -sum(next(each) for _ in part)
+            gate = 1 / (1 + math.exp(-max(-4.0, min(4.0, odds / context_mixing.MIX_STEP + context_mixing.MIX_START))))
+            total += math.log10(gate * 2**own + (1 - gate) * 2**by)
+            if c[w] * 50 > n:
+                odds += max(-6.0, min(6.0, own - by))
+        assert got[i].score == pytest.approx(total, rel=2e-3, abs=1e-2)
+    assert sum(r.score > r.base_score for r in got.values()) > 30
+
+
+def test_language_model_of_odd_rows(spark):
+    got = context_mixing.report(odd(spark)).collect()
+    assert len(got) == len(ODD) and all(math.isfinite(r.score) for r in got) and len({r.score for r in got if r.doc_id in (1, 2)}) == 1
+    assert context_mixing.report(odd(spark).limit(0)).count() == 0
 
 
 def test_no_training_rows(spark):
