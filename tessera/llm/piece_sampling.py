@@ -4,14 +4,16 @@ All segmentations of a text into pieces form a lattice; their probability is the
 weight of the paths into each place, backward sampling then draws one path from its end, with uniforms hashed from the row key, the chunk's
 place in the text and the step. So a row gives the same sample wherever and whenever it runs. No piece crosses from a
 letter into a blank, so a chunk (blanks, then what follows up to the next blank) is sampled by itself, and the lattice
-of each distinct chunk of a block of texts is built once, with numpy over all of them.
+of each distinct chunk of a block of texts is built once, with numpy over all of them. A long chunk (text without blanks, say) is cut where no piece of its
+lattice crosses: all paths go through such a place, so the parts are independent. What has no such place (a run of one letter) is filtered a byte at a time, each place drawing
+its edge as it is reached.
 
 The vocabulary is a BPE one and has ranks, no probabilities: the piece of rank r weighs (r + 2.7) ** -1.07 (Zipf's law), to the power
 ``sharpness``. Characters without a piece are spelled in byte pieces, so nothing is lost; a literal U+2581 is spelled in bytes too,
 as that character stands for the blank. As the library does, a blank is put before the text and taken off again.
 
 Defined cases: null counts as empty; an empty text has no pieces; a null row key is a key of its own; rows with equal keys and texts get equal
-samples. Chunks of more than ``LONG`` bytes are sampled one by one, in time and memory linear in their length. Other columns are ignored.
+samples. A text of more than ``BLOCK`` bytes is taken in parts of about that size, cut at a blank or where no piece crosses, so memory is bounded whatever its length. Other columns are ignored.
 An empty table gives no rows.
 """
 
@@ -30,8 +32,8 @@ from tessera.llm.common import U64, documents, mix, pieces, powers, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 64
-#: Bytes of text whose lattices are built at once; a longer text stands alone.
-BLOCK = 1 << 20
+#: Bytes of text whose lattices are built at once, and among which a cut of a longer one is sought at a time.
+BLOCK, SEEK = 1 << 19, 1 << 12
 #: Lattice weights get this factor for each byte, which all paths share, so that products stay in range.
 PER_BYTE = 30.0
 BITS = 22
@@ -194,45 +196,88 @@ def sample_chunks(v: Vocabulary, data: np.ndarray, bounds: np.ndarray, kind: np.
     return out, count
 
 
-def sample_long(v: Vocabulary, chunk: bytes, seed: int) -> list[int]:
-    """One sample of a chunk of any length, in logarithms."""
-    n = len(chunk)
-    alpha = np.full(n + 1, -np.inf)
-    alpha[0] = 0.0
-    into: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-    raw = np.zeros(n, bool)
-    at = 0
+def free_places(v: Vocabulary, data: np.ndarray) -> np.ndarray:
+    """Which places of a byte run no lattice edge crosses: one more than it has bytes, the ends among them."""
+    a, b, _ = edges(v, data, np.array([0, len(data)]))
+    inner = b - a > 1
+    change = np.bincount(a[inner] + 1, minlength=len(data) + 2) - np.bincount(b[inner], minlength=len(data) + 2)
+    return np.cumsum(change)[: len(data) + 1] == 0
+
+
+def sample_long(v: Vocabulary, chunk: np.ndarray, seed: int) -> np.ndarray:
+    """One sample of a chunk of any length, a byte at a time. The edge by which a place would be reached is drawn as soon as its weight is known, by a uniform of the
+    place; the path is then followed from the end. Weights are kept for as many places as the longest piece spans, and scaled back when they grow out of range."""
+    n, far = len(chunk), v.longest + 4
+    came, by = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+    alpha = {0: 1.0}
+    for at in range(0, n, BLOCK):
+        a, b, piece = edges(v, chunk[at : at + BLOCK + far], np.array([0, min(n - at, BLOCK + far)]))
+        mine = a < BLOCK
+        if at:  # edges over the cut, from the block before
+            x, y, z = edges(v, chunk[at - far : at + far], np.array([0, min(n - at + far, 2 * far)]))
+            over = (x < far) & (y > far)
+            a, b, piece = np.concatenate([a[mine], x[over] - far]), np.concatenate([b[mine], y[over] - far]), np.concatenate([piece[mine], z[over]])
+        else:
+            a, b, piece = a[mine], b[mine], piece[mine]
+        mine = b <= BLOCK
+        a, b, piece = a[mine], b[mine], piece[mine]
+        order = np.argsort(b, kind="stable")
+        a, b, piece = a[order] + at, b[order] + at, piece[order]
+        first = np.searchsorted(b, np.arange(at + 1, at + min(BLOCK, n - at) + 2)).tolist()
+        u = ((mix(U64(seed) + np.arange(at + 1, at + len(first), dtype=np.uint64) * step_code(1)) >> U64(11)).astype(np.float64) * 2.0**-53).tolist()
+        starts, names, weight = a.tolist(), piece.tolist(), v.weight[piece].tolist()
+        for i in range(len(first) - 1):
+            k = at + i + 1
+            terms = [alpha.get(starts[e], 0.0) * weight[e] for e in range(first[i], first[i + 1])]
+            total = sum(terms)
+            alpha.pop(k - far, None)
+            if total <= 0.0:
+                continue
+            alpha[k] = total
+            goal, e = u[i] * total, first[i]
+            for t in terms:
+                goal -= t
+                if goal < 0.0 and t > 0.0:
+                    break
+                e += 1
+            else:
+                e = first[i] + max(j for j, t in enumerate(terms) if t > 0.0)
+            came[k], by[k] = starts[e], names[e]
+            if not 1e-150 < total < 1e150:
+                alpha = {p: w / total for p, w in alpha.items()}
+    out, k, back, pieces_ = [], n, came.tolist() if n < 1 << 16 else came, by
+    while k:
+        out.append(int(pieces_[k]))
+        k = int(back[k])
+    return np.array(out[::-1], np.int32)
+
+
+def parts(v: Vocabulary, data: np.ndarray) -> list[tuple[int, int]]:
+    """A long text's parts of BLOCK bytes or little more, cut before a blank that follows other text, else where no piece crosses."""
+    cuts, at, n = [0], BLOCK, len(data)
     while at < n:
-        wide = 1 if chunk[at] < 0x80 else 2 if chunk[at] < 0xE0 else 3 if chunk[at] < 0xF0 else 4
-        if chunk[at : at + wide] not in v.table:
-            raw[at : at + wide] = True
-        at += wide
-    for i in range(n):
-        if raw[i]:
-            into[i + 1].append((i, int(v.byte_id[chunk[i]])))
-        for k in range(i + 1, min(n, i + v.longest) + 1):
-            if (p := v.table.get(chunk[i:k])) is not None:
-                into[k].append((i, p))
-    for k in range(1, n + 1):
-        if into[k]:
-            x = np.array([alpha[i] + v.log_weight[p] for i, p in into[k]])
-            if (top := x.max()) > -np.inf:
-                alpha[k] = top + np.log(np.exp(x - top).sum())
-    out, at, step = [], n, 0
-    while at:
-        x = np.exp(np.array([alpha[i] + v.log_weight[p] for i, p in into[at]]) - alpha[at])
-        u = float(mix(np.array([seed], np.uint64) + step_code(step))[0] >> U64(11)) * 2.0**-53
-        k = min(int(np.searchsorted(np.cumsum(x), u, "right")), int(np.flatnonzero(x > 0)[-1]))
-        at, p = into[at][k]
-        out.append(p)
-        step += 1
-    return out[::-1]
-
-
-def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces of all rows end to end, the n + 1 bounds of the rows' pieces; and the bytes encoded (each row with its blank) with their bounds."""
+        own = data[at : at + SEEK]
+        blank = np.flatnonzero((own == 32) & (data[at - 1 : at - 1 + len(own)] != 32))
+        if len(blank):
+            cut = at + int(blank[0])
+        else:
+            low = at - v.longest
+            free = free_places(v, data[low : at + SEEK + v.longest])[v.longest : v.longest + SEEK]
+            lead = (own & 0xC0) != 0x80
+            found = np.flatnonzero(free[: len(own)] & lead)
+            cut = at + int(found[0]) if len(found) else 0
+        if cut:
+            cuts.append(cut)
+            at = cut + BLOCK
+        else:
+            at += SEEK
+    return list(zip(cuts, [*cuts[1:], n], strict=True))
+
+
+def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, part: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of all rows end to end, the n + 1 bounds of the rows' pieces; and the bytes encoded (each row with its blank) with their bounds. Later parts of a text get no blank."""
     n = np.diff(offsets)
-    full = n > 0
+    full = (n > 0) & (part == 0)
     bounds = offsets + np.concatenate([[0], np.cumsum(full)])
     text = np.full(int(bounds[-1]), 32, np.uint8)
     text[np.arange(len(data)) + np.repeat(np.cumsum(full), n)] = data
@@ -241,12 +286,28 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarra
     blank = text == 32
     new = blank.copy()
     new[1:] &= ~blank[:-1]
-    new[bounds[:-1][full]] = True
+    new[bounds[:-1][n > 0]] = True
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, len(text)))
     row = np.searchsorted(bounds, start, "right") - 1
     nth = np.arange(len(start)) - np.searchsorted(start, bounds[:-1])[row]
-    seed = mix(mix(keys)[row] + nth.astype(np.uint64) * U64(0xD1B54A32D192ED03))
+    seed = mix(mix(keys)[row] + nth.astype(np.uint64) * U64(0xD1B54A32D192ED03) + U64(part << 40))
+    if (size > LONG).any():
+        more, at = [np.stack([start, np.arange(len(start)), np.zeros(len(start), np.int64)], 1)], np.flatnonzero(size > LONG)
+        for k in at.tolist():
+            a, b = int(start[k]), int(start[k] + size[k])
+            for x in range(a, b, BLOCK):
+                low = max(a, x - v.longest)
+                free = free_places(v, text[low : min(b, x + BLOCK + v.longest)])[x - low : x - low + min(BLOCK, b - x)]
+                cuts = x + np.flatnonzero(free & ((text[x : x + len(free)] & 0xC0) != 0x80))
+                cuts = cuts[cuts > a]
+                more.append(np.stack([cuts, np.full(len(cuts), k), cuts - a], 1))
+        units = np.concatenate(more)
+        units = units[np.argsort(units[:, 0], kind="stable")]
+        start, seed = units[:, 0], seed[units[:, 1]]
+        later = units[:, 2] > 0
+        seed[later] = mix(seed[later] + units[later, 2].astype(np.uint64) * U64(0xA0761D6478BD642F))
+        size = np.diff(np.append(start, len(text)))
     short = size <= LONG
     where = np.flatnonzero(short)
     within = np.arange(len(text)) - np.repeat(start, size)
@@ -256,14 +317,14 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarra
     at, own = start[where[one]], size[where[one]]
     cuts = np.concatenate([[0], np.cumsum(own)])
     chunks = text[np.repeat(at - cuts[:-1], own) + np.arange(int(cuts[-1]))]
-    ids, count = sample_chunks(v, chunks, cuts, kind, seed[where])
+    ids, count = sample_chunks(v, chunks, cuts, kind, seed[where]) if len(where) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
     if short.all():
         total = count
         out = ids
     else:
         total = np.zeros(len(start), np.int64)
         total[where] = count
-        long = {int(k): sample_long(v, text[start[k] : start[k] + size[k]].tobytes(), int(seed[k])) for k in np.flatnonzero(~short)}
+        long = {int(k): sample_long(v, text[start[k] : start[k] + size[k]], int(seed[k])) for k in np.flatnonzero(~short)}
         for k, p in long.items():
             total[k] = len(p)
         ends = np.cumsum(total)
@@ -305,6 +366,25 @@ def _mapped(docs: DataFrame, key: str, model: str, sharpness: float, digest: boo
             data, offsets = utf8(batch.column("text"))
             seeds = np.array([-1 if k is None else k for k in batch.column("seed").to_pylist()], np.int64).view(np.uint64)
             for x, y in pieces(offsets, BLOCK):
+                if offsets[y] - offsets[x] > BLOCK:  # one long text
+                    own = data[offsets[x] : offsets[y]]
+                    found, sums, text_sum, back_sum, ok = [], np.zeros(2, np.int64), hashlib.sha256(), hashlib.sha256(), True
+                    for k, (a, b) in enumerate(parts(v, own)):
+                        ids, _, text, _ = encode(v, own[a:b], np.array([0, b - a]), seeds[x:y], k)
+                        if not digest:
+                            found.append(ids)
+                            continue
+                        made = v.decode(ids)
+                        ok = ok and np.array_equal(made, text)
+                        text_sum.update(ids)
+                        back_sum.update(made[1:] if k == 0 else made)
+                        sums += len(ids), int(is_byte[ids].sum())
+                    if digest:
+                        yield pa.RecordBatch.from_arrays([batch.column("id").slice(x, 1), pa.array(sums[:1]), pa.array(sums[1:]), pa.array([text_sum.hexdigest()]), pa.array([back_sum.hexdigest()]), pa.array([ok])], names)
+                    else:
+                        ids = np.concatenate(found)
+                        yield pa.RecordBatch.from_arrays([batch.column("id").slice(x, 1), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))], names)
+                    continue
                 ids, ends, text, bounds = encode(v, data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], seeds[x:y])
                 if not digest:
                     yield pa.RecordBatch.from_arrays([batch.column("id").slice(x, y - x), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], names)

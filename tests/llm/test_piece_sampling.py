@@ -57,7 +57,7 @@ def test_frequencies_follow_the_lattice(v, sampler):
         got = [tuple(ids[a:b].tolist()) for a, b in itertools.pairwise(ends)]
     else:
         n = 3000
-        got = [tuple(ps.sample_long(v, chunk, int(s))) for s in seeds[:n]]
+        got = [tuple(ps.sample_long(v, np.frombuffer(chunk, np.uint8), int(s)).tolist()) for s in seeds[:n]]
     assert set(got) <= set(paths)
     for p, w in paths.items():
         share = w / total
@@ -74,3 +74,45 @@ def test_rows(spark):
     assert ps.report(df.limit(0)).count() == 0
     enc = ps.encode_column(df)
     assert {r.t for r in enc.select(ps.decode_column(enc.pieces).alias("t")).collect()} == {r[1] or "" for r in rows}
+
+
+def test_unbroken_text_is_cut_where_no_piece_crosses(v):
+    """Segments of a long chunk have the lattice's own frequencies: a place that all paths share parts them."""
+    text = "中文字符没有空格" * 12
+    raw = np.frombuffer(text.encode(), np.uint8)
+    free = ps.free_places(v, raw)
+    a, b, _ = ps.edges(v, raw, np.array([0, len(raw)]))
+    assert free.tolist() == [not ((a < k) & (k < b)).any() for k in range(len(raw) + 1)] and free.sum() > 20
+    got = run(v, [text] * 300, range(300))
+    assert all(v.decode(np.array(g)).tobytes()[1:].decode() == text for g in got)
+    mixed = run(v, ["unbroken" * 20] * 50, range(50))
+    assert len({tuple(g) for g in mixed}) > 10 and all(v.decode(np.array(g)).tobytes()[1:].decode() == "unbroken" * 20 for g in mixed)
+
+
+def test_very_long_texts_in_bounded_parts(v, monkeypatch):
+    import time
+    import tracemalloc
+
+    monkeypatch.setattr(ps, "BLOCK", 1 << 16)
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(chr(0x4E00 + c) for c in rng.integers(0, 3000, 9)) for _ in range(500)])
+    cjk = "".join(words[rng.integers(0, 500, 20_000)])[:170_000]
+    for text in (cjk, "z" * 200_000, "word " * 60_000, "aGVsbG8gd29ybGQ" * 20_000):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        cuts = ps.parts(v, raw)
+        assert cuts[0][0] == 0 and cuts[-1][1] == len(raw) and all(b == c for (_, b), (c, _) in itertools.pairwise(cuts))
+        began = time.perf_counter()
+        tracemalloc.start()
+        ids = np.concatenate([ps.encode(v, raw[a:b], np.array([0, b - a]), np.array([5], np.uint64), k)[0] for k, (a, b) in enumerate(cuts)])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert v.decode(ids).tobytes()[1:].decode() == text
+        assert peak < 120 << 20 and time.perf_counter() - began < 30
+
+
+def test_long_texts_as_rows(spark, monkeypatch):
+    rows = [(1, "中文没有空格" * 120_000, 0), (2, "ab " * 300_000, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_pieces int")
+    got = {r.doc_id: r for r in ps.report(df).collect()}
+    pieces = {r.doc_id: len(r.pieces) for r in ps.encode_column(df).collect()}
+    assert all(r.lossless for r in got.values()) and {i: r.n_pieces for i, r in got.items()} == pieces
