@@ -104,55 +104,97 @@ def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(flat.field(f).slice(x, 20_000) for f in ("akey", "chash", "n", "hot")), pa.array(cut, pa.binary())], ["akey", "chash", "n", "hot", "text"])
 
 
+#: Bits of a place or a rank where three of them share a word.
+_PACKED = 21
+
+
+def ranked(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Ranks from 1 of pairs of ranks, equal pairs alike. One vectorised sort of words that hold both and the place, where they fit."""
+    n = len(high)
+    if n >= 1 << _PACKED:
+        return np.unique(high.astype(np.uint64) << U64(32) | low.astype(np.uint64), return_inverse=True)[1].astype(np.int64) + 1
+    word = np.sort(high.astype(np.uint64) << U64(2 * _PACKED) | low.astype(np.uint64) << U64(_PACKED) | np.arange(n, dtype=np.uint64))
+    pair, at = word >> U64(_PACKED), (word & U64((1 << _PACKED) - 1)).astype(np.int64)
+    out = np.empty(n, np.int64)
+    out[at] = np.cumsum(np.concatenate([[True], pair[1:] != pair[:-1]])) if n else pair
+    return out
+
+
+def placed(value: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
+    """Places in the order of value (and second), equal ones by place."""
+    n = len(value)
+    if n >= 1 << _PACKED:
+        return np.lexsort((second, value)) if second is not None else np.argsort(value, kind="stable")
+    word = value.astype(np.uint64) << U64(2 * _PACKED) | np.arange(n, dtype=np.uint64)
+    if second is not None:
+        word |= second.astype(np.uint64) << U64(_PACKED)
+    word.sort()
+    return (word & U64((1 << _PACKED) - 1)).astype(np.int64)
+
+
+def letters(symbols: np.ndarray) -> np.ndarray:
+    """Ranks from 1 of 64-bit symbols in the order of a hash, which is as good an alphabet as any; where two symbols share a hash, in their own order."""
+    n = len(symbols)
+    if n < 1 << _PACKED:
+        word = mix(symbols * U64(0x9E3779B97F4A7C15) + U64(1)) >> U64(_PACKED) << U64(_PACKED) | np.arange(n, dtype=np.uint64)
+        word.sort()
+        at = (word & U64((1 << _PACKED) - 1)).astype(np.int64)
+        value, key = symbols[at], word >> U64(_PACKED)
+        new = value[1:] != value[:-1]
+        if not (new & (key[1:] == key[:-1])).any():
+            out = np.empty(n, np.int64)
+            out[at] = np.cumsum(np.concatenate([[True], new])) if n else key
+            return out
+    return np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
+
+
 class Shard:
     """Sorted suffixes of some strings, to a window's depth: their transform."""
 
-    def __init__(self, strings: list[bytes], weight: np.ndarray):
-        size = np.array([len(s) for s in strings], np.int64)
-        self.data = np.frombuffer(b"".join(strings) + b"\x00" * STEP, np.uint8)
-        ends = np.cumsum(size)
-        total = int(ends[-1])
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, weight: np.ndarray):
+        self.offsets = offsets
+        size = np.diff(offsets)
+        total = len(data)
         self.owner = np.repeat(np.arange(len(size)), size)
-        self.rest = ends[self.owner] - np.arange(total)
-        self.place = np.arange(total) - (ends - size)[self.owner]
+        self.rest = np.repeat(offsets[1:], size) - np.arange(total)
         self.weight = weight[self.owner]
-        self.symbol = np.ndarray((total,), ">u8", self.data, 0, (1,)).astype(np.uint64)
+        self.symbol = np.ndarray((total,), "<u8", np.concatenate([data, np.zeros(STEP, np.uint8)]), 0, (1,)).copy()
+        self.full = self.rest >= STEP
 
-    def sort(self, alphabet: np.ndarray) -> None:
-        """Order of the suffixes of a symbol or more, the groups that share a window, and the transform's links."""
-        full = self.rest >= STEP
+    def sort(self, letter: np.ndarray) -> None:
+        """Order of the suffixes of a symbol or more, the groups that share a window, and the transform's links. letter: ranks of the full symbols."""
+        full = self.full
         one = np.zeros(len(full), np.int64)
-        one[full] = np.searchsorted(alphabet, self.symbol[full]) + 1
+        one[full] = letter
         depth, rank, goal = 1, {1: one}, WINDOW // STEP
         while depth < goal:
             add = max(k for k in rank if k <= min(depth, goal - depth) and not k & (k - 1))
             rank[depth + add] = self._join(rank[depth], rank[add], depth)
             depth += add
         at = np.flatnonzero(full)
-        self.order = at[np.argsort(rank[goal][at], kind="stable")]
+        self.order = at[placed(rank[goal][at])]
         self.group = rank[goal][self.order]
         self.whole = self.rest[self.order] >= WINDOW
         self.total = np.concatenate([[0], np.cumsum(self.weight[self.order])])
         row = np.zeros(len(full), np.int64)
         row[self.order] = np.arange(len(self.order))
-        self.first = one[self.order].astype(np.uint64) << U64(32)
+        first = one[self.order]
+        self.first = first.astype(np.uint64) << U64(32)
         follow = np.zeros(len(self.order), np.int64)
         more = self.rest[self.order] >= 2 * STEP
         follow[more] = row[self.order[more] + STEP] + 1
-        key = self.first | follow.astype(np.uint64)
-        turn = np.argsort(key, kind="stable")
+        turn = placed(first, follow)
         #: Of each suffix: its first symbol, and the row of what follows plus one (0 for an end), in order.
-        self.keys = key[turn]
+        self.keys = (self.first | follow.astype(np.uint64))[turn]
         turn = turn[more[turn]]
         self.symbols, self.source, self.target = self.first[turn], follow[turn] - 1, turn
 
     def _join(self, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
         shift = depth * STEP
         after = np.zeros(len(a), np.int64)
-        ok = self.rest > shift
-        after[ok] = b[np.flatnonzero(ok) + shift]
-        _, rank = np.unique((a.astype(np.uint64) << U64(32)) | after.astype(np.uint64), return_inverse=True)
-        out = rank.astype(np.int64) + 1
+        ok = np.flatnonzero(self.rest > shift)
+        after[ok] = b[ok + shift]
+        out = ranked(a, after)
         out[a == 0] = 0
         return out
 
@@ -172,57 +214,67 @@ def bounds_in(a: Shard, b: Shard) -> np.ndarray:
     return b.total[high] - b.total[low]
 
 
-def repeated(strings: list[bytes], weight: np.ndarray) -> list[np.ndarray]:
-    """Of each string, the places whose window occurs at least twice, strings counted by their weight."""
-    half = max(1, len(strings) // 2)
-    shards = [Shard(strings[:half], weight[:half])] + ([Shard(strings[half:], weight[half:])] if len(strings) > half else [])
-    alphabet = np.unique(np.concatenate([s.symbol[s.rest >= STEP] for s in shards]))
+def repeated(data: np.ndarray, offsets: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings laid end to end, each counted by its weight: the places (in data) whose window occurs at least twice, as starts and ends of runs."""
+    n = len(weight)
+    half = max(1, n // 2)
+    cut = int(offsets[half])
+    shards = [Shard(data[:cut], offsets[: half + 1], weight[:half])] + ([Shard(data[cut:], offsets[half:] - cut, weight[half:])] if n > half else [])
+    letter = letters(np.concatenate([s.symbol[s.full] for s in shards]))
+    at = 0
     for s in shards:
-        s.sort(alphabet)
-    out: list[np.ndarray] = []
+        own = int(s.full.sum())
+        s.sort(letter[at : at + own])
+        at += own
+    mark = np.zeros(len(data) + 2, np.int8)
     for k, s in enumerate(shards):
         start = np.concatenate([[True], s.group[1:] != s.group[:-1]])
         first = np.flatnonzero(start)
-        own = np.diff(np.append(s.total[first], s.total[-1]))[np.cumsum(start) - 1]
+        met = np.diff(np.append(s.total[first], s.total[-1]))[np.cumsum(start) - 1]
         if len(shards) == 2:
-            own = own + bounds_in(s, shards[1 - k])
-        hit = s.order[(own > 1) & s.whole]
-        mark = np.zeros(len(s.owner), bool)
-        mark[hit] = True
-        sizes = np.bincount(s.owner)
-        ends = np.cumsum(sizes)
-        out += [np.flatnonzero(mark[e - z : e]) for e, z in zip(ends.tolist(), sizes.tolist(), strict=True)]
-    return out
-
-
-def runs(places: np.ndarray) -> list[int]:
-    """Starts and ends (exclusive) of the runs of consecutive places, one after the other."""
-    if not len(places):
-        return []
-    cut = np.flatnonzero(np.diff(places) != 1)
-    return np.stack([places[np.concatenate([[0], cut + 1])], places[np.append(cut, len(places) - 1)] + 1], 1).reshape(-1).tolist()
+            met = met + bounds_in(s, shards[1 - k])
+        mark[1 + (cut if k else 0) + s.order[(met > 1) & s.whole]] = 1
+    edge = np.flatnonzero(np.diff(mark))  # a string's last places start no window, so no run crosses strings
+    return edge[::2], edge[1::2]
 
 
 def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts, sorted by anchor, to the runs of repeated places of each."""
-    held: list[tuple[int, int, int, bytes]] = []
+    held: list[pa.RecordBatch] = []
     size = 0
 
-    def flush(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        rows = list({(r[0], r[1]): r for r in rows}.values())
-        found = repeated([r[3] for r in rows], np.array([r[2] for r in rows], np.int64))
-        keep = [(r[0], r[1], runs(p)) for r, p in zip(rows, found, strict=True) if len(p)]
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.int64()), pa.array([k[2] for k in keep], pa.list_(pa.int32()))], ["akey", "chash", "runs"])
+    def flush(table: pa.Table) -> pa.RecordBatch:
+        akey, chash = table["akey"].to_numpy(), table["chash"].to_numpy()
+        new = np.ones(len(akey), bool)
+        new[1:] = (akey[1:] != akey[:-1]) | (chash[1:] != chash[:-1])
+        if not new.all():  # copies of a document send their contexts each
+            table = table.filter(pa.array(new))
+            akey, chash = akey[new], chash[new]
+        data, offsets = utf8(table["text"].combine_chunks().cast(pa.large_binary()).view(pa.large_string()))
+        a, b = repeated(data, offsets, table["n"].to_numpy())
+        owner = np.searchsorted(offsets, a, "right") - 1
+        flat = np.stack([a - offsets[owner], b - offsets[owner]], 1).reshape(-1).astype(np.int32)
+        keep = np.unique(owner)
+        ends = 2 * np.append(np.searchsorted(owner, keep), len(owner))
+        return pa.RecordBatch.from_arrays([pa.array(akey[keep]), pa.array(chash[keep]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["akey", "chash", "runs"])
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("akey", "chash", "n", "text")), strict=True):
-            if size >= BLOCK and row[0] != held[-1][0]:
-                yield flush(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[3])
+        akey = batch.column("akey").to_numpy()
+        length = np.diff(utf8(batch.column("text").cast(pa.large_binary()).view(pa.large_string()))[1])
+        cuts = np.flatnonzero(np.concatenate([[bool(held) and held[-1].column("akey")[-1].as_py() != akey[0]], akey[1:] != akey[:-1]])) if len(akey) else []
+        at = 0
+        total = np.concatenate([[0], np.cumsum(length)])
+        for c in cuts:
+            if size + total[c] - total[at] >= BLOCK:
+                if c > at:
+                    held.append(batch.slice(at, c - at))
+                yield flush(pa.Table.from_batches(held))
+                held, size, at = [], 0, int(c)
+        if len(akey) > at:
+            held.append(batch.slice(at))
+            size += int(total[-1] - total[at])
     if held:
-        yield flush(held)
+        yield flush(pa.Table.from_batches(held))
 
 
 def single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
