@@ -6,30 +6,35 @@ through it word by word; the state and the current longest matching length tell,
 of at least ``min_span`` hit words and drops documents of which more than ``max_coverage`` of the words are hit.
 
 Only stretches whose neighbouring word pairs all occur in some item are given to the automaton; a window cannot lie
-elsewhere. Items are split by a hash into shards of about ``SHARD_BYTES``; each shard has an automaton of its own, so what is
-collected and broadcast at once is bounded, and the texts pass through the shards one after another in one stage.
+elsewhere. Items are split by a hash into shards of about ``SHARD_BYTES``, each with an automaton of its own, built alone and packed into flat sorted arrays (about 6 bytes for
+each byte of items). A pass over the texts takes ``PASS`` shards; further shards take further passes, whose hits come as small tables by a digest of the text
+and are joined. So what a task holds does not grow with the benchmark.
 
 Defined cases: null or wordless texts have no words and no hits; items without words match nothing; an item with a
-null item_id hits words but is not listed; items with equal ids count once; repeated documents each get a row. Columns
+null item_id hits words but is not listed; items with equal ids count once; repeated documents each get a row; a very long text is taken whole, in one task. Columns
 other than doc_id and text are ignored by ``report`` and kept by ``clean``. An empty table of documents gives no rows, one of items no hits.
 """
 
 from __future__ import annotations
 
 import functools
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle as pickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import ALNUM, U64, Words, documents, mix, pieces, utf8, written
+from tessera.llm.common import ALNUM, U64, Words, discard, documents, mix, pieces, utf8, written
 
 WINDOW = 10
 SHARD_BYTES = 2 << 20
+#: Shards whose automata a task holds at once.
+PASS = 4
 #: Bits of the filter of known word pairs.
 FILTER_BITS = 22
 
@@ -39,8 +44,8 @@ def words_of(text: str | None) -> list[bytes]:
     return ALNUM[raw].tobytes().split()
 
 
-class Automaton:
-    """Suffix automaton of several word sequences, with the items that own each window."""
+class Builder:
+    """Suffix automaton of several word sequences, with the items that own each window; ``Automaton`` is what it is packed into."""
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window = window
@@ -109,45 +114,85 @@ class Automaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, w)
         return new
 
+
+
+class Automaton:
+    """A packed automaton. Transitions are sorted by (state, word); owners of windows by state."""
+
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
+        made = Builder(items, window)
+        self.window, self.least, self.short_lengths = window, made.least, made.short_lengths
+        self.vocabulary = made.vocabulary
+        self.base = max(1, len(made.vocabulary))
+        moves = sorted((v * self.base + w, to) for v, edges in enumerate(made.next) for w, to in edges.items())
+        self.key, self.to = array("Q", [k for k, _ in moves]), array("i", [t for _, t in moves])
+        self.link, self.length = array("i", made.link), array("i", made.length)
+        self.names = sorted({n for own in (*made.owners.values(), *made.short.values()) for n in own})
+        number = {n: i for i, n in enumerate(self.names)}
+        states = sorted(made.owners)
+        self.owned = array("i", states)
+        self.owner_at = array("i", [0])
+        self.owner = array("i")
+        for v in states:
+            self.owner.extend(sorted(number[n] for n in made.owners[v]))
+            self.owner_at.append(len(self.owner))
+        self.short = {k: tuple(sorted(number[n] for n in own)) for k, own in made.short.items()}
+        self.packed = np.packbits(made.known)
+        self.known: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": None}
+
+    @staticmethod
+    def _slots(h: np.ndarray) -> np.ndarray:
+        return (h >> U64(64 - FILTER_BITS)).astype(np.int64)
+
+    def step(self, v: int, w: int) -> int:
+        """The state that w leads to from v, or -1."""
+        k = v * self.base + w
+        i = bisect_left(self.key, k)
+        return self.to[i] if i < len(self.key) and self.key[i] == k else -1
+
     def walk(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Hit ranges of words (merged, end exclusive) and the owners of the windows that occur."""
         spans: list[tuple[int, int]] = []
-        owners: set[str] = set()
+        owners: set[int] = set()
+        link, length, step = self.link, self.length, self.step
         v = n = 0
         for i, word in enumerate(words):
             w = self.vocabulary.get(word)
             if w is None:
                 v = n = 0
                 continue
-            while v and w not in self.next[v]:
-                v = self.link[v]
-                n = self.length[v]
-            if w in self.next[v]:
-                v, n = self.next[v][w], n + 1
-            else:
-                n = 0
+            to = step(v, w)
+            while v and to < 0:
+                v = link[v]
+                n = length[v]
+                to = step(v, w)
+            v, n = (to, n + 1) if to >= 0 else (0, 0)
             reach = 0
             for m in self.short_lengths:
                 if m > n:
                     break
                 u = v
-                while self.length[self.link[u]] >= m:
-                    u = self.link[u]
+                while length[link[u]] >= m:
+                    u = link[u]
                 if (u, m) in self.short:
-                    owners |= self.short[u, m]
+                    owners.update(self.short[u, m])
                     reach = m
             if n >= self.window:
                 u = v
-                while self.length[self.link[u]] >= self.window:
-                    u = self.link[u]
-                owners |= self.owners[u]
+                while length[link[u]] >= self.window:
+                    u = link[u]
+                k = bisect_left(self.owned, u)
+                owners.update(self.owner[self.owner_at[k] : self.owner_at[k + 1]])
                 reach = self.window
             if reach:
                 start = i + 1 - reach
                 while spans and spans[-1][1] >= start:
                     start = min(start, spans.pop()[0])
                 spans.append((start, i + 1))
-        return spans, owners
+        return spans, {self.names[k] for k in owners}
 
     def find(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[list[tuple[int, int, int, int]], set[str]]]]:
         """Number of words of each row; for rows with hits, spans (words from, to, bytes from, to, within the row) and items."""
@@ -156,6 +201,8 @@ class Automaton:
         found: dict[int, tuple[list[tuple[int, int, int, int]], set[str]]] = {}
         if not self.least or not len(w):
             return count, found
+        if self.known is None:
+            self.known = np.unpackbits(self.packed).view(bool)
         h = w.hashes()
         row = np.repeat(np.arange(len(count)), count)
         reach = 1 if self.least == 1 else 2
@@ -211,36 +258,84 @@ def automata(items: DataFrame, window: int = WINDOW) -> list:
 
 
 SPAN = "array<struct<word:long,word_end:long,at:long,end:long>>"
+_FIELDS = ("word", "word_end", "at", "end")
+
+
+def found_in(batch: pa.RecordBatch, autos: list[Automaton]) -> tuple[np.ndarray, dict[int, list], dict[int, set[str]]]:
+    """Number of words of each row; of rows with hits the spans and items over several automata."""
+    data, offsets = utf8(batch.column("text"))
+    count = np.zeros(len(batch), np.int64)
+    spans: dict[int, list] = {}
+    items: dict[int, set[str]] = {}
+    for x, y in pieces(offsets, 4 << 20):
+        for auto in autos:
+            count[x:y], found = auto.find(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
+            for r, (own, names) in found.items():
+                spans[x + r] = join([*spans.get(x + r, []), *own])
+                items.setdefault(x + r, set()).update(names)
+    return count, spans, items
+
+
+def as_spans(rows: list[list[tuple]]) -> pa.Array:
+    return pa.array([[dict(zip(_FIELDS, s, strict=True)) for s in row] for row in rows], pa.list_(pa.struct([pa.field(n, pa.int64()) for n in _FIELDS])))
+
+
+def passes(shared: list) -> list[list]:
+    return [shared[i : i + PASS] for i in range(0, len(shared), PASS)]
+
+
+def hits(docs: DataFrame, shared: list) -> DataFrame:
+    """key (a digest of the text), spans and items of the texts that some shard hits, each text once; a pass for every few shards."""
+
+    def one(some: list) -> DataFrame:
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            autos = [pickle.loads(b.value) for b in some]
+            for batch in batches:
+                _, spans, items = found_in(batch, autos)
+                rows = sorted(spans)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows, pa.int64())), as_spans([spans[r] for r in rows]), pa.array([sorted(items[r]) for r in rows], pa.list_(pa.string()))], ["key", "spans", "items"])
+
+        return docs.select("key", "text").mapInArrow(step, f"key binary, spans {SPAN}, items array<string>").dropDuplicates(["key"])
+
+    found = functools.reduce(DataFrame.union, [one(p) for p in passes(shared)])
+    gathered = found.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [join([tuple(s.values()) for s in row]) for row in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), as_spans(rows), batch.column("items")], ["key", "spans", "items"])
+
+    return gathered.mapInArrow(merged, f"key binary, spans {SPAN}, items array<string>")
+
+
+def text_key() -> Column:
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 def scan(docs: DataFrame, shared: list) -> DataFrame:
     """doc_id, n_words, and the hit spans (bytes of the text's UTF-8) and items of each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if not shared:
-        shared = [docs.sparkSession.sparkContext.broadcast(pickle.dumps(Automaton([])))]
-    docs = docs.withColumns({"spans": F.array().cast(SPAN), "items": F.array().cast("array<string>")})
-    fields = [pa.field(n, pa.int64()) for n in ("word", "word_end", "at", "end")]
-    for k, b in enumerate(shared):
-        last = k + 1 == len(shared)
-
-        def step(batches: Iterator[pa.RecordBatch], b=b, last=last) -> Iterator[pa.RecordBatch]:
-            auto: Automaton = pickle.loads(b.value)
-            for batch in batches:
-                data, offsets = utf8(batch.column("text"))
-                spans, items, count = batch.column("spans").to_pylist(), batch.column("items").to_pylist(), np.zeros(len(batch), np.int64)
-                for x, y in pieces(offsets, 4 << 20):
-                    count[x:y], found = auto.find(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
-                    for r, (own, names) in found.items():
-                        spans[x + r] = join([*(tuple(s.values()) for s in spans[x + r]), *own])
-                        items[x + r] = sorted({*items[x + r], *names})
-                made = [pa.array([[dict(zip(("word", "word_end", "at", "end"), s, strict=True)) if isinstance(s, tuple) else s for s in row] for row in spans], pa.list_(pa.struct(fields))), pa.array(items, pa.list_(pa.string()))]
-                if last:
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), *made], ["doc_id", "n_words", "spans", "items"])
-                else:
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *made], ["doc_id", "text", "spans", "items"])
-
-        docs = docs.mapInArrow(step, f"doc_id long, {'n_words long' if last else 'text string'}, spans {SPAN}, items array<string>")
-    return docs
+    once = len(shared) <= PASS
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        autos = [pickle.loads(b.value) for b in shared] if once else []
+        autos = autos or [Automaton([])]
+        for batch in batches:
+            count, spans, items = found_in(batch, autos)
+            rows = range(len(batch))
+            own = [] if once else [batch.column("key")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(count), as_spans([spans.get(r, []) for r in rows]), pa.array([sorted(items.get(r, [])) for r in rows], pa.list_(pa.string())), *own],
+                ["doc_id", "n_words", "spans", "items", *(["key"] if own else [])],
+            )
+
+    schema = f"doc_id long, n_words long, spans {SPAN}, items array<string>"
+    if once:
+        return docs.mapInArrow(step, schema)
+    docs = docs.withColumn("key", text_key())
+    counted = docs.mapInArrow(step, f"{schema}, key binary").select("doc_id", "n_words", "key")
+    met = hits(docs, shared)
+    return counted.join(met, "key", "left").select("doc_id", "n_words", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def join(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -273,49 +368,46 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_span: int
     if len(shared) < 2:
         return edited(docs, shared, min_span, max_coverage)
     # An automaton sees its own shard alone, so spans are gathered from all before any cut; the rows that were cut go round again.
-    names, done, first = docs.columns, [], True
+    spark, first, done = docs.sparkSession, True, []
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     while True:
-        docs = written(docs.sparkSession, trimmed(marked(docs, shared), names, min_span, max_coverage if first else None))
-        done.append(docs.where("not again_").select(*[F.col(f"`{c}`") for c in names]))
-        docs, first = docs.where("again_").select(*[F.col(f"`{c}`") for c in names]), False
-        if not docs.limit(1).count():
+        before, rows = rows, written(spark, trimmed(marked(rows, shared), min_span, max_coverage if first else None))
+        discard(before)
+        done.append(rows.where("not again").select("row.*"))
+        if not rows.where("again").limit(1).count():
             return functools.reduce(DataFrame.union, done)
+        rows, first = written(spark, rows.where("again").select("row")), False
 
 
-def marked(docs: DataFrame, shared: list) -> DataFrame:
-    """The rows with words_, their number of words, and spans_, the hit spans over all shards (four numbers each)."""
-    docs = docs.withColumns({"words_": F.lit(0).cast("long"), "spans_": F.array().cast("array<long>")})
-    schema = T.StructType(docs.schema.fields)
-    for b in shared:
+def marked(rows: DataFrame, shared: list) -> DataFrame:
+    """row, its number of words, and spans, the hit spans over all shards (four numbers each)."""
+    text = rows.select("row", F.col("row.text").cast("string").alias("text")).withColumn("key", text_key())
+    met = hits(text, shared).withColumn("spans", F.flatten(F.transform("spans", lambda s: F.array(s.word, s.word_end, s["at"], s.end))))
+    count = Automaton([])
 
-        def step(batches: Iterator[pa.RecordBatch], b=b) -> Iterator[pa.RecordBatch]:
-            auto: Automaton = pickle.loads(b.value)
-            for batch in batches:
-                data, offsets = utf8(batch.column("text"))
-                spans, words = batch.column("spans_").to_pylist(), np.zeros(len(batch), np.int64)
-                for x, y in pieces(offsets, 4 << 20):
-                    words[x:y], found = auto.find(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
-                    for r, (own, _) in found.items():
-                        spans[x + r] = [v for s in join([*quads(spans[x + r]), *own]) for v in s]
-                made = {"words_": pa.array(words), "spans_": pa.array(spans, batch.column("spans_").type)}
-                yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, _, _ = found_in(batch, [count])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n), batch.column("spans")], ["row", "words", "spans"])
 
-        docs = docs.mapInArrow(step, schema)
-    return docs
+    joined = text.join(met, "key", "left").select("row", "text", F.coalesce("spans", F.array().cast("array<long>")).alias("spans"))
+    return joined.mapInArrow(words, T.StructType([joined.schema["row"], T.StructField("words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType()))]))
 
 
 def quads(flat: list[int]) -> list[tuple[int, int, int, int]]:
     return list(zip(*[iter(flat)] * 4, strict=True))
 
 
-def trimmed(docs: DataFrame, names: list[str], min_span: int, max_coverage: float | None) -> DataFrame:
-    """One round over marked rows: those over max_coverage (None: not asked) dropped, spans cut out; again_ tells which rows were cut."""
+def trimmed(docs: DataFrame, min_span: int, max_coverage: float | None) -> DataFrame:
+    """One round over marked rows: those over max_coverage (None: not asked) dropped, spans cut out; again tells which rows were cut."""
+    names = docs.schema["row"].dataType.fieldNames()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column("text")
-            words, drop, changed = batch.column("words_").to_pylist(), [], {}
-            for r, flat in enumerate(batch.column("spans_").to_pylist()):
+            row = pa.RecordBatch.from_struct_array(batch.column("row"))
+            raw = row.column(names.index("text"))
+            words, drop, changed = batch.column("words").to_pylist(), [], {}
+            for r, flat in enumerate(batch.column("spans").to_pylist()):
                 spans = [s for s in quads(flat) if s[1] - s[0] >= min_span]
                 if max_coverage is not None and sum(s[1] - s[0] for s in spans) > max_coverage * words[r]:
                     drop.append(r)
@@ -323,11 +415,10 @@ def trimmed(docs: DataFrame, names: list[str], min_span: int, max_coverage: floa
                     changed[r] = cut(raw[r].as_py().encode(), spans).decode()
             again = np.zeros(len(batch), bool)
             again[list(changed)] = True
-            out = replaced(batch.select(names), names, drop, changed)
-            kept = np.delete(again, drop)
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(kept)], [*names, "again_"])
+            out = replaced(row, names, drop, changed)
+            yield pa.RecordBatch.from_arrays([out.to_struct_array(), pa.array(np.delete(again, drop))], ["row", "again"])
 
-    return docs.mapInArrow(step, T.StructType([*(docs.schema[c] for c in names), T.StructField("again_", T.BooleanType())]))
+    return docs.mapInArrow(step, T.StructType([docs.schema["row"], T.StructField("again", T.BooleanType())]))
 
 
 def replaced(batch: pa.RecordBatch, names: list[str], drop: list[int], changed: dict[int, str]) -> pa.RecordBatch:
