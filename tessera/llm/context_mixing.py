@@ -42,11 +42,16 @@ GATES, LIMIT, STEPS = DEPTHS * SURE, 8.0, 16
 #: Bytes of a document between two updates of its weights; step size of an update.
 BLOCK, RATE, FIT_RATE = 64, 0.008, 0.02
 CHUNK = 1 << 18
+#: Steps of a unit of log odds in the tables of the logistic, and how many there are on each side.
+FINE, EDGE = 256, 4095
 END = np.uint64(0x0E4D)
 _BYTE32 = (mix(np.arange(1, 257, dtype=np.uint64)) >> U64(32)).astype(np.uint32)
 _POWER32 = (powers(256) & U64(0xFFFFFFFF)).astype(np.uint32)
 #: Log odds of the second gate at a text's start (for the unigram), and at most; how many bits of difference move it by one; a single token's at most.
 MIX_START, MIX_LIMIT, MIX_STEP, MIX_CLIP = 1.0, 4.0, 12.0, 6.0
+_ODDS = np.arange(-EDGE, EDGE + 1) / FINE
+#: The loss of log odds against the bit that came, in nats, and the chance that the other was given.
+_LOSS, _MISS = np.logaddexp(0, _ODDS).astype(np.float32), (1 / (1 + np.exp(-_ODDS))).astype(np.float32)
 WHOLE = "uid long, doc_id long, n_tokens long, n_known long, common double, bits double, n_bytes long, rare array<struct<token:long,bits:float,odds:float>>"
 
 
@@ -241,13 +246,14 @@ class Model:
             for k in range(1, len(ORDERS)):
                 z += np.take(weights[k], slot) * x[k]
             z *= turn
-            # z is now the log odds against the bit that came; g / (1 + g) or 1 / (1 + g) is the chance given to the other.
-            g = np.exp(-np.abs(z))
-            away = z > 0
-            loss = np.log1p(g, out=out[a:b])
-            loss[away] += z[away]
-            miss = np.where(away, np.float32(1), g)
-            miss /= 1 + g
+            # z is now the log odds against the bit that came, in steps of 1 / FINE.
+            z *= FINE
+            np.rint(z, out=z)
+            np.clip(z, -EDGE, EDGE, out=z)
+            z += EDGE
+            at = z.astype(np.int32)
+            np.take(_LOSS, at, out=out[a:b], mode="clip")
+            miss = np.take(_MISS, at)
             miss *= turn
             low = int(slot[0]) // GATES
             high = int(slot[-1]) // GATES + 1
