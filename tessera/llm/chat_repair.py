@@ -4,7 +4,8 @@ Legal conversations are an optional system turn and then user and assistant turn
 over the last role (none, system, user, assistant) knows them. Each turn is kept, relabelled, or merged into the turn before it, and empty
 turns may be inserted before it; dynamic programming finds the cheapest way through, and the repaired turns are rendered.
 
-A conversation is cut at every ``SPAN`` turn numbers. Each stretch gives the least cost from each state to each, a matrix;
+Turns are numbered in order, in ranges over all tasks, and a conversation is cut at every ``SPAN`` of them, so neither a long conversation nor many turns of equal or
+no number come to one task. Each stretch gives the least cost from each state to each, a matrix;
 the matrices of a conversation are multiplied (min, +) to find the states between the stretches, and each stretch is then traced by
 itself. So a very long conversation is spread over many tasks, and only 16 numbers for each stretch meet in one.
 
@@ -21,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents
+from tessera.llm.common import documents, written
+from tessera.operators.layout import place
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 NAMES = ("", "system", "user", "assistant")
@@ -163,14 +165,16 @@ def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repair(turns: DataFrame) -> DataFrame:
     """One row for each turn; the rendered pieces of a conversation, in turn order, are its repaired text, the costs add up to the least cost."""
     turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    turns = turns.withColumn("part", F.coalesce(F.floor(F.col("turn") / SPAN), F.lit(-(2**62))).cast("long"))
+    turns = turns.withColumns({"conv": F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), "tie": F.monotonically_increasing_id()})
+    turns = place(turns, ["conv"], [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first(), F.col("tie")], "pos").drop("conv", "tie")
+    turns = written(turns.sparkSession, turns.withColumn("part", F.floor((F.col("pos") - 1) / SPAN)))
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    roles = turns.drop("text").repartition(parts, "conv_id", "part").sortWithinPartitions("conv_id", "part", "turn", "role")
+    roles = turns.drop("text").repartition(parts, "conv_id", "part").sortWithinPartitions("conv_id", "part", "pos")
     costs = roles.mapInArrow(costs_of_parts, "conv_id long, part long, m array<long>")
     linked = costs.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "m"))).alias("parts")).mapInArrow(link_parts, "conv_id long, part long, entry int, leave int, first boolean, last boolean")
     linked = linked.withColumnsRenamed({"conv_id": "c", "part": "p"})
     placed = turns.join(linked, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).drop("c", "p")
-    placed = placed.repartition(parts, "conv_id", "part").sortWithinPartitions("conv_id", "part", "turn", "role", "text")
+    placed = placed.repartition(parts, "conv_id", "part").sortWithinPartitions("conv_id", "part", "pos")
     return placed.mapInArrow(render, SCHEMA)
 
 

@@ -8,7 +8,7 @@ matching by a longest increasing run).
 
 Defined cases: null text counts as empty; an empty text has the fingerprint '' (like 1 to another empty one, 0 to the
 rest); a text without an anchor is anchored by its k-mer of least hash, one shorter than k bytes by itself. Rows with equal doc_id are ordered
-as Spark's stable sort leaves them; a null doc_id comes first. Other columns of the input are ignored. An empty table gives no rows.
+by their text, null first; a null doc_id comes first. A very long text is hashed a block at a time. Other columns of the input are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -193,7 +193,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     own = F.array(F.struct(F.col("b").alias("bucket"), F.lit(False).alias("ghost")))
     more = F.transform(F.coalesce("to", F.array().cast("array<int>")), lambda x: F.struct(x.alias("bucket"), F.lit(True).alias("ghost")))
     rows = keyed.withColumn("x", F.explode(F.concat(own, more)))
-    return rows.select("doc_id", "text", "at", "x.bucket", "x.ghost").repartition(parts, "bucket").sortWithinPartitions("bucket", "ghost", "at").drop("at")
+    return rows.select("doc_id", "text", "at", "x.bucket", "x.ghost").repartition(parts, "bucket").sortWithinPartitions("bucket", "ghost", "at", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).drop("at")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ Spark's own functions over one scan without a shuffle.
 Text of HTML: comments, scripts, styles and heads go with their content, tags of blocks end a line, other tags vanish, the
 entities of ``ENTITIES`` are decoded, white space is collapsed.
 
-Defined cases: a null payload counts as empty; a null URI is kept as null; repeated responses give repeated records; other
-columns are ignored. An empty table gives no rows.
+Defined cases: a null payload counts as empty; a null URI is kept as null, and tells a response from one with another; repeated responses give repeated records; a very long payload
+is one row like any other; other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     return pages.select(
         F.col("page_id").cast("long").alias("page_id"),
-        urn(F.concat_ws("|", F.lit("response"), F.col("page_id").cast("string"), "url")).alias("record_id"),
+        urn(F.concat_ws("|", F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce(F.col("url").cast("string"), F.lit("-")))).alias("record_id"),
         F.col("url").cast("string").alias("target_uri"),
         F.lit(date).alias("date"),
         F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(payload), F.lit("\r\n")).alias("http_headers"),
@@ -95,10 +95,13 @@ def as_text(records: DataFrame) -> DataFrame:
         line("WARC-Type", F.col("kind")),
         line("WARC-Record-ID", F.concat(F.lit("<"), "record_id", F.lit(">"))),
         line("WARC-Refers-To", F.concat(F.lit("<"), "refers_to", F.lit(">"))),
+        line("WARC-Refers-To-Target-URI", F.col("target_uri")),
+        line("WARC-Refers-To-Date", F.col("date")),
         line("WARC-Target-URI", F.col("target_uri")),
         line("WARC-Date", F.col("date")),
         line("WARC-Block-Digest", F.col("block_digest")),
         line("WARC-Source-Payload-Digest", F.col("payload_digest")),
+        F.array_join(F.transform(F.filter(F.split("http_headers", "\r\n"), lambda h: h != ""), lambda h: F.concat(F.lit("WARC-Source-HTTP-Header: "), h, F.lit("\r\n"))), ""),
         line("Content-Type", F.col("content_type")),
         line("Content-Length", F.col("content_length").cast("string")),
     )
@@ -129,11 +132,11 @@ def _sql_text(html: str) -> str:
 
 SQL = rf"""
 WITH r AS (
-  SELECT page_id, {_sql_urn("concat_ws('|', 'response', CAST(page_id AS VARCHAR), url)")} AS refers_to, url AS target_uri, coalesce(html, '') AS h FROM pages),
+  SELECT page_id, {_sql_urn("concat_ws('|', 'response', coalesce(CAST(page_id AS VARCHAR), '-'), coalesce(url, '-'))")} AS refers_to, url AS target_uri, coalesce(html, '') AS h FROM pages),
 k AS (
   SELECT *, 'conversion' AS kind, 'text/plain; charset=utf-8' AS content_type, {_sql_text("h")} AS block FROM r
   UNION ALL
-  SELECT *, 'metadata', 'application/warc-fields', concat('title: ', trim(regexp_replace({_sql_decoded("regexp_extract(h, '(?is)<title[^>]*>(.*?)</title\\s*>', 1)")}, '[ \t\r\n\f]+', ' ', 'g')),
+  SELECT *, 'metadata', 'application/warc-fields', concat('title: ', trim(regexp_replace({_sql_decoded("regexp_extract(h, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)")}, '[ \t\r\n\f]+', ' ', 'g')),
     chr(13), chr(10), 'language: ', regexp_extract(h, '(?i)<html[^>]*\blang=["'']?([A-Za-z-]+)', 1), chr(13), chr(10), 'outlinks: ', len(regexp_extract_all(h, '(?i)<a\b[^>]*\bhref=')), chr(13), chr(10)) FROM r)
 SELECT page_id, kind, {_sql_urn("concat_ws('|', kind, refers_to)")} AS record_id, refers_to, target_uri, '{DATE}' AS date,
   concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/html; charset=utf-8', chr(13), chr(10), 'Content-Length: ', strlen(h), chr(13), chr(10)) AS http_headers,
