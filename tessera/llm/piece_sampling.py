@@ -71,16 +71,28 @@ class Vocabulary:
         self.data = np.frombuffer(b"".join(spelled), np.uint8)
         names = sorted(table)
         code = np.array([code_of(s) for s in names], np.uint64)
-        order = np.argsort(code)
+        order = np.argsort(spread(code))
         self.code, self.code_id = code[order], np.array([table[names[k]] for k in order], np.int32)
+        #: Where the codes of each leading 16 bits (of their spread) begin.
+        self.first = np.searchsorted(spread(self.code) >> U64(48), np.arange((1 << 16) + 1, dtype=np.uint64))
         prefixes = np.array([code_of(p) for p in {s[:k] for s in names for k in range(1, len(s) + 1)}], np.uint64)
         self.is_prefix = np.zeros(1 << BITS, bool)
         self.is_prefix[slots(prefixes)] = True
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which hashes are pieces, and the ids of those."""
-        at = np.minimum(np.searchsorted(self.code, h), len(self.code) - 1)
-        found = self.code[at] == h
+        top = (spread(h) >> U64(48)).astype(np.int64)
+        low, high = self.first[top], self.first[top + 1]
+        found = np.zeros(len(h), bool)
+        at = np.zeros(len(h), np.int64)
+        left = np.flatnonzero(low < high)
+        while len(left):
+            same = self.code[low[left]] == h[left]
+            hit = left[same]
+            found[hit], at[hit] = True, low[hit]
+            left = left[~same]
+            low[left] += 1
+            left = left[low[left] < high[left]]
         return found, self.code_id[at[found]]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
@@ -103,8 +115,12 @@ def step_code(step: int) -> np.uint64:
     return U64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
 
 
+def spread(h: np.ndarray) -> np.ndarray:
+    return (h ^ (h >> U64(31))) * U64(0xBF58476D1CE4E5B9)
+
+
 def slots(h: np.ndarray) -> np.ndarray:
-    return ((h ^ (h >> U64(31))) * U64(0xBF58476D1CE4E5B9) >> U64(64 - BITS)).astype(np.int64)
+    return (spread(h) >> U64(64 - BITS)).astype(np.int64)
 
 
 def edges(v: Vocabulary, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,7 +161,7 @@ def sample_chunks(v: Vocabulary, data: np.ndarray, bounds: np.ndarray, kind: np.
     a, b, piece = edges(v, data, bounds)
     owner = chunk[a]
     place = b - bounds[owner]
-    order = np.argsort(place, kind="stable")
+    order = np.argsort(place.astype(np.uint8) if LONG < 256 else place, kind="stable")
     a, b, piece, owner, place = a[order], b[order], piece[order], owner[order], place[order]
     # Places of chunk c are its bytes' and one more, after the last.
     a, b = a + owner, b + owner
@@ -158,7 +174,13 @@ def sample_chunks(v: Vocabulary, data: np.ndarray, bounds: np.ndarray, kind: np.
         np.add.at(alpha, b[i:j], alpha[a[i:j]] * w[i:j])
     total = alpha[b]
     share = np.divide(alpha[a] * w, total, out=np.zeros(len(a)), where=total > 0)
-    order = np.lexsort((-share, b))
+    # By place, then falling shares (to 16 bits; the order only shortens the search): one sort of words that hold both and the number.
+    if len(alpha) < 1 << 22 and len(a) < 1 << 26:
+        word = b.astype(np.uint64) << U64(42) | np.where(share > 0, (1 - share) * 65534, 65535).astype(np.uint64) << U64(26) | np.arange(len(a), dtype=np.uint64)
+        word.sort()
+        order = (word & U64((1 << 26) - 1)).astype(np.int64)
+    else:
+        order = np.lexsort((-share, b))
     a, b, piece, share = a[order], b[order], piece[order], share[order]
     cum = np.cumsum(share)
     begin = np.searchsorted(b, np.arange(len(alpha)))
@@ -171,23 +193,31 @@ def sample_chunks(v: Vocabulary, data: np.ndarray, bounds: np.ndarray, kind: np.
     # Zero shares come last within a place; the edge before them must end the search.
     dead = share <= 0
     cum[:-1][dead[1:] & (b[1:] == b[:-1]) & ~dead[:-1]] = 2.0
+    # Occurrences by chunk, and all of an edge in one record, so that what is looked up lies together.
+    edge = np.empty(len(b), [("cum", np.float64), ("a", np.int32), ("piece", np.int32)])
+    edge["cum"], edge["a"], edge["piece"] = cum, a, piece
+    live = np.argsort(kind, kind="stable")
+    kind, own = kind[live], seed[live]
     at, goal = (bounds[1:] + np.arange(len(bounds) - 1))[kind], first[kind]
-    live = np.arange(len(kind))
     taken: list[tuple[np.ndarray, np.ndarray]] = []
     step = 0
     count = np.zeros(len(kind), np.int64)
     while len(live):
-        u = (mix(seed[live] + step_code(step)) >> U64(11)).astype(np.float64) * 2.0**-53
+        u = (mix(own + step_code(step)) >> U64(11)).astype(np.float64) * 2.0**-53
         e = begin[at]
-        move = np.flatnonzero(cum[e] <= u)
+        drawn = edge[e]
+        move = np.flatnonzero(drawn["cum"] <= u)
         while len(move):
             e[move] += 1
-            move = move[cum[e[move]] <= u[move]]
-        taken.append((live, piece[e]))
+            further = edge[e[move]]
+            drawn[move] = further
+            move = move[further["cum"] <= u[move]]
+        taken.append((live, drawn["piece"].copy()))
         count[live] += 1
-        at = a[e]
-        more = at != goal[live]
-        live, at = live[more], at[more]
+        at = drawn["a"].astype(np.int64)
+        more = at != goal
+        if not more.all():
+            live, at, goal, own = live[more], at[more], goal[more], own[more]
         step += 1
     ends = np.cumsum(count)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
