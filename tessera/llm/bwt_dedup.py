@@ -2,7 +2,7 @@
 
 A start is repeated if the ``WINDOW`` bytes from it also start elsewhere. Each window is filed under its anchor, the
 ``ANCHOR``-byte string of least hash in it (the first of equals), so equal windows meet under one anchor wherever they stand. Successive
-windows with the same anchor place form a context; equal contexts are counted before any shuffle and again after it, and anchors met
+windows with the same anchor place form a context; equal contexts are counted before any shuffle and again after it (those of common anchors in parts), and anchors met
 once are done. Of the others one copy of each context is fetched and dealt out by anchor.
 
 There, contexts are strings over an alphabet of ``STEP``-byte symbols, one string for each phase, so ``WINDOW // STEP`` symbols are a
@@ -33,6 +33,9 @@ HOT = 8192
 #: Bytes of contexts merged at once, and of text handled at once.
 BLOCK, CHUNK = 1 << 20, 1 << 20
 FILTER_BITS = 25
+#: Documents looked at for common anchors, how many of these there may be, and in how many parts the contexts of one are counted.
+SAMPLE, MOST_COMMON, SALTS = 4000, 5000, 64
+COUNTED = "akey long, chash long, n long, dkey long, lo long, hi long"
 _PLACE = 31
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -285,15 +288,28 @@ def single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array([akey] * m, pa.int64()), pa.array([chash] * m, pa.int64()), pa.array([n] * m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(code, pa.binary())], ["akey", "chash", "n", "at", "code"])
 
 
+def common_anchors(docs: DataFrame) -> list[int]:
+    """Anchors that about one in 500 documents have, by a sample: their contexts are counted in parts. Which they are changes nothing in the result."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    seen = docs.where(F.rand(7) < share).select("dkey", "text").mapInArrow(count_contexts, COUNTED)
+    found = seen.groupBy("akey").agg(F.count_distinct("dkey").alias("m")).where(F.col("m") >= max(4, SAMPLE // 500)).orderBy(F.desc("m")).limit(MOST_COMMON)
+    return [r.akey for r in found.collect()]
+
+
 def repeated_contexts(docs: DataFrame) -> DataFrame:
     """akey, chash and the runs of repeated starts (from the context's first) of every context that has any."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = docs.select("dkey", "text").mapInArrow(count_contexts, "akey long, chash long, n long, dkey long, lo long, hi long")
-    counted = counted.repartition(parts, "akey").groupBy("akey", "chash").agg(F.sum("n").alias("n"), F.min(F.struct("dkey", "lo", "hi")).alias("one"))
-    w = Window.partitionBy("akey")
-    live = counted.select("akey", "chash", "n", "one", F.sum("n").over(w).alias("met"), F.count("*").over(w).alias("kinds")).where("met > 1")
-    live = written(spark, live.select("akey", "chash", "n", "one.*", "kinds"))
+    common = common_anchors(docs)
+    counted = docs.select("dkey", "text").mapInArrow(count_contexts, COUNTED)
+    counted = counted.withColumn("salt", F.when(F.col("akey").isin(common), F.pmod("chash", F.lit(SALTS)) + 1).otherwise(0) if common else F.lit(0).cast("long"))
+    counted = counted.repartition(parts, "akey", "salt").groupBy("akey", "salt", "chash").agg(F.sum("n").alias("n"), F.min(F.struct("dkey", "lo", "hi")).alias("one"))
+    w = Window.partitionBy("akey", "salt")
+    live = counted.select("akey", "salt", "chash", "n", "one", F.sum("n").over(w).alias("met"), F.count("*").over(w).alias("kinds")).where("met > 1 OR salt > 0")
+    live = written(spark, live.select("akey", "salt", "chash", "n", "one.*", "kinds"))
+    if common:  # at most MOST_COMMON anchors, whose parts are added up
+        whole = live.where("salt > 0").groupBy("akey").agg(F.sum("n").alias("met"), F.count("*").alias("kinds")).where("met > 1").drop("met")
+        live = live.where("salt = 0").unionByName(live.where("salt > 0").drop("kinds").join(F.broadcast(whole), "akey"))
     alone = live.where("kinds = 1").select("akey", "chash", F.array(F.lit(0), (F.col("hi") - F.col("lo") + 1).cast("int")).alias("runs"))
     want = live.where("kinds > 1").groupBy("dkey").agg(F.collect_list(F.struct("akey", "chash", "n", "lo", "hi", (F.col("kinds") > HOT).alias("hot"))).alias("want"))
     bytes_of = written(spark, docs.select("dkey", "text").join(want, "dkey").select("text", "want").mapInArrow(fetch, "akey long, chash long, n long, hot boolean, text binary"))

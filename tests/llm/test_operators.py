@@ -267,9 +267,10 @@ def brute_removed(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [8192, 2])
-def test_repeated_bytes_equal_brute_force(spark, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "sample"), [(8192, 4000), (2, 4000), (8192, 2000), (2, 1)])
+def test_repeated_bytes_equal_brute_force(spark, hot, sample, monkeypatch):
     monkeypatch.setattr(bwt_dedup, "HOT", hot)
+    monkeypatch.setattr(bwt_dedup, "SAMPLE", sample)
     rng = random.Random(9)
     text = lambda n: "".join(rng.choice("abcdeé ") for _ in range(n))
     base = [text(700) for _ in range(4)]

@@ -68,3 +68,30 @@ def test_stages_keep_the_columns(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null and repeated ids, null, empty and long texts, repeated rows, ties, and extra columns with names that the operators use."""
+    from pyspark.sql import functions as F
+
+    docs, _ = tables(spark, str(tmp_path / "a"))
+    odd = [(None, "x y z"), (None, "another text"), (7, "a " * 60_000), (7, "twice"), (7, "twice"), (8, None), (9, ""), (9, None), (10, "中" * 30_000)]
+    names = ("score", "row", "key", "digest", "id", "kept", "root", "again", "spans", "words", "uid", "akey", "seed", "text_")
+    own = spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in docs[:40] + odd], "doc_id long, text string, lang string, source string, n_chars long")
+    own = own.withColumns({c: F.lit("clash") for c in names})
+    seen = own
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        seen = corpus_pipeline.written(spark, stage(spark, seen, str(tmp_path / "a")))
+        assert seen.columns == own.columns and seen.where("score <> 'clash' OR row <> 'clash'").count() == 0
+    kept = seen.collect()
+    assert sum(r.doc_id is None for r in kept) == 2 and sum(r.doc_id == 7 for r in kept) == 3 and sum(not r.text for r in kept) == 1
+    assert all(r.n_chars == len(r.text or "") for r in kept)
+    last = corpus_pipeline.STAGES[-1][1](spark, seen, str(tmp_path / "a")).collect()
+    assert len(last) == len(kept) and all(r.lossless for r in last)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
