@@ -193,13 +193,13 @@ class Events:
     def __init__(self, code: Code, text: np.ndarray, slots: list[np.ndarray], sure: np.ndarray):
         n = code.length[text]
         ends = np.cumsum(n)
-        self.byte = np.repeat(np.arange(len(text), dtype=np.int32), n)
+        self.times = n
         self.bounds = np.concatenate([[0], ends])
         at = np.repeat(code.start[text] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
         node = code.node[at]
         self.bit = code.bit[at]
-        self.gate = np.minimum(code.depth[at], DEPTHS - 1) * SURE + sure[slots[-1]][self.byte]
-        self.cells = [(s.astype(np.int32) << 8)[self.byte] + node for s in slots]
+        self.gate = np.minimum(code.depth[at], DEPTHS - 1) * SURE + np.repeat(sure[slots[-1]], n)
+        self.cells = [np.repeat(s.astype(np.int32) << 8, n) + node for s in slots]
 
 
 class Model:
@@ -235,7 +235,7 @@ class Model:
         steps = e.bounds[np.searchsorted(block[order], np.arange(int(block.max()) + 2))]
         weights = [np.tile(self.weights[:, k], rows) for k in range(len(ORDERS))]
         scale = np.float32(1 / STEPS)
-        owner = row[e.byte]
+        owner = np.repeat(row, e.times)
         slots = owner * np.int32(GATES) + e.gate
         sign = np.where(e.bit, np.float32(-1), np.float32(1))
         out = np.empty(len(e.bit), np.float32)
@@ -262,7 +262,7 @@ class Model:
                 x[k] *= miss
                 weights[k][low * GATES : high * GATES] -= RATE * np.bincount(at, x[k], (high - low) * GATES).astype(np.float32)
         back = np.empty(len(text))
-        back[order] = np.add.reduceat(out, e.bounds[:-1], dtype=np.float64) if len(out) else 0.0
+        back[order] = np.add.reduceat(out, e.bounds[:-1]) if len(out) else 0.0
         return back / np.log(2)
 
 
