@@ -68,7 +68,7 @@ def some(windows: DataFrame, n: int, seed: int, key: str, pos: str = "pos") -> D
     return windows.orderBy(F.xxhash64(F.lit(seed), key, pos), key, pos).limit(n)
 
 
-#: Knobs of an experiment: how a step changes one, and its bounds.
+# Knobs of an experiment, how a step changes one, and its bounds.
 KNOBS = {
     "context_len": ("add", (-1, 1), 1, 8), "hidden": ("times", (0.5, 2.0), 8, 256), "emb_dim": ("times", (0.5, 2.0), 4, 64), "lr": ("times", (0.5, 2.0), 0.001, 4.0),
     "batch_size": ("times", (0.5, 2.0), 8, 256), "momentum": ("add", (-0.2, 0.05), 0.0, 0.98), "warmup_frac": ("add", (-0.05, 0.05), 0.0, 0.5), "n_layers": ("add", (-1, 1), 1, 3),

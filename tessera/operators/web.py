@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators.evidence import holds_any
 
+# Parts of the names of models that read images; the forms of links that pages of posts have are in the patterns below.
+TOKENS = ("vision", "gemma", "llava", "qwen", "pixtral", "minicpm")
 HREF = r"""(?i)href\s*=\s*["']([^"']+)["']"""
 
 
@@ -47,7 +49,7 @@ def named_any(name: Column, keys: list[str]) -> Column:
     return holds_any(T.composed(name), keys)
 
 
-def allowed(models: DataFrame, tokens: tuple[str, ...] = ("vision", "gemma", "llava", "qwen", "pixtral", "minicpm"), name: str = "name") -> DataFrame:
+def allowed(models: DataFrame, tokens: tuple[str, ...] = TOKENS, name: str = "name") -> DataFrame:
     """The models whose name holds a token; all of them where none does."""
     hit = F.exists(F.array(*map(F.lit, tokens)), lambda t: F.contains(F.col(name), t))
     some = models.agg(F.coalesce(F.max(hit), F.lit(False)).alias("some")).scalar()
