@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bagminhash, bwt_dedup, chat_repair, context_mixing, decontaminate, hard_negatives, pii, piece_sampling, syncmers, toxicity, warc_derive
+from tessera.llm import bagminhash, bwt_dedup, chat_repair, context_mixing, decontaminate, hard_negatives, merkle, pii, piece_sampling, syncmers, toxicity, warc_derive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_repair": chat_repair.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_context_mixing": context_mixing.query,
     "op10_piece_sampling": piece_sampling.query,
     "op12_hard_negatives": hard_negatives.query,
+    "op13_merkle": merkle.query,
 }
 
-SQL: dict[str, str] = {"op3_decontaminate": decontaminate.SQL, "op7_warc_derive": warc_derive.SQL, "op12_hard_negatives": hard_negatives.SQL}
+SQL: dict[str, str] = {"op3_decontaminate": decontaminate.SQL, "op7_warc_derive": warc_derive.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_merkle": merkle.SQL}
