@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bagminhash, bwt_dedup, chat_repair, context_mixing, decontaminate, hard_negatives, merkle, pii, piece_sampling, syncmers, toxicity, warc_derive
+from tessera.llm import bagminhash, bwt_dedup, chat_repair, context_mixing, decontaminate, hard_negatives, language_id, merkle, pii, piece_sampling, syncmers, toxicity, warc_derive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_repair": chat_repair.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bagminhash": bagminhash.query,
     "op9_context_mixing": context_mixing.query,
     "op10_piece_sampling": piece_sampling.query,
+    "op11_language_id": language_id.query,
     "op12_hard_negatives": hard_negatives.query,
     "op13_merkle": merkle.query,
 }
