@@ -5,10 +5,12 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tessera.operators import prefix
+
 
 def score(df: DataFrame, by: list[str] | None = None, rollup: bool = False) -> DataFrame:
     """Rows need gold_subject, gold_sub, pred_subject, pred_sub, confidence; means of nothing are null."""
@@ -92,7 +94,7 @@ def neighbours(configs: DataFrame, knobs: dict = KNOBS) -> DataFrame:
 
 def ledger(rounds: DataFrame, by: list[str], order: str = "round", value: str = "bpb") -> DataFrame:
     """One row for each experiment with what was best before it and whether it was kept."""
-    return best_so_far(rounds, by, order, value).select(*by, order, value, "best", F.when(F.col("kept"), "KEEP").otherwise("DROP").alias("verdict"))
+    return prefix.best_so_far(rounds, by, order, value).select(*by, order, value, "best", F.when(F.col("kept"), "KEEP").otherwise("DROP").alias("verdict"))
 
 
 def cross_validated(rows: DataFrame, features: list[str], label: str = "label", folds: int = 5, key: str = "doc_id") -> DataFrame:
@@ -113,12 +115,6 @@ def cross_validated(rows: DataFrame, features: list[str], label: str = "label",
     return rows.sparkSession.createDataFrame(out, "fold int, n long, accuracy double")
 
 
-def best_so_far(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """A round is kept if it beats all before it."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("best", F.min(value).over(w)).withColumn("kept", F.col("best").isNull() | (F.col(value) < F.col("best")))
-
-
 def fit_calibration(rows: DataFrame, features: list[str], label: str = "label", least: int = 10):
     """Balanced logistic regression with the penalty 1 / (2 * sum of weights) per unit; null with too few rows or one class."""
     from pyspark.ml.classification import LogisticRegression

@@ -1,4 +1,4 @@
-"""Layout and sequences: islands, longest increasing runs, repairs. Groups are pages, so every window is by page."""
+"""Layout and sequences: islands, longest increasing runs, repairs. Groups are pages, so every window is by page; ``prefix`` has what groups of any size need."""
 
 from __future__ import annotations
 
@@ -17,14 +17,20 @@ def islands(df: DataFrame, by: list[str], x: str, gap: Column, name: str = "isla
 
 def columns(df: DataFrame, by: list[str], x: str, width: Column, share: float = 0.15) -> DataFrame:
     """Left and right bounds of the columns of a page; one row for each column."""
-    width_name = "width_"
-    df = df.withColumn(width_name, width)
-    flat = islands(df, by, x, F.col(width_name) * share).groupBy(*by, "island").agg(F.min(x).alias("low"), F.max(x).alias("high"), F.count("*").alias("n"), F.first(width_name).alias(width_name))
-    w = Window.partitionBy(*by).orderBy("island")
+    flat = island_spans(islands(df.withColumn("width_", width), by, x, F.col("width_") * share), by, x)
+    return column_bounds(flat.withColumn("next_", F.lead("low").over(Window.partitionBy(*by).orderBy("island"))), by)
+
+
+def island_spans(df: DataFrame, by: list[str], x: str) -> DataFrame:
+    """A row for each island: where it begins and ends, its rows, and the width of its page."""
+    return df.groupBy(*by, "island").agg(F.min(x).alias("low"), F.max(x).alias("high"), F.count("*").alias("n"), F.first("width_").alias("width_"))
+
+
+def column_bounds(spans: DataFrame, by: list[str]) -> DataFrame:
+    """Bounds of islands, of which each knows where the next begins (``next_``)."""
     left = F.when(F.col("island") == 0, F.lit(0.0)).otherwise(F.col("low") - 10)
-    following = F.lead("low").over(w)
-    right = F.when(following.isNull(), F.col(width_name)).otherwise((F.col("high") + following) / 2)
-    return flat.select(*by, "island", "n", "low", left.cast("double").alias("left"), right.cast("double").alias("right"))
+    right = F.when(F.col("next_").isNull(), F.col("width_")).otherwise((F.col("high") + F.col("next_")) / 2)
+    return spans.select(*by, "island", "n", "low", left.cast("double").alias("left"), right.cast("double").alias("right"))
 
 
 def top_two(cols: DataFrame, by: list[str]) -> DataFrame:
@@ -111,12 +117,6 @@ def extents(df: DataFrame, by: list[str], y: str, bottom: Column) -> DataFrame:
     return df.withColumn("y1", F.coalesce(F.lead(y).over(w), bottom))
 
 
-def runs(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
-    """Number of the run of equal neighbours."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("new_", F.when(F.col(value).eqNullSafe(F.lag(value).over(w)), 0).otherwise(1)).withColumn("run", F.sum("new_").over(w)).drop("new_")
-
-
 def reading_order(df: DataFrame, by: list[str], col: str, y: str, x: str, band: float = 12.0) -> DataFrame:
     """Column, then band of y (halves to even), then x."""
     w = Window.partitionBy(*by).orderBy(col, F.bround(F.col(y) / band), x, y)
@@ -130,12 +130,6 @@ def dedup_starts(df: DataFrame, page: list[str], num: str, y: str, body: str, *r
     return kept.groupBy(*page, num, "band").agg(F.min(F.struct(y, *rest)).alias("k_")).select(*page, num, "band", "k_.*")
 
 
-def edges(df: DataFrame, by: list[str], order: str, node: str) -> DataFrame:
-    """An edge from each node to the next, in order."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return df.withColumn("before", F.lag(node).over(w)).where("before IS NOT NULL").select(*by, F.col("before").alias("src"), F.col(node).alias("dst"))
-
-
 def place(df: DataFrame, by: list[str], order: list[Column], name: str = "place") -> DataFrame:
     """Row numbers within groups of any size: rows are dealt out in ranges of (by, order) and written, numbered within a range, and raised by the counts of the
     ranges before (one row a range and group). No task gets a whole group."""

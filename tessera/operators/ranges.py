@@ -32,11 +32,3 @@ def outside(points: DataFrame, boxes: DataFrame, by: list[str], cell: float = 64
     for c in [*by, "cx_", "cy_"]:
         on = on & (F.col(f"p.{c}") == F.col(f"b.{c}"))
     return points.withColumns({"cx_": at("x"), "cy_": at("y")}).alias("p").join(cells.alias("b"), on, "left_anti").drop("cx_", "cy_")
-
-
-def asof_next(events: DataFrame, marks: DataFrame, by: str, at: str, mark: str) -> DataFrame:
-    """The first mark after each event of the same key: one pass over the union in order, no pairs."""
-    both = events.withColumn("m_", F.lit(None).cast(marks.schema[mark].dataType)).withColumn("k_", F.lit(1)).select(by, F.col(at).alias("t_"), "k_", "m_", F.struct(*events.columns).alias("row"))
-    other = marks.select(by, F.col(mark).alias("t_"), F.lit(0).alias("k_"), F.col(mark).alias("m_"), F.lit(None).cast(both.schema["row"].dataType).alias("row"))
-    w = Window.partitionBy(by).orderBy(F.desc("t_"), F.desc("k_")).rowsBetween(Window.unboundedPreceding, -1)
-    return both.union(other).withColumn("next", F.last("m_", ignorenulls=True).over(w)).where("k_ = 1").select("row.*", "next")

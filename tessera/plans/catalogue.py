@@ -15,7 +15,7 @@ from tessera import streaming
 from tessera.functions import jsonfix, scalars
 from tessera.functions import rules as R
 from tessera.functions import text as T
-from tessera.operators import confidence, evaluate, evidence, labels, layout, ranges, review, web
+from tessera.operators import confidence, evaluate, evidence, labels, layout, prefix, ranges, review, web
 from tessera.sources import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -482,12 +482,12 @@ ISL = "x AS (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER
 
 @query(f"WITH {ISL.format(15)} SELECT user_id, island, n, low, CAST(CASE WHEN island = 0 THEN 0 ELSE low - 10 END AS DOUBLE) AS \"left\", CAST(coalesce((high + lead(low) OVER w) / 2, 100) AS DOUBLE) AS \"right\" FROM c WINDOW w AS (PARTITION BY user_id ORDER BY island)")
 def column_islands(spark, sf):
-    return layout.columns(table(spark, sf, "events").select("user_id", "value"), ["user_id"], "value", F.lit(100.0))
+    return prefix.columns(table(spark, sf, "events").select("user_id", "value"), ["user_id"], "value", F.lit(100.0))
 
 
 @query(f"WITH {ISL.format(15)}, t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, low) <= 2) SELECT user_id, n, low, row_number() OVER (PARTITION BY user_id ORDER BY low) - 1 AS col FROM t")
 def column_top2(spark, sf):
-    cols = layout.columns(table(spark, sf, "events").select("user_id", "value"), ["user_id"], "value", F.lit(100.0))
+    cols = prefix.columns(table(spark, sf, "events").select("user_id", "value"), ["user_id"], "value", F.lit(100.0))
     return layout.top_two(cols, ["user_id"]).select("user_id", "n", "low", F.col("col").cast("long").alias("col"))
 
 
@@ -588,7 +588,7 @@ def box_extents(spark, sf):
 
 @query("WITH x AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), g AS (SELECT *, sum(CASE WHEN event_type IS NOT DISTINCT FROM p THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM x) SELECT user_id, CAST(run AS BIGINT) AS run, event_type, count(*) AS n FROM g GROUP BY ALL")
 def runs(spark, sf):
-    return layout.runs(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "event_type").groupBy("user_id", "run", "event_type").agg(F.count("*").alias("n"))
+    return prefix.runs(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "event_type").groupBy("user_id", "run", "event_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events")
@@ -633,7 +633,7 @@ def point_in_rect_anti(spark, sf):
 def asof_next(spark, sf):
     e = table(spark, sf, "events")
     views, bought = e.where("event_type = 'view'").select("user_id", "event_id", "ts"), e.where("event_type = 'purchase'").select("user_id", "ts")
-    return ranges.asof_next(views, bought, "user_id", "ts", "ts").select("event_id", "next")
+    return prefix.asof_next(views, bought, "user_id", "ts", "ts").select("event_id", "next")
 
 
 @query(f"WITH {ISL.format(15)}, b AS (SELECT user_id, island, CASE WHEN island = 0 THEN 0 ELSE low - 10 END AS lo, coalesce((high + lead(low) OVER w) / 2, 100) AS hi FROM c WINDOW w AS (PARTITION BY user_id ORDER BY island)) SELECT event_id, CAST(coalesce(min(b.island) FILTER (value >= lo AND value < hi), -1) AS BIGINT) AS col, CAST(coalesce(max(b.island) FILTER (value >= lo), 0) AS BIGINT) AS last FROM events JOIN b USING (user_id) GROUP BY event_id")
@@ -696,7 +696,7 @@ def bits_per_byte(spark, sf):
 
 @query("SELECT event_id, best, best IS NULL OR value < best AS kept FROM (SELECT event_id, value, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events)")
 def best_so_far(spark, sf):
-    return evaluate.best_so_far(table(spark, sf, "events"), ["user_id"], "event_id", "value").select("event_id", "best", "kept")
+    return prefix.best_so_far(table(spark, sf, "events"), ["user_id"], "event_id", "value").select("event_id", "best", "kept")
 
 
 @query(
