@@ -1,7 +1,8 @@
 """Evidence: rules, covers, languages, depth and file names against texts, without a shuffle.
 
 An item of evidence is (keyword, polarity, targets, confidence, source, authoritative); the items of a row are an array in the order of their stages.
-Rules are data: the default vocabulary is a literal array, and so is a table of rules (``prepared``, of a checked size), so adding a row adds a detector.
+Rules are data: the default vocabulary is a literal array, and so is a short table of rules (``prepared``); a long one meets the texts through an index of grams (``gramindex``).
+Adding a row adds a detector.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rules as R
 from tessera.functions import text as T
+from tessera.operators import gramindex
+from tessera.sources import written
 
 RULE = "struct<rank:int,scan:string,keyword:string,key:string,polarity:string,targets:array<string>,confidence:double,source:string,guard:boolean>"
+FIELDS = ("rank", "scan", "keyword", "key", "polarity", "targets", "confidence", "source", "guard")
 ITEM = "struct<keyword:string,polarity:string,targets:array<string>,confidence:double,source:string,authoritative:boolean>"
-#: Rules that a table may have: it is read once and stands in the plan as one literal.
-MOST_RULES = 5_000
+#: Rules of a table that stands in the plan as one literal; longer ones are joined.
+LITERAL_RULES = 1_000
 
 
 def item(keyword: Column, polarity: str, targets: Column, confidence: Column, source: str, authoritative: bool = False) -> Column:
@@ -48,12 +52,11 @@ def prepared(rules: DataFrame) -> DataFrame:
     return first.select("rank", "scan", "key", "r.*")
 
 
-def table_rules(rules: DataFrame) -> Column:
-    """The rules of a prepared table as one array. A table of over MOST_RULES rows is an error, not a slow plan."""
-    fields = ("rank", "scan", "keyword", "key", "polarity", "targets", "confidence", "source", "guard")
-    rows = rules.select(*fields).limit(MOST_RULES + 1).collect()
-    if len(rows) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+def table_rules(rules: DataFrame) -> Column | None:
+    """The rules of a prepared table as one array; null for one of over LITERAL_RULES rows."""
+    rows = rules.select(*FIELDS).limit(LITERAL_RULES + 1).collect()
+    if len(rows) > LITERAL_RULES:
+        return None
     rows = sorted((r.asDict() for r in rows), key=lambda r: (r["rank"], r["key"], r["keyword"]))
     return F.from_json(F.lit(json.dumps(rows)), f"array<{RULE}>")
 
@@ -69,9 +72,26 @@ def hits(text: Column, rules: Column | None = None) -> Column:
     return let(text, lambda tn: F.filter(default_rules() if rules is None else rules, lambda r: F.contains(tn, r["key"]) & allowed(tn, r)))
 
 
+def indexed(df: DataFrame, text: Column, rules: DataFrame, name: str) -> DataFrame:
+    """As ``hits``, for any number of rules and texts: rows are numbered and written with their normalised text, keys met through an index, and the hits of a row brought together."""
+    rows = written(df.withColumns({"uid_": F.monotonically_increasing_id(), "tn_": text}))
+    met = gramindex.holding(rows.select(F.col("uid_").alias("uid"), F.col("tn_").alias("text")), rules.select("key"))
+    met = met.select("uid", "key", F.when(F.length("key") <= 2, T.ends_word(F.col("text"), F.col("key"))).otherwise(True).alias("ends_"))
+    found = met.join(rules.select(*FIELDS), "key").where("ends_ OR NOT guard")
+    order = F.struct("rank", "key", "keyword", F.struct(*FIELDS).alias("r"))
+    per = found.groupBy(F.col("uid").alias("uid_")).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x.r).alias(name))
+    return rows.join(per, "uid_", "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<{RULE}>"))).drop("uid_", "tn_")
+
+
+def with_hits(df: DataFrame, text: Column, rules: DataFrame | None, name: str) -> DataFrame:
+    """``hits`` of a normalised text as a column; rules as in ``scan``."""
+    few = None if rules is None else table_rules(rules)
+    return indexed(df, text, rules, name) if rules is not None and few is None else df.withColumn(name, hits(text, few))
+
+
 def scan(df: DataFrame, text: str = "text", rules: DataFrame | None = None) -> DataFrame:
-    """The hits of each row's text as ``evidence``. rules: a prepared table; without one the default vocabulary."""
-    return df.withColumn("evidence", hits(T.norm(T.composed(F.col(text))), None if rules is None else table_rules(rules)))
+    """The hits of each row's text as ``evidence``. rules: a prepared table of any length; without one the default vocabulary."""
+    return with_hits(df, T.norm(T.composed(F.col(text))), rules, "evidence")
 
 
 def top(evidence: Column, k: int = 12) -> Column:
@@ -217,8 +237,11 @@ def pre_classify(df: DataFrame, text: str, name: str, cover: str, rules: DataFra
     """All evidence of a row, in order: cover, rules, English, depth, file name."""
     t, n, c = (T.composed(F.coalesce(F.col(x), F.lit(""))) for x in (text, name, cover))
     df = df.withColumns({"text_": t, "name_": n, "cover_": c})
-    found = hits(T.norm(F.col("text_")), None if rules is None else table_rules(rules))
-    return df.withColumn("evidence", F.concat(cover_items(F.col("cover_")), as_items(found), english_items(F.col("text_")), depth_items(F.col("text_")), name_items(F.col("name_")))).drop("text_", "name_", "cover_")
+    if rules is None:
+        found = hits(T.norm(F.col("text_")))
+    else:
+        df, found = with_hits(df, T.norm(F.col("text_")), rules, "found_"), F.col("found_")
+    return df.withColumn("evidence", F.concat(cover_items(F.col("cover_")), as_items(found), english_items(F.col("text_")), depth_items(F.col("text_")), name_items(F.col("name_")))).drop("text_", "name_", "cover_", "found_")
 
 
 def cover(df: DataFrame, title: str, names: list[str], aliases: list[tuple[str, str]]) -> DataFrame:
