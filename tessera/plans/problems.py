@@ -10,8 +10,8 @@ from tessera import sources
 from tessera.functions import rules as R
 from tessera.functions import scalars
 from tessera.functions import text as T
-from tessera.operators import analysis, classify, evaluate, evidence, layout, pages, ranges, review, web
-from tessera.plans.catalogue import ENGLISH, LABEL_SQL, NAMED, QUERIES, RATIONALE, RULE_ITEMS, SQL, fold_sql, labelled, query, r6
+from tessera.operators import analysis, classify, evaluate, evidence, layout, model, pages, ranges, review, web
+from tessera.plans.catalogue import ENGLISH, LABEL_SQL, NAMED, QUERIES, RATIONALE, RULE_ITEMS, SQL, TN, fold_sql, labelled, query, r6
 from tessera.sources import table
 
 __all__ = ["QUERIES", "SQL"]
@@ -97,12 +97,61 @@ def rules_as_table(spark, sf):
     return rows.select("doc_id", F.explode_outer("evidence").alias("e")).where("e IS NOT NULL").select("doc_id", "e.scan", "e.keyword")
 
 
+CUTS = "(VALUES (1), (2), (3), (4), (5), (6)) c(k)"
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, {TN} AS tn FROM documents),
+    r AS (SELECT DISTINCT k AS scan, substr(tn, CAST(len(tn) * k // 7 AS BIGINT) + 1, 22 + k) AS key FROM t, {CUTS})
+    SELECT doc_id, count(*) AS n, CAST(count(DISTINCT key) AS BIGINT) AS n_keys, sha256(string_agg(concat(scan, ':', key), '|' ORDER BY scan, key)) AS hits_sha256 FROM t JOIN r ON key <> '' AND contains(tn, key) GROUP BY doc_id"""
+)
+def rule_index(spark, sf):
+    """Six rules from each document, without a limit on their number, met through the index of grams."""
+    tn = T.norm(T.composed(F.coalesce(F.col("text"), F.lit(""))))
+    d = table(spark, sf, "documents").select("doc_id", tn.alias("tn"))
+    cuts = d.select("tn", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("k"))
+    key = F.substring(F.col("tn"), F.expr("length(tn) * k div 7 + 1").cast("int"), (F.col("k") + 22).cast("int"))
+    rules = cuts.select(F.col("k").alias("rank"), F.col("k").cast("string").alias("scan"), key.alias("keyword")).withColumns({"polarity": F.lit("pro"), "targets": F.array(F.lit("x")), "confidence": F.lit(0.5), "source": F.lit("text"), "guard": F.lit(False)})
+    rows = evidence.indexed(d.select("doc_id", "tn"), F.col("tn"), evidence.prepared(rules), "hits").where(F.size("hits") > 0)
+    said = F.array_join(F.transform("hits", lambda h: F.concat(h.scan, F.lit(":"), h["key"])), "|")
+    return rows.select("doc_id", F.size("hits").cast("long").alias("n"), F.size(F.array_distinct(F.transform("hits", lambda h: h["key"]))).cast("long").alias("n_keys"), F.sha2(said, 256).alias("hits_sha256"))
+
+
 def _by(c: str):
     from pyspark.sql import Window
 
     return Window.orderBy(c)
 
 
+def counted_model(least: int = 0):
+    """A handle that stands in for a model: it cannot say more than its budget, and is thrown by some rows."""
+
+    def reply(rows: list[dict], budget: int) -> list[str | None]:
+        if any(r["n"] % 7 == 3 for r in rows):
+            raise ValueError("odd")
+        return [f"{budget}:{r['n']}" if least < r["n"] <= budget else " " for r in rows]
+
+    return lambda: reply
+
+
+@query(
+    """WITH d AS (SELECT doc_id, sha256(text) AS key, len(text) AS n FROM documents WHERE text IS NOT NULL), c AS (SELECT key, max(CASE WHEN doc_id % 6 = 0 THEN 'second' ELSE 'first' END) AS reply FROM d WHERE doc_id % 3 = 0 GROUP BY key),
+    m AS (SELECT d.*, c.reply, c.key IS NOT NULL AS cached, CASE WHEN n % 7 = 3 OR n = 0 OR n > 2048 THEN 2048 WHEN n > 1536 THEN 2048 WHEN n > 1024 THEN 1536 ELSE 1024 END AS budget, n % 7 <> 3 AND n BETWEEN 1 AND 2048 AS good FROM d LEFT JOIN c USING (key))
+    SELECT documents.doc_id, CASE WHEN cached THEN m.reply WHEN good THEN concat(budget, ':', n) WHEN n % 7 <> 3 THEN ' ' END AS reply, CAST(CASE WHEN cached THEN 7 ELSE budget END AS BIGINT) AS budget, CASE WHEN NOT cached AND n % 7 = 3 THEN 'ValueError: odd' END AS problem,
+    cached, coalesce(cached OR good, false) AS kept FROM documents LEFT JOIN m USING (doc_id)"""
+)
+def model_stage(spark, sf):
+    """Documents asked by content behind a cache that has some of the answers, one of them put twice; what the cache holds afterwards."""
+    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("key"), F.length("text").alias("n"))
+    known = model.cache(spark, f"{sources.shared_folder(spark)}/cache")
+    put = lambda rows, said: rows.select("key", F.lit(said).alias("reply"), F.lit(7).alias("budget"), F.lit(1).cast("long").alias("nbytes"), F.current_timestamp().alias("ts")).where("key IS NOT NULL")
+    known.put(0, put(d.where("doc_id % 3 = 0"), "first"))
+    known.put(1, put(d.where("doc_id % 6 = 0"), "second"))
+    said = sources.written(model.ask(d.select("key", "n"), counted_model(), "counted", known))
+    kept = known.read().select("key", F.lit(True).alias("kept"))
+    return d.join(said, "key", "left").join(kept, "key", "left").select("doc_id", "reply", F.col("budget").cast("long").alias("budget"), "problem", "cached", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 # --- layout ---------------------------------------------------------------------------------------------------------
 
 WORDS = "w AS (SELECT l_orderkey % 7 AS doc, l_orderkey AS page, l_quantity * 8 AS x0, l_extendedprice / 120 AS y0, l_quantity * 8 + 40 AS x1, l_extendedprice / 120 + 12 AS y1, concat(l_returnflag, l_linenumber) AS text, l_suppkey % 3 AS block, l_partkey % 2 AS line FROM lineitem)"

@@ -29,7 +29,17 @@ def written(df: DataFrame) -> DataFrame:
     """The frame, computed once and read again from the shared folder."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the folders of written frames that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_folder", None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import review
 from tessera.sources import append
+from tessera.sources.store import Store
 
 
 def watch(spark: SparkSession, path: str, schema, sink: Callable[[DataFrame, int], None], checkpoint: str, per_trigger: int = 50):
@@ -33,18 +34,16 @@ def every(spark: SparkSession, step: int, action: Callable[[], None], state: str
 
 
 def upserting(spark: SparkSession, folder: str, empty: DataFrame) -> tuple[Callable[[DataFrame, int], None], Callable[[], DataFrame]]:
-    """A sink that lays each batch over the log (K01), and the log as it stands. Snapshot k comes from snapshot k - 1, so a batch that is run twice gives the same snapshot."""
-
-    def snapshot(k: int) -> DataFrame:
-        return empty if k < 0 else spark.read.schema(empty.schema).parquet(f"{folder}/snapshot={k:09d}")
-
-    done = {"last": -1}
+    """A sink that lays each batch over the log (K01), and the log as it stands. The log is a ``Store``: a batch writes its own rows, a batch that is run twice replaces itself, and
+    buckets are compacted as they fill."""
+    schema = empty.drop(*review.HUMAN).schema
+    log = Store(spark, folder, schema, review.KEY, {c: (t, {"boolean": False, "string": ""}[t]) for c, t in review.HUMAN.items()})
 
     def sink(batch: DataFrame, k: int) -> None:
-        review.upsert(snapshot(k - 1), batch.dropDuplicates(review.KEY)).write.mode("overwrite").parquet(f"{folder}/snapshot={k:09d}")
-        done["last"] = k
+        log.put(k, batch)
+        log.compact()
 
-    return sink, lambda: snapshot(done["last"])
+    return sink, log.read
 
 
 def logging(folder: str, kind: str) -> Callable[[DataFrame, int], None]:
