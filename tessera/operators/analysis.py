@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,3 +87,8 @@ def analyse(passages: DataFrame, text: str = "text", reply: str = "reply") -> Da
     said = F.when(F.size("a_.sentences") > 0, F.col("a_.sentences")).otherwise(cut)
     df = df.withColumn("analysis", F.struct(F.col("a_.title").alias("title"), F.col("a_.summary").alias("summary"), said.alias("sentences"), F.col("a_.flow").alias("flow"), F.col("a_.inference").alias("inference")))
     return df.withColumn("error", F.when(F.coalesce(F.col("clean_"), F.lit("")) == "", "no text")).withColumn("markdown", F.when(F.col("error").isNull(), markdown(F.col("analysis")))).drop("clean_", "reply_", "a_")
+
+
+def analysed(passages: DataFrame, stage: Callable[[DataFrame], DataFrame], text: str = "text") -> DataFrame:
+    """Passages analysed by a model, given as a stage that adds ``reply`` (``model.stage``)."""
+    return analyse(stage(passages), text)

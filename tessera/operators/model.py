@@ -14,7 +14,6 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tessera.functions import text as T
 from tessera.sources import discard, written
@@ -23,7 +22,7 @@ from tessera.sources.store import Store
 # Token budgets of the attempts to get a reply.
 BUDGETS = (1024, 1536, 2048)
 #: What the cache keeps of a reply.
-CACHED = StructType.fromDDL("key string, reply string, budget int, nbytes long, ts timestamp")
+CACHED = "key string, reply string, budget int, nbytes long, ts timestamp"
 REPLY = "key string, reply string, budget int, problem string"
 #: Rows that the model is given at a time.
 ROWS = 64

@@ -18,8 +18,9 @@ from pyspark.sql.types import StructType
 class Store:
     """``schema`` has the key's and the machine columns; ``human`` maps a column to its type and default. At most one writer at a time."""
 
-    def __init__(self, spark: SparkSession, folder: str, schema: StructType, key: list[str], human: dict[str, tuple[str, object]] | None = None, buckets: int = 16, most: int = 8):
-        self.spark, self.folder, self.schema, self.key, self.human, self.buckets, self.most = spark, folder.rstrip("/"), schema, key, human or {}, buckets, most
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType | str, key: list[str], human: dict[str, tuple[str, object]] | None = None, buckets: int = 16, most: int = 8):
+        schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        self.spark, self.folder, self.key, self.human, self.buckets, self.most = spark, folder.rstrip("/"), key, human or {}, buckets, most
         self.machine = [f.name for f in schema if f.name not in key]
         kinds = {f.name: f.dataType.simpleString() for f in schema}
         machine = ",".join(f"{c}:{kinds[c]}" for c in self.machine)
