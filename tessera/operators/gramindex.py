@@ -1,11 +1,11 @@
 """Which of many keys each of many texts contains: an inverted index of grams.
 
-A gram is a run of up to eight bytes as a number. Every key is filed under one of its grams, of eight bytes, or of all its bytes if it is shorter: the one that
-the texts hold least often. Texts are reduced to the distinct grams that keys are filed under, an equi-join finds the keys to try, and ``contains`` decides. Nothing depends on the
+A gram is a run of 1 to 16 bytes as a number of 64 bits. Every key is filed under one of its grams of the longest size in ``SIZES`` that it has: the one that the texts hold least
+often. Texts are reduced to the distinct grams that keys are filed under, an equi-join finds the keys to try, and ``contains`` decides. Nothing depends on the
 number of keys: they are told to the tasks as a bitmap of their grams, of a size that is bounded (``BITS``), and what a full bitmap lets through only makes the
 join longer. A very common gram is a skewed join, which Spark splits.
 
-The texts are read twice as bytes: to count their grams, and to find those that keys were filed under.
+The texts are read twice as bytes: to count the keys' grams in them, and to find those that keys were filed under.
 """
 
 from __future__ import annotations
@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources import written
+from tessera.sources import discard, written
 
-#: Bytes of a gram at most; it fits a long.
-GRAM = 8
+#: Sizes of grams in bytes. Up to eight they are their bytes, longer ones are hashed from their first and last eight.
+SIZES = (1, 2, 3, 4, 6, 8, 11, 16)
 #: Bits of the bitmap at least and at most (32 MB), and bits for each gram in it. A bucket of Spark's bitmap functions has 32768 bits.
 BITS, PER_KEY, BUCKET = (1 << 20, 1 << 28), 128, 1 << 15
-#: Counters of grams in texts; a gram counts for as frequent as all that share its counter, so a gram in more than one of so many places stands out.
+#: Counters of grams in texts; a gram counts for as frequent as all keys' grams that share its counter.
 COUNTERS = 1 << 18
 #: Bytes of text that are looked at in one go.
 PART = 1 << 20
@@ -42,14 +42,20 @@ def slot(gram: np.ndarray, size: int, slots: int) -> np.ndarray:
 def grams(data: np.ndarray, size: int) -> np.ndarray:
     """The gram that begins at each byte, as many as there are."""
     n = max(0, len(data) - size + 1)
-    if size == GRAM and n:
-        return np.lib.stride_tricks.as_strided(data, (n, GRAM), (data.strides[0], data.strides[0])).copy().view("<u8").ravel()
+    if size >= 8 and n:
+        eight = np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (data.strides[0], data.strides[0])).copy().view("<u8").ravel()
+        return eight if size == 8 else _hash(eight[:n], size) + eight[size - 8 :] * np.uint64(0x9FB21C651E98DF25)
     out = np.zeros(n, np.uint64)
     for i in range(size):
         out |= data[i : i + n].astype(np.uint64) << np.uint64(8 * i)
     return out
 
 
+def size_of(length: np.ndarray) -> np.ndarray:
+    """The longest size of gram that so many bytes have; 0 for none."""
+    return np.array((0, *SIZES))[np.searchsorted(SIZES, length, "right")]
+
+
 def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a binary column end to end, and where its rows begin and end; null counts as empty."""
     column = column.fill_null(b"").cast(pa.large_binary())
@@ -82,19 +88,33 @@ def _rows(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[np
         a = b
 
 
+def _sizes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes and bounds of keys, and the size of their grams."""
+    data, offsets = _raw(column)
+    return data, offsets, size_of(np.diff(offsets))
+
+
+def placing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map: the places of all grams of the keys."""
+    for batch in batches:
+        data, offsets, own = _sizes(batch.column("raw"))
+        for size in np.unique(own).tolist():
+            for row, gram in _rows(data, offsets, size):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(slot(gram[own[row] == size], size, BITS[1])))], ["place"])
+
+
 def filing(sent):
     """Map: (key, size, gram, place) with the gram that each key is filed under, the one of least count, of equals the least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
         for batch in batches:
-            data, offsets = _raw(batch.column("raw"))
-            length = np.minimum(GRAM, np.diff(offsets))
-            out, place = np.zeros(len(length), np.uint64), np.zeros(len(length), np.int64)
-            best = np.full(len(length), np.iinfo(np.int64).max)
-            for size in np.unique(length).tolist():
+            data, offsets, sizes = _sizes(batch.column("raw"))
+            out, place = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.int64)
+            best = np.full(len(sizes), np.iinfo(np.int64).max)
+            for size in np.unique(sizes).tolist():
                 for row, gram in _rows(data, offsets, size):
-                    own = length[row] == size
+                    own = sizes[row] == size
                     row, gram = row[own], gram[own]
                     n = counts[slot(gram, size, COUNTERS)]
                     order = np.lexsort((gram, n, row))
@@ -103,8 +123,8 @@ def filing(sent):
                     row, gram, n = row[first], gram[first], n[first]
                     less = (n < best[row]) | ((n == best[row]) & (gram < out[row]))
                     out[row[less]], best[row[less]] = gram[less], n[less]
-                place[length == size] = slot(out[length == size], size, BITS[1])
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(length.astype(np.int32)), pa.array(out.view(np.int64)), pa.array(place)], ["key", "size", "gram", "place"])
+                place[sizes == size] = slot(out[sizes == size], size, BITS[1])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes.astype(np.int32)), pa.array(out.view(np.int64)), pa.array(place)], ["key", "size", "gram", "place"])
 
     return run
 
@@ -124,26 +144,24 @@ class Filter:
         return (self.map[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
 
 
-def filter_of(filed: DataFrame) -> Filter:
-    """The bitmap of the grams of (size, gram, place), brought together by Spark in buckets of 4 KB."""
-    n = filed.count()
+def filter_of(places: DataFrame, n: int, sizes: list[int]) -> Filter:
+    """The bitmap of about n places, brought together by Spark in buckets of 4 KB."""
     bits = min(BITS[1], max(BITS[0], 1 << max(0, PER_KEY * n - 1).bit_length()))
     at = F.shiftright("place", BITS[1].bit_length() - bits.bit_length())
-    rows = filed.select(at.alias("at")).groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("part"))
-    sizes = sorted(r.size for r in filed.select("size").distinct().collect())
+    rows = places.select(at.alias("at")).groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("part"))
     return Filter(bits, {r.bucket: bytes(r.part) for r in rows.collect()}, sizes)
 
 
-def counting(sizes: list[int]):
-    """Map: the grams of a task's texts by counter."""
+def counting(sent):
+    """Map: the grams of a task's texts that the filter lets through, by counter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(COUNTERS, np.int64)
+        f, n = sent.value, np.zeros(COUNTERS, np.int64)
         for batch in batches:
             data, offsets = _raw(batch.column("raw"))
-            for size in sizes:
+            for size in f.sizes:
                 for _, gram in _rows(data, offsets, size):
-                    n += np.bincount(slot(gram, size, COUNTERS), minlength=COUNTERS)
+                    n += np.bincount(slot(gram[f.holds(gram, size)], size, COUNTERS), minlength=COUNTERS)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["counter", "n"])
 
@@ -174,16 +192,24 @@ def meeting(sent):
 def holding(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """texts: (uid, text), uid telling rows apart and stable if read again; keys: (key). A row (uid, key, text) for each text and distinct key in it. Empty and null keys are in none."""
     spark: SparkSession = texts.sparkSession
-    own = keys.select("key").where("key <> ''").distinct()
-    sizes = sorted(r.size for r in own.select(F.least(F.octet_length("key"), F.lit(GRAM)).alias("size")).distinct().collect())  # eight at most
+    own = written(keys.select("key").where("key <> ''").distinct().withColumn("raw", F.encode("key", "utf-8")))
+    long = F.octet_length("raw")
+    size = F.lit(0)
+    for x in SIZES:
+        size = F.when(long >= x, x).otherwise(size)
+    per = own.groupBy(size.alias("size")).agg(F.count("*").alias("n"), F.sum(long - size + 1).alias("grams")).collect()  # a row a size
+    sizes = sorted(r["size"] for r in per)
     raw = texts.select("uid", F.encode("text", "utf-8").alias("raw"))
+    sent = spark.sparkContext.broadcast(filter_of(own.mapInArrow(placing, "place long"), sum(r["grams"] for r in per), sizes))
     counts = np.zeros(COUNTERS, np.int64)
-    for r in raw.mapInArrow(counting(sizes), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow().to_batches():
+    for r in raw.mapInArrow(counting(sent), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow().to_batches():
         counts[r.column("counter").to_numpy()] = r.column("n").to_numpy()
+    sent.destroy()
     sent = spark.sparkContext.broadcast(counts)
-    filed = written(own.select("key", F.encode("key", "utf-8").alias("raw")).mapInArrow(filing(sent), "key string, size int, gram long, place long"))
+    filed = written(own.mapInArrow(filing(sent), "key string, size int, gram long, place long"))
     sent.destroy()
-    sent = spark.sparkContext.broadcast(filter_of(filed))
+    discard(own)
+    sent = spark.sparkContext.broadcast(filter_of(filed.select("place"), sum(r["n"] for r in per), sizes))
     found = raw.mapInArrow(meeting(sent), "uid long, size int, gram long").join(filed.select("key", "size", "gram"), ["size", "gram"]).select("uid", "key")
     # A text in several parts may have met a key in each.
     return texts.select("uid", "text").join(found.repartition("uid").distinct(), "uid").where(F.contains("text", "key"))

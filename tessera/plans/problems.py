@@ -117,6 +117,23 @@ def rule_index(spark, sf):
     return rows.select("doc_id", F.size("hits").cast("long").alias("n"), F.size(F.array_distinct(F.transform("hits", lambda h: h["key"]))).cast("long").alias("n_keys"), F.sha2(said, 256).alias("hits_sha256"))
 
 
+@query(
+    f"""WITH t AS (SELECT doc_id, {TN} AS tn FROM documents), r AS (SELECT DISTINCT unnest(regexp_extract_all(tn, '[a-z]{{11,}}')) AS key FROM (SELECT lower(text) AS tn FROM documents WHERE text IS NOT NULL)),
+    k AS (SELECT concat(length(key) % 3, ':', key) AS said, key FROM r)
+    SELECT doc_id, count(*) AS n, sha256(string_agg(said, '|' ORDER BY said)) AS hits_sha256 FROM t JOIN k ON contains(tn, key) GROUP BY doc_id"""
+)
+def rule_words(spark, sf):
+    """A rule for each long word of the documents, thousands of them, met through the index of grams."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    words = d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{11,}"), F.lit(0))).alias("keyword")).distinct()
+    rank = F.length("keyword") % 3
+    rules = words.select(rank.alias("rank"), rank.cast("string").alias("scan"), "keyword").withColumns({"polarity": F.lit("pro"), "targets": F.array(F.lit("x")), "confidence": F.lit(0.5), "source": F.lit("text"), "guard": F.lit(False)})
+    tn = T.norm(T.composed(F.coalesce(F.col("text"), F.lit(""))))
+    rows = evidence.indexed(d.select("doc_id", tn.alias("tn")), F.col("tn"), evidence.prepared(rules), "hits").where(F.size("hits") > 0)
+    said = F.array_join(F.transform("hits", lambda h: F.concat(h.scan, F.lit(":"), h["key"])), "|")
+    return rows.select("doc_id", F.size("hits").cast("long").alias("n"), F.sha2(said, 256).alias("hits_sha256"))
+
+
 def _by(c: str):
     from pyspark.sql import Window
 
