@@ -48,6 +48,14 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+def grid(pairs: DataFrame, metrics: DataFrame, by: list[str], key: str) -> DataFrame:
+    """Means of the overlap of recognised and true texts (``bag``) over each setting of a grid, with the number of samples and the characters in common. A mean leaves out the samples
+    that have no such figure."""
+    rows = pairs.select(key, *by).join(metrics, key, "left")
+    mean = lambda c: F.round(F.avg(c), 6).alias(f"mean_{c}")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), mean("recall"), mean("precision"), mean("f1"), F.coalesce(F.sum("common"), F.lit(0)).alias("common"))
+
+
 def byte_windows(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """Each byte (y, two hex digits) with the ``size`` before it (ctx, hex). A row carries its window alone, not the text."""
     raw = F.regexp_extract_all(F.hex(F.encode(F.col(text), "utf-8")), F.lit("(..)"))
@@ -74,22 +82,40 @@ def some(windows: DataFrame, n: int, seed: int, key: str, pos: str = "pos") -> D
 KNOBS = {
     "context_len": ("add", (-1, 1), 1, 8), "hidden": ("times", (0.5, 2.0), 8, 256), "emb_dim": ("times", (0.5, 2.0), 4, 64), "lr": ("times", (0.5, 2.0), 0.001, 4.0),
     "batch_size": ("times", (0.5, 2.0), 8, 256), "momentum": ("add", (-0.2, 0.05), 0.0, 0.98), "warmup_frac": ("add", (-0.05, 0.05), 0.0, 0.5), "n_layers": ("add", (-1, 1), 1, 3),
+    "weight_decay": ("times", (0.1, 10.0), 0.0, 0.01), "residual": ("flip",), "layernorm": ("flip",), "optimizer": ("other", ("adam", "sgd")),
 }
+#: What a weight decay of 0 becomes, and the rate that goes with an optimizer.
+FIRST_DECAY, RATES = 1e-4, {"adam": 0.01, "sgd": 0.2}
+
+
+def steps(name: str, knob: tuple) -> list[dict[str, Column]]:
+    """What each step of a knob sets."""
+    old, how = F.col(name), knob[0]
+    if how == "flip":
+        return [{name: ~old}]
+    if how == "other":
+        one, two = knob[1]
+        new = F.when(old == one, two).otherwise(one)
+        return [{name: new, "lr": F.when(new == one, RATES[one]).otherwise(RATES[two])}]
+    _, by, low, high = knob
+    moved = [old + x if how == "add" else old * x for x in by]
+    if name == "weight_decay":
+        moved = [F.when(old == 0, FIRST_DECAY).otherwise(m) for m in moved]
+    return [{name: F.greatest(F.lit(low), F.least(F.lit(high), m))} for m in moved]
 
 
 def neighbours(configs: DataFrame, knobs: dict = KNOBS) -> DataFrame:
-    """Every configuration one step away from each given one, within bounds, as knob and configuration; steps that change nothing are none."""
+    """Every configuration one step away from each given one, within bounds, as knob and configuration; steps that change nothing are none. A change of optimizer brings its rate."""
     rows = []
-    for name, (how, by, low, high) in knobs.items():
-        for step in by:
-            new = F.greatest(F.lit(low), F.least(F.lit(high), F.col(name) + step if how == "add" else F.col(name) * step)).cast(configs.schema[name].dataType)
-            rows.append(F.struct(F.lit(name).alias("knob"), *[(new if c == name else F.col(c)).alias(c) for c in configs.columns]))
+    for name, knob in knobs.items():
+        for new in steps(name, knob):
+            fields = [(new[c] if c in new else F.col(c)).cast(configs.schema[c].dataType).alias(c) for c in configs.columns]
+            rows.append(F.struct(F.lit(name).alias("knob"), *fields))
     flat = configs.withColumn("n_", F.explode(F.array(*rows)))
-    changed = [(F.col("n_.knob") == name) & (F.col(f"n_.{name}") != F.col(name)) for name in knobs]
-    test = changed[0]
-    for c in changed[1:]:
-        test = test | c
-    return flat.where(test).select("n_.*").distinct()
+    changed = F.lit(False)
+    for name in knobs:
+        changed = changed | ((F.col("n_.knob") == name) & (F.col(f"n_.{name}") != F.col(name)))
+    return flat.where(changed).select("n_.*").distinct()
 
 
 def ledger(rounds: DataFrame, by: list[str], order: str = "round", value: str = "bpb") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import rules as R
+from tessera.operators import prefix
 
 KEY = ["source", "page", "num"]
 HUMAN = {"resolved": "boolean", "gold_subject": "string"}
@@ -43,6 +44,12 @@ def clear_resolved(log: DataFrame) -> DataFrame:
     return log.where("NOT resolved")
 
 
+def changes(log: DataFrame, answers: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """Q05/Q06: one row: how many rows of the log ``resolve`` changes with the answers, and how many ``clear_resolved`` then removes."""
+    hit = log.join(answers.select(*key).distinct().withColumn("hit_", F.lit(True)), key, "left")
+    return hit.agg(F.count_if(F.col("hit_")).alias("updated"), F.count_if(F.col("hit_") | F.col("resolved")).alias("cleared"))
+
+
 def stats(log: DataFrame) -> DataFrame:
     """Totals, and the pending rows by reason."""
     return log.groupBy("reason").agg(F.count("*").alias("total"), F.count_if(~F.col("resolved")).alias("pending"))
@@ -57,9 +64,10 @@ def auto_review(items: DataFrame) -> DataFrame:
 def evict(cache: DataFrame, cap: int, buckets: int = 1024) -> DataFrame:
     """The newest entries up to a number of bytes in all, and the newest always. Bytes are summed by ranges of ts (at most ``buckets``); only the
     range in which the cap is reached is put in order."""
-    ends = cache.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.max(F.struct("ts", "key")).alias("newest"))
+    at = F.col("ts").cast("timestamp").cast("double") if cache.schema["ts"].dataType.typeName().startswith("timestamp") else F.col("ts")
+    ends = cache.agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.max(F.struct("ts", "key")).alias("newest"))
     lo, hi, newest = (ends.select(c).scalar() for c in ("lo", "hi", "newest"))
-    of = F.least(F.floor((hi - F.col("ts")) / F.greatest((hi - lo) / buckets, F.lit(1e-9))), F.lit(buckets - 1)).cast("int")
+    of = F.least(F.floor((hi - at) / F.greatest((hi - lo) / buckets, F.lit(1e-9))), F.lit(buckets - 1)).cast("int")
     rows = cache.withColumn("b_", of)
     sums = rows.groupBy("b_").agg(F.sum("nbytes").alias("n_"))
     sums = sums.withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before_") <= cap)
@@ -72,14 +80,15 @@ def evict(cache: DataFrame, cap: int, buckets: int = 1024) -> DataFrame:
 
 def evict_tasks(tasks: DataFrame, most: int = 50, cap: int = 200 << 20) -> DataFrame:
     """A registry (task, started, status, nbytes of captures): beyond ``most`` tasks the oldest finished ones go, then, beyond ``cap`` bytes in all, the captures of the oldest
-    finished ones (nbytes 0). A registry is as small as its first bound, so its windows have one partition."""
+    finished ones (nbytes 0). Both orders are prefix scans over ranges of (started, task)."""
     done = F.col("status").isin("completed", "failed")
-    w = Window.orderBy("started", "task")
-    rows = tasks.withColumns({"nth_": F.sum(done.cast("int")).over(w), "n_": F.count("*").over(Window.partitionBy())}).where(~(done & (F.col("nth_") <= F.col("n_") - most)))
-    heavy = F.when(done, F.col("nbytes")).otherwise(0)
-    gone = F.coalesce(F.sum(heavy).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumns({"all_": F.sum("nbytes").over(Window.partitionBy()), "gone_": gone})
-    return rows.withColumn("nbytes", F.when(done & (F.col("all_") - F.col("gone_") > cap), 0).otherwise(F.col("nbytes"))).drop("nth_", "n_", "all_", "gone_")
+    rows = prefix.ranged(tasks, [], ["started", "task"]).running(nth_=("sum", done.cast("int"), True))
+    n = rows.rows.count()
+    kept = ~(done & (F.col("nth_") <= n - most))
+    rows = rows.running(gone_=("sum", F.when(done & kept, F.col("nbytes")).otherwise(0), False))
+    left = rows.rows.where(kept)
+    all_ = left.agg(F.coalesce(F.sum("nbytes"), F.lit(0))).first()[0]
+    return left.withColumn("nbytes", F.when(done & (F.lit(all_) - F.col("gone_") > cap), 0).otherwise(F.col("nbytes"))).drop("nth_", "gone_")
 
 
 def total_bytes(cache: DataFrame, column: str = "nbytes") -> DataFrame:
@@ -163,11 +172,13 @@ def training_rows(log: DataFrame) -> DataFrame:
     return kept.where("NOT broken_").select(*keep, number("pro_match").alias("pro_match"), number("anti_match").alias("anti_match"), number("competing").alias("competing"), conflict.cast("int").alias("rule_conflict"), own.alias("confidence"), (F.col("gold_subject") == F.coalesce("subject", F.lit(""))).cast("int").alias("label")).where("confidence IS NOT NULL")
 
 
-def seed(manifest: DataFrame, results: DataFrame, cap: int = 10_000) -> DataFrame:
-    """Results (source, page, num, ...) of the files of a manifest (source, gold_subject, first, last pages or null): the first ``cap`` of each file within its pages, resolved with its label."""
+def seed(manifest: DataFrame, results: DataFrame, cap: int | None = None) -> DataFrame:
+    """Results (source, page, num, ...) of the files of a manifest (source, gold_subject, first, last pages or null) within its pages, resolved with its label; with ``cap`` the first so
+    many of each file, counted over ranges, so that no task has all of a file."""
     rows = results.join(manifest.select("source", F.col("gold_subject").alias("gold_"), "first", "last"), "source").where("page BETWEEN coalesce(first, page) AND coalesce(last, page)")
-    w = Window.partitionBy("source").orderBy("page", "num")
-    return rows.withColumn("r_", F.row_number().over(w)).where(F.col("r_") <= cap).withColumns({"resolved": F.lit(True), "gold_subject": F.col("gold_")}).drop("r_", "gold_", "first", "last")
+    if cap is not None:
+        rows = prefix.ranged(rows, ["source"], ["page", "num"]).running(r_=("sum", F.lit(1), True)).rows.where(F.col("r_") <= cap).drop("r_")
+    return rows.withColumns({"resolved": F.lit(True), "gold_subject": F.col("gold_")}).drop("gold_", "first", "last")
 
 
 def first_of_each(rows: DataFrame, by: str, order: str, low: int, high: int, most: int) -> DataFrame:

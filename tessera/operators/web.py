@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -62,10 +62,18 @@ def similar(items: DataFrame, subject: str, unit: str, limit: int = 20, tie: str
 
 
 def tags(items: DataFrame, by: list[str], note: str, most: dict[str, int]) -> DataFrame:
-    """Sorted distinct tags of each prefix in a comma list, the first few of each."""
-    flat = items.select(*by, F.explode(F.split(note, ",")).alias("t")).withColumn("t", F.trim("t"))
-    aggs = [F.slice(F.array_sort(F.collect_set(F.when(F.startswith("t", F.lit(p)), F.trim(F.substring("t", len(p) + 1, 10_000))))), 1, k).alias(p.strip(":")) for p, k in most.items()]
-    return flat.groupBy(*by).agg(*aggs)
+    """Sorted distinct tags of each prefix in a comma list, the first few of each. Tags are made distinct before they are ranked, and only the first few are brought together."""
+    flat = items.select(*by, F.explode(F.split(note, ",")).alias("t")).select(*by, F.trim("t").alias("t")).distinct()
+    kind, rest, limit = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(0)
+    for p, k in most.items():
+        own = F.startswith("t", F.lit(p))
+        kind, rest, limit = F.when(own, p.strip(":")).otherwise(kind), F.when(own, F.trim(F.substring("t", F.lit(len(p) + 1), F.length("t")))).otherwise(rest), F.when(own, k).otherwise(limit)
+    kinds = flat.select(*by, kind.alias("kind_"), rest.alias("t"), limit.alias("most_")).distinct()
+    place = F.row_number().over(Window.partitionBy(*by, "kind_").orderBy("t"))
+    first = kinds.withColumn("r_", place).where((F.col("r_") <= max(most.values())) & (F.col("r_") <= F.col("most_")))
+    lists = [F.array_sort(F.collect_list(F.when(F.col("kind_") == p.strip(":"), F.col("t")))).alias(p.strip(":")) for p in most]
+    # Groups without any tag stay, with empty lists.
+    return kinds.select(*by).distinct().join(first.groupBy(*by).agg(*lists), by, "left").select(*by, *[F.coalesce(p.strip(":"), F.array().cast("array<string>")).alias(p.strip(":")) for p in most])
 
 
 def rejected(items: DataFrame, subject: str, limit: int = 10, tie: str = "id") -> DataFrame:

@@ -110,15 +110,29 @@ def clean_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.trim(T.clean_prompt(F.col("text"))), 256).alias("prompt_sha256"), F.sha2(T.clean_passage(F.col("text")), 256).alias("passage_sha256"))
 
 
-@query(f"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?]){SPACE}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS BIGINT) AS n_sentences FROM documents")
+_PIECES = f"list_filter(regexp_split_to_array(regexp_replace(text, '([.!?]){SPACE}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id, CAST(len(p) AS BIGINT) AS n_sentences, sha256(array_to_string(p, chr(1))) AS sentences_sha256 FROM (SELECT doc_id, {_PIECES} AS p FROM documents)")
 def sentence_split(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+    p = T.sentences(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.size(p).cast("long").alias("n_sentences"), F.sha2(F.array_join(p, "\u0001"), 256).alias("sentences_sha256"))
+
 
+_LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
 
-@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS BIGINT) AS n_paragraphs FROM documents")
+
+@query(
+    f"""SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(len(l) AS BIGINT) AS n_paragraphs,
+    sha256(array_to_string(list_transform(l, lambda x, i: CASE WHEN i > 1 AND regexp_matches(x, '^\\d{{1,3}}\\.\\s') THEN chr(10) || x ELSE x END), chr(10))) AS paragraphs_sha256
+    FROM (SELECT doc_id, text, list_transform({_LINES}, lambda x, i: CASE WHEN i % 5 = 0 THEN concat(i, '. ', x) ELSE x END) AS l FROM documents)"""
+)
 def paragraphs(spark, sf):
+    """the lines of a text, every fifth of them numbered."""
     lines = F.split("text", "\n")
-    return table(spark, sf, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(T.structured(F.filter(lines, lambda x: F.trim(x) != "")), lambda x: x != "")).cast("long").alias("n_paragraphs"))
+    full = F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x, i: F.when((i + 1) % 5 == 0, F.concat((i + 1).cast("string"), F.lit(". "), x)).otherwise(x))
+    made = T.structured(full)
+    return table(spark, sf, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(made, lambda x: x != "")).cast("long").alias("n_paragraphs"), F.sha2(F.array_join(made, "\n"), 256).alias("paragraphs_sha256"))
 
 
 # --- names, links, covers -------------------------------------------------------------------------------------------

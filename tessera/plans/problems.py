@@ -11,7 +11,7 @@ from tessera.functions import rules as R
 from tessera.functions import scalars
 from tessera.functions import text as T
 from tessera.operators import analysis, classify, evaluate, evidence, layout, model, pages, ranges, review, web
-from tessera.plans.catalogue import ENGLISH, LABEL_SQL, NAMED, QUERIES, RATIONALE, RULE_ITEMS, SQL, TN, fold_sql, labelled, query, r6
+from tessera.plans.catalogue import ENGLISH, LABEL_SQL, NAMED, QUERIES, RATIONALE, RULE_ITEMS, SPACE, SQL, TN, fold_sql, labelled, query, r6
 from tessera.sources import table
 
 __all__ = ["QUERIES", "SQL"]
@@ -355,11 +355,13 @@ def review_corrections(spark, sf):
     return out.select(F.col("id").alias("doc_id"), "status", "gold_subject", "note")
 
 
-@query("SELECT doc_id, coalesce(src, '') AS set_id, telemetry, false AS resolved FROM (SELECT doc_id, source AS src, '{}' AS telemetry FROM documents)")
+@query("SELECT doc_id, source AS set_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END AS image_id, CASE WHEN doc_id % 2 = 0 THEN '{}' ELSE concat('{', n_chars, '}') END AS telemetry, doc_id % 6 = 1 AS resolved FROM documents")
 def schema_evolution(spark, sf):
-    """Q02: an older snapshot gets the columns it lacks, with their defaults."""
-    old = table(spark, sf, "documents").select("doc_id", F.col("source").alias("set_id"))
-    return review.evolve(old).select("doc_id", "set_id", "telemetry", "resolved")
+    """Q02: an older snapshot gets the columns it lacks, with their defaults, and is read with a newer one that has them."""
+    d = table(spark, sf, "documents").withColumnRenamed("source", "set_id")
+    old = review.evolve(d.where("doc_id % 2 = 0").select("doc_id", "set_id"))
+    new = review.evolve(d.where("doc_id % 2 = 1").select("doc_id", "set_id", F.col("lang").alias("image_id"), F.concat(F.lit("{"), F.col("n_chars").cast("string"), F.lit("}")).alias("telemetry"), (F.col("doc_id") % 6 == 1).alias("resolved")))
+    return old.unionByName(new).select("doc_id", "set_id", "image_id", "telemetry", "resolved")
 
 
 @query("SELECT doc_id AS id, source AS note FROM documents WHERE lang = 'de' AND doc_id % 4 = 1 ORDER BY doc_id LIMIT 10")
@@ -371,9 +373,9 @@ def rejected_notes(spark, sf):
 
 @query("SELECT page_id, CAST(len(a) AS BIGINT) AS n, array_to_string(list_transform(a, x -> concat(x, '.pdf')), '|') AS names, CASE WHEN page_id = 7 THEN '7' ELSE concat('7|', page_id) END AS posts, concat('https://x.org/a/', page_id, '.pdf') AS url, concat(page_id, '.pdf') AS pdf FROM (SELECT page_id, [format('file{}', page_id), 'b'] AS a FROM pages)".replace("x -> concat(x, '.pdf')", "lambda x: concat(x, '.pdf')"))
 def page_files(spark, sf):
-    """S13 to S15 over made-up posts."""
+    """S13 to S15 over the pages, each with a made-up post at its end, as they hold none."""
     i = F.col("page_id").cast("string")
-    html = F.concat(F.lit("<a onclick=\"goView('9','7')\"><a onclick=\"goView('9','"), i, F.lit("')\"><b onclick=\"goView('9','7')\"> goView('8','1') <a href='fileDown.do?fileSeq=ab12' t>file"), i, F.lit('.pdf</a><a href="fileDown.do?fileSeq=c3">b.PDF</a><a href="fileDown.do?fileSeq=c3">c.txt</a><a href="https://x.org/a/'), i, F.lit('.pdf">'))
+    html = F.concat("html", F.lit("<a onclick=\"goView('9','7')\"><a onclick=\"goView('9','"), i, F.lit("')\"><b onclick=\"goView('9','7')\"> goView('8','1') <a href='fileDown.do?fileSeq=ab12' t>file"), i, F.lit('.pdf</a><a href="fileDown.do?fileSeq=c3">b.PDF</a><a href="fileDown.do?fileSeq=c3">c.txt</a><a href="https://x.org/a/'), i, F.lit('.pdf">'))
     rows = table(spark, sf, "pages").select("page_id", html.alias("h")).select("page_id", web.attachments(F.col("h")).alias("a"), web.post_ids(F.col("h"), "9").alias("p"), web.pdf_links(F.col("h")).alias("l"))
     names = F.array_join(F.transform("a", lambda x: F.regexp_replace(x["name"], "PDF$", "pdf")), "|")
     return rows.select("page_id", F.size("a").cast("long").alias("n"), names.alias("names"), F.array_join("p", "|").alias("posts"), F.get("l", F.lit(0)).url.alias("url"), F.get("l", F.lit(0))["name"].alias("pdf"))
@@ -412,6 +414,23 @@ def resolved_names(spark, sf):
     return sources.resolve_names(wanted, files).select("page_id", F.col("shown").alias("name"), F.col("path").cast("long").alias("found"))
 
 
+@query("WITH l AS (SELECT doc_id, source, doc_id % 4 AS num, doc_id % 5 = 0 AS resolved FROM documents), a AS (SELECT DISTINCT source, doc_id % 4 AS num FROM documents WHERE doc_id % 7 = 0) SELECT count(*) FILTER (a.source IS NOT NULL) AS updated, count(*) FILTER (a.source IS NOT NULL OR resolved) AS cleared FROM l LEFT JOIN a USING (source, num)")
+def change_counts(spark, sf):
+    """Q05, Q06: rows that answers resolve, and that a clearing then removes."""
+    d = table(spark, sf, "documents").select("doc_id", "source", (F.col("doc_id") % 4).alias("num"))
+    return review.changes(d.withColumn("resolved", F.col("doc_id") % 5 == 0), d.where("doc_id % 7 = 0"), ["source", "num"])
+
+
+@query("SELECT CASE WHEN doc_id % 3 = 0 THEN 2.0 WHEN doc_id % 3 = 1 THEN 3.0 ELSE 4.0 END AS zoom, lang AS sample, count(*) AS n, round(avg(CASE WHEN t > 0 THEN 1.0 * g / t END), 5) AS mean_recall, round(avg(CASE WHEN g > 0 THEN 1.0 END), 5) AS mean_precision, CAST(sum(g) AS BIGINT) AS common FROM (SELECT doc_id, lang, len(w) AS t, len(w) // (doc_id % 3 + 1) AS g FROM (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '" + SPACE + "+', '', 'g') AS w FROM documents)) GROUP BY ALL")
+def metric_grid(spark, sf):
+    """Recognition that gives a part of each text, by sample and zoom."""
+    solid = T.without_space(F.coalesce(F.col("text"), F.lit("")))
+    d = table(spark, sf, "documents").withColumns({"zoom": F.when(F.col("doc_id") % 3 == 0, 2.0).when(F.col("doc_id") % 3 == 1, 3.0).otherwise(4.0), "truth": solid})
+    d = d.select("doc_id", F.col("lang").alias("sample"), "zoom", "truth", F.substring(F.col("truth"), F.lit(1), F.floor(F.length("truth") / (F.col("doc_id") % 3 + 1)).cast("int")).alias("given"))
+    out = evaluate.grid(d, evaluate.bag(d, "doc_id", "truth", "given"), ["zoom", "sample"], "doc_id")
+    return out.select("zoom", "sample", "n", F.round("mean_recall", 5).alias("mean_recall"), F.round("mean_precision", 5).alias("mean_precision"), F.col("common").cast("long").alias("common"))
+
+
 # --- smaller forms --------------------------------------------------------------------------------------------------
 
 
@@ -436,22 +455,28 @@ def iso_times(spark, sf):
     return table(spark, sf, "events").select("event_id", scalars.iso(F.col("ts")).alias("at"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(concat(' ', text), '[ \\t]{2,}', ' ', 'g'), '\\A\\s+|\\s+\\z', '', 'g')) AS clean FROM (SELECT doc_id, replace(substr(text, 1, 200), '.', '□') AS text FROM documents)")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(concat(' ', text), '[ \\t]{2,}', ' ', 'g'), '\\A\\s+|\\s+\\z', '', 'g')) AS clean FROM (SELECT doc_id, replace(text, '.', '□') AS text FROM documents)")
 def clean_lines(spark, sf):
     """a run of private-use characters is one box; zero-width ones vanish; a single tab stays."""
-    t = F.regexp_replace(F.substring("text", 1, 200), r"\.", "​")
+    t = F.regexp_replace("text", r"\.", "​")
     return table(spark, sf, "documents").select("doc_id", T.clean_transcription(F.concat(F.lit(" "), t)).alias("clean"))
 
 
+_FULL = "'# T', '', '## Summary', 'S 7', '', '## Flow', '', '```mermaid', 'flowchart TD', '  n_0[\"a\"]', '  n_1[\"b''c\"]', '  n_2[\"z\"]', '  n_0 -- \"but\" --> n_1', '  n_1 --> n_2', '```', '', '## Sentences', '', '### Sentence 1', '> A b.', '', '**Phrases**', '', '`A [subject]  ->  b [verb]  ->  c [odd]`', '', '**Links**', '- `b` -> `#5` (of)', '- `#-1` -> `A`', '', '**Translation**', 'Das B.', '', '**Notes**', '- one', '- two', '', '### Sentence 2', '> C.', '', '**Phrases**', '', '`C.`', '', '## Inference', 'so', ''"
+_BARE = "'# untitled', '', '## Flow', '', '```mermaid', 'flowchart TD', '  A[text]', '```', '', '## Sentences', ''"
+
+
 @query(
-    """SELECT doc_id, n, concat_ws(chr(10), '# ' || CASE WHEN doc_id % 2 = 0 THEN 'T' ELSE 'untitled' END, '', '## Flow', '', '```mermaid', CASE WHEN doc_id % 2 = 0 THEN concat_ws(chr(10), 'flowchart TD', '  n_0["a"]', '  n_1["b''c"]', '  n_0 -- "but" --> n_1') ELSE concat_ws(chr(10), 'flowchart TD', '  A[text]') END, '```', '', '## Sentences') AS head
-    FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE CAST(len(list_filter(regexp_split_to_array(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS BIGINT) END AS n FROM (SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '\\A\\s+|\\s+\\z', '', 'g'), 1, 6000) AS t FROM documents))"""
+    f"""SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE len(p) END AS BIGINT) AS n, sha256(replace(CASE WHEN doc_id % 3 = 0 THEN concat_ws(chr(10), {_FULL}) ELSE array_to_string([{_BARE}] || list_transform(p, lambda x, i: concat_ws(chr(10), concat('### Sentence ', i), concat('> ', x), '', '**Phrases**', '', concat('`', x, '`'), '')), chr(10)) END, 'S 7', concat('S ', doc_id))) AS markdown_sha256
+    FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '\\A\\s+|\\s+\\z', '', 'g')), lambda x: x <> '') AS p
+      FROM (SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '\\A\\s+|\\s+\\z', '', 'g'), 1, 6000) AS t FROM documents))"""
 )
 def passage_analysis(spark, sf):
-    """Records in Markdown; passages whose reply has no sentences are cut at their own."""
-    said = '{"title": "T", "sentences": [{"en": "A b.", "chunks": [{"text": "A", "role": "S"}, {"text": "b", "role": "v"}], "mods": [{"src": 1, "dst": 5}]}], "flow": [{"id": "x", "label": "a"}, {"label": "b\\"c", "relation": "but"}]}'
-    rows = analysis.analyse(table(spark, sf, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, said).otherwise("no JSON").alias("reply")))
-    return rows.select("doc_id", F.size("analysis.sentences").cast("long").alias("n"), F.regexp_extract("markdown", r"(?s)\A(.*?## Sentences)", 1).alias("head"))
+    """Whole records in Markdown; passages whose reply has no sentences are cut at their own."""
+    a = '{"en": "A b.", "own": "Das B.", "chunks": [{"text": "A", "role": "S"}, {"text": "b", "role": "v"}, {"text": "c", "role": "odd"}], "mods": [{"src": 1, "dst": 5, "label": "of"}, {"src": -1}], "grammar": ["one", "two"]}'
+    said = F.concat(F.lit('{"title": "T", "inference": "so", "summary": "S '), F.col("doc_id").cast("string"), F.lit('", "sentences": [' + a + ', {"en": "C."}], "flow": [{"id": "x", "label": "a"}, {"label": "b\\"c", "relation": "but"}, {"id": "z"}]}'))
+    rows = analysis.analyse(table(spark, sf, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, said).otherwise("no JSON").alias("reply")))
+    return rows.select("doc_id", F.size("analysis.sentences").cast("long").alias("n"), F.sha2("markdown", 256).alias("markdown_sha256"))
 
 
 @query("WITH x AS (SELECT doc_id, text, CAST(floor(len(text) * 0.9) AS BIGINT) AS n FROM documents) SELECT doc_id, sha256(substr(text, 1, n)) AS train_sha256, CAST(len(text) - n AS BIGINT) AS n_held FROM x")
@@ -460,6 +485,13 @@ def prefix_split(spark, sf):
     return sources.split_prefix(table(spark, sf, "documents"), "text").select("doc_id", F.sha2("train", 256).alias("train_sha256"), F.length("held").cast("long").alias("n_held"))
 
 
+@query("WITH x AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h, CAST(coalesce(sum(octet_length(encode(text))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b, floor((SELECT sum(octet_length(encode(text))) FROM documents) * 0.9) AS cut FROM documents), y AS (SELECT *, CAST(greatest(0, least(len(h) // 2, cut - b)) AS BIGINT) AS n FROM x) SELECT doc_id, sha256(unhex(h[:2 * n])) AS train_sha256, n AS n_train, CAST(len(h) // 2 - n AS BIGINT) AS n_held FROM y")
+def corpus_split(spark, sf):
+    """The whole corpus as bytes, cut once."""
+    out = sources.split_corpus(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    return out.select("doc_id", F.sha2("train", 256).alias("train_sha256"), F.length("train").cast("long").alias("n_train"), F.length("held").cast("long").alias("n_held"))
+
+
 @query("WITH e AS (SELECT user_id, event_id, value, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events) SELECT user_id, event_id AS round, best, CASE WHEN best IS NULL OR value < best THEN 'KEEP' ELSE 'DROP' END AS verdict FROM e")
 def experiment_ledger(spark, sf):
     """B05, B07."""
@@ -467,11 +499,35 @@ def experiment_ledger(spark, sf):
     return evaluate.ledger(rounds, ["user_id"]).select("user_id", "round", "best", "verdict")
 
 
-@query("WITH c AS (SELECT DISTINCT CAST(user_id % 8 + 1 AS INT) AS context_len, CAST(8 * pow(2, user_id % 6) AS INT) AS hidden FROM events), s AS (SELECT 'context_len' AS knob, greatest(1, least(8, context_len + d)) AS context_len, hidden, context_len AS was FROM c, (VALUES (-1), (1)) v(d) UNION ALL SELECT 'hidden', context_len, CAST(greatest(8, least(256, hidden * d)) AS INT), hidden FROM c, (VALUES (0.5), (2.0)) v(d)) SELECT DISTINCT knob, context_len, hidden FROM s WHERE (knob = 'context_len' AND context_len <> was) OR (knob = 'hidden' AND hidden <> was)")
+_CONFIG = {
+    "context_len": "CAST(user_id % 8 + 1 AS INT)", "hidden": "CAST(8 * pow(2, user_id % 6) AS INT)", "emb_dim": "CAST(4 * pow(2, user_id % 5) AS INT)", "lr": "CAST(0.002 AS DOUBLE) * pow(2, user_id % 11)", "batch_size": "CAST(8 * pow(2, user_id % 6) AS INT)",
+    "momentum": "CAST((user_id % 4) * CAST(0.3 AS DOUBLE) AS DOUBLE)", "warmup_frac": "CAST((user_id % 3) * CAST(0.05 AS DOUBLE) AS DOUBLE)", "n_layers": "CAST(user_id % 3 + 1 AS INT)", "weight_decay": "CASE user_id % 3 WHEN 0 THEN CAST(0 AS DOUBLE) WHEN 1 THEN CAST(0.0001 AS DOUBLE) ELSE CAST(0.01 AS DOUBLE) END",
+    "residual": "user_id % 2 = 0", "layernorm": "user_id % 3 = 0", "optimizer": "CASE WHEN user_id % 2 = 0 THEN 'adam' ELSE 'sgd' END",
+}
+_STEPS = (
+    ("context_len", "greatest(1, least(8, context_len + d))", "(-1), (1)"), ("hidden", "CAST(greatest(8, least(256, hidden * d)) AS INT)", "(0.5), (2.0)"), ("emb_dim", "CAST(greatest(4, least(64, emb_dim * d)) AS INT)", "(0.5), (2.0)"),
+    ("lr", "greatest(0.001, least(4.0, lr * d))", "(0.5), (2.0)"), ("batch_size", "CAST(greatest(8, least(256, batch_size * d)) AS INT)", "(0.5), (2.0)"), ("momentum", "greatest(0.0, least(0.98, momentum + d))", "(-0.2), (0.05)"),
+    ("warmup_frac", "greatest(0.0, least(0.5, warmup_frac + d))", "(-0.05), (0.05)"), ("n_layers", "greatest(1, least(3, n_layers + d))", "(-1), (1)"), ("weight_decay", "CASE WHEN weight_decay = 0 THEN 0.0001 ELSE greatest(0.0, least(0.01, weight_decay * d)) END", "(0.1), (10.0)"),
+    ("residual", "NOT residual", "(0)"), ("layernorm", "NOT layernorm", "(0)"), ("optimizer", "CASE WHEN optimizer = 'adam' THEN 'sgd' ELSE 'adam' END", "(0)"),
+)
+_REAL = ("lr", "momentum", "warmup_frac", "weight_decay")
+
+
+def _step(knob: str, new: str, by: str) -> str:
+    lr = ", CASE WHEN optimizer = 'adam' THEN 0.2 ELSE 0.01 END AS lr" if knob == "optimizer" else ""
+    return f"SELECT '{knob}' AS knob, c.* REPLACE ({new} AS {knob}{lr}) FROM c, (SELECT CAST(col0 AS DOUBLE) AS d FROM (VALUES {by})) v WHERE {new} <> {knob}"
+
+
+_ROUNDED = ", ".join(f"round(CAST({c} AS DOUBLE), 9) AS {c}" if c in _REAL else f"CAST({c} AS INT) AS {c}" if "INT)" in e else c for c, e in _CONFIG.items())
+
+
+@query(f"WITH c AS (SELECT DISTINCT {', '.join(f'{e} AS {c}' for c, e in _CONFIG.items())} FROM events), s AS ({' UNION ALL '.join(_step(*x) for x in _STEPS)}) SELECT DISTINCT knob, {_ROUNDED} FROM s")
 def config_steps(spark, sf):
-    """B06."""
-    configs = table(spark, sf, "events").select((F.col("user_id") % 8 + 1).cast("int").alias("context_len"), (8 * F.pow(F.lit(2), F.col("user_id") % 6)).cast("int").alias("hidden")).distinct()
-    return evaluate.neighbours(configs, {k: evaluate.KNOBS[k] for k in ("context_len", "hidden")})
+    """All knobs of the search."""
+    made = [F.expr(e.replace("CAST(0.002 AS DOUBLE)", "0.002D").replace(" // ", " div ")).alias(c) for c, e in _CONFIG.items()]
+    configs = table(spark, sf, "events").select(*made).distinct()
+    out = evaluate.neighbours(configs)
+    return out.select("knob", *[F.round(c, 9).alias(c) if c in _REAL else c for c in _CONFIG]).distinct()
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -65,8 +65,10 @@ def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def last_per_key(spark: SparkSession, path: str, schema: str, key: list[str]) -> DataFrame:
-    """JSON lines by key, the last line of each, broken lines dropped."""
-    lines = spark.read.text(path).withColumn("n_", F.monotonically_increasing_id())
+    """JSON lines by key, the last line of each, broken lines dropped. The last is that of the last file by name, and within a file the one that stands last."""
+    # Within a split rows come in order, and splits of a file by where they begin.
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(at.alias("n_"), "value")
     rows = lines.select("n_", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).where(F.col("r").isNotNull()).select("n_", "r.*")
     keep = [F.col(k).isNotNull() for k in key]
     for k in keep:
@@ -111,11 +113,25 @@ def ingest_counts(files: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def split_prefix(df: DataFrame, text: str, share: float = 0.9) -> DataFrame:
-    """Each text as its first share of bytes and the rest, cut between characters."""
+    """Each text as its first share of characters and the rest."""
     n = F.floor(F.length(text) * share).cast("int")
     return df.withColumns({"train": F.substring(F.col(text), F.lit(1), n), "held": F.substring(F.col(text), n + 1, F.length(text))})
 
 
+def split_corpus(df: DataFrame, order: str, text: str, share: float = 0.9) -> DataFrame:
+    """The bytes of all texts, one after another by ``order``, cut once: ``train`` has each row's bytes before the cut, ``held`` those after it. Where a text begins is a
+    prefix scan over its lengths; null texts have no bytes."""
+    from tessera.operators import prefix
+
+    raw = F.coalesce(F.encode(text, "utf-8"), F.unhex(F.lit("")))
+    sized = df.withColumns({"raw_": raw, "size_": F.octet_length(raw).cast("long")})
+    total = df.agg(F.coalesce(F.sum(F.octet_length(raw)), F.lit(0))).first()[0]
+    cut = F.lit(int(total * share))
+    r = prefix.ranged(sized, [], [order]).running(from_=("sum", F.col("size_"), False)).rows
+    n = F.greatest(F.lit(0), F.least("size_", cut - F.col("from_"))).cast("int")
+    return r.withColumns({"train": F.substring("raw_", F.lit(1), n), "held": F.substring("raw_", n + 1, F.col("size_").cast("int"))}).drop("raw_", "size_", "from_")
+
+
 def not_yet(wanted: DataFrame, have: DataFrame, key: str = "name") -> DataFrame:
     """S16's resume: what is wanted and not there, or there with no bytes."""
     return wanted.join(have.where("nbytes > 0").select(key), key, "left_anti")
@@ -175,9 +191,11 @@ def load_weights(spark: SparkSession, folder: str) -> dict | None:
 def capture_names(rows: DataFrame, stem: Column) -> DataFrame:
     """One file name for each capture, stem_p<page>_q<number>, and _2, _3 for further ones of the same page and number (by ``seq``)."""
     rows = rows.withColumns({"stem": F.coalesce(F.nullif(stem, F.lit("")), F.lit("answers")), "num": F.coalesce("num", F.lit("p"))})
-    k = F.row_number().over(Window.partitionBy("stem", "page", "num").orderBy("seq"))
+    from tessera.operators import prefix
+
+    rows = prefix.ranged(rows, ["stem", "page", "num"], ["seq"]).running(k_=("sum", F.lit(1), True)).rows
     more = F.when(F.col("k_") > 1, F.concat(F.lit("_"), F.col("k_").cast("string"))).otherwise("")
-    return rows.withColumn("k_", k).withColumn("file", F.concat("stem", F.lit("/"), "stem", F.lit("_p"), F.coalesce(F.col("page"), F.lit(0)).cast("string"), F.lit("_q"), "num", more, F.lit(".png"))).drop("k_", "stem")
+    return rows.withColumn("file", F.concat("stem", F.lit("/"), "stem", F.lit("_p"), F.coalesce(F.col("page"), F.lit(0)).cast("string"), F.lit("_q"), "num", more, F.lit(".png"))).drop("k_", "stem")
 
 
 def append(df: DataFrame, path: str) -> None:
