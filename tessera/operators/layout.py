@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tessera.sources import written
 
@@ -39,23 +44,44 @@ def top_two(cols: DataFrame, by: list[str]) -> DataFrame:
     return cols.withColumn("r_", F.row_number().over(w)).where("r_ <= 2").withColumn("col", F.row_number().over(Window.partitionBy(*by).orderBy("low")) - 1).drop("r_")
 
 
-def lis(seq: Column) -> Column:
-    """Places of a longest strictly increasing run; of equals that which ends first, each place's earliest best predecessor."""
-    empty = F.array().cast("array<struct<v:bigint,path:array<int>>>")
+def lis_of(values: Sequence[int | None]) -> list[int]:
+    """Places of a longest strictly increasing run by patience: pile k holds, in order of place and of falling value, what ends a run of k + 1. An element goes on the first pile whose
+    last value is not under it and follows the first of the pile before that is under it. Null values end runs of one and begin none."""
+    tops: list[int] = []  # last value of each pile; these rise
+    piles: list[list[int]] = []  # values with their signs turned, so that they rise within a pile
+    places: list[list[int]] = []
+    before: list[int] = [-1] * len(values)
+    for i, v in enumerate(values):
+        if v is None:
+            continue
+        k = bisect_left(tops, v)
+        if k == len(piles):
+            tops.append(v)
+            piles.append([])
+            places.append([])
+        tops[k] = v
+        piles[k].append(-v)
+        places[k].append(i)
+        if k:
+            before[i] = places[k - 1][bisect_right(piles[k - 1], -v)]
+    if len(piles) < 2:
+        return [0] if len(values) else []
+    out, at = [], places[-1][0]
+    while at >= 0:
+        out.append(at)
+        at = before[at]
+    return out[::-1]
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _lis(seqs: pd.Series) -> pd.Series:
+    return seqs.map(lambda s: None if s is None else lis_of([None if x is None or x != x else int(x) for x in s]))
 
-    def grow(acc: Column, x: Column) -> Column:
-        lower = F.filter(acc, lambda a: a.v < x)
-        most = F.array_max(F.transform(lower, lambda a: F.size(a.path)))
-        best = F.get(F.filter(lower, lambda a: F.size(a.path) == most), F.lit(0))
-        path = F.when(best.isNull(), F.array().cast("array<int>")).otherwise(best.path)
-        return F.concat(acc, F.array(F.struct(x.cast("bigint").alias("v"), F.concat(path, F.array(F.size(acc).cast("int"))).alias("path"))))
-
-    def finish(acc: Column) -> Column:
-        most = F.array_max(F.transform(acc, lambda a: F.size(a.path)))
-        best = F.get(F.filter(acc, lambda a: F.size(a.path) == most), F.lit(0))
-        return F.when(best.isNull(), F.array().cast("array<int>")).otherwise(best.path)
-
-    return F.aggregate(seq, empty, grow, finish)
+
+def lis(seq: Column) -> Column:
+    """Places of a longest strictly increasing run; of equals that which ends first, each place's earliest best predecessor. A sequence of n takes n log n steps and memory for n; Spark's
+    own folds would copy what they have gathered at each step."""
+    return _lis(seq.cast("array<bigint>"))
 
 
 def chain(seq: Column) -> Column:

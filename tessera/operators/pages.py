@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import layout
+from tessera.operators import layout, ranges
 
 PAGE = ["doc", "page"]
 
@@ -181,13 +181,15 @@ def scan_pages(pages: DataFrame, length: str = "n_text", images: str = "has_imag
 
 def clip_text(boxes: DataFrame, words: DataFrame, pages: DataFrame, by: list[str] = PAGE, box: str = "num") -> DataFrame:
     """The words of a box (2 wider), by bands of a hundredth of the height and then x, one to a line. A box of a page without any words has null, one without words of its
-    own has an empty text."""
+    own has an empty text. Words meet the boxes that their first corner lies in."""
     band = F.greatest(F.col("height") / 100, F.lit(1.0))
-    w = words.join(pages, by).select(*by, F.col("x0").alias("wx0"), F.col("y0").alias("wy0"), F.col("x1").alias("wx1"), F.col("y1").alias("wy1"), F.bround(F.col("y0") / band).alias("band"), "text")
-    inside = (F.col("wy0") >= F.col("y0") - 2) & (F.col("wy1") <= F.col("y1") + 2) & (F.col("wx0") >= F.col("x0") - 2) & (F.col("wx1") <= F.col("x1") + 2)
-    order = F.array_sort(F.collect_list(F.when(inside, F.struct("band", "wx0", "text"))))
-    found = boxes.join(w, by, "left")
-    return found.groupBy(*by, box, "x0", "y0", "x1", "y1").agg(F.when(F.count("wx0") == 0, F.lit(None)).otherwise(F.array_join(F.transform(order, lambda o: o.text), "\n")).alias("text"))
+    w = words.join(pages, by).select(*by, F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("x1").alias("wx1"), F.col("y1").alias("wy1"), F.bround(F.col("y0") / band).alias("band"), "text")
+    wide = boxes.select(*by, (F.col("x0") - 2).alias("x1"), (F.col("y0") - 2).alias("y1"), (F.col("x1") + 2).alias("x2"), (F.col("y1") + 2).alias("y2"), F.struct(box, "x0", "y0", "x1", "y1").alias("box_")).distinct()
+    inside = ranges.meet(w, wide, by).where("wx1 <= x2 AND wy1 <= y2")
+    found = inside.groupBy(*by, "box_").agg(F.array_sort(F.collect_list(F.struct("band", "x", "text"))).alias("o_"))
+    own = boxes.select(*by, F.struct(box, "x0", "y0", "x1", "y1").alias("box_")).distinct().join(found, [*by, "box_"], "left").join(words.select(*by).distinct().withColumn("some_", F.lit(True)), by, "left")
+    text = F.when(F.col("some_"), F.coalesce(F.array_join(F.transform("o_", lambda o: o.text), "\n"), F.lit("")))
+    return own.select(*by, "box_.*", text.alias("text"))
 
 
 def set_strips(sets: DataFrame, boxes: DataFrame, by: list[str] = PAGE) -> DataFrame:
@@ -233,9 +235,7 @@ def read_lines(lines: DataFrame, pages: DataFrame, by: list[str] = PAGE) -> Data
 
 def with_formulas(lines: DataFrame, formulas: DataFrame, by: list[str] = PAGE) -> DataFrame:
     """J07 and union: lines whose place lies in a formula's box go, the formulas (x1, y1, x2, y2, tex) that are not blank come as $tex$ lines where their boxes begin."""
-    f = formulas.select(*by, "x1", "y1", "x2", "y2")
-    on = [F.col(f"l.{c}") == F.col(f"f.{c}") for c in by] + [F.col("l.x").between(F.col("f.x1"), F.col("f.x2")), F.col("l.y").between(F.col("f.y1"), F.col("f.y2"))]
-    kept = lines.select(*by, "x", "y", "text").alias("l").join(f.alias("f"), on, "left_anti")
+    kept = ranges.outside(lines.select(*by, "x", "y", "text"), formulas, by)
     made = formulas.where(T.strip(F.col("tex")) != "").select(*by, F.col("x1").alias("x"), F.col("y1").alias("y"), F.concat(F.lit("$"), "tex", F.lit("$")).alias("text"))
     return kept.unionByName(made)
 
