@@ -75,11 +75,10 @@ def hits(text: Column, rules: Column | None = None) -> Column:
 def indexed(df: DataFrame, text: Column, rules: DataFrame, name: str) -> DataFrame:
     """As ``hits``, for any number of rules and texts: rows are numbered and written with their normalised text, keys met through an index, and the hits of a row brought together."""
     rows = written(df.withColumns({"uid_": F.monotonically_increasing_id(), "tn_": text}))
-    met = gramindex.holding(rows.select(F.col("uid_").alias("uid"), F.col("tn_").alias("text")), rules.select("key"))
-    met = met.select("uid", "key", F.when(F.length("key") <= 2, T.ends_word(F.col("text"), F.col("key"))).otherwise(True).alias("ends_"))
-    found = met.join(rules.select(*FIELDS), "key").where("ends_ OR NOT guard")
+    met = gramindex.holding(rows.select(F.col("uid_").alias("uid"), F.col("tn_").alias("text")), written(rules.select(*FIELDS)))
+    met = met.where(~F.col("guard") | (F.length("key") > 2) | T.ends_word(F.col("text"), F.col("key")))
     order = F.struct("rank", "key", "keyword", F.struct(*FIELDS).alias("r"))
-    per = found.groupBy(F.col("uid").alias("uid_")).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x.r).alias(name))
+    per = met.groupBy(F.col("uid").alias("uid_")).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x.r).alias(name))
     return rows.join(per, "uid_", "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<{RULE}>"))).drop("uid_", "tn_")
 
 

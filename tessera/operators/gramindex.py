@@ -190,7 +190,8 @@ def meeting(sent):
 
 
 def holding(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """texts: (uid, text), uid telling rows apart and stable if read again; keys: (key). A row (uid, key, text) for each text and distinct key in it. Empty and null keys are in none."""
+    """texts: (uid, text), uid telling rows apart and stable if read again; keys: (key) and what goes with it, read several times. A row (uid, text, key, ...) for each text and distinct row of
+    ``keys`` whose key is in it, together by uid. Empty and null keys are in none."""
     spark: SparkSession = texts.sparkSession
     own = written(keys.select("key").where("key <> ''").distinct().withColumn("raw", F.encode("key", "utf-8")))
     long = F.octet_length("raw")
@@ -210,6 +211,7 @@ def holding(texts: DataFrame, keys: DataFrame) -> DataFrame:
     sent.destroy()
     discard(own)
     sent = spark.sparkContext.broadcast(filter_of(filed.select("place"), sum(r["n"] for r in per), sizes))
-    found = raw.mapInArrow(meeting(sent), "uid long, size int, gram long").join(filed.select("key", "size", "gram"), ["size", "gram"]).select("uid", "key")
-    # A text in several parts may have met a key in each.
+    full = keys.join(filed.select("key", "size", "gram"), "key")
+    found = raw.mapInArrow(meeting(sent), "uid long, size int, gram long").join(full, ["size", "gram"]).select("uid", *keys.columns)
+    # A text in several parts may have met a key in each. What goes with a key goes along, so that what follows by uid needs no further exchange.
     return texts.select("uid", "text").join(found.repartition("uid").distinct(), "uid").where(F.contains("text", "key"))
