@@ -12,8 +12,9 @@ k + 1, by ranks of the predecessor's symbol. After all rounds the bounds enclose
 a repeated interval. No suffix of the merged set is sorted again. An anchor with more than ``HOT`` different contexts is cut
 into single windows, which are counted by a 128-bit digest over all tasks, so no task gets an unbounded group.
 
-Defined cases: null counts as empty; texts shorter than a window lose nothing; repeated rows are copies of each other, so they lose all that lies in windows; a
-null doc_id is kept as null. Other columns are ignored. An empty table gives no rows.
+Defined cases: null counts as empty; texts shorter than a window lose nothing; repeated rows are copies of each other, so they lose all that lies in windows, and are
+handled as one row that counts as often as it comes; a null doc_id is kept as null. A very long text is one row of one task, which takes about 80 bytes of memory for each of its bytes. Ties, as of
+windows with several places of least hash, go to the first place and change nothing in the result. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -73,10 +74,10 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of each batch, equal ones as one row with their number."""
+    """Contexts of each batch, equal ones as one row with their number; a document counts as often as it has copies."""
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
-        dkey = batch.column("dkey").to_numpy()
+        dkey, copies = batch.column("dkey").to_numpy(), batch.column("copies").to_numpy()
         for a, b in pieces(offsets, CHUNK):
             c = contexts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             if not len(c["row"]):
@@ -88,7 +89,7 @@ def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             first = np.flatnonzero(new)
             one = order[first]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (k[first], m[first], np.diff(np.append(first, len(k))), dkey[a + c["row"][one]], c["lo"][one], c["hi"][one])],
+                [pa.array(x) for x in (k[first], m[first], np.add.reduceat(copies[a + c["row"][order]], first), dkey[a + c["row"][one]], c["lo"][one], c["hi"][one])],
                 ["akey", "chash", "n", "dkey", "lo", "hi"],
             )
 
@@ -291,7 +292,7 @@ def single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def common_anchors(docs: DataFrame) -> list[int]:
     """Anchors that about one in 500 documents have, by a sample: their contexts are counted in parts. Which they are changes nothing in the result."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
-    seen = docs.where(F.rand(7) < share).select("dkey", "text").mapInArrow(count_contexts, COUNTED)
+    seen = docs.where(F.rand(7) < share).select("dkey", "copies", "text").mapInArrow(count_contexts, COUNTED)
     found = seen.groupBy("akey").agg(F.count_distinct("dkey").alias("m")).where(F.col("m") >= max(4, SAMPLE // 500)).orderBy(F.desc("m")).limit(MOST_COMMON)
     return [r.akey for r in found.collect()]
 
@@ -301,7 +302,7 @@ def repeated_contexts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     common = common_anchors(docs)
-    counted = docs.select("dkey", "text").mapInArrow(count_contexts, COUNTED)
+    counted = docs.select("dkey", "copies", "text").mapInArrow(count_contexts, COUNTED)
     counted = counted.withColumn("salt", F.when(F.col("akey").isin(common), F.pmod("chash", F.lit(SALTS)) + 1).otherwise(0) if common else F.lit(0).cast("long"))
     counted = counted.repartition(parts, "akey", "salt").groupBy("akey", "salt", "chash").agg(F.sum("n").alias("n"), F.min(F.struct("dkey", "lo", "hi")).alias("one"))
     w = Window.partitionBy("akey", "salt")
@@ -376,9 +377,19 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("dkey", F.xxhash64("doc_id", "text"))
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """Each dkey once, with its number of rows. Only rows that are repeated are brought together."""
+    spark = docs.sparkSession
+    many = written(spark, docs.groupBy("dkey").agg(F.count("*").alias("copies")).where("copies > 1"))
+    if many.isEmpty():
+        return docs.select("dkey", "text", F.lit(1).cast("long").alias("copies"))
+    alone = docs.select("dkey", "text").join(many, "dkey", "left_anti").withColumn("copies", F.lit(1).cast("long"))
+    return alone.unionByName(docs.select("dkey", "text").join(many, "dkey").dropDuplicates(["dkey"]))
+
+
 def report(docs: DataFrame) -> DataFrame:
     docs = keyed(docs)
-    return docs.join(spans(docs), "dkey", "left").select("doc_id", "text", "found").mapInArrow(digest, SCHEMA)
+    return docs.join(spans(once(docs)), "dkey", "left").select("doc_id", "text", "found").mapInArrow(digest, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

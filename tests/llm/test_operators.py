@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -288,6 +289,28 @@ def test_repeated_bytes_of_odd_rows(spark):
     assert bwt_dedup.report(odd(spark).limit(0)).count() == 0
 
 
+def test_repeated_rows_count_as_often_as_they_come(spark):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    a, b = text(500), text(500)
+    rows = [(1, a)] * 3 + [(2, b), (3, a[:260]), (None, b), (None, b), (4, text(400)), (4, None), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_removed([t for _, t in rows])
+    got = sorted(map(str, bwt_dedup.report(df).collect()))
+    assert len(got) == len(rows)
+    assert sorted((str(i), *w) for (i, _), w in zip(rows, want, strict=True)) == sorted((str(r.doc_id), *tuple(r)[1:]) for r in bwt_dedup.report(df).collect())
+
+
+def test_many_equal_rows_cost_about_as_much_as_one(spark):
+    rng = random.Random(12)
+    row = "".join(rng.choice("abcdefgh ") for _ in range(4000))
+    df = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(row).alias("text")).repartition(8)
+    began = time.perf_counter()
+    got = bwt_dedup.report(df).groupBy("n_bytes", "n_removed", "n_spans").count().collect()
+    assert [tuple(r) for r in got] == [(4000, 4000, 1, 10_000)]
+    assert time.perf_counter() - began < 120
+
+
 # --- near-duplicates ------------------------------------------------------------------------------------------------
 
 
