@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import layout
-from tessera.sources import written
+from tessera.sources import discard, written
 
 
 class Ranges:
@@ -113,3 +113,43 @@ def edges(df: DataFrame, by: list[str], order: str, node: str) -> DataFrame:
     """An edge from each node to the next, in order."""
     r = ranged(df, by, [order]).lag("before_", F.col(node))
     return r.rows.where("before_.v IS NOT NULL").select(*by, F.col("before_.v").alias("src"), F.col(node).alias("dst"))
+
+
+def same(a: str, b: str, columns: list[str]) -> Column:
+    """Whether two frames' rows, under these aliases, agree in columns, null with null."""
+    test = F.lit(True)
+    for c in columns:
+        test = test & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return test
+
+
+def spaced(df: DataFrame, by: list[str], x: str, least: float) -> DataFrame:
+    """Of each group's values, in order, the first and each that is at least so far from the last one kept, as ``layout.spaced`` folds them, for groups of any size.
+
+    Every value points to the next one far enough away, by a backward scan. Which values the first one leads to is found by doubling: after round k those within 2^k steps are known, and
+    pointers lead 2^k steps on, so a group of n takes log n rounds of joins by value."""
+    if least <= 0:
+        return df.select(*by, x).where(F.col(x).isNotNull())
+    nodes = written(df.select(*by, F.col(x).cast("double").alias("v")).where("v IS NOT NULL").distinct())
+    marks = ranged(nodes, by, ["v"]).lag("after", F.col("v"), back=True).rows.select(*by, F.col("v").alias("t_"), F.lit(1).alias("k_"), F.struct("v", F.col("after.v").alias("after")).alias("m_"))
+    # A sum is rounded, so the scan begins a little below it and the distance itself decides.
+    near = F.col("v") + F.lit(least)
+    points = nodes.select(*by, (near - F.abs(near) * 1e-12).alias("t_"), F.lit(0).alias("k_"), "v")
+    both = points.unionByName(marks, allowMissingColumns=True)
+    met = ranged(both, by, ["t_", "k_"]).running(back=True, to=("last", F.col("m_"), False)).rows.where("k_ = 0")
+    to = F.when(F.col("to.v") - F.col("v") >= least, F.col("to.v")).otherwise(F.col("to.after"))
+    jump = written(met.select(*by, "v", to.alias("to")).where("to IS NOT NULL"))
+    reached = written(nodes.groupBy(*by).agg(F.min("v").alias("v")))
+    discard(nodes)
+    while True:
+        new = written(reached.alias("r").join(jump.alias("j"), same("r", "j", [*by, "v"])).select(*[F.col(f"r.{c}") for c in by], F.col("j.to").alias("v")))
+        if new.isEmpty():
+            discard(jump, new)
+            return reached.withColumnRenamed("v", x)
+        before, twice = reached, jump
+        reached = written(reached.union(new))
+        groups = F.lit(True)
+        for c in by:
+            groups = groups & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+        jump = written(twice.alias("a").join(twice.alias("b"), groups & (F.col("a.to") == F.col("b.v"))).select(*[F.col(f"a.{c}") for c in by], F.col("a.v"), F.col("b.to").alias("to")))
+        discard(before, twice, new)

@@ -617,10 +617,10 @@ def sort_key(spark, sf):
     return layout.place(rows, ["source"], [layout.sort_number(F.col("num")), F.col("num"), F.col("doc_id")]).select("doc_id", F.col("place").cast("long").alias("place"))
 
 
-@query()
+@query("WITH RECURSIVE r AS (SELECT user_id, min(value) AS v FROM events GROUP BY user_id UNION ALL SELECT r.user_id, min(e.value) FROM r JOIN events e ON e.user_id = r.user_id AND e.value - r.v >= 18 GROUP BY r.user_id) SELECT user_id, count(*) AS kept FROM r GROUP BY user_id")
 def spacing_fold(spark, sf):
-    seq = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("seq"))
-    return seq.select("user_id", F.size(layout.spaced(F.col("seq"), 18.0)).cast("long").alias("kept"))
+    """W11."""
+    return prefix.spaced(table(spark, sf, "events"), ["user_id"], "value", 18.0).groupBy("user_id").agg(F.count("*").alias("kept"))
 
 
 @query("WITH t AS (SELECT l_orderkey AS page, l_suppkey % 4 AS num, l_extendedprice / 100 AS y, l_returnflag = 'A' AS body FROM lineitem), p AS (SELECT *, max(body) OVER (PARTITION BY page) AS bodied FROM t) SELECT page, num, CAST(round_even(y / 20, 0) AS BIGINT) AS band, min(y) AS y FROM p WHERE body OR NOT bodied GROUP BY ALL")

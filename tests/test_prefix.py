@@ -96,3 +96,18 @@ def test_no_window_over_rows_is_by_the_key_alone(spark):
     plan = prefix.runs(df, ["g"], ["t"], "v")._jdf.queryExecution().optimizedPlan().toString()
     kept = [w for w in re.findall(r"Window \[.*", plan) if "total_" not in w]
     assert kept and all("part_" in w for w in kept)
+
+
+@pytest.mark.parametrize("least", [0.1, 18.0, 0.0, 1e9])
+def test_spacing_equals_the_fold(spark, least):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", None, "b"]), rng.choice([round(rng.uniform(-5, 100), 1), round(rng.uniform(0, 3), 1), None])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    want = []
+    for g in ("a", None, "b"):
+        last = None
+        for x in sorted(x for k, x in rows if k == g and x is not None):
+            if last is None or x - last >= least:
+                want.append((str(g), x))
+                last = x
+    assert sorted((str(r.g), r.x) for r in prefix.spaced(df, ["g"], "x", least).collect()) == sorted(want)
