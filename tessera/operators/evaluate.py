@@ -126,8 +126,8 @@ def ledger(rounds: DataFrame, by: list[str], order: str = "round", value: str =
 
 
 def fold_models(rows: DataFrame, features: list[str], label: str = "label", folds: int = 5, key: str = "doc_id", rounds: int = 100, tol: float = 1e-11) -> dict[int, dict]:
-    """The calibration (A14) fitted without each fold in turn, all of them at once: a round of Newton's method for every fold is one aggregation, whose sums (gradient, upper half of the
-    curvature, loss) each model takes over the rows outside its own fold. Folds are by a hash of the key; those that leave fewer than ten rows or one class have no model."""
+    """The calibration (A14) fitted without each fold in turn, all of them at once: a round of Newton's method for every fold is one aggregation by fold of the sums (gradient, upper half of the
+    curvature, loss) over the rows outside it. Folds are by a hash of the key; those that leave fewer than ten rows or one class have no model."""
     # Written, as every round reads them.
     rows = written(rows.select(F.pmod(F.xxhash64(key), F.lit(folds)).cast("int").alias("fold"), F.col(label).cast("double").alias("y"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)], F.lit(1.0).alias(f"x{len(features)}")))
     seen = {(r.fold, r.y): r.n for r in rows.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
@@ -136,26 +136,24 @@ def fold_models(rows: DataFrame, features: list[str], label: str = "label", fold
     beta = {k: np.zeros(d) for k, (none, one) in sizes.items() if none and one and none + one >= 10}
     best: dict[int, tuple[float, np.ndarray]] = {}
     open_ = set(beta)
-    x = [F.col(f"x{i}") for i in range(d)]
+    x, own = [F.col(f"x{i}") for i in range(d)], [F.col(f"b{i}") for i in range(d)]
+    z = sum((b * c for b, c in zip(own, x, strict=True)), F.lit(0.0))
+    p, w = 1 / (1 + F.exp(-z)), F.when(F.col("y") == 1, F.col("one")).otherwise(F.col("none"))
+    side = F.when(F.col("y") == 1, z).otherwise(-z)
+    sums = [F.sum(w * (F.greatest(-side, F.lit(0.0)) + F.log1p(F.exp(-F.abs(side))))).alias("loss")]  # log(1 + exp(-side)) without overflow
+    sums += [F.sum(w * (p - F.col("y")) * x[i]).alias(f"g{i}") for i in range(d)]
+    sums += [F.sum(w * p * (1 - p) * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(d) for j in range(i, d)]
+    kind = ", ".join(["k int", *(f"b{i} double" for i in range(d)), "none double", "one double"])
+    each = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("k <> fold")
     for _ in range(rounds):
         if not open_:
             break
-        sums = []
-        for k in sorted(open_):
-            none, one = sizes[k]
-            z = sum((F.lit(float(b)) * c for b, c in zip(beta[k], x, strict=True)), F.lit(0.0))
-            p = 1 / (1 + F.exp(-z))
-            w = F.when(F.col("fold") != k, F.when(F.col("y") == 1, (none + one) / (2 * one)).otherwise((none + one) / (2 * none)))
-            # log(1 + exp(-z)) of the right sign, without overflow
-            side = F.when(F.col("y") == 1, z).otherwise(-z)
-            loss = F.greatest(-side, F.lit(0.0)) + F.log1p(F.exp(-F.abs(side)))
-            sums += [F.sum(w * loss).alias(f"l{k}")]
-            sums += [F.sum(w * (p - F.col("y")) * x[i]).alias(f"g{k}_{i}") for i in range(d)]
-            sums += [F.sum(w * p * (1 - p) * x[i] * x[j]).alias(f"h{k}_{i}_{j}") for i in range(d) for j in range(i, d)]
-        at = rows.agg(*sums).first()
-        for k in sorted(open_):
+        # A row a fold, so the plan is the same in every round.
+        given = [(k, *map(float, beta[k]), sum(sizes[k]) / (2 * sizes[k][0]), sum(sizes[k]) / (2 * sizes[k][1])) for k in sorted(open_)]
+        found = {r.k: r for r in each.join(F.broadcast(rows.sparkSession.createDataFrame(given, kind)), "k").groupBy("k").agg(*sums).collect()}
+        for k, at in found.items():
             penalty = np.append(np.ones(d - 1), 0.0)
-            loss = at[f"l{k}"] + 0.5 * float(penalty @ beta[k] ** 2)
+            loss = at.loss + 0.5 * float(penalty @ beta[k] ** 2)
             if k in best and loss > best[k][0] * (1 + 1e-12) + 1e-12:  # too long a step
                 beta[k] = (beta[k] + best[k][1]) / 2
                 continue
@@ -163,8 +161,8 @@ def fold_models(rows: DataFrame, features: list[str], label: str = "label", fold
             curve = np.zeros((d, d))
             for i in range(d):
                 for j in range(i, d):
-                    curve[i, j] = curve[j, i] = at[f"h{k}_{i}_{j}"]
-            slope = np.array([at[f"g{k}_{i}"] for i in range(d)]) + penalty * beta[k]
+                    curve[i, j] = curve[j, i] = at[f"h{i}_{j}"]
+            slope = np.array([at[f"g{i}"] for i in range(d)]) + penalty * beta[k]
             step = np.linalg.lstsq(curve + np.diag(penalty), slope, rcond=None)[0]
             beta[k] = beta[k] - step
             if np.abs(step).max() <= tol * max(1.0, np.abs(beta[k]).max()):
