@@ -72,14 +72,18 @@ def hits(text: Column, rules: Column | None = None) -> Column:
     return let(text, lambda tn: F.filter(default_rules() if rules is None else rules, lambda r: F.contains(tn, r["key"]) & allowed(tn, r)))
 
 
-def indexed(df: DataFrame, text: Column, rules: DataFrame, name: str) -> DataFrame:
-    """As ``hits``, for any number of rules and texts: rows are numbered and written with their normalised text, keys met through an index, and the hits of a row brought together."""
-    rows = written(df.withColumns({"uid_": F.monotonically_increasing_id(), "tn_": text}))
-    met = gramindex.holding(rows.select(F.col("uid_").alias("uid"), F.col("tn_").alias("text")), written(rules.select(*FIELDS)))
-    met = met.where(~F.col("guard") | (F.length("key") > 2) | T.ends_word(F.col("text"), F.col("key")))
+def indexed(df: DataFrame, text: Column | str, rules: DataFrame, name: str) -> DataFrame:
+    """As ``hits``, for any number of rules and texts. Rows are numbered and written with their normalised text (``text``, or the column of that name), the rules that an index gives for
+    a row are brought together, and the row, joined with them once, decides which of them it holds."""
+    rows = df.withColumn("uid_", F.monotonically_increasing_id())
+    rows, own = (written(rows), text) if isinstance(text, str) else (written(rows.withColumn("tn_", text)), "tn_")
+    met = gramindex.candidates(rows.select(F.col("uid_").alias("uid"), F.col(own).alias("text")), written(rules.select(*FIELDS)))
     order = F.struct("rank", "key", "keyword", F.struct(*FIELDS).alias("r"))
-    per = met.groupBy(F.col("uid").alias("uid_")).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x.r).alias(name))
-    return rows.join(per, "uid_", "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<{RULE}>"))).drop("uid_", "tn_")
+    per = met.groupBy(F.col("uid").alias("uid_")).agg(F.array_distinct(F.array_sort(F.collect_list(order))).alias("met_"))
+    tn = F.col(own)
+    held = F.filter("met_", lambda x: F.contains(tn, x["key"]) & (~x.r.guard | (F.length(x["key"]) > 2) | T.ends_word(tn, x["key"])))
+    out = rows.join(per, "uid_", "left").withColumn(name, F.coalesce(F.transform(held, lambda x: x.r), F.array().cast(f"array<{RULE}>")))
+    return out.drop("uid_", "met_", *([] if isinstance(text, str) else ["tn_"]))
 
 
 def with_hits(df: DataFrame, text: Column, rules: DataFrame | None, name: str) -> DataFrame:

@@ -189,9 +189,9 @@ def meeting(sent):
     return run
 
 
-def holding(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """texts: (uid, text), uid telling rows apart and stable if read again; keys: (key) and what goes with it, read several times. A row (uid, text, key, ...) for each text and distinct row of
-    ``keys`` whose key is in it, together by uid. Empty and null keys are in none."""
+def candidates(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """texts: (uid, text), uid telling rows apart and stable if read again; keys: (key) and what goes with it, read several times. Rows (uid, key, ...): all keys that a text holds, and
+    some more that it has but a gram of; some more than once."""
     spark: SparkSession = texts.sparkSession
     own = written(keys.select("key").where("key <> ''").distinct().withColumn("raw", F.encode("key", "utf-8")))
     long = F.octet_length("raw")
@@ -212,6 +212,10 @@ def holding(texts: DataFrame, keys: DataFrame) -> DataFrame:
     discard(own)
     sent = spark.sparkContext.broadcast(filter_of(filed.select("place"), sum(r["n"] for r in per), sizes))
     full = keys.join(filed.select("key", "size", "gram"), "key")
-    found = raw.mapInArrow(meeting(sent), "uid long, size int, gram long").join(full, ["size", "gram"]).select("uid", *keys.columns)
-    # A text in several parts may have met a key in each. What goes with a key goes along, so that what follows by uid needs no further exchange.
-    return texts.select("uid", "text").join(found.repartition("uid").distinct(), "uid").where(F.contains("text", "key"))
+    return raw.mapInArrow(meeting(sent), "uid long, size int, gram long").join(full, ["size", "gram"]).select("uid", *keys.columns)
+
+
+def holding(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """As ``candidates``, decided and with the text: a row (uid, text, key, ...) for each text and distinct row of ``keys`` whose key is in it. Empty and null keys are in none."""
+    found = candidates(texts, keys).repartition("uid").distinct()
+    return texts.select("uid", "text").join(found, "uid").where(F.contains("text", "key"))

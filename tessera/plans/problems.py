@@ -113,7 +113,7 @@ def rule_index(spark, sf):
     cut = lambda k: F.struct(k.alias("k"), F.substring(F.col("tn"), (F.floor(F.length("tn") * k / 7) + 1).cast("int"), (k + 22).cast("int")).alias("keyword"))
     cuts = d.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(6)), cut)).alias("c")).select("c.*").distinct()
     rules = cuts.select(F.col("k").alias("rank"), F.col("k").cast("string").alias("scan"), "keyword").withColumns({"polarity": F.lit("pro"), "targets": F.array(F.lit("x")), "confidence": F.lit(0.5), "source": F.lit("text"), "guard": F.lit(False)})
-    rows = evidence.indexed(d.select("doc_id", "tn"), F.col("tn"), evidence.prepared(rules), "hits").where(F.size("hits") > 0)
+    rows = evidence.indexed(d, "tn", evidence.prepared(rules), "hits").where(F.size("hits") > 0)
     said = F.array_join(F.transform("hits", lambda h: F.concat(h.scan, F.lit(":"), h["key"])), "|")
     return rows.select("doc_id", F.size("hits").cast("long").alias("n"), F.size(F.array_distinct(F.transform("hits", lambda h: h["key"]))).cast("long").alias("n_keys"), F.sha2(said, 256).alias("hits_sha256"))
 
@@ -130,7 +130,7 @@ def rule_words(spark, sf):
     rank = F.length("keyword") % 3
     rules = words.select(rank.alias("rank"), rank.cast("string").alias("scan"), "keyword").withColumns({"polarity": F.lit("pro"), "targets": F.array(F.lit("x")), "confidence": F.lit(0.5), "source": F.lit("text"), "guard": F.lit(False)})
     tn = T.norm(T.composed(F.coalesce(F.col("text"), F.lit(""))))
-    rows = evidence.indexed(d.select("doc_id", tn.alias("tn")), F.col("tn"), evidence.prepared(rules), "hits").where(F.size("hits") > 0)
+    rows = evidence.indexed(d.select("doc_id", tn.alias("tn")), "tn", evidence.prepared(rules), "hits").where(F.size("hits") > 0)
     said = F.array_join(F.transform("hits", lambda h: F.concat(h.scan, F.lit(":"), h["key"])), "|")
     return rows.select("doc_id", F.size("hits").cast("long").alias("n"), F.sha2(said, 256).alias("hits_sha256"))
 

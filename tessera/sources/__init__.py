@@ -119,17 +119,28 @@ def split_prefix(df: DataFrame, text: str, share: float = 0.9) -> DataFrame:
 
 
 def split_corpus(df: DataFrame, order: str, text: str, share: float = 0.9) -> DataFrame:
-    """The bytes of all texts, one after another by ``order``, cut once: ``train`` has each row's bytes before the cut, ``held`` those after it. Where a text begins is a
-    prefix scan over its lengths; null texts have no bytes."""
+    """The bytes of all texts, one after another by ``order`` (null first, equal ones by a hash of the text), cut once: ``train`` has each row's bytes before the cut, ``held`` those after
+    it. Null texts have no bytes. The cut is found by a prefix scan over lengths alone; then each text is on one side of it, or is cut, where it stands, so no text is moved."""
     from tessera.operators import prefix
 
     raw = F.coalesce(F.encode(text, "utf-8"), F.unhex(F.lit("")))
-    sized = df.withColumns({"raw_": raw, "size_": F.octet_length(raw).cast("long")})
-    total = df.agg(F.coalesce(F.sum(F.octet_length(raw)), F.lit(0))).first()[0]
-    cut = F.lit(int(total * share))
-    r = prefix.ranged(sized, [], [order]).running(from_=("sum", F.col("size_"), False)).rows
-    n = F.greatest(F.lit(0), F.least("size_", cut - F.col("from_"))).cast("int")
-    return r.withColumns({"train": F.substring("raw_", F.lit(1), n), "held": F.substring("raw_", n + 1, F.col("size_").cast("int"))}).drop("raw_", "size_", "from_")
+    size = F.octet_length(raw).cast("long")
+    sized = df.select(F.col(order).alias("o_"), F.xxhash64(text).alias("h_"), size.alias("n_"))
+    total = sized.agg(F.coalesce(F.sum("n_"), F.lit(0))).first()[0]
+    cut = int(total * share)
+    scan = prefix.ranged(sized, [], ["o_", "h_"]).running(from_=("sum", F.col("n_"), False)).rows
+    at = scan.where((F.col("from_") <= cut) & (cut < F.col("from_") + F.col("n_"))).first()
+    parts = lambda n: {"train": F.substring(raw, F.lit(1), n), "held": F.substring(raw, n + 1, F.octet_length(raw))}
+    if at is None:  # no bytes, or all of them before the cut
+        return df.withColumns(parts(F.octet_length(raw)))
+    kind = scan.schema["o_"].dataType
+    here, edge = F.struct(F.col(order).alias("o"), F.xxhash64(text).alias("h")), F.struct(F.lit(at["o_"]).cast(kind).alias("o"), F.lit(at["h_"]).alias("h"))
+    clear = df.where(here != edge).withColumns(parts(F.when(here < edge, F.octet_length(raw)).otherwise(0)))
+    # Rows that are the one that is cut, or equal to it, are told apart by a number.
+    first = scan.where(F.col("o_").eqNullSafe(F.lit(at["o_"]).cast(kind)) & (F.col("h_") == at["h_"])).agg(F.min("from_")).first()[0]
+    equal = prefix.ranged(df.where(here == edge), [], [order]).running(nth_=("sum", F.lit(1), False)).rows
+    n = F.greatest(F.lit(0), F.least(size, F.lit(cut - first) - F.col("nth_") * size)).cast("int")
+    return clear.unionByName(equal.withColumns(parts(n)).drop("nth_"))
 
 
 def not_yet(wanted: DataFrame, have: DataFrame, key: str = "name") -> DataFrame:
