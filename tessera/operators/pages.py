@@ -261,3 +261,10 @@ def transcript(paragraphs: DataFrame, doc: str = "doc") -> DataFrame:
     """Pages, paragraphs that are not empty and the joined text of each document."""
     flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", "paragraphs"))), lambda p: p.paragraphs))
     return paragraphs.groupBy(doc).agg(F.count("*").alias("pages"), flat.alias("p")).select(doc, "pages", F.size(F.filter("p", lambda x: x != "")).alias("paragraphs"), F.array_join("p", "\n").alias("text"))
+
+
+def extracts(unboxed: DataFrame, boxed: DataFrame, by: list[str] = PAGE) -> DataFrame:
+    """What a page is extracted as: its boxes with their number as label, or, without any, the page under the label full; texts cut at 800 characters."""
+    bare = unboxed.join(boxed.select(*by).distinct(), by, "left_anti")
+    rows = boxed.select(*by, F.col("num").cast("string").alias("label"), "text").unionByName(bare.select(*by, F.lit("full").alias("label"), "text"))
+    return rows.withColumn("text", F.substring(F.coalesce("text", F.lit("")), 1, 800))

@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import rules as R
 from tessera.operators import prefix
 
 KEY = ["source", "page", "num"]
+#: Q01: the tables of the review loop.
+TABLES = {
+    "review_log": "source string, page int, num string, set_id string, image_id string, reason string, subject string, sub_subject string, confidence double, telemetry string, resolved boolean, gold_subject string, created_at timestamp",
+    "items": "id string, path string, status string, pred_subject string, gold_subject string, gold_unit string, note string, created_at timestamp",
+    "cache": "key string, reply string, budget int, nbytes long, ts timestamp",
+    "events": "at timestamp, kind string, batch long, payload string",
+}
+
+
+def create(spark: SparkSession, folder: str) -> list[str]:
+    """Q01: the tables that are not there yet, empty; returns the names of those made."""
+    made = []
+    for name, kind in TABLES.items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+            spark.createDataFrame([], kind).write.parquet(f"{folder}/{name}")
+            made.append(name)
+    return made
+
 HUMAN = {"resolved": "boolean", "gold_subject": "string"}
 
 
@@ -35,9 +54,10 @@ def resolve(log: DataFrame, answers: DataFrame, key: list[str] = KEY) -> DataFra
     return found.withColumn("resolved", F.col("resolved") | F.col("gold_").isNotNull()).withColumn("gold_subject", F.coalesce("gold_", "gold_subject")).drop("gold_")
 
 
-def queue(log: DataFrame, limit: int = 50, tie: str = "num") -> DataFrame:
-    """Q04: unresolved rows, least confident first (null before all), then newest."""
-    return log.where("NOT resolved").orderBy(F.asc_nulls_first("confidence"), F.desc("created_at"), tie).limit(limit)
+def queue(log: DataFrame, limit: int = 50, tie: str = "num", source: str | None = None) -> DataFrame:
+    """Q04: unresolved rows, of one source if it is given, least confident first (null before all), then newest."""
+    rows = log if source is None else log.where(F.col("source") == source)
+    return rows.where("NOT resolved").orderBy(F.asc_nulls_first("confidence"), F.desc("created_at"), tie).limit(limit)
 
 
 def clear_resolved(log: DataFrame) -> DataFrame:

@@ -282,7 +282,7 @@ def recognised(spark, sf) -> tuple[DataFrame, DataFrame]:
     return w.select("doc", "page", F.col("x0").alias("x"), F.col("y0").alias("y"), raw.alias("text")), w.where("block > 0 AND line = 1").select("doc", "page", F.col("x0").alias("x1"), F.col("y0").alias("y1"), (F.col("x0") + 60).alias("x2"), (F.col("y0") + 60).alias("y2"), tex.alias("tex"))
 
 
-@query(
+_TRANSCRIBED = (
     f"""WITH {WORDS}, {_SCAN}, y AS (SELECT *, n_text >= CASE WHEN has_images THEN 200 ELSE 30 END AS layer FROM s),
     own AS (SELECT doc, page, block, line, min(x0) AS x, min(y0) AS y, string_agg(w.text, ' ' ORDER BY w.x0, w.y0, w.text) AS text FROM w JOIN y USING (doc, page) WHERE layer GROUP BY doc, page, block, line),
     fm AS (SELECT doc, page, x0 AS x1, y0 AS y1, x0 + 60 AS x2, y0 + 60 AS y2, CASE WHEN block = 2 THEN ' ' ELSE concat('x^', text) END AS tex FROM w WHERE block > 0 AND line = 1),
@@ -292,6 +292,9 @@ def recognised(spark, sf) -> tuple[DataFrame, DataFrame]:
     k AS (SELECT doc, page, text, row_number() OVER (PARTITION BY page ORDER BY ord) AS r FROM o WHERE text <> '')
     SELECT s.doc, s.page, CAST(count(text) AS BIGINT) AS n, coalesce(string_agg(CASE WHEN r > 1 AND regexp_matches(text, '^[0-9]{{1,3}}\\.\\s') THEN chr(10) || text ELSE text END, chr(10) ORDER BY r), '') AS text FROM s LEFT JOIN k USING (page) GROUP BY s.doc, s.page"""
 )
+
+
+@query(_TRANSCRIBED)
 def transcription(spark, sf):
     """N01, N02, H08, F18, F20."""
     lines, formulas = recognised(spark, sf)
@@ -299,6 +302,23 @@ def transcription(spark, sf):
     return p.select("doc", "page", F.size(F.filter("paragraphs", lambda x: x != "")).cast("long").alias("n"), F.array_join("paragraphs", "\n").alias("text"))
 
 
+@query(f"WITH t AS ({_TRANSCRIBED}) SELECT doc, count(*) AS pages, CAST(sum(n) AS BIGINT) AS paragraphs, sha256(string_agg(text, chr(10) ORDER BY page) FILTER (n > 0)) AS text_sha256 FROM t GROUP BY doc")
+def transcript_totals(spark, sf):
+    """Pages, paragraphs and text of each document."""
+    lines, formulas = recognised(spark, sf)
+    p = pages.transcript(pages.transcribe(words(spark, sf), lines, formulas, with_layers(spark, sf)))
+    return p.select("doc", "pages", F.col("paragraphs").cast("long").alias("paragraphs"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("WITH b AS (SELECT l_orderkey % 7 AS doc, l_orderkey AS page, CAST(l_linenumber AS VARCHAR) AS label, repeat(l_returnflag, CAST(l_quantity * 40 AS INT)) AS text FROM lineitem WHERE l_orderkey % 3 > 0), p AS (SELECT o_orderkey % 7 AS doc, o_orderkey AS page, 'full' AS label, repeat(o_orderpriority, 200) AS text FROM orders) SELECT doc, page, label, CAST(len(substr(text, 1, 800)) AS BIGINT) AS n, sha256(substr(text, 1, 800)) AS text_sha256 FROM (SELECT * FROM b UNION ALL SELECT * FROM p WHERE page NOT IN (SELECT page FROM b))")
+def extracts(spark, sf):
+    """Boxes with their texts, whole pages where there are none, cut at 800 characters."""
+    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem").where("l_orderkey % 3 > 0")
+    boxed = li.select((F.col("l_orderkey") % 7).alias("doc"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("num"), F.repeat(F.col("l_returnflag"), (F.col("l_quantity") * 40).cast("int")).alias("text"))
+    bare = o.select((F.col("o_orderkey") % 7).alias("doc"), F.col("o_orderkey").alias("page"), F.repeat(F.col("o_orderpriority"), F.lit(200)).alias("text"))
+    return pages.extracts(bare, boxed).select("doc", "page", "label", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("WITH a AS (SELECT o_custkey % 20 AS doc, o_orderkey AS page, 'p' AS num, o_orderpriority AS text, 0 AS k, o_orderkey AS seq FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT l_suppkey % 20, l_orderkey, CAST(l_linenumber AS VARCHAR), repeat(l_returnflag, CAST(l_quantity * 40 AS INT)), 1, l_linenumber FROM lineitem) SELECT doc, page, num, text_len, place FROM (SELECT doc, page, num, len(substr(text, 1, 900)) AS text_len, row_number() OVER (PARTITION BY doc ORDER BY k, page, seq, num, text) AS place FROM a) WHERE place <= 30")
 def problem_rows(spark, sf):
     """Pages without boxes first, then boxes, up to a number a document."""
@@ -432,6 +452,44 @@ def metric_grid(spark, sf):
     return out.select("zoom", "sample", "n", F.round("mean_recall", 5).alias("mean_recall"), F.round("mean_precision", 5).alias("mean_precision"), F.col("common").cast("long").alias("common"))
 
 
+@query("SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN trim(text, chr(10) || ' ' || chr(9)) WHEN doc_id % 3 = 1 THEN concat('second ', doc_id) ELSE '' END) AS text_sha256 FROM documents")
+def coalesced_text(spark, sf):
+    """The first of three sources with more than white space."""
+    i = F.col("doc_id") % 3
+    first = F.when(i == 0, F.concat(F.lit(" \n"), "text", F.lit("\t "))).when(i == 1, " \t\n ")
+    second = F.when(i == 1, F.concat(F.lit("\n second "), F.col("doc_id").cast("string")))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(sources.coalesce_text(first, second, F.lit(" ")), 256).alias("text_sha256"))
+
+
+@query("SELECT source AS key, arg_max(lang, doc_id) AS value, max(doc_id) AS ts FROM documents GROUP BY source")
+def cache_latest(spark, sf):
+    """The last value put under each key."""
+    return review.latest(table(spark, sf, "documents").select(F.col("source").alias("key"), F.col("lang").alias("value"), F.col("doc_id").alias("ts")))
+
+
+@query("SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents")
+def json_saved(spark, sf):
+    """Rows saved as JSON, and read again."""
+    folder = sources.shared_folder(spark)
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    sources.save_json(d, folder)
+    return spark.read.schema(d.schema).json(folder).select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND contains(lower(source), 'src1') ORDER BY doc_id LIMIT 5")
+def unit_items(spark, sf):
+    """Q12."""
+    items = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, "confirmed").otherwise("pending").alias("status"), F.col("source").alias("unit"))
+    return web.of_unit(items, "SRC1").select(F.col("id").alias("doc_id"))
+
+
+@query("SELECT doc_id AS num, confidence FROM (SELECT doc_id, CAST(CASE WHEN doc_id % 11 > 0 THEN n_chars % 100 END AS DOUBLE) AS confidence, doc_id % 50 AS created_at FROM documents WHERE lang = 'de' AND doc_id % 4 > 0) ORDER BY confidence NULLS FIRST, created_at DESC, num LIMIT 50")
+def queue_of_source(spark, sf):
+    """Q04 with a source."""
+    log = table(spark, sf, "documents").select(F.col("doc_id").alias("num"), F.col("lang").alias("source"), F.when(F.col("doc_id") % 11 > 0, (F.col("n_chars") % 100).cast("double")).alias("confidence"), (F.col("doc_id") % 50).alias("created_at"), (F.col("doc_id") % 4 == 0).alias("resolved"))
+    return review.queue(log, source="de").select("num", "confidence")
+
+
 # --- smaller forms --------------------------------------------------------------------------------------------------
 
 
