@@ -17,6 +17,7 @@ from tessera.functions import rules as R
 from tessera.functions import text as T
 from tessera.operators import confidence, evaluate, evidence, labels, layout, prefix, ranges, review, web
 from tessera.sources import shared_folder, table
+from tessera.streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -778,3 +779,24 @@ def event_windows(spark, sf):
     """An extension: tumbling windows of a day, read as a stream to its end."""
     made = lambda s: streaming.windowed(s, "ts", ["event_type"], "1 day", "1 hour").select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", F.round("total", 4).alias("total"))
     return _streamed(spark, sf, made, "complete")
+
+
+_SESSIONS = """WITH x AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, value FROM events), y AS (SELECT *, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) AS d FROM x),
+    z AS (SELECT *, sum(CASE WHEN d > 1800000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS k FROM y)
+    SELECT user_id, min(ms) AS "start", max(ms) AS "end", count(*) AS n, round(sum(value), 4) AS total FROM z GROUP BY user_id, k"""
+
+
+@query(_SESSIONS)
+def table_sessions(spark, sf):
+    """Sessions of half an hour, of a table."""
+    return sessions.of_table(table(spark, sf, "events"), ["user_id"], "ts", "value", 1_800_000).withColumn("total", F.round("total", 4))
+
+
+@query(f"""SELECT * FROM ({_SESSIONS}) WHERE "end" + 1800000 < (SELECT max(epoch_us(ts) // 1000) - 3600000 FROM events)""")
+def stream_sessions(spark, sf):
+    """An extension: sessions with state and timers, those that are closed when the stream of events has been read to its end."""
+    root = shared_folder(spark)
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = sessions.sessions(stream, ["user_id"], "ts", "value", 1_800_000, "1 hour")
+    out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out").withColumn("total", F.round("total", 4))
