@@ -12,7 +12,7 @@ The vocabulary is a BPE one and has ranks, no probabilities: the piece of rank r
 ``sharpness``. Characters without a piece are spelled in byte pieces, so nothing is lost; a literal U+2581 is spelled in bytes too,
 as that character stands for the blank. As the library does, a blank is put before the text and taken off again.
 
-Defined cases: null counts as empty; an empty text has no pieces; a null row key is a key of its own; rows with equal keys and texts get equal
+Defined cases: null counts as empty; an empty text has no pieces; a null row key samples as the key -1 does; rows with equal keys and texts get equal
 samples. A text of more than ``BLOCK`` bytes is taken in parts of about that size, cut at a blank or where no piece crosses, so memory is bounded whatever its length. Other columns are ignored.
 An empty table gives no rows.
 """
