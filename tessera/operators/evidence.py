@@ -78,11 +78,14 @@ def indexed(df: DataFrame, text: Column | str, rules: DataFrame, name: str) -> D
     rows = df.withColumn("uid_", F.monotonically_increasing_id())
     rows, own = (written(rows), text) if isinstance(text, str) else (written(rows.withColumn("tn_", text)), "tn_")
     met = gramindex.candidates(rows.select(F.col("uid_").alias("uid"), F.col(own).alias("text")), written(rules.select(*FIELDS)))
-    order = F.struct("rank", "key", "keyword", F.struct(*FIELDS).alias("r"))
-    per = met.groupBy(F.col("uid").alias("uid_")).agg(F.array_distinct(F.array_sort(F.collect_list(order))).alias("met_"))
+    # In order of their first fields; one that a long text has met in several parts stands next to itself.
+    rule = F.struct("rank", "key", "keyword", *[f for f in FIELDS if f not in ("rank", "key", "keyword")])
+    per = met.groupBy(F.col("uid").alias("uid_")).agg(F.array_sort(F.collect_list(rule)).alias("met_"))
     tn = F.col(own)
-    held = F.filter("met_", lambda x: F.contains(tn, x["key"]) & (~x.r.guard | (F.length(x["key"]) > 2) | T.ends_word(tn, x["key"])))
-    out = rows.join(per, "uid_", "left").withColumn(name, F.coalesce(F.transform(held, lambda x: x.r), F.array().cast(f"array<{RULE}>")))
+    once = lambda x, i: (i == 0) | (x != F.get(F.col("met_"), i - 1))
+    held = F.filter("met_", lambda x, i: F.contains(tn, x["key"]) & once(x, i) & (~x.guard | (F.length(x["key"]) > 2) | T.ends_word(tn, x["key"])))
+    hits_ = F.transform(held, lambda x: F.struct(*[x[f].alias(f) for f in FIELDS]))
+    out = rows.join(per, "uid_", "left").withColumn(name, F.coalesce(hits_, F.array().cast(f"array<{RULE}>")))
     return out.drop("uid_", "met_", *([] if isinstance(text, str) else ["tn_"]))
 
 
