@@ -103,9 +103,9 @@ def spaced(seq: Column, least: float) -> Column:
 
 
 def valid_islands(df: DataFrame, by: list[str], x: str, y: str, num: str, gap: Column) -> DataFrame:
-    """Islands of two or more whose numbers rise with y by one to three each."""
+    """Islands of two or more whose numbers rise with y by one to three each; rows of one y stand in order of x, then of number."""
     df = islands(df, by, x, gap)
-    w = Window.partitionBy(*by, "island").orderBy(y)
+    w = Window.partitionBy(*by, "island").orderBy(y, x, num)
     ok = F.lag(num).over(w).isNull() | (F.col(num) - F.lag(num).over(w)).between(1, 3)
     per = Window.partitionBy(*by, "island")
     return df.withColumn("ok_", ok).withColumn("all_", F.min("ok_").over(per)).withColumn("n_", F.count("*").over(per)).where("all_ AND n_ >= 2").drop("ok_", "all_", "n_")
