@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import rules as R
 from tessera.functions import text as T
 from tessera.functions.scalars import learned_confidence
+from tessera.operators import evidence
 
 
 def fold(df: DataFrame, weights: dict | None = None) -> DataFrame:
@@ -20,7 +21,8 @@ def fold(df: DataFrame, weights: dict | None = None) -> DataFrame:
     names = F.array(subject, sub, T.norm(subject), T.norm(sub))
     hit = lambda e: F.exists(e.targets, lambda t: F.array_contains(F.col("names_"), t) | F.array_contains(F.col("names_"), T.norm(t)))
     judged = F.transform(F.filter("evidence", lambda e: F.size(e.targets) > 0), lambda e: F.struct(e.targets.alias("targets"), e.polarity.alias("polarity"), e.confidence.alias("confidence"), (F.when(e.source == "filename", 1.5).otherwise(1.0) * e.confidence).alias("s"), is_global(e).alias("everywhere"), hit(e).alias("hit")))
-    df = df.withColumn("names_", names).withColumn("judged_", judged)
+    given = df.columns
+    df = evidence.once(df.withColumn("names_", names), "judged_", judged)
     pick = lambda test: F.filter("judged_", test)
     df = df.withColumns(
         {
@@ -54,7 +56,11 @@ def fold(df: DataFrame, weights: dict | None = None) -> DataFrame:
     else:
         c = plain(raw, F.col("pro_score"), F.col("anti_score"), F.col("rival_score"), F.col("rule_conflict"), sub)
     c = F.when(unknown, F.least(raw, F.lit(0.25))).otherwise(c)
-    return df.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(0.99), c)))
+    df = df.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(0.99), c)))
+    # A filter on a result would else be pushed through all of the above and repeat it many times.
+    made = [x for x in df.columns if x not in given or x == "confidence"]
+    rest = [F.col(x) for x in df.columns if x not in made]
+    return evidence.once(df, "fold_", F.struct(*made)).select(*rest, "fold_.*")
 
 
 def plain(raw: Column, pro: Column, anti: Column, rival: Column, conflict: Column, sub: Column) -> Column:

@@ -188,11 +188,15 @@ def fit_calibration(rows: DataFrame, features: list[str], label: str = "label",
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
+    # Written, as counting and fitting both read them.
+    rows = written(rows.select(label, *features))
     sizes = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
     total = sum(sizes.values())
     if total < least or len(sizes) < 2:
+        discard(rows)
         return None
     weight = F.when(F.col(label) == 1, total / (2 * sizes[1])).otherwise(total / (2 * sizes[0]))
     data = VectorAssembler(inputCols=features, outputCol="x").transform(rows.withColumn("w", weight).withColumn(label, F.col(label).cast("double")))
     model = LogisticRegression(featuresCol="x", labelCol=label, weightCol="w", standardization=False, regParam=1.0 / total, maxIter=1000, tol=1e-10).fit(data)
+    discard(rows)
     return {"source": "gold", "coefficients": dict(zip(features, map(float, model.coefficients), strict=True)), "intercept": float(model.intercept), "n_samples": total}
