@@ -6,6 +6,8 @@ import difflib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -66,9 +68,46 @@ def byte_windows(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return flat.select(key, F.explode(F.transform(F.sequence(F.lit(size), F.size("raw_") - 1), one)).alias("w")).select(key, "w.*")
 
 
+def _counting(size: int):
+    """Map (held, raw) to (held, code, n): how often each window of ``size`` + 1 bytes, as a number, comes in a batch."""
+
+    def run(batches):
+        for batch in batches:
+            for held in (False, True):
+                raw = batch.filter(pc.equal(batch.column("held"), held)).column("raw")
+                lens = np.array(pc.binary_length(raw), dtype=np.int64)
+                data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
+                if len(data) <= size:
+                    continue
+                code = np.zeros(len(data) - size, np.int64)
+                for i in range(size + 1):
+                    code = (code << 8) | data[i : len(data) - size + i]
+                # A window that would go on in the next text is none.
+                text = np.repeat(np.arange(len(lens)), lens)
+                codes, n = np.unique(code[text[: len(code)] == text[size:]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), held)), pa.array(codes), pa.array(n.astype(np.int64))], ["held", "code", "n"])
+
+    return run
+
+
+def byte_counts(df: DataFrame, text: str, size: int, held: Column | None = None) -> DataFrame:
+    """How often each byte (y) comes after each ``size`` bytes (ctx), at most five, in rows that are ``held`` and others (those of which neither holds are left out), as ``byte_windows`` counted; counted by batch before anything is
+    moved."""
+    rows = df.where(F.octet_length(text) > size).select((F.lit(False) if held is None else held).alias("held"), F.encode(text, "utf-8").alias("raw")).where("held IS NOT NULL")
+    counts = rows.mapInArrow(_counting(size), "held boolean, code long, n long").groupBy("held", "code").agg(F.sum("n").alias("n"))
+    form = F.lpad(F.hex("code"), 2 * size + 2, "0")
+    return counts.select("held", F.substring(form, 1, 2 * size).alias("ctx"), F.substring(form, 2 * size + 1, 2).alias("y"), "n")
+
+
 def bits_per_byte(windows: DataFrame, held: Column) -> DataFrame:
     """Mean bits of the held windows' bytes under add-one counts of the others. Windows are counted before anything is joined."""
-    pairs = windows.groupBy("ctx", "y").agg(F.count_if(~held).alias("n2"), F.count_if(held).alias("held"))
+    return bits_of_counts(windows.withColumn("held", held).where("held IS NOT NULL").groupBy("ctx", "y", "held").agg(F.count("*").alias("n")))
+
+
+def bits_of_counts(counts: DataFrame) -> DataFrame:
+    """As ``bits_per_byte``, of counted windows (ctx, y, held, n)."""
+    own = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    pairs = counts.groupBy("ctx", "y").agg(own(~F.col("held")).alias("n2"), own(F.col("held")).alias("held"))
     met = pairs.groupBy("ctx").agg(F.sum("n2").alias("n1"))
     p = (F.col("n2") + 1) / (F.col("n1") + 256)
     out = pairs.where("held > 0").join(met, "ctx").agg(F.sum("held").alias("n"), F.sum(-F.log(p) * F.col("held")).alias("nats"))
