@@ -41,15 +41,15 @@ class Sessions(StatefulProcessor):
         self.open = handle.getListState("open", SPAN)
 
     def _keep(self, spans: list[tuple]) -> None:
-        """Put the open sessions, and a timer for the moment that each can grow no more."""
+        """Put the open sessions, and one timer for the moment that the first of them can grow no more: what is closed by then is handed on together, the rest gets the next timer."""
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         if spans:
             self.open.put(spans)
         else:
             self.open.clear()
-        for _, end, _, _ in spans:
-            self.handle.registerTimer(end + self.gap + 1)
+        if spans:
+            self.handle.registerTimer(min(end for _, end, _, _ in spans) + self.gap + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of Spark's interface
         spans = [tuple(r) for r in self.open.get()]
