@@ -189,15 +189,17 @@ def scan_pages(pages: DataFrame, length: str = "n_text", images: str = "has_imag
 
 def clip_text(boxes: DataFrame, words: DataFrame, pages: DataFrame, by: list[str] = PAGE, box: str = "num") -> DataFrame:
     """The words of a box (2 wider), by bands of a hundredth of the height and then x, one to a line. A box of a page without any words has null, one without words of its
-    own has an empty text. Words meet the boxes that their first corner lies in."""
+    own has an empty text. Each word of a page is held against each of its boxes, so time, not memory, grows with the two together."""
     band = F.greatest(F.col("height") / 100, F.lit(1.0))
-    w = words.join(pages, by).select(*by, F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("x1").alias("wx1"), F.col("y1").alias("wy1"), F.bround(F.col("y0") / band).alias("band"), "text")
-    wide = boxes.select(*by, (F.col("x0") - 2).alias("x1"), (F.col("y0") - 2).alias("y1"), (F.col("x1") + 2).alias("x2"), (F.col("y1") + 2).alias("y2"), F.struct(box, "x0", "y0", "x1", "y1").alias("box_")).distinct()
-    inside = ranges.meet(w, wide, by).where("wx1 <= x2 AND wy1 <= y2")
-    found = inside.groupBy(*by, "box_").agg(F.array_sort(F.collect_list(F.struct("band", "x", "text"))).alias("o_"))
-    own = boxes.select(*by, F.struct(box, "x0", "y0", "x1", "y1").alias("box_")).distinct().join(found, [*by, "box_"], "left").join(words.select(*by).distinct().withColumn("some_", F.lit(True)), by, "left")
-    text = F.when(F.col("some_"), F.coalesce(F.array_join(F.transform("o_", lambda o: o.text), "\n"), F.lit("")))
-    return own.select(*by, "box_.*", text.alias("text"))
+    # All by page, so that words and boxes are moved once each; a page's words are put in order once for all of its boxes.
+    list_ = F.collect_list(F.struct("x0", "y0", "x1", "y1", "text"))
+    per = words.groupBy(*by).agg(list_.alias("w_")).join(pages.select(*by, "height", F.lit(True).alias("page_")), by, "left")
+    of = F.transform("w_", lambda w: F.struct(F.bround(w.y0 / band).alias("band"), w.x0.alias("x"), w.text.alias("text"), w.y0.alias("y"), w.x1.alias("wx1"), w.y1.alias("wy1")))
+    per = per.select(*by, F.when(F.col("page_"), F.array_sort(of)).alias("o_"), F.lit(True).alias("some_"))
+    own = boxes.select(*by, box, "x0", "y0", "x1", "y1").repartition(*by).distinct().join(per, by, "left")
+    inside = lambda o: o.x.between(F.col("x0") - 2, F.col("x1") + 2) & o.y.between(F.col("y0") - 2, F.col("y1") + 2) & (o.wx1 <= F.col("x1") + 2) & (o.wy1 <= F.col("y1") + 2)
+    text = F.when(F.col("some_"), F.coalesce(F.array_join(F.transform(F.filter("o_", inside), lambda o: o.text), "\n"), F.lit("")))
+    return own.select(*by, box, "x0", "y0", "x1", "y1", text.alias("text"))
 
 
 def set_strips(sets: DataFrame, boxes: DataFrame, by: list[str] = PAGE) -> DataFrame:
