@@ -165,11 +165,16 @@ def marked_boxes(blocks: DataFrame, pages: DataFrame, by: list[str] = PAGE, leas
 def word_clusters(words: DataFrame, pages: DataFrame, by: list[str] = PAGE) -> DataFrame:
     """Rows of words parted where one begins over 20 under the end of the word before it (by its top), as full-width boxes numbered from above;
     those wholly in the margins (7 %, 95 % of the height) go."""
-    w = Window.partitionBy(*by).orderBy("y0", "x0", "y1", "x1")
-    flat = words.withColumn("new_", F.when(F.col("y0") - F.lag("y1").over(w) > 20, 1).otherwise(0)).withColumn("k_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = flat.groupBy(*by, "k_").agg(F.min("y0").alias("a_"), F.max("y1").alias("b_")).join(pages, by).where("a_ < height * 0.95 AND b_ > height * 0.07")
-    num = F.row_number().over(Window.partitionBy(*by).orderBy("k_")).cast("string")
-    return rows.select(*by, num.alias("num"), F.lit(0.0).alias("x0"), F.greatest(F.col("a_") - 4, F.lit(0.0)).alias("y0"), F.col("width").alias("x1"), F.least(F.col("b_") + 4, "height").alias("y1"))
+    # A row a page from the shuffle on: what a task sorts is one list of four numbers a word, once.
+    per = words.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "y1", "x1"))).alias("w_")).join(pages.select(*by, "width", "height"), by)
+    begins = F.filter(F.transform("w_", lambda w, i: F.when((i == 0) | (w.y0 - F.get("w_", i - 1).y1 > 20), i)), lambda i: i.isNotNull())
+    per = per.withColumn("i_", begins)
+    row = lambda i, k: F.slice("w_", i + 1, F.coalesce(F.get("i_", k + 1), F.size("w_")) - i)
+    spans = F.transform(F.transform("i_", row), lambda r: F.struct(F.array_min(F.transform(r, lambda w: w.y0)).alias("a_"), F.array_max(F.transform(r, lambda w: w.y1)).alias("b_")))
+    held = F.filter(spans, lambda r: (r.a_ < F.col("height") * 0.95) & (r.b_ > F.col("height") * 0.07))
+    rows = per.select(*by, "width", "height", F.posexplode(held).alias("k_", "r_"))
+    num = (F.col("k_") + 1).cast("string")
+    return rows.select(*by, num.alias("num"), F.lit(0.0).alias("x0"), F.greatest(F.col("r_.a_") - 4, F.lit(0.0)).alias("y0"), F.col("width").alias("x1"), F.least(F.col("r_.b_") + 4, "height").alias("y1"))
 
 
 def problem_boxes(blocks: DataFrame, words: DataFrame, pages: DataFrame, by: list[str] = PAGE) -> DataFrame:
