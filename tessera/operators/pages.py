@@ -281,6 +281,7 @@ def transcript(paragraphs: DataFrame, doc: str = "doc") -> DataFrame:
 
 def extracts(unboxed: DataFrame, boxed: DataFrame, by: list[str] = PAGE) -> DataFrame:
     """What a page is extracted as: its boxes with their number as label, or, without any, the page under the label full; texts cut at 800 characters."""
-    bare = unboxed.join(boxed.select(*by).distinct(), by, "left_anti")
-    rows = boxed.select(*by, F.col("num").cast("string").alias("label"), "text").unionByName(bare.select(*by, F.lit("full").alias("label"), "text"))
-    return rows.withColumn("text", F.substring(F.coalesce("text", F.lit("")), 1, 800))
+    # Cut before they are moved; pages with boxes are hashed by key, so that texts are not sorted.
+    cut = F.substring(F.coalesce("text", F.lit("")), 1, 800).alias("text")
+    bare = unboxed.select(*by, F.lit("full").alias("label"), cut).join(boxed.select(*by).distinct().hint("shuffle_hash"), by, "left_anti")
+    return boxed.select(*by, F.col("num").cast("string").alias("label"), cut).unionByName(bare)
