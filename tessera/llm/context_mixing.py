@@ -42,6 +42,10 @@ GATES, LIMIT, STEPS = DEPTHS * SURE, 8.0, 16
 #: Bytes of a document between two updates of its weights; step size of an update.
 BLOCK, RATE, FIT_RATE = 64, 0.008, 0.02
 CHUNK = 1 << 18
+#: Bytes of text that are cut into tokens or counted at once, and that are scored at once; rows of about one length that are scored side by side. They change no score.
+PART, SCORED, ROWS = 1 << 17, 1 << 22, 64
+#: Tokens that are put in order at once.
+FRESH = 1 << 18
 #: Steps of a unit of log odds in the tables of the logistic, and how many there are on each side.
 FINE, EDGE = 256, 4095
 END = np.uint64(0x0E4D)
@@ -52,6 +56,9 @@ MIX_START, MIX_LIMIT, MIX_STEP, MIX_CLIP = 1.0, 4.0, 12.0, 6.0
 _ODDS = np.arange(-EDGE, EDGE + 1) / FINE
 #: The loss of log odds against the bit that came, in nats, and the chance that the other was given.
 _LOSS, _MISS = np.logaddexp(0, _ODDS).astype(np.float32), (1 / (1 + np.exp(-_ODDS))).astype(np.float32)
+#: Both by rounded log odds, those of bit 0 and then those of bit 1.
+_SIDES = 2 * EDGE + 1
+_LOSSES, _MISSES = np.concatenate([_LOSS, _LOSS[::-1]]), np.concatenate([_MISS, -_MISS[::-1]])
 WHOLE = "uid long, doc_id long, n_tokens long, n_known long, common double, bits double, n_bytes long, rare array<struct<token:long,bits:float,odds:float>>"
 
 
@@ -62,35 +69,41 @@ def stream(w: Words) -> tuple[np.ndarray, np.ndarray]:
     size = np.concatenate([[0], np.cumsum(length + 1)])
     bounds = size[w.first] + np.arange(len(n) + 1)
     out = np.full(int(bounds[-1]), 32, np.uint8)
-    to = size[:-1] + np.repeat(np.arange(len(n)), n)
-    ends = np.cumsum(length)
-    out[np.repeat(to - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)] = w.text[w.inside]
+    word = np.ones(len(out), bool)
+    word[size[:-1] + np.repeat(np.arange(len(n)), n) + length] = word[bounds[1:] - 1] = False
+    out[word] = w.text[w.inside]
     out[bounds[1:] - 1] = 10
     return out, bounds
 
 
 def contexts(text: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     """Slot of each byte's context, for each order; ends stand before a text's start."""
-    place = np.arange(len(text)) - np.repeat(bounds[:-1], np.diff(bounds))
     h = np.zeros(len(text), np.uint32)
+    # The first bytes of each row, by how far they are from its start.
+    heads = [bounds[:-1][np.diff(bounds) > j] + j for j in range(max(j for j, _ in ORDERS))]
     out: list[np.ndarray] = []
     want = dict(ORDERS)
     for j in range(1, max(want) + 1):
         before = np.empty_like(text)
         before[:j] = 10
         before[j:] = text[:-j] if len(text) > j else text[:0]
-        before[place < j] = 10
+        for at in heads[:j]:
+            before[at] = 10
         h = (h + before + np.uint32(1)) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         if j in want:
             out.append(((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - want[j])).astype(np.int32))
     # The word so far: sums of hashed bytes from the word's start, each times a power of its place.
-    fresh = start_of_word(text, bounds) > 0
-    at = np.flatnonzero(fresh)
-    since = np.arange(len(text)) - np.repeat(at, np.diff(np.append(at, len(text)))) if len(at) else place
-    total = np.concatenate([np.zeros(1, np.uint32), np.cumsum(_BYTE32[text] * _POWER32[np.minimum(since, 255)], dtype=np.uint32)])
-    word = (total[:-1] - total[:-1][np.arange(len(text)) - since]) * np.uint32(2) + np.uint32(1)
-    word = (word ^ (word >> np.uint32(16))) * np.uint32(0x9E3779B1) + since.astype(np.uint32)
+    at = np.flatnonzero(start_of_word(text, bounds))
+    length = np.diff(np.append(at, len(text)))
+    since = np.arange(len(text), dtype=np.uint32)
+    since -= np.repeat(at.astype(np.uint32), length)
+    terms = _BYTE32.take(text)
+    terms *= _POWER32.take(since, mode="clip")
+    total = np.cumsum(terms, dtype=np.uint32)
+    total -= terms
+    word = (total - np.repeat(total[at], length)) * np.uint32(2) + np.uint32(1)
+    word = (word ^ (word >> np.uint32(16))) * np.uint32(0x9E3779B1) + since
     out.append(((word * np.uint32(0x85EBCA6B)) >> np.uint32(32 - want[0])).astype(np.int32))
     return out
 
@@ -99,6 +112,24 @@ def tokens(w: Words) -> np.ndarray:
     return w.hashes()
 
 
+def tokenised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The stream of some texts and the bounds of its rows; of each token, ends too, the hash and the bytes; the bounds of the rows' tokens."""
+    made = []
+    for a, b in pieces(offsets, PART):
+        w = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], NONSPACE)
+        text, bounds = stream(w)
+        first = w.first + np.arange(b - a + 1)
+        h = np.full(int(first[-1]), END)
+        word = np.ones(len(h), bool)
+        word[first[1:] - 1] = False
+        h[word] = tokens(w)
+        size = np.ones(len(h), np.int64)
+        size[word] = w.end - w.start + 1
+        made.append((text, np.diff(bounds), h, size, np.diff(first)))
+    text, n, h, size, many = (np.concatenate(x) for x in zip(*made, strict=True))
+    return text, np.concatenate([[0], np.cumsum(n)]), h, size, np.concatenate([[0], np.cumsum(many)])
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
@@ -112,6 +143,7 @@ def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task's tokens (kind 0) and context cells (the order's number from 1), these without the rows that fit the gates."""
     sums: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in range(len(ORDERS) + 1)}
     cells = [np.zeros(256 << bits, np.int32) for _, bits in ORDERS]
+    fresh: list[np.ndarray] = []
     ends = held = 0
 
     def rows(kind: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -128,10 +160,13 @@ def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         ends += len(batch)
-        for a, b in pieces(offsets, 1 << 20):
+        for a, b in pieces(offsets, PART):
             w = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], NONSPACE)
-            sums[0].append(np.unique(tokens(w), return_counts=True))
-            held += len(sums[0][-1][0])
+            fresh.append(tokens(w))
+            if sum(map(len, fresh)) > FRESH:
+                sums[0].append(np.unique(np.concatenate(fresh), return_counts=True))
+                held += len(sums[0][-1][0])
+                fresh = []
             text, bounds = stream(w)
             counts_ = np.repeat(~batch.column("fits").to_numpy(zero_copy_only=False)[a:b], np.diff(bounds))
             for k, slot in enumerate(contexts(text, bounds)):
@@ -142,6 +177,8 @@ def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield from rows(0, *sums[0][0])
                     sums[0] = []
                 held = sum(len(k) for k, _ in sums[0])
+    if fresh:
+        sums[0].append(np.unique(np.concatenate(fresh), return_counts=True))
     if sums[0]:
         yield from rows(0, *merged())
     if ends:
@@ -224,52 +261,68 @@ class Model:
         return len(x)
 
     def bits(self, text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Bits of each byte."""
-        rows = len(bounds) - 1
+        """Bits of each byte. Rows of about one length go side by side, so that few steps have few rows."""
         size = np.diff(bounds)
+        out = np.empty(len(text))
+        order = np.argsort(-size, kind="stable")
+        for g in range(0, len(order), ROWS):
+            own = order[g : g + ROWS]
+            ends = np.cumsum(size[own])
+            at = np.repeat(bounds[:-1][own] - (ends - size[own]), size[own]) + np.arange(int(ends[-1]))
+            out[at] = self._nats(text[at], np.concatenate([[0], ends]))
+        out /= np.log(2)
+        return out
+
+    def _nats(self, text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Nats of each byte of some rows, the longest first. A step takes the next ``BLOCK`` bytes of every row that has some left, so what is kept for each bit is as long as a step."""
+        code, size = self.code, np.diff(bounds)
         block = (np.arange(len(text)) - np.repeat(bounds[:-1], size)) // BLOCK
-        order = np.argsort(block, kind="stable")
-        slots = [s[order] for s in contexts(text, bounds)]
-        row = np.repeat(np.arange(rows, dtype=np.int32), size)[order]
-        e = Events(self.code, text[order], slots, self.sure)
-        steps = e.bounds[np.searchsorted(block[order], np.arange(int(block.max()) + 2))]
-        weights = [np.tile(self.weights[:, k], rows) for k in range(len(ORDERS))]
-        scale = np.float32(1 / STEPS)
-        owner = np.repeat(row, e.times)
-        slots = owner * np.int32(GATES) + e.gate
-        sign = np.where(e.bit, np.float32(-1), np.float32(1))
-        out = np.empty(len(e.bit), np.float32)
-        for a, b in zip(steps.tolist(), steps[1:].tolist(), strict=False):
-            slot, turn = slots[a:b], sign[a:b]
-            x = [np.take(self.tables[k], e.cells[k][a:b]) * scale for k in range(len(ORDERS))]
-            z = np.take(weights[0], slot) * x[0]
-            for k in range(1, len(ORDERS)):
-                z += np.take(weights[k], slot) * x[k]
-            z *= turn
-            # z is now the log odds against the bit that came, in steps of 1 / FINE.
-            z *= FINE
+        steps = np.concatenate([[0], np.cumsum(np.bincount(block))])
+        order = np.argsort(block.astype(np.uint16) if len(steps) <= 1 << 16 else block, kind="stable")
+        slots = contexts(text, bounds)
+        gate = (np.repeat(np.arange(len(size)) * GATES, size) + self.sure[slots[-1]])[order]
+        slots = [s[order].astype(np.int64) << 8 for s in slots]
+        text = text[order]
+        times = code.length[text]
+        edge = np.concatenate([[0], np.cumsum(times)])
+        path = code.start[text] - edge[:-1]
+        live = np.searchsorted(-size, -BLOCK * np.arange(len(steps) - 1)) * GATES
+        node, depth = code.node.astype(np.int64), np.minimum(code.depth, DEPTHS - 1).astype(np.int64) * SURE
+        side = np.where(code.bit, _SIDES, 0) + EDGE
+        # Weights give log odds in steps of 1 / FINE from the tables' own steps; both are powers of two.
+        weights = [np.tile(self.weights[:, k] * np.float32(FINE / STEPS), len(size)) for k in range(len(ORDERS))]
+        out = np.empty(int(edge[-1]), np.float32)
+        for a, b, first, last, most in zip(steps.tolist(), steps[1:].tolist(), edge[steps[:-1]].tolist(), edge[steps[1:]].tolist(), live.tolist(), strict=False):
+            n = times[a:b]
+            bit = np.repeat(path[a:b], n)
+            bit += np.arange(first, last)
+            below = node.take(bit, mode="clip")
+            slot = np.repeat(gate[a:b], n)
+            slot += depth.take(bit, mode="clip")
+            z, inputs = np.zeros(last - first, np.float32), []
+            for k in range(len(ORDERS)):
+                cell = np.repeat(slots[k][a:b], n)
+                cell += below
+                inputs.append(self.tables[k].take(cell, mode="clip").astype(np.float32))
+                z += weights[k].take(slot, mode="clip") * inputs[k]
             np.rint(z, out=z)
             np.clip(z, -EDGE, EDGE, out=z)
-            z += EDGE
-            at = z.astype(np.int32)
-            np.take(_LOSS, at, out=out[a:b], mode="clip")
-            miss = np.take(_MISS, at)
-            miss *= turn
-            low = int(slot[0]) // GATES
-            high = int(slot[-1]) // GATES + 1
-            at = slot - low * GATES
-            for k in range(len(ORDERS)):
-                x[k] *= miss
-                weights[k][low * GATES : high * GATES] -= RATE * np.bincount(at, x[k], (high - low) * GATES).astype(np.float32)
+            at = z.astype(np.int64)
+            at += side.take(bit, mode="clip")
+            out[first:last] = _LOSSES.take(at, mode="clip")
+            miss = _MISSES.take(at, mode="clip")
+            for k, x in enumerate(inputs):
+                x *= miss
+                weights[k][:most] -= RATE * np.bincount(slot, x, most).astype(np.float32)
         back = np.empty(len(text))
-        back[order] = np.add.reduceat(out, e.bounds[:-1]) if len(out) else 0.0
-        return back / np.log(2)
+        back[order] = np.add.reduceat(out, edge[:-1])
+        return back
 
 
 def start_of_word(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(text), np.int32)
+    out = np.zeros(len(text), bool)
     out[1:] = text[:-1] == 32
-    out[bounds[:-1]] = 1
+    out[bounds[:-1]] = True
     return out
 
 
@@ -289,7 +342,9 @@ def running(d: np.ndarray, first: np.ndarray) -> np.ndarray:
 def counts(docs: DataFrame) -> DataFrame:
     """(kind, key, n) over all training rows."""
     rows = docs.where(~held_out()).select("text", F.coalesce(fits(), F.lit(False)).alias("fits")).mapInArrow(count, "kind byte, key long, n long")
-    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    # A task has a key once or twice, so summing before the shuffle would only cost.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, counted: DataFrame) -> Model:
@@ -363,18 +418,9 @@ def scored(docs: DataFrame, model: Model, counted: DataFrame, total: int, kinds:
         value = np.log2(n_of + 0.1) if len(known) else np.zeros(1)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for a, b in pieces(offsets, CHUNK):
-                w = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], NONSPACE)
+            for a, b in pieces(offsets, SCORED):
                 rows = b - a
-                text, bounds = stream(w)
-                # Tokens of all rows with their ends: h, and where their bytes begin.
-                first = w.first + np.arange(rows + 1)
-                h = np.full(int(first[-1]), END)
-                word = np.ones(len(h), bool)
-                word[first[1:] - 1] = False
-                h[word] = w.hashes()
-                size = np.ones(len(h), np.int64)
-                size[word] = w.end - w.start + 1
+                text, bounds, h, size, first = tokenised(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 by_bytes = -np.add.reduceat(own.bits(text, bounds), np.cumsum(size) - size) if len(h) else np.zeros(0)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
