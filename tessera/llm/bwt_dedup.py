@@ -31,8 +31,8 @@ from tessera.llm.common import U64, documents, mix, pieces, powers, utf8, window
 
 WINDOW, STEP, ANCHOR = 200, 8, 32
 HOT = 8192
-#: Bytes of contexts merged at once, and of text handled at once.
-BLOCK, CHUNK = 1 << 20, 1 << 20
+#: Bytes of contexts merged at once, and of text handled at once: what is made of them fits the cache. Rows of a batch of contexts.
+BLOCK, CHUNK, BATCH = 1 << 17, 1 << 17, 10_000
 FILTER_BITS = 25
 #: Documents looked at for common anchors, how many of these there may be, and in how many parts the contexts of one are counted.
 SAMPLE, MOST_COMMON, SALTS = 4000, 5000, 64
@@ -73,25 +73,38 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {"row": row, "lo": lo - begin, "hi": hi - begin, "akey": h[at].view(np.int64), "chash": code.view(np.int64)}
 
 
+def batched(parts: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Columns in parts, as batches of about ``BATCH`` rows."""
+    held: list[list[np.ndarray]] = []
+    for part in parts:
+        held.append(part)
+        if sum(len(p[0]) for p in held) >= BATCH:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
+
+
 def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of each batch, equal ones as one row with their number; a document counts as often as it has copies."""
-    for batch in batches:
-        data, offsets = utf8(batch.column("text"))
-        dkey, copies = batch.column("dkey").to_numpy(), batch.column("copies").to_numpy()
-        for a, b in pieces(offsets, CHUNK):
-            c = contexts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            if not len(c["row"]):
-                continue
-            order = np.lexsort((c["chash"], c["akey"]))
-            k, m = c["akey"][order], c["chash"][order]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
-            first = np.flatnonzero(new)
-            one = order[first]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (k[first], m[first], np.add.reduceat(copies[a + c["row"][order]], first), dkey[a + c["row"][one]], c["lo"][one], c["hi"][one])],
-                ["akey", "chash", "n", "dkey", "lo", "hi"],
-            )
+    """Contexts of each block of text, equal ones as one row with their number; a document counts as often as it has copies."""
+
+    def counted() -> Iterator[list[np.ndarray]]:
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            dkey, copies = batch.column("dkey").to_numpy(), batch.column("copies").to_numpy()
+            for a, b in pieces(offsets, CHUNK):
+                c = contexts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                if not len(c["row"]):
+                    continue
+                order = np.lexsort((c["chash"], c["akey"]))
+                k, m = c["akey"][order], c["chash"][order]
+                new = np.ones(len(k), bool)
+                new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
+                first = np.flatnonzero(new)
+                one = order[first]
+                yield [k[first], m[first], np.add.reduceat(copies[a + c["row"][order]], first), dkey[a + c["row"][one]], c["lo"][one], c["hi"][one]]
+
+    yield from batched(counted(), ["akey", "chash", "n", "dkey", "lo", "hi"])
 
 
 def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,19 +349,31 @@ def bitmap(found: DataFrame) -> np.ndarray:
 def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
-        lists = batch.column("found").to_pylist()
+        lists = batch.column("found")
+        many = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
+        flat = lists.flatten()
+        runs = flat.field("runs")
+        ends = np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        begin = flat.field("lo").to_numpy(zero_copy_only=False) + np.repeat(offsets[:-1], np.diff(many))
+        place = runs.flatten().to_numpy() + np.repeat(begin, np.diff(ends))
         out: list[list] = [[], [], [], []]
-        for i, found in enumerate(lists):
-            own = data[offsets[i] : offsets[i + 1]]
+        for a, b in pieces(offsets, CHUNK):
+            own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             edge = np.zeros(len(own) + 1, np.int32)
-            for f in found or []:
-                r = np.asarray(f["runs"], np.int64) + f["lo"]
-                np.add.at(edge, r[::2], 1)
-                np.add.at(edge, r[1::2] + WINDOW - 1, -1)
-            gone = np.cumsum(edge)[:-1] > 0
-            spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(own) else 0
-            for k, v in enumerate((len(own), int(gone.sum()), spans, hashlib.sha256(own[~gone] if spans else own).hexdigest())):
-                out[k].append(v)
+            run = place[ends[many[a]] : ends[many[b]]] - offsets[a]
+            np.add.at(edge, run[::2], 1)
+            np.add.at(edge, run[1::2] + WINDOW - 1, -1)
+            gone = np.cumsum(edge)[:-1] > 0  # no run leaves its row, so rows end at nought
+            start = gone.copy()
+            start[1:] &= ~gone[:-1]
+            first = at[:-1][at[:-1] < at[1:]]
+            start[first] = gone[first]
+            removed, started = (np.concatenate([[0], np.cumsum(x)])[at] for x in (gone, start))
+            kept, left = own[~gone], at - removed
+            out[0] += np.diff(at).tolist()
+            out[1] += np.diff(removed).tolist()
+            out[2] += np.diff(started).tolist()
+            out[3] += [hashlib.sha256(kept[x:y]).hexdigest() for x, y in zip(left.tolist(), left[1:].tolist(), strict=False)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
@@ -360,13 +385,17 @@ def spans(docs: DataFrame) -> DataFrame:
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(bits.value).view(bool)
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            dkey = batch.column("dkey").to_numpy()
-            for a, b in pieces(offsets, CHUNK):
-                c = contexts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                ok = known[(c["akey"].view(np.uint64) >> U64(64 - FILTER_BITS)).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (dkey[a + c["row"][ok]], c["akey"][ok], c["chash"][ok], c["lo"][ok])], ["dkey", "akey", "chash", "lo"])
+
+        def met() -> Iterator[list[np.ndarray]]:
+            for batch in batches:
+                data, offsets = utf8(batch.column("text"))
+                dkey = batch.column("dkey").to_numpy()
+                for a, b in pieces(offsets, CHUNK):
+                    c = contexts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    ok = known[(c["akey"].view(np.uint64) >> U64(64 - FILTER_BITS)).astype(np.int64)]
+                    yield [dkey[a + c["row"][ok]], c["akey"][ok], c["chash"][ok], c["lo"][ok]]
+
+        yield from batched(met(), ["dkey", "akey", "chash", "lo"])
 
     met = docs.select("dkey", "text").mapInArrow(again, "dkey long, akey long, chash long, lo long")
     return met.join(found, ["akey", "chash"]).groupBy("dkey").agg(F.collect_list(F.struct("lo", "runs")).alias("found"))
