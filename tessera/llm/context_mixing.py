@@ -168,9 +168,15 @@ def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held += len(sums[0][-1][0])
                 fresh = []
             text, bounds = stream(w)
-            counts_ = np.repeat(~batch.column("fits").to_numpy(zero_copy_only=False)[a:b], np.diff(bounds))
+            kept = ~batch.column("fits").to_numpy(zero_copy_only=False)[a:b]
+            if not kept.all():
+                size = np.diff(bounds)
+                text, bounds = text[np.repeat(kept, size)], np.concatenate([[0], np.cumsum(size[kept])])
             for k, slot in enumerate(contexts(text, bounds)):
-                np.add.at(cells[k], (slot.astype(np.int64) << 8 | text)[counts_], np.int32(1))
+                cell = slot.astype(np.int64)
+                cell <<= 8
+                cell |= text
+                np.add.at(cells[k], cell, np.int32(1))
             if held > 3_000_000:
                 sums[0] = [merged()]
                 if len(sums[0][0][0]) > 1_500_000:
@@ -251,14 +257,20 @@ class Model:
     def fit(self, text: np.ndarray, bounds: np.ndarray) -> int:
         """Gradient steps over some texts; how many bits they had."""
         e = Events(self.code, text, contexts(text, bounds), self.sure)
-        x = np.stack([np.take(t, c) for t, c in zip(self.tables, e.cells, strict=True)], 1).astype(np.float32) / STEPS
-        for i in range(0, len(x), 512):
-            s = slice(i, i + 512)
-            z = np.clip((self.weights[e.gate[s]] * x[s]).sum(1), -30, 30)
-            err = e.bit[s] - 1 / (1 + np.exp(-z))
-            for k in range(len(ORDERS)):
-                self.weights[:, k] += FIT_RATE * np.bincount(e.gate[s], err * x[s, k], GATES).astype(np.float32) / 8
-        return len(x)
+        x = [np.take(t, c).astype(np.float32) / STEPS for t, c in zip(self.tables, e.cells, strict=True)]
+        gate = e.gate.astype(np.int64)
+        weights = [self.weights[:, k].copy() for k in range(len(ORDERS))]
+        for i in range(0, len(gate), 512):
+            own, inputs = gate[i : i + 512], [v[i : i + 512] for v in x]
+            z = weights[0].take(own) * inputs[0]
+            for w, v in zip(weights[1:], inputs[1:], strict=True):
+                z += w.take(own) * v
+            np.clip(z, -30, 30, out=z)
+            err = e.bit[i : i + 512] - 1 / (1 + np.exp(-z))
+            for w, v in zip(weights, inputs, strict=True):
+                w += FIT_RATE * np.bincount(own, err * v, GATES).astype(np.float32) / 8
+        self.weights = np.stack(weights, 1)
+        return len(gate)
 
     def bits(self, text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Bits of each byte. Rows of about one length go side by side, so that few steps have few rows."""
@@ -287,8 +299,8 @@ class Model:
         edge = np.concatenate([[0], np.cumsum(times)])
         path = code.start[text] - edge[:-1]
         live = np.searchsorted(-size, -BLOCK * np.arange(len(steps) - 1)) * GATES
-        node, depth = code.node.astype(np.int64), np.minimum(code.depth, DEPTHS - 1).astype(np.int64) * SURE
-        side = np.where(code.bit, _SIDES, 0) + EDGE
+        # Of each bit of a path, in one word: node, gate of its depth, side.
+        way = code.node.astype(np.int64) | np.minimum(code.depth, DEPTHS - 1).astype(np.int64) * SURE << 8 | (np.where(code.bit, _SIDES, 0) + EDGE) << 16
         # Weights give log odds in steps of 1 / FINE from the tables' own steps; both are powers of two.
         weights = [np.tile(self.weights[:, k] * np.float32(FINE / STEPS), len(size)) for k in range(len(ORDERS))]
         out = np.empty(int(edge[-1]), np.float32)
@@ -296,19 +308,26 @@ class Model:
             n = times[a:b]
             bit = np.repeat(path[a:b], n)
             bit += np.arange(first, last)
-            below = node.take(bit, mode="clip")
+            turn = way.take(bit, mode="clip")
+            below = turn & 255
+            side = turn >> 16
+            turn >>= 8
+            turn &= 255
             slot = np.repeat(gate[a:b], n)
-            slot += depth.take(bit, mode="clip")
-            z, inputs = np.zeros(last - first, np.float32), []
+            slot += turn
+            inputs: list[np.ndarray] = []
             for k in range(len(ORDERS)):
                 cell = np.repeat(slots[k][a:b], n)
                 cell += below
                 inputs.append(self.tables[k].take(cell, mode="clip").astype(np.float32))
-                z += weights[k].take(slot, mode="clip") * inputs[k]
+                part = weights[k].take(slot, mode="clip")
+                part *= inputs[k]
+                z = np.add(z, part, out=z) if k else part
             np.rint(z, out=z)
-            np.clip(z, -EDGE, EDGE, out=z)
+            np.maximum(z, -EDGE, out=z)
+            np.minimum(z, EDGE, out=z)
             at = z.astype(np.int64)
-            at += side.take(bit, mode="clip")
+            at += side
             out[first:last] = _LOSSES.take(at, mode="clip")
             miss = _MISSES.take(at, mode="clip")
             for k, x in enumerate(inputs):

@@ -5,7 +5,9 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm import bwt_dedup
+from tessera.llm import bwt_dedup, context_mixing
+
+from .test_operators import random_model
 
 
 def peak(run):
@@ -24,3 +26,10 @@ def test_contexts_are_found_a_small_block_at_a_time():
     sizes = []
     assert peak(lambda: sizes.extend(len(b) for b in bwt_dedup.count_contexts(iter([batch])))) < 40e6
     assert min(sizes[:-1]) >= bwt_dedup.BATCH
+
+
+def test_bits_are_held_for_a_step_alone():
+    model = random_model()
+    rng = np.random.default_rng(5)
+    text = rng.choice(np.frombuffer(b"etaoin shrdlu", np.uint8), 1 << 18)
+    assert peak(lambda: model.bits(text, np.arange(0, len(text) + 1, 1 << 12))) < 250 * len(text)
