@@ -13,11 +13,13 @@ from pyspark.sql.types import ArrayType, IntegerType
 from tessera.sources import written
 
 
-def islands(df: DataFrame, by: list[str], x: str, gap: Column, name: str = "island") -> DataFrame:
-    """Sorted by x within a group, a new island where the step to the next is more than gap."""
-    w = Window.partitionBy(*by).orderBy(x)
+def islands(df: DataFrame, by: list[str], x: str, gap: Column, name: str = "island", order: list[Column] | None = None) -> DataFrame:
+    """Sorted by x within a group, a new island where the step to the next is more than gap. order: the whole order, which begins with x, where rows are taken one at a time: equal
+    x that have no difference (infinities) are then islands of their own."""
+    w = Window.partitionBy(*by).orderBy(*(order or [x]))
     step = F.when(F.col(x) - F.lag(x).over(w) > gap, 1).otherwise(0)
-    return df.withColumn("step_", step).withColumn(name, F.sum("step_").over(w)).drop("step_")
+    running = w.rowsBetween(Window.unboundedPreceding, 0) if order else w
+    return df.withColumn("step_", step).withColumn(name, F.sum("step_").over(running)).drop("step_")
 
 
 def columns(df: DataFrame, by: list[str], x: str, width: Column, share: float = 0.15) -> DataFrame:
@@ -103,9 +105,10 @@ def spaced(seq: Column, least: float) -> Column:
 
 
 def valid_islands(df: DataFrame, by: list[str], x: str, y: str, num: str, gap: Column) -> DataFrame:
-    """Islands of two or more whose numbers rise with y by one to three each; rows of one y stand in order of x, then of number."""
-    df = islands(df, by, x, gap)
-    w = Window.partitionBy(*by, "island").orderBy(y, x, num)
+    """Islands of two or more whose numbers rise with y by one to three each; rows of one y stand in order of x, then of number. Null comes last, as in SQL."""
+    up = lambda *names: [F.col(c).asc_nulls_last() for c in names]
+    df = islands(df, by, x, gap, order=up(x, num, y))
+    w = Window.partitionBy(*by, "island").orderBy(*up(y, x, num))
     ok = F.lag(num).over(w).isNull() | (F.col(num) - F.lag(num).over(w)).between(1, 3)
     per = Window.partitionBy(*by, "island")
     return df.withColumn("ok_", ok).withColumn("all_", F.min("ok_").over(per)).withColumn("n_", F.count("*").over(per)).where("all_ AND n_ >= 2").drop("ok_", "all_", "n_")
