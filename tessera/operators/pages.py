@@ -6,6 +6,10 @@ task holds at once: ``collect_list`` gathers the few dozen numbers of a page, ne
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from tessera.operators import layout, ranges
 from tessera.sources import written
 
 PAGE = ["doc", "page"]
+#: Characters of text that pages of a document are brought together to before they are moved to it.
+BLOCK = 1 << 20
 
 
 SET_HEAD = r"^\[\s*\d{1,3}\s*[~～∼]\s*\d{1,3}\s*\]"
@@ -273,10 +279,79 @@ def transcribe(words: DataFrame, recognised: DataFrame, formulas: DataFrame, pag
     return pages.select(*by).join(per, by, "left").select(*by, T.structured(F.coalesce("p", F.array().cast("array<string>"))).alias("paragraphs"))
 
 
+def page_texts(paragraphs: DataFrame, doc: str = "doc") -> DataFrame:
+    """A row a page: its paragraphs that are not empty, and its joined text, null where it has no paragraphs at all."""
+    full = F.size(F.filter("paragraphs", lambda x: x != "")).cast("long")
+    return paragraphs.select(doc, "page", full.alias("paragraphs"), F.when(F.size("paragraphs") > 0, F.array_join("paragraphs", "\n")).alias("text"))
+
+
 def transcript(paragraphs: DataFrame, doc: str = "doc") -> DataFrame:
-    """Pages, paragraphs that are not empty and the joined text of each document."""
-    flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", "paragraphs"))), lambda p: p.paragraphs))
-    return paragraphs.groupBy(doc).agg(F.count("*").alias("pages"), flat.alias("p")).select(doc, "pages", F.size(F.filter("p", lambda x: x != "")).alias("paragraphs"), F.array_join("p", "\n").alias("text"))
+    """Pages, paragraphs that are not empty and the joined text of each document, which is held whole as it is one value; ``transcript_digests`` holds no document."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p.text), "\n")
+    return page_texts(paragraphs, doc).groupBy(doc).agg(F.count("*").alias("pages"), F.sum("paragraphs").alias("paragraphs"), text.alias("text"))
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map over rows (doc, page, paragraphs, text) in order: neighbours of one document as rows (doc, first page, pages, paragraphs, text) of about BLOCK characters."""
+    types, doc, parts = None, None, []
+    page, pages, full, size = None, 0, 0, 0
+
+    def block() -> pa.RecordBatch:
+        row = (doc, page, pages, full, "\n".join(parts) if parts else None)
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], ["doc", "page", "pages", "paragraphs", "text"])
+
+    for batch in batches:
+        types = [batch.schema.field(0).type, batch.schema.field(1).type, pa.int64(), pa.int64(), pa.string()]
+        for d, p, n, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if pages and (d != doc or size >= BLOCK):
+                yield block()
+                parts, pages, full, size = [], 0, 0, 0
+            if not pages:
+                doc, page = d, p
+            pages += 1
+            full += n
+            if text is not None:
+                parts.append(text)
+                size += len(text) + 1
+    if pages:
+        yield block()
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map over blocks in order: a row (doc, pages, paragraphs, text_sha256) a document; the digest is null where no page has a paragraph."""
+    kind, doc, pages, full, sha = None, None, 0, 0, None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([doc], kind), pa.array([pages], pa.int64()), pa.array([full], pa.int64()), pa.array([sha and sha.hexdigest()], pa.string())], ["doc", "pages", "paragraphs", "text_sha256"])
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for d, _, n, m, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if pages and d != doc:
+                yield row()
+                pages, full, sha = 0, 0, None
+            doc, pages, full = d, pages + n, full + m
+            if text is not None:
+                if sha is None:
+                    sha = hashlib.sha256()
+                else:
+                    sha.update(b"\n")
+                sha.update(text.encode())
+    if pages:
+        yield row()
+
+
+def transcript_digests(paragraphs: DataFrame, doc: str = "doc") -> DataFrame:
+    """Pages, paragraphs that are not empty and the SHA-256 of the joined text of each document (null without any). Pages are dealt out in ranges of (doc, page) and joined to
+    blocks there; a document's blocks then pass through its digest one after another, so no task holds more than a batch of them."""
+    n = int(paragraphs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written, as dealing out in ranges would else make the pages twice.
+    rows = written(page_texts(paragraphs, doc).withColumnRenamed(doc, "doc"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    dealt = rows.repartitionByRange(n, "doc", "page").sortWithinPartitions("doc", "page")
+    blocks = dealt.mapInArrow(_joined, f"doc {kinds['doc']}, page {kinds['page']}, pages long, paragraphs long, text string")
+    sums = blocks.repartition(n, "doc").sortWithinPartitions("doc", "page").mapInArrow(_digested, f"doc {kinds['doc']}, pages long, paragraphs long, text_sha256 string")
+    return sums.withColumnRenamed("doc", doc)
 
 
 def extracts(unboxed: DataFrame, boxed: DataFrame, by: list[str] = PAGE) -> DataFrame:
