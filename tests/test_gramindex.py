@@ -61,6 +61,31 @@ def test_long_rule_tables_give_what_short_ones_give(spark, monkeypatch):
     assert show(evidence.pre_classify(given, "text", "name", "cover", table)) == joined
 
 
+def test_texts_are_written_once_and_rules_moved_without_what_they_share(spark):
+    from pathlib import Path
+
+    from tessera.plans import problems as catalogue
+
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(base.glob("library-*"))
+    df = catalogue.QUERIES["rule_index"](spark, "/root/testdata/sf0.001")
+    new = set(base.glob("library-*")) - before
+    assert sum("tn" in spark.read.parquet(str(p)).columns for p in new) == 1
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    gathered = plan[plan.index("collect_list(") :].split("\n")[0]
+    assert "polarity" not in gathered and "key" in gathered
+
+
+def test_shared_fields_come_back(spark):
+    kind = "rank int, scan string, keyword string, polarity string, targets array<string>, confidence double, source string, guard boolean"
+    table = lambda *rows: evidence.prepared(spark.createDataFrame(list(rows), kind))
+    df = evidence.normalised(spark.createDataFrame([(1, "Go to AB."), (2, "xab"), (3, None)], "id int, text string"), F.col("text"), "tn")
+    show = lambda rows, over: sorted((r.id, [tuple(map(str, h)) for h in r.hits]) for r in rows.withColumn("hits", over).collect())
+    for t in (table((0, "s", "A b", "pro", [], 0.5, "ocr", True), (0, "t", "ab", "pro", [], 0.5, "ocr", True)), table((0, "s", "ab", None, None, None, "ocr", False), (1, "s", "go", "anti", ["x"], 0.1, None, False))):
+        want = show(df, evidence.hits(F.col("tn"), evidence.table_rules(t)))
+        assert show(evidence.indexed(df, "tn", t, "hits"), F.col("hits")) == want and any(h for _, h in want)
+
+
 def test_a_hundred_thousand_rules(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.lower("text").alias("text"))
     keys = docs.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(700)), lambda i: F.substring("text", i * 3, 13))).alias("key")).where("length(key) = 13").distinct()
